@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, small_batches, text_buffers, word_hashes
+from .common import cut, discard, mix, small_batches, text_buffers, word_hashes
 
 WORDS, NUM, DEN = 5, 75, 100
 HOT = 32
@@ -298,6 +298,7 @@ def _tiles(docs: DataFrame, rows: DataFrame, sizes: DataFrame, labels: DataFrame
                         out.append((r, qr[k], n, qn[k]))
         return pd.DataFrame(out, columns=["a", "b", "na", "nb"], dtype="int64")
 
+    high = high.select(*(F.col(c).alias(c) for c in high.columns))  # columns of its own: both sides come from rows
     return low.groupBy(*keys).cogroup(high.groupBy(*keys)).applyInPandas(run, "a long, b long, na long, nb long").distinct()
 
 
@@ -308,11 +309,12 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     signatures = cut(_signatures(docs))
     same = ["n", "d1", "d2"]
     classes = cut(signatures.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")))
-    tokens = _tokens(cut(_prefixes(docs).where("n > 0").join(classes.select("rep"), "rep", "left_semi")))
-    hot: np.ndarray = np.zeros(0, np.uint64)
+    prefixes = cut(_prefixes(docs).where("n > 0").join(classes.select("rep"), "rep", "left_semi"))
+    repeated = signatures.count() > signatures.agg(F.count_distinct("doc_id")).first()[0]
     moved: DataFrame | None = None  # hot tokens so far
     pairs, rest = [], []
     for round_ in range(ROUNDS):
+        tokens = _tokens(prefixes)
         shared = cut(tokens.groupBy("token").count().where("count > 1"))
         pairs.append(cut(_pairs(tokens, shared.where(F.col("count") <= HOT))))
         often = shared.where(F.col("count") > HOT).select("token")
@@ -331,10 +333,13 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         n_moved = moved.count()
         if n_moved <= BROADCAST:
             hot = np.sort(np.array(moved.toArrow().column(0).to_numpy(), np.int64).view(np.uint64))
-            prefixes = _prefixes(_only(docs, again), spark.sparkContext.broadcast(hot))
+            following = _prefixes(_only(docs, again), spark.sparkContext.broadcast(hot))
         else:  # the order is made by a join instead
-            prefixes = _prefixes_by_join(_only(docs, again), moved)
-        tokens = _tokens(cut(prefixes.dropDuplicates(["rep", "n"])))
+            following = _prefixes_by_join(_only(docs, again), moved)
+        following = cut(following.dropDuplicates(["rep", "n"]) if repeated else following)
+        tokens = None
+        discard(prefixes, shared, again)
+        prefixes = following
     found = reduce(DataFrame.unionByName, pairs).distinct()
     links, labels = _links(docs, found, None, None)
     rows = cut(reduce(DataFrame.unionByName, rest).distinct()) if rest else None
