@@ -35,11 +35,12 @@ from pyspark.sql import functions as F
 from .common import cut, discard, mix, small_batches, text_buffers, word_hashes
 
 WORDS, NUM, DEN = 5, 75, 100
+#: A shingle is frequent if more prefixes share it; twice as many each round.
 HOT = 32
 TILE = 512
 #: Most ids or shingles that are broadcast; beyond it the same step is a shuffled join.
 BROADCAST = 1_000_000
-ROUNDS = 8
+ROUNDS = 5
 _A = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F)]
 
 
@@ -265,19 +266,24 @@ def _links(docs: DataFrame, pairs: DataFrame, links: DataFrame | None, labels: D
     return links, labels
 
 
-def _tiles(docs: DataFrame, rows: DataFrame, sizes: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Candidate pairs among rows (token, rep, n, lead) of hot tokens whose members are in
-    different components: tiles of at most TILE x TILE members of neighbouring size bands."""
+def _tiles(docs: DataFrame, rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Candidate pairs among members of groups of frequent shingles (rows token, rep, n, lead) that
+    are in different components: tiles of at most about TILE x TILE members of neighbouring size
+    bands. Groups with a member in common make one, so that a member is there once."""
     if labels is not None:
         rows = rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     else:
         rows = rows.withColumn("component", F.col("rep"))
-    mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo <> hi")
-    rows = cut(rows.join(mixed.select("token", "members"), "token"))
+    mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rep").alias("b")).where("lo <> hi")
+    rows = cut(rows.join(mixed.select("token", "b"), "token"))
     if rows.isEmpty():
-        return sizes.sparkSession.createDataFrame([], "a long, b long, na long, nb long")
+        return docs.sparkSession.createDataFrame([], "a long, b long, na long, nb long")
+    groups = components(rows.select(F.col("rep").alias("a"), "b")).select(F.col("node").alias("rep"), F.col("component").alias("token"))
+    rows = cut(rows.groupBy("rep", "n", "component").agg(F.max("lead").alias("lead")).join(groups, "rep"))
     bits = cut(_bitmaps(_only(docs, rows.select("rep"))))
-    rows = rows.join(bits, "rep").withColumn("band", F.floor(F.log("n") / F.log(F.lit(4 / 3)))).withColumn("blocks", F.ceil(F.col("members") / TILE)).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
+    rows = rows.join(bits, "rep").withColumn("band", F.floor(F.log("n") / F.log(F.lit(4 / 3))))
+    sizes = rows.groupBy("token", "band").count().groupBy("token").agg(F.ceil(F.max("count") / TILE).alias("blocks"))
+    rows = rows.join(sizes, "token").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
     # A member goes to the tiles of its block with every block of its own band and, as the smaller
     # set, of the two above (a ratio of 4/3 reaches no further).
     low = rows.withColumn("y", F.explode(F.expr("sequence(band, band + 2)"))).withColumn("j", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("token", F.col("band").alias("x"), "y", F.col("block").alias("i"), "j", "rep", "n", "component", "bits", "lead").where("lead")
@@ -316,8 +322,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     for round_ in range(ROUNDS):
         tokens = _tokens(prefixes)
         shared = cut(tokens.groupBy("token").count().where("count > 1"))
-        pairs.append(cut(_pairs(tokens, shared.where(F.col("count") <= HOT))))
-        often = shared.where(F.col("count") > HOT).select("token")
+        pairs.append(cut(_pairs(tokens, shared.where(F.col("count") <= HOT << round_))))
+        often = shared.where(F.col("count") > HOT << round_).select("token")
         fresh = often if moved is None else often.join(moved, "token", "left_anti")
         fresh = cut(fresh)
         n_fresh = fresh.count()
@@ -340,16 +346,18 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         tokens = None
         discard(prefixes, shared, again)
         prefixes = following
-    found = reduce(DataFrame.unionByName, pairs).distinct()
-    links, labels = _links(docs, found, None, None)
+    found = reduce(DataFrame.unionByName, pairs)
     rows = cut(reduce(DataFrame.unionByName, rest).distinct()) if rest else None
     if rows is not None and not rows.isEmpty():
         # Stars: each member with the member that has most of the frequent shingles of its groups.
         share = rows.groupBy("rep").agg((F.count("*") / F.max("n")).alias("share"))
-        centre = rows.join(share, "rep").groupBy("token").agg(F.max(F.struct("share", -F.col("rep"), "n")).alias("c")).select("token", (-F.col("c.col2")).alias("b"), F.col("c.n").alias("nb"))
-        star = rows.join(centre, "token").where("rep <> b").select(F.col("rep").alias("a"), "b", F.col("n").alias("na"), "nb").distinct().where("least(na, nb) * 100 >= greatest(na, nb) * 75")
-        links, labels = _links(docs, star, links, labels)
-        links, labels = _links(docs, _tiles(docs, rows, classes, labels), links, labels)
+        centre = rows.join(share, "rep").groupBy("token").agg(F.max(F.struct(F.col("share"), (-F.col("rep")).alias("first"), F.col("n"))).alias("c")).select("token", (-F.col("c.first")).alias("b"), F.col("c.n").alias("nb"))
+        star = rows.join(centre, "token").where("rep <> b").select(F.col("rep").alias("a"), "b", F.col("n").alias("na"), "nb").where(f"least(na, nb) * {DEN} >= greatest(na, nb) * {NUM}")
+        found = found.unionByName(star.select(*found.columns))
+        links, labels = _links(docs, found.distinct(), None, None)
+        links, labels = _links(docs, _tiles(docs, rows, labels), links, labels)
+    else:
+        links, labels = _links(docs, found.distinct(), None, None)
     out = signatures.join(classes, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"))
     if labels is None:
         return out.select("doc_id", "n_shingles", F.col("rep").alias("component_id"))
