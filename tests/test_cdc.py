@@ -17,7 +17,10 @@ from tidemark.sources.batches import BatchDiscoveryError, Checkpoint, Checkpoint
 from tidemark.sources.tables import Table, TableError
 
 DATA = "/root/testdata/sf0.001"
-NOW = F.lit("2025-01-01T00:00:00+00:00")
+
+
+def now():
+    return F.lit("2025-01-01T00:00:00+00:00")
 
 
 def event(seq, op="UPDATE", key="SUB-1", table="subscriptions", batch=1, version=1, ingested="2025-01-01T00:00:00", payload=None, **changes):
@@ -49,7 +52,7 @@ def test_rules(spark):
         "MISSING_PAYLOAD": event(10, payload=" "), "PAYLOAD_NOT_A_JSON_OBJECT": event(11, payload="[1]"), "DELETE_PAYLOAD_MISSING_PRIMARY_KEY: 'subscription_id'": event(12, "DELETE", payload='{"x":1}'),
         "PAYLOAD_MISSING_REQUIRED_FIELDS: [plan, status]": event(13, payload='{"subscription_id":"SUB-1","account_id":null}'), "EVENT_ID_MISMATCH": event(14, event_id="0" * 64), "PAYLOAD_KEY_MISMATCH": event(15, payload='{"subscription_id":"Z","account_id":"A","plan":"P","status":"S"}'),
     }
-    valid, bad = split_valid(frame(spark, list(cases.values())), NOW)
+    valid, bad = split_valid(frame(spark, list(cases.values())), now())
     assert [r.source_sequence for r in valid.collect()] == [1]
     assert {r.source_sequence: r.rejection_reason for r in bad.collect()} == {c[4]: k for k, c in cases.items() if k}
 
@@ -76,9 +79,9 @@ def test_closed_form_equals_batch_loop(spark):
     results = merge.outcomes(unique, snap.select(F.lit("subscriptions").alias("source_table"), F.col("subscription_id").alias("business_key"), "source_sequence"))
     parsed = parse_payload(results, "subscriptions").drop("subscription_id").join(results.select("event_id", "batch_id", "apply_outcome"), ["event_id", "batch_id"])
     closed = merge.state_of(parsed, snap, "subscriptions")
-    state, ledger, audits = merge.snapshot_state(snap, "subscriptions", NOW), spark.createDataFrame([], LEDGER), []
+    state, ledger, audits = merge.snapshot_state(snap, "subscriptions", now()), spark.createDataFrame([], LEDGER), []
     for b in range(1, 7):
-        state, audit = merge.apply_batch(parse_payload(unique.where(f"batch_id = {b}"), "subscriptions"), state, ledger, "subscriptions", NOW)
+        state, audit = merge.apply_batch(parse_payload(unique.where(f"batch_id = {b}"), "subscriptions"), state, ledger, "subscriptions", now())
         state, audit = spark.createDataFrame(state.collect(), state_schema("subscriptions")), spark.createDataFrame(audit.collect(), LEDGER)
         ledger = ledger.join(audit.select("event_id"), "event_id", "left_anti").select(*LEDGER.names).unionByName(audit)
         audits += [(r.event_id, r.batch_id, r.apply_outcome, r.target_sequence_after) for r in audit.collect()]
@@ -91,8 +94,8 @@ def test_recovered_after_partial_commit(spark):
     empty = spark.createDataFrame([], state_schema("subscriptions"))
     ledger = spark.createDataFrame([], LEDGER)
     parsed = parse_payload(frame(spark, [event(7, "INSERT")]), "subscriptions")
-    state, _ = merge.apply_batch(parsed, empty, ledger, "subscriptions", NOW)
-    _, again = merge.apply_batch(parsed, state, ledger, "subscriptions", NOW)
+    state, _ = merge.apply_batch(parsed, empty, ledger, "subscriptions", now())
+    _, again = merge.apply_batch(parsed, state, ledger, "subscriptions", now())
     assert [r.apply_outcome for r in again.collect()] == ["RECOVERED_AFTER_PARTIAL_COMMIT"]
 
 
@@ -100,10 +103,10 @@ def test_late_event_makes_four_versions_and_collision_conflicts(spark):
     snap = spark.createDataFrame([("SUB-1", "A", "P0", "ACTIVE", 5, None), ("SUB-2", "A", "P0", "ACTIVE", 6, None)], "subscription_id string, account_id string, plan string, status string, source_sequence long, created_at string")
     rows = [event(25), event(55), event(40), event(20, key="SUB-2"), event(20, "DELETE", key="SUB-2")]
     store = ops.store_of(frame(spark, rows))
-    first = history.build(snap, ops.store_of(frame(spark, rows[:2])), NOW)
-    queue = history.queue_rows(store.where("source_sequence in (40, 20)"), NOW)
-    state = merge.snapshot_state(snap, "subscriptions", NOW)
-    q, h, s, audit = history.replay(queue, store, snap, first, state, NOW, repair_current=True)
+    first = history.build(snap, ops.store_of(frame(spark, rows[:2])), now())
+    queue = history.queue_rows(store.where("source_sequence in (40, 20)"), now())
+    state = merge.snapshot_state(snap, "subscriptions", now())
+    q, h, s, audit = history.replay(queue, store, snap, first, state, now(), repair_current=True)
     assert {(r.business_key, r.replay_status) for r in q.collect()} == {("SUB-1", "APPLIED"), ("SUB-2", "CONFLICT")}
     assert [r.plan for r in h.where("subscription_id = 'SUB-1'").orderBy("valid_from_sequence").collect()] == ["P0", "P25", "P40", "P55"]
     assert history.violations(h).count() == 0 and s.where("subscription_id = 'SUB-1'").first().plan == "P55"
