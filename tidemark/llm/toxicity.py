@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, small_batches
+from .common import crc_mod, cut, small_batches
 
 #: Bound of the labelled sample that a fit may use, in documents.
 MAX_TRAIN = 16_000
@@ -67,33 +67,32 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def _ratios(counts: dict[str, tuple[int, int]], alpha: float = 1.0) -> dict[str, float]:
-    """Log-count ratio of each n-gram that is kept, from documents per class of each word."""
-    pos: Counter = Counter()
-    neg: Counter = Counter()
-    for w, (p, q) in counts.items():
-        for g in grams(w):
-            if p:
-                pos[g] += p
-            if q:
-                neg[g] += q
-    total_p, total_q = sum(pos.values()) + alpha, sum(neg.values()) + alpha
-    out = []
-    for g in pos.keys() | neg.keys():
-        p, q = pos[g] + alpha, neg[g] + alpha
-        r = math.log(p / total_p) - math.log(q / total_q)
-        z = abs(r) / math.sqrt(1 / p + 1 / q)
-        if z >= LEAST_Z:
-            out.append((-z, g, r))
-    return {g: r for _, g, r in sorted(out)[:MAX_GRAMS]}
-
-
-def _logistic(rows: list[tuple[list[int], list[float], int]], n: int, l2: float = 1e-3, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Accelerated gradient descent with a fixed number of steps; deterministic."""
-    idx = np.concatenate([np.asarray(r[0], np.int64) for r in rows]) if rows else np.zeros(0, np.int64)
-    val = np.concatenate([np.asarray(r[1], float) for r in rows]) if rows else np.zeros(0)
-    row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    y = np.array([r[2] for r in rows], float)
+def _ratios(words: DataFrame, alpha: float = 1.0) -> dict[str, float]:
+    """Log-count ratio of each n-gram that is kept, from documents per class of each word
+    (w, p, q). Counted on the executors; only the kept ones come to the driver."""
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pos: Counter = Counter()
+            neg: Counter = Counter()
+            for w, p, q in zip(*(c.to_pylist() for c in b.columns)):
+                for g in grams(w):
+                    pos[g] += p
+                    neg[g] += q
+            yield pa.RecordBatch.from_pydict({"g": list(pos), "p": pa.array(pos.values(), pa.int64()), "q": pa.array(neg.values(), pa.int64())})
+
+    counts = cut(words.mapInArrow(spell, "g string, p long, q long").groupBy("g").agg(F.sum("p").alias("p"), F.sum("q").alias("q")))
+    total_p, total_q = counts.agg(F.coalesce(F.sum("p"), F.lit(0)), F.coalesce(F.sum("q"), F.lit(0))).first()
+    p, q = F.col("p") + alpha, F.col("q") + alpha
+    r = F.log(p / (total_p + alpha)) - F.log(q / (total_q + alpha))
+    kept = counts.select("g", r.alias("r"), (F.abs(r) / F.sqrt(1 / p + 1 / q)).alias("z")).where(F.col("z") >= LEAST_Z)
+    return {x.g: x.r for x in kept.orderBy(F.desc("z"), "g").limit(MAX_GRAMS).collect()}
+
+
+def _logistic(idx: np.ndarray, val: np.ndarray, row: np.ndarray, y: np.ndarray, n: int, l2: float = 1e-3, steps: int = 300) -> tuple[np.ndarray, float]:
+    """Accelerated gradient descent with a fixed number of steps; deterministic. idx, val, row: the
+    features, values and rows of a sparse matrix; y: labels."""
+    rows = y
     norm = np.bincount(row, val * val, len(rows))
     step = 4.0 / (max(1.0, float(np.percentile(norm, 99))) + 1)
     w = v = np.zeros(n)
@@ -121,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return Model({}, math.log((share + 1e-9) / (1 - share + 1e-9)))
     if n > max_train:
         known = known.where(F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < int((1 << 20) * max_train / n))
-    sample = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(known), "k").select("t", "y")  # known holds max_train rows at most
+    sample = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(known), "k").select("t", "y", F.xxhash64("k").alias("k"))  # known holds max_train rows at most
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pos: Counter = Counter()
@@ -135,8 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_pydict({"w": part, "p": pa.array([pos[w] for w in part], pa.int64()), "q": pa.array([neg[w] for w in part], pa.int64())})
 
     per_word = sample.mapInArrow(count, "w string, p long, q long").groupBy("w").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
-    counts = {w: (p, q) for w, p, q in zip(*(c.to_pylist() for c in per_word.where("p + q >= 3").toArrow().columns))}
-    ratios = _ratios(counts)
+    ratios = _ratios(per_word.where("p + q >= 3"))
     place = {g: i for i, g in enumerate(ratios)}
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,15 +151,17 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                             cache.clear()
                     c.update(ids)
                 out.append(c)
-            yield pa.RecordBatch.from_pydict({"i": pa.array([list(c) for c in out], pa.list_(pa.int32())), "v": pa.array([list(c.values()) for c in out], pa.list_(pa.int32())), "y": b.column(1).cast(pa.int32())})
+            yield pa.RecordBatch.from_pydict({"k": b.column(2).cast(pa.int64()), "i": pa.array([list(c) for c in out], pa.list_(pa.int32())), "v": pa.array([list(c.values()) for c in out], pa.list_(pa.int32())), "y": b.column(1).cast(pa.int32())})
 
-    got = sample.mapInArrow(vectors, "i array<int>, v array<int>, y int").toArrow()
-    r = np.array(list(ratios.values()) or [0.0])
-    rows = [(i, [r[k] * x for k, x in zip(i, v)], int(y > 0)) for i, v, y in zip(*(c.to_pylist() for c in got.columns))]
-    if not rows:
+    got = sample.mapInArrow(vectors, "k long, i array<int>, v array<int>, y int").orderBy("k", "y").toArrow()  # in order, whatever the order of arrival
+    if not got.num_rows:
         return Model({}, math.log((toxic + 0.5) / (n - toxic + 0.5)))
-    order = sorted(range(len(rows)), key=lambda k: (rows[k][2], rows[k][0]))  # whatever the order of arrival
-    w, b = _logistic([rows[k] for k in order], len(r))
+    r = np.array(list(ratios.values()) or [0.0])
+    got = got.combine_chunks()
+    ids, times = (got.column(c).combine_chunks() for c in ("i", "v"))
+    row = np.repeat(np.arange(got.num_rows), np.diff(ids.offsets.to_numpy()))
+    idx, val = ids.flatten().to_numpy().astype(np.int64), times.flatten().to_numpy().astype(float)
+    w, b = _logistic(idx, val * r[idx], row, (got.column("y").to_numpy() > 0).astype(float), len(r))
     return Model({g: float(w[k] * r[k]) for g, k in place.items() if w[k]}, b)
 
 
