@@ -43,13 +43,13 @@ TEMPLATES = {
     "Unlicense": ("This is free and unencumbered software released into the public domain",),
 }
 FILE_NAMES = r"(?i)^(?:un)?licen[cs]e(?:[.-].*)?$|^copying(?:\..*)?$|^notice(?:\..*)?$"
-LEAST, LEAST_FILE, FILE_WORDS = 0.75, 0.6, 400
+LEAST, LEAST_FILE, FILE_WORDS = 0.75, 0.8, 400
 #: Most directories whose licence table is broadcast; beyond it the join is shuffled.
 BROADCAST = 200_000
 _TERM = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 _NEAR = re.compile(r"licen[cs]e|copyright|public domain|redistribut|permission|creative commons")
 _ANCHOR = re.compile(r"(?:un)?licen[cs]e.*|copyright.*|redistribut.*|domain|commons|permission|subject")
-_BEFORE, _AFTER = (0, 1, 3, 6, 12), (3, 5, 7, 9, 12, 20, 30)
+_BEFORE, _AFTER = (0, 1, 2, 3, 4, 5, 6, 8, 12), (1, 2, 3, 4, 5, 6, 7, 9, 12, 20, 30)
 
 
 def terms(text: str) -> list[str]:

@@ -120,13 +120,23 @@ def scan(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
     return docs.withColumn(out, F.transform(F.array_sort(order), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score"))))
 
 
+def _masked(text: Column, kind: str) -> Column:
+    cuts = F.arrays_zip(F.split(text, _PATTERNS[kind], -1).alias("g"), F.regexp_extract_all(text, F.lit(_PATTERNS[kind]), F.lit(0)).alias("m"))
+
+    def piece(z: Column) -> Column:
+        good = confirmed(kind, z["m"])
+        if kind not in BASE:
+            near = F.right(z["g"], F.lit(NEAR)).rlike("(?i)" + CONTEXT[kind])
+            good = good & (F.lit(SCORES[kind]) + F.when(near, CONTEXT_ADDS).otherwise(0.0) >= LEAST)
+        return F.concat(z["g"], F.when(z["m"].isNull(), "").when(good, f"[{kind.upper()}]").otherwise(z["m"]))
+
+    return F.array_join(F.transform(cuts, piece), "")
+
+
 def redacted(text: Column, kinds: tuple[str, ...] = ("email", "iban", "card", "short_card", "phone", "ssn", "local_phone", "ip")) -> Column:
     """The text with every confirmed span replaced by its kind in square brackets, kind by kind."""
     for kind in kinds:
-        cuts = F.arrays_zip(F.split(text, _PATTERNS[kind], -1).alias("g"), F.regexp_extract_all(text, F.lit(_PATTERNS[kind]), F.lit(0)).alias("m"))
-        good = lambda z, kind=kind: confirmed(kind, z["m"]) if kind in BASE else confirmed(kind, z["m"]) & (F.lit(SCORES[kind]) + F.when(F.right(z["g"], F.lit(NEAR)).rlike("(?i)" + CONTEXT[kind]), CONTEXT_ADDS).otherwise(0.0) >= LEAST)
-        joined = F.array_join(F.transform(cuts, lambda z, good=good, kind=kind: F.concat(z["g"], F.when(z["m"].isNull(), "").when(good(z), f"[{kind.upper()}]").otherwise(z["m"]))), "")
-        text = F.when(text.rlike(_MAY[kind]), joined).otherwise(text)
+        text = F.when(text.rlike(_MAY[kind]), _masked(text, kind)).otherwise(text)
     return text
 
 
