@@ -19,6 +19,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -54,8 +55,7 @@ class Model:
     def word(self, w: str) -> float:
         x = self._seen.get(w)
         if x is None:
-            get = self.weights.get
-            x = sum(v for g in grams(w) if (v := get(g)) is not None)
+            x = math.fsum(map(self.weights.__getitem__, self.weights.keys() & grams(w)))
             if len(w) <= 64:
                 if len(self._seen) >= _CACHED:
                     self._seen.clear()
@@ -63,7 +63,11 @@ class Model:
         return x
 
     def score(self, text: str | None) -> float:
-        z = self.bias + math.fsum(map(self.word, words_of(text)))
+        words = words_of(text)
+        known = list(map(self._seen.get, words))
+        if None in known:
+            known = [self.word(w) if x is None else x for w, x in zip(words, known)]
+        z = self.bias + math.fsum(known)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -142,18 +146,15 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         for b in batches:
             out = []
             for t in b.column(0).to_pylist():
-                c: Counter = Counter()
-                for w in words_of(t):
-                    ids = cache.get(w)
-                    if ids is None:
-                        ids = cache[w] = [place[g] for g in grams(w) if g in place]
-                        if len(cache) > _CACHED:
-                            cache.clear()
-                    c.update(ids)
-                out.append(c)
+                words = words_of(t)
+                for w in words - cache.keys():
+                    cache[w] = [place[g] for g in grams(w) if g in place]
+                out.append(Counter(chain.from_iterable(map(cache.__getitem__, words))))
+                if len(cache) > _CACHED:
+                    cache.clear()
             yield pa.RecordBatch.from_pydict({"k": b.column(2).cast(pa.int64()), "i": pa.array([list(c) for c in out], pa.list_(pa.int32())), "v": pa.array([list(c.values()) for c in out], pa.list_(pa.int32())), "y": b.column(1).cast(pa.int32())})
 
-    got = sample.mapInArrow(vectors, "k long, i array<int>, v array<int>, y int").orderBy("k", "y").toArrow()  # in order, whatever the order of arrival
+    got = sample.mapInArrow(vectors, "k long, i array<int>, v array<int>, y int").toArrow().sort_by([("k", "ascending"), ("y", "ascending")])  # in order, whatever the order of arrival
     if not got.num_rows:
         return Model({}, math.log((toxic + 0.5) / (n - toxic + 0.5)))
     r = np.array(list(ratios.values()) or [0.0])
