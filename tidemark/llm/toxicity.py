@@ -17,10 +17,11 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,16 +47,33 @@ def grams(word: str) -> set[str]:
     return {w[i : i + n] for n in SIZES for i in range(len(w) - n + 1)} or {w}
 
 
+def finder(known: Iterable[str]) -> Callable[[str], set[str]]:
+    """For a word, those of its n-grams that are known, by one pass of an automaton."""
+    tree = ahocorasick.Automaton()
+    for g in known:
+        tree.add_word(g, g)
+    if not len(tree):
+        return lambda word: set()
+    tree.make_automaton()
+    return lambda word: {g for _, g in tree.iter(f"^{word}$")}
+
+
 @dataclass
 class Model:
     weights: dict[str, float]
     bias: float
     _seen: dict[str, float] = field(default_factory=dict, repr=False)
+    _find: Callable[[str], set[str]] | None = field(default=None, repr=False)
+
+    def __getstate__(self) -> dict:
+        return {"weights": self.weights, "bias": self.bias, "_seen": {}, "_find": None}
 
     def word(self, w: str) -> float:
         x = self._seen.get(w)
         if x is None:
-            x = math.fsum(map(self.weights.__getitem__, self.weights.keys() & grams(w)))
+            if self._find is None:
+                self._find = finder(self.weights)
+            x = math.fsum(self.weights[g] for g in self._find(w))
             if len(w) <= 64:
                 if len(self._seen) >= _CACHED:
                     self._seen.clear()
@@ -143,12 +161,13 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, list[int]] = {}
+        find = finder(place)
         for b in batches:
             out = []
             for t in b.column(0).to_pylist():
                 words = words_of(t)
                 for w in words - cache.keys():
-                    cache[w] = [place[g] for g in grams(w) if g in place]
+                    cache[w] = [place[g] for g in find(w)]
                 out.append(Counter(chain.from_iterable(map(cache.__getitem__, words))))
                 if len(cache) > _CACHED:
                     cache.clear()
