@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import cut, small_batches
 
 # Short forms of well-known licenses' notices.
 TEMPLATES = {
@@ -126,7 +126,7 @@ def scan(files: DataFrame, model: Model, path: str = "path", text: str = "text")
 
         return pd.DataFrame([shared.value.scan(t) for t in texts.tolist()], columns=["license", "score", "whole"])
 
-    own = files.withColumn("_scan", of(F.col(text))).drop(text)
+    own = cut(files.withColumn("_scan", of(F.col(text))).drop(text))  # written once, as three plans read it
     folder = F.regexp_extract(F.coalesce(F.col(path), F.lit("")), r"^(.*)/[^/]*$", 1)
     name = F.regexp_extract(F.coalesce(F.col(path), F.lit("")), r"([^/]*)$", 1)
     own = own.withColumn("_dir", F.when(F.col(path).isNotNull(), folder))
