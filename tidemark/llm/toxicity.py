@@ -166,8 +166,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             out = []
             for t in b.column(0).to_pylist():
                 words = words_of(t)
-                for w in words - cache.keys():
-                    cache[w] = [place[g] for g in find(w)]
+                for w in words:
+                    if w not in cache:
+                        cache[w] = [place[g] for g in find(w)]
                 out.append(Counter(chain.from_iterable(map(cache.__getitem__, words))))
                 if len(cache) > _CACHED:
                     cache.clear()
