@@ -54,11 +54,11 @@ def discover(root: str | Path) -> list[Batch]:
 
 
 def read_events(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Events of JSON-lines files or folders of them; the batch id inside an event wins over its
+    """Events of JSON-lines files, or of folders of them or of Spark's part files; the batch id inside an event wins over its
     folder's name, and manifests are no events."""
     if not paths:
         return spark.createDataFrame([], ENVELOPE)
-    return spark.read.schema(ENVELOPE).option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", "true").json(paths)
+    return spark.read.schema(ENVELOPE).option("pathGlobFilter", "{*.jsonl,part-*}").option("recursiveFileLookup", "true").json(paths)
 
 
 def read_snapshot(spark: SparkSession, root: str | Path, table: str) -> DataFrame:

@@ -1,6 +1,7 @@
-"""Versioned Parquet tables: immutable version folders and a log of commits.
+"""Versioned Parquet tables: immutable folders and a log of commits, each of which lists its folders.
 
-A commit writes a new folder and then creates the next log entry, which only one writer can. A reader
+A commit writes a new folder and then creates the next log entry, which only one writer can; an append
+or an insert keeps the folders before it and writes its own rows only. A reader
 pins the version that it finds, so a plan never reads what it overwrites. Log entries go through
 Hadoop's file system, so that any store Spark can write will do.
 """
@@ -12,7 +13,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 
 class TableError(RuntimeError):
@@ -51,15 +52,15 @@ class Table:
         if not self.exists():
             raise TableError(f"no table at {self.path}")
         entry = self._entry(self.versions()[-1] if version is None else version)
-        return self.spark.read.schema(StructType.fromJson(entry["schema"])).parquet(f"{self.path}/{entry['folder']}")
+        return self.spark.read.schema(StructType.fromJson(entry["schema"])).parquet(*(f"{self.path}/{f}" for f in entry["folders"]))
 
-    def commit(self, df: DataFrame, operation: str = "overwrite", expected: int | None = None) -> int:
-        """Write df as the next version; fails if another commit came first."""
+    def commit(self, df: DataFrame, operation: str = "overwrite", expected: int | None = None, keep: tuple[str, ...] = ()) -> int:
+        """Write df, and the folders to keep, as the next version; fails if another commit came first."""
         have = self.versions()
         version = (have[-1] if have else 0) + 1 if expected is None else expected + 1
         folder = f"v={version:010d}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(f"{self.path}/{folder}")
-        data = json.dumps({"version": version, "operation": operation, "folder": folder, "schema": df.schema.jsonValue()})
+        data = json.dumps({"version": version, "operation": operation, "folders": [*keep, folder], "schema": df.schema.jsonValue()})
         try:
             stream = self._fs.create(self._path("_log", f"{version:010d}.json"), False)
         except Exception as e:
@@ -77,7 +78,12 @@ class Table:
             self.commit(self.spark.createDataFrame([], schema), "create")
 
     def append(self, rows: DataFrame) -> int:
-        return self._change("append", lambda old: old.unionByName(rows, allowMissingColumns=True))
+        """Add rows; columns that they lack are null, and those that the table lacks are added."""
+        at = self.versions()[-1]
+        entry = self._entry(at)
+        have = StructType.fromJson(entry["schema"])
+        mine = [F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in have.fields]
+        return self.commit(rows.select(*mine, *(c for c in rows.columns if c not in have.names)), "append", at, tuple(entry["folders"]))
 
     def _change(self, operation: str, f) -> int:
         at = self.versions()[-1]
@@ -89,10 +95,9 @@ class Table:
 
     def insert_only(self, rows: DataFrame, keys: list[str]) -> int:
         """Rows whose keys are new; returns how many."""
-        new = rows.join(self.read().select(*keys).distinct(), keys, "left_anti")
-        before = self.read().count()
-        self._change("insert", lambda old: old.unionByName(new.select(*old.columns)))
-        return self.read().count() - before
+        before = self.read()
+        self.append(rows.join(before.select(*keys).distinct(), keys, "left_anti"))
+        return self.read().count() - before.count()
 
     def update_where(self, predicate: Column, values: dict[str, Column]) -> int:
         hit = F.coalesce(predicate, F.lit(False))
@@ -102,18 +107,21 @@ class Table:
         return self._change("delete", lambda old: old.where(~F.coalesce(predicate, F.lit(False))))
 
     def add_columns(self, columns: dict[str, str]) -> tuple[str, list[str]]:
-        """("MIGRATED_SUCCESS", added) or ("ALREADY_MIGRATED", [])."""
+        """("MIGRATED_SUCCESS", added) or ("ALREADY_MIGRATED", []); no row is written again."""
         have = self.read().columns
         new = {c: t for c, t in columns.items() if c not in have}
         if not new:
             return "ALREADY_MIGRATED", []
-        self._change("add columns", lambda old: old.withColumns({c: F.lit(None).cast(t) for c, t in new.items()}))
+        fields = [*self.read().schema.fields, *(StructField(c, _parse_datatype_string(t)) for c, t in new.items())]
+        self.append(self.spark.createDataFrame([], StructType(fields)))
         return "MIGRATED_SUCCESS", list(new)
 
     def vacuum(self, keep: int = 2) -> int:
-        """Delete the folders of all but the last versions; returns how many."""
-        old = self.versions()[:-keep]
+        """Delete the versions before the last ones and the folders that only they have; returns how many."""
+        old, kept = self.versions()[:-keep], {f for v in self.versions()[-keep:] for f in self._entry(v)["folders"]}
+        gone = {f for v in old for f in self._entry(v)["folders"]} - kept
+        for f in gone:
+            self._fs.delete(self._path(f), True)
         for v in old:
-            self._fs.delete(self._path(self._entry(v)["folder"]), True)
             self._fs.delete(self._path("_log", f"{v:010d}.json"), False)
-        return len(old)
+        return len(gone)

@@ -1 +1,41 @@
+"""Change events as a stream: the apply lane for each micro-batch, and rates by event time."""
 
+from __future__ import annotations
+
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from tidemark.functions.events import split_valid
+from tidemark.operators import events as ops
+from tidemark.plans.lanes import Engine
+from tidemark.schemas import ENVELOPE
+
+
+def read_stream(spark: SparkSession, root: str | Path, files_per_trigger: int | None = None) -> DataFrame:
+    """Events of a batch folder as its files arrive."""
+    reader = spark.readStream.schema(ENVELOPE).option("pathGlobFilter", "{*.jsonl,part-*}").option("recursiveFileLookup", "true")
+    return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).json(str(root))
+
+
+def apply_stream(engine: Engine, files_per_trigger: int | None = None) -> StreamingQuery:
+    """Apply all events that are there, then stop. A micro-batch that Spark runs again after a failure is
+    told apart by the ledger, as a batch is; the stream's own checkpoint is beside the lanes'."""
+    quarantine = engine.root / "staged" / "stream_quarantine"
+
+    def one(batch: DataFrame, number: int) -> None:
+        valid, bad = split_valid(batch)
+        bad.write.mode("overwrite").parquet(str(quarantine / f"micro={number:09d}"))
+        engine.apply_events(ops.deduplicate(valid, ("source_table",))[0].drop("canonical_event_hash"))
+
+    stream = read_stream(engine.spark, engine.cdc, files_per_trigger)
+    return stream.writeStream.foreachBatch(one).option("checkpointLocation", str(engine.root / "state" / "stream")).trigger(availableNow=True).start()
+
+
+def rates(events: DataFrame, window: str = "1 hour", delay: str = "1 day") -> DataFrame:
+    """Events by window of event time, table and operation; events later than the delay don't count. Works
+    on a stream and on a table."""
+    timed = events.withColumn("at", F.col("event_timestamp").try_cast("timestamp")).where("at is not null").withWatermark("at", delay)
+    return timed.groupBy(F.window("at", window), "source_table", "operation").agg(F.count("*").alias("event_count"))
