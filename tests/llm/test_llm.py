@@ -206,6 +206,15 @@ def test_tokens_equal_the_library():
         assert tokens.encode(t) == np.array(tokens.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_added_tokens_equal_a_fresh_tokenizer():
+    from tokenizers import Tokenizer
+
+    tokens, fresh = packing.Tokens(queries.vocabulary_path()), Tokenizer.from_file(queries.vocabulary_path())
+    assert fresh.encode("<|endoftext|> hi", add_special_tokens=False).ids == [50256, 23105]
+    for t in ("<|endoftext|> hi", "a b<|endoftext|>c d", "one <|endoftext|><|endoftext|> two", "é <|endoftext|>", "日本 <|endoftext|>  x", "<|endoftext|", "endoftext|> a", "plain words only"):
+        assert np.frombuffer(tokens.encode(t), "<u4").tolist() == fresh.encode(t, add_special_tokens=False).ids
+
+
 def test_packing(spark):
     rng = random.Random(7)
     texts = [*ODD, *(prose(rng, rng.randint(1, 900)) for _ in range(150))]

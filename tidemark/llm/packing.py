@@ -10,7 +10,9 @@ rank among the pieces of its length, which window functions give.
 
 Defined cases: a null or empty text is one piece (the end token alone); a document longer than the
 capacity is cut so that all pieces but the first are full; repeated rows are packed each; an empty
-table packs nothing; texts of any length are tokenised whole; extra columns are ignored.
+table packs nothing; texts of any length are tokenised whole; an added token's content in a
+text ('<|endoftext|>') is that token, as the vocabulary's own tokenizer has it; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -45,9 +47,9 @@ class Tokens:
     Byte-level BPE merges inside pre-tokens only, and a space between two characters that are no
     white space always starts a pre-token. So the words of a text, each with the space before it,
     can be looked up one by one; unknown ones are encoded together by the faster tiktoken, from the
-    same file's vocabulary. Texts with other white space around spaces or characters beyond
-    U+00FF go to `tokenizers` as they are, as does everything if the file's merges are not in the
-    order of their ids.
+    same file's vocabulary. Texts with other white space around spaces, characters beyond U+00FF
+    or the content of an added token go to `tokenizers` as they are, as does everything if the
+    file's merges are not in the order of their ids.
     """
 
     MOST = 500_000
@@ -61,13 +63,13 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
         letters = [*range(33, 127), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         byte = {chr(b): b for b in letters} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in letters)}
         special = {t["content"] for t in spec.get("added_tokens", ())}
+        self.added = tuple(special)
         ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if t not in special}
         merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
         self.fast = None
@@ -91,7 +93,7 @@ class Tokens:
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
         try:
-            plain = self.fast and not text.encode("latin-1").translate(None, self.PLAIN)
+            plain = self.fast and not text.encode("latin-1").translate(None, self.PLAIN) and not any(x in text for x in self.added)
         except UnicodeEncodeError:
             plain = False
         if not plain or not text or "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " ":
