@@ -48,6 +48,26 @@ def test_pii_equals_plain_python(spark):
     assert clean[0] is None and "[IBAN]" in clean[14] and "@" not in clean[17]
 
 
+def test_iban_ends_before_upper_case_words(spark):
+    de, gb, no = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO9386011117947"
+    cases = [  # a text and the account numbers in it
+        (f"IBAN {de} BIC COBADEFFXXX", [de]), (f"IBAN {gb} EUR 500", [gb]), (f"{de} {gb} {no} 12 X", [de, gb, no]), (f"REF AB12 {de} OK", [de]), (f"é日 {de.replace(' ', '')} 500 EUR, {gb}", [de.replace(" ", ""), gb]),
+        (f"{gb} And {no[:-1]}xA {no}", [gb, no]), ("DE88 3704 0044 0532 0130 00 BIC COBADEFFXXX", []), (f"pay {no}", [no]), (" ".join([de, "EUR 500", gb] * 300), [de, gb] * 300), ("AB12 " * 3000 + de, [de]), (None, []),
+    ]
+    rows = docs(spark, [t for t, _ in cases])
+    found = {r.doc_id: [(s.start, s.end) for s in r.pii if s.kind == "iban"] for r in pii.scan(rows).select("doc_id", "pii").collect()}
+    clean = {r.doc_id: r.text for r in pii.redact(rows).collect()}
+    for i, (t, ibans) in enumerate(cases):
+        want, rest, at = [], t, 0
+        for x in ibans:
+            at = t.index(x, at)
+            want.append((at, at + len(x)))
+            at += len(x)
+        for s, e in reversed(want):
+            rest = rest[:s] + "[IBAN]" + rest[e:]
+        assert found[i] == want and clean[i] == rest, t
+
+
 def sets_of(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()

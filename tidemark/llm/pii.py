@@ -9,7 +9,9 @@ score of LEAST.
 A text is cut at a pattern's matches (extract_all gives the matches, split the gaps between them),
 so that positions are running sums of lengths: time is linear in the text. Repetitions are
 possessive and starts are bounded by look-behind where that can't change a match, so that no text
-makes the matcher backtrack or recurse.
+makes the matcher backtrack or recurse. An account number may be followed by upper-case words or
+numbers that look like more of it, so every end at a word's end is tried and the longest that
+passes mod-97 is taken; after one that passes none, the search goes on at the next word.
 
 Defined cases: a null text is empty and has no span; repeated rows are treated alike; texts of any
 length are read whole; extra columns stay as they are; spans of different kinds may overlap.
@@ -25,7 +27,8 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
+#: Matches an account number's first four characters only; group 1 is the longest text it can be.
+IBAN = r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])))[A-Z]{2}[0-9]{2}"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 LOCAL = r"(?<![0-9+(-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])"
 
@@ -81,12 +84,41 @@ def confirmed(kind: str, m: Column) -> Column:
 _SPAN = "array<struct<kind:string,start:bigint,end:bigint,score:double>>"
 
 
+def _cuts(text: Column, kind: str) -> Column:
+    """The text in pieces: array<struct<m, g>> of a match and the gap before it; the last m is null."""
+    p = _PATTERNS[kind]
+    if kind != "iban":
+        return F.arrays_zip(F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias("m"), F.split(text, p, -1).alias("g"))
+    raw = F.arrays_zip(F.regexp_extract_all(text, F.lit(p), F.lit(1)).alias("m"), F.split(text, p, -1).alias("g"))
+
+    def longest(m: Column) -> Column:
+        words = F.split(F.coalesce(m, F.lit("")), " ")
+        ends = F.transform(F.sequence(F.size(words), F.lit(1), F.lit(-1)), lambda i: F.array_join(F.slice(words, 1, i), " "))
+        return F.get(F.filter(ends, _mod97), F.lit(0))
+
+    starts = F.transform(raw, lambda z: F.struct(z["g"].alias("g"), F.left(z["m"], F.lit(4)).alias("head"), longest(z["m"]).alias("best")))
+    own = "array<struct<m:string,g:string>>"
+
+    def step(a: Column, x: Column) -> Column:
+        # skip: what a confirmed match took of the text after its first four characters
+        over = F.greatest(a["skip"] - F.length(x["g"]), F.lit(0))
+        m = F.when(over > 0, F.lit("")).otherwise(F.coalesce(x["best"], x["head"]))
+        new = F.array(F.struct(m.alias("m"), F.when(a["skip"] > 0, F.substr(x["g"], a["skip"] + 1)).otherwise(x["g"]).alias("g")))
+        full = F.size(a["now"]) >= 256
+        return F.struct(
+            F.when(over > 0, over - 4).otherwise(F.coalesce(F.length(x["best"]) - 4, F.lit(0))).alias("skip"),
+            F.when(full, new).otherwise(F.concat(a["now"], new)).alias("now"),
+            F.when(full, F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"]).alias("done"),
+        )
+
+    zero = F.struct(F.lit(0).alias("skip"), F.expr(f"cast(array() as {own})").alias("now"), F.expr(f"cast(array() as array<{own}>)").alias("done"))
+    return F.aggregate(starts, zero, step, lambda a: F.concat(F.flatten(a["done"]), a["now"]))
+
+
 def find(text: Column, kind: str) -> Column:
     """Spans of one kind by start: array<struct<kind, start, end, score>>."""
-    p = F.lit(_PATTERNS[kind])
-    cuts = F.arrays_zip(F.regexp_extract_all(text, p, F.lit(0)).alias("m"), F.split(text, _PATTERNS[kind], -1).alias("g"))
     items = F.transform(
-        F.filter(cuts, lambda z: z["m"].isNotNull()),
+        F.filter(_cuts(text, kind), lambda z: z["m"].isNotNull()),
         lambda z: F.struct(
             F.length(z["g"]).cast("long").alias("gap"),
             F.length(z["m"]).cast("long").alias("size"),
@@ -121,8 +153,6 @@ def scan(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
 
 
 def _masked(text: Column, kind: str) -> Column:
-    cuts = F.arrays_zip(F.split(text, _PATTERNS[kind], -1).alias("g"), F.regexp_extract_all(text, F.lit(_PATTERNS[kind]), F.lit(0)).alias("m"))
-
     def piece(z: Column) -> Column:
         good = confirmed(kind, z["m"])
         if kind not in BASE:
@@ -130,7 +160,7 @@ def _masked(text: Column, kind: str) -> Column:
             good = good & (F.lit(SCORES[kind]) + F.when(near, CONTEXT_ADDS).otherwise(0.0) >= LEAST)
         return F.concat(z["g"], F.when(z["m"].isNull(), "").when(good, f"[{kind.upper()}]").otherwise(z["m"]))
 
-    return F.array_join(F.transform(cuts, piece), "")
+    return F.array_join(F.transform(_cuts(text, kind), piece), "")
 
 
 def redacted(text: Column, kinds: tuple[str, ...] = ("email", "iban", "card", "short_card", "phone", "ssn", "local_phone", "ip")) -> Column:
