@@ -217,6 +217,22 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert topk.top_k(df.limit(0), df).count() == 0
 
 
+def test_top_k_keeps_repeated_rows(spark, monkeypatch, tmp_path):
+    import duckdb
+
+    monkeypatch.setattr(topk, "CANDIDATES", 20)
+    monkeypatch.setattr(topk, "QUERIES", 2)
+    rng = np.random.default_rng(8)
+    v = [[float(x) for x in r] for r in rng.normal(size=(120, 16)).round(1)]
+    rows = list(enumerate(v)) + [(7, [30 * x for x in v[0]])] + [(9, [2 * x for x in v[50]])] * 8 + [(50, v[3]), (100, v[100]), (11, v[3])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = sorted(map(tuple, queries.op7_top_k(spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect()))
+    assert got == sorted(con.execute(queries.ORACLES["op7_top_k"]).fetchall())
+    assert {r[2] for r in got if r[0] == 0} >= {7} and sum(r[0] == 50 and r[2] == 9 for r in got) >= 2
+
+
 def test_tokens_equal_the_library():
     tokens = packing.Tokens(queries.vocabulary_path())
     rng = random.Random(6)

@@ -6,14 +6,15 @@ mean * mean * length + spread * spread (Cauchy-Schwarz), so that the squared dis
 |q|^2 + |x|^2 - 2<q, x> has a lower bound from means and deviations alone. Bounds are taken coarse
 to fine against the query's current k-th best; survivors get their exact score.
 
-Queries and candidates are cut into blocks by a hash of their ids; each pair of blocks is one
-bounded task, and each task returns k rows a query, merged at the end.
+Queries and candidates are cut into blocks by a hash of their ids and vectors; each pair of blocks
+is one bounded task, and each task returns k rows a query, merged at the end. Rows equal in id and
+vector are counted first and go on k times at most, as no more can be among k.
 
 Defined cases: vectors that are null, empty or hold null or non-finite components take no part;
 vectors of different lengths are compared over the shorter length; a query is never its own
-candidate (rows that repeat its id are not candidates either); repeated candidate rows of one id
-and vector count once; ties go to the smaller id; fewer candidates give fewer rows. Extra columns
-are ignored.
+candidate (rows that repeat its id are not candidates either); every row counts, so that repeated
+rows of one id, of equal vectors or not, are candidates each, and those of a query's id share its k
+places; ties go to the smaller id; fewer candidates give fewer rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -90,13 +91,14 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, n_candidates: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): both inputs as from quantised()."""
     small_batches(candidates.sparkSession, 4096)
-    queries, candidates = queries.dropDuplicates(["vec_id"]), candidates.dropDuplicates(["vec_id"])
+    once = lambda df: df.groupBy("vec_id", "v").count().select("vec_id", "v", F.explode(F.array_repeat(F.lit(0), F.least("count", F.lit(k)).cast("int")))).drop("col")
+    queries, candidates = once(queries), once(candidates)
     nq, nc = queries.count(), candidates.count() if n_candidates is None else n_candidates
     bq, bc = max(1, -(-nq // QUERIES)), max(1, -(-nc // CANDIDATES))
-    spread = lambda col, n: F.pmod(F.xxhash64(col), F.lit(n))
+    spread = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
-    left = queries.select("vec_id", "v", spread("vec_id", bq).alias("qb"), every(bc).alias("cb"))
-    right = candidates.select("vec_id", "v", spread("vec_id", bc).alias("cb"), every(bq).alias("qb"))
+    left = queries.select("vec_id", "v", spread(bq).alias("qb"), every(bc).alias("cb"))
+    right = candidates.select("vec_id", "v", spread(bc).alias("cb"), every(bq).alias("qb"))
 
     def run(key, a, b):
         import pandas as pd
