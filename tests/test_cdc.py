@@ -113,6 +113,16 @@ def test_late_event_makes_four_versions_and_collision_conflicts(spark):
     assert audit.count() == 3
 
 
+def test_conflict_query_offers_the_whole_store(spark):
+    store, offered = Q._store(spark, DATA), Q._offered(spark, DATA)
+    assert offered.count() == store.count() and offered.join(store, ["event_id", "payload"]).count() > 0
+    con = duckdb.connect()
+    for t in ("events", "customer"):
+        con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
+    want = sorted(r[0] for r in con.execute(f"select event_id from ({Q.ORACLES['event_identity_conflicts']})").fetchall())
+    assert want and sorted(r.event_id for r in Q.QUERIES["event_identity_conflicts"](spark, DATA).collect()) == want
+
+
 def test_store_touch_and_conflict(spark):
     a = ops.store_of(frame(spark, [event(1)]))
     again = ops.store_of(frame(spark, [event(1, ingested="2025-02-01"), event(2)]))

@@ -62,9 +62,13 @@ def _collided(spark: SparkSession, d: str) -> DataFrame:
     return e.unionByName(e.where("source_sequence % 100 = 1").withColumn("event_id", F.sha2("event_id", 256)))
 
 
+def _offered(spark: SparkSession, d: str) -> DataFrame:
+    """The whole store as a batch, with another payload for every event of a sequence one above a multiple of 100."""
+    return _store(spark, d).withColumn("payload", F.when(F.col("source_sequence") % 100 == 1, F.concat("payload", F.lit(" "))).otherwise(F.col("payload")))
+
+
 def _conflicts(spark: SparkSession, d: str) -> DataFrame:
-    s = _store(spark, d)
-    return ops.identity_conflicts(s, s.where("source_sequence % 100 = 1").withColumn("payload", F.concat("payload", F.lit(" "))))
+    return ops.identity_conflicts(_store(spark, d), _offered(spark, d))
 
 
 def _collapsed(spark: SparkSession, d: str) -> DataFrame:
