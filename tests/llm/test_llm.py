@@ -202,6 +202,16 @@ def test_secrets():
     assert sum((model.ratio(t) >= secrets.LEAST_RATIO) == bool(y) for t, y in held) >= 0.97 * len(held)
 
 
+def test_secrets_of_letters_only():
+    model = secrets.Model(secrets.labelled(["thereationing", "retationerenst"]))
+    rng = random.Random(11)
+    for letters, least in (("abcdefghijklmnopqrstuvwxyz", 0.9), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.99), ("abcdefghijklmnopqrstuvwxyz-_", 0.7)):
+        keys = ["".join(rng.choices(letters, k=32)) for _ in range(300)]
+        assert sum([(4, 36, "random")] == [x[:3] for x in secrets.spans(f"see {t} now", model)] for t in keys) >= least * len(keys)
+    held = secrets.labelled(n=2000, seed=99)
+    assert sum(bool(secrets.spans(f"see {t} now", model)) == bool(y) for t, y in held) >= 0.97 * len(held)
+
+
 def test_top_k_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "CANDIDATES", 40)
     monkeypatch.setattr(topk, "QUERIES", 2)

@@ -1,5 +1,6 @@
 """Secret scans (operator 6): patterns for known shapes, and character Markov models of random
-strings and of ordinary identifiers, compared by log-likelihood ratio, for all other tokens.
+strings and of ordinary identifiers, compared by log-likelihood ratio, for all other tokens of 20
+characters and more, whatever letters they are made of; shorter ones are not judged.
 
 Defined cases: a null text is empty and has no span; spans are in code points with the end
 exclusive; repeated rows are treated alike; extra columns are ignored; a text of any length is
@@ -131,10 +132,7 @@ def spans(text: str | None, model: Model, least: float = LEAST_RATIO) -> list[tu
             at += 1
         if at < len(base) and base[at][0] < e or any(b[0] < e and s < b[1] for b in base[max(0, at - 3) : at]):
             continue
-        t = m[0]
-        if not any(c.isdigit() for c in t) and (t.islower() or t.isupper() or t.istitle()):
-            continue  # one plain word
-        if model.ratio(t) >= least:
+        if model.ratio(m[0]) >= least:
             out.append((s, e, 3))
     return [(s, e, KINDS[k], model.ratio(text[s:e])) for s, e, k in sorted(out, key=lambda x: (x[0], x[2]))]
 
