@@ -126,6 +126,22 @@ def test_decontamination_finds_edited_copies(spark):
     assert decontaminate.matches(docs(spark, texts).limit(0), bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_copies_with_short_runs(spark):
+    rng = random.Random(12)
+    words = [f"q{rng.randint(0, 5000)}" for _ in range(40)]
+    noise = [" ".join(f"n{rng.randint(0, 5000)}" for _ in range(200)) for _ in range(20)]
+    copy = " ".join(w + (" extra" if i % 2 else "") for i, w in enumerate(words))
+    bench = spark.createDataFrame([(0, " ".join(words))], "item_id long, text string")
+    got = decontaminate.matches(docs(spark, [*noise, f"{noise[0]} {copy} {noise[1]}"]), bench).collect()
+    assert [(r.doc_id, r.item_id) for r in got] == [(20, 0)]
+    # Words of a corpus of 5e9, each one of 200: runs of three are not rare in it, two of them near each other are.
+    item = np.array(rng.sample(range(200), 40), np.uint64)
+    seeds = decontaminate.Seeds([0], [item], np.arange(200, dtype=np.uint64), np.full(200, 25_000_000), 5_000_000_000)
+    text = np.array([rng.randint(300, 900) if i % 4 == 3 else int(w) for i, w in enumerate(item)], np.uint64)
+    assert [x[:2] for x in seeds.search(text, np.array([0, 40]))] == [(0, 0)]
+    assert not list(seeds.search(text[:3], np.array([0, 3])))
+
+
 def test_smith_waterman():
     a = np.array([1, 2, 3, 4, 5], np.uint64)
     assert decontaminate.align(a, np.array([9, 1, 2, 3, 4, 5, 9], np.uint64)) == (10, 5, 1, 6)

@@ -3,9 +3,12 @@
 Words are lower-cased runs of letters and digits. A first pass counts the benchmark's words over
 the whole corpus. An n-gram of an item is a seed if words of those frequencies, drawn at random,
 would form it at most CHANCE times in the corpus; the shortest n that is rare enough is taken at
-every place, so that edits between seeds do no harm and a passage stays rare even if a third of
-all documents hold it. A second pass joins the documents to the seeds, and every document and item
-that share one are aligned by words around it: score = alignment score / score of the whole item.
+every place, one word if it is, so that edits between seeds do no harm and a passage stays rare
+even if a third of all documents hold it. That makes seeds longer as the corpus grows, so at every
+place the shortest n-gram that chance forms at most WEAK times a word, whatever the corpus's size,
+is kept as a weak seed, which counts with a second one near it. A second pass joins the documents
+to the seeds, and every document and item that share one, or two weak ones, are aligned by words
+around it: score = alignment score / score of the whole item.
 
 The seed table is bounded: items are taken in blocks of BLOCK_ITEMS at most (and BLOCK_CHARS of
 text), so each block's table can be broadcast, and any number of items is a matter of more passes.
@@ -28,8 +31,10 @@ from pyspark.sql import functions as F
 from .common import mix, small_batches, text_buffers, word_hashes
 
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16 << 20
-SIZES = (3, 4, 6, 8)
-CHANCE = 4.0
+SIZES = (1, 2, 3, 4, 6, 8)
+#: Words from which on an item is found by parts.
+SHORT = 3
+CHANCE, WEAK = 4.0, 1e-6
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least share of the whole item's score, and least matched words, of a contaminated document.
 LEAST_SCORE, LEAST_WORDS = 0.5, 6
@@ -81,42 +86,49 @@ class Seeds:
     def __init__(self, ids: list, texts: list[np.ndarray], vocabulary: np.ndarray, counts: np.ndarray, total: int):
         self.ids, self.texts, self.vocabulary = ids, texts, vocabulary
         share = np.log(np.maximum(counts, 1)) - np.log(max(total, 1))
-        keys, items, places = [], [], []
+        keys, items, places, strong, sizes = [], [], [], [], []
         for k, t in enumerate(texts):
             if not len(t):
                 continue
             p = share[np.searchsorted(vocabulary, t)]
-            taken = np.zeros(len(t), bool)
-            for n in SIZES if len(t) >= SIZES[0] else (len(t),):
+            taken, weak = np.zeros(len(t), bool), np.zeros(len(t), bool)
+            for n in SIZES if len(t) >= SHORT else (len(t),):
                 if len(t) < n:
                     break
                 run = np.convolve(p, np.ones(n), "valid")
-                rare = (run + np.log(max(total, 1)) <= np.log(CHANCE)) & ~taken[: len(run)] if len(t) >= SIZES[0] else np.ones(1, bool)
+                rare = (run + np.log(max(total, 1)) <= np.log(CHANCE)) & ~taken[: len(run)] if len(t) >= SHORT else np.ones(1, bool)
+                half = (run <= np.log(WEAK)) & ~(weak | taken)[: len(run)] & ~rare
                 g = grams(t, n)
-                for i in np.flatnonzero(rare):
+                for i in np.flatnonzero(rare | half):
                     keys.append(g[i])
                     items.append(k)
                     places.append(i)
+                    strong.append(rare[i])
+                    sizes.append(n)
                 taken[: len(run)] |= rare
-            if not taken.any() and len(t) >= SIZES[0]:  # nothing rare in it: its longest n-grams
+                weak[: len(run)] |= half
+            if not taken.any() and len(t) >= SHORT:  # nothing rare in it: its longest n-grams
                 n = max(x for x in SIZES if x <= len(t))
                 g = grams(t, n)
                 keys += list(g)
                 items += [k] * len(g)
                 places += range(len(g))
+                strong += [True] * len(g)
+                sizes += [n] * len(g)
         order = np.argsort(np.array(keys, np.uint64), kind="stable")
         self.keys = np.array(keys, np.uint64)[order]
         self.items, self.places = np.array(items, np.int64)[order], np.array(places, np.int64)[order]
+        self.strong, self.sizes = np.array(strong, bool)[order], np.array(sizes, np.int64)[order]
 
-    def candidates(self, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word position of a hit, item, place in the item); doc: the row of each word."""
+    def candidates(self, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word position of a hit, seed); doc: the row of each word."""
         known = np.zeros(len(h), bool)
         if len(self.vocabulary) and len(h):
             i = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
             known = self.vocabulary[i] == h
         out = []
         bad = np.concatenate(([0], np.cumsum(~known)))
-        for n in (1, 2, *SIZES):
+        for n in SIZES:
             k = len(h) - n + 1
             if k <= 0:
                 continue
@@ -133,27 +145,32 @@ class Seeds:
                 size = (hi - lo)[hit]
                 pos = np.repeat(at[hit], size)
                 which = np.repeat(lo[hit] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-                out.append((pos, self.items[which], self.places[which]))
+                out.append((pos, which))
         if not out:
             z = np.zeros(0, np.int64)
-            return z, z, z
+            return z, z
         return tuple(np.concatenate(x) for x in zip(*out))
 
     def search(self, h: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, float, int, int, int]]:
         """(row, item, score, matched words, first word, word after the last) for every row and item
         that reach the least score; the best place of each."""
         doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        pos, item, place = self.candidates(h, doc)
+        pos, seed = self.candidates(h, doc)
         if not len(pos):
             return
-        order = np.lexsort((pos - place, item, doc[pos]))
-        pos, item, place = pos[order], item[order], place[order]
+        order = np.lexsort((pos - self.places[seed], self.items[seed], doc[pos]))
+        pos, seed = pos[order], seed[order]
+        item, place = self.items[seed], self.places[seed]
         row, shift = doc[pos], pos - place
         slack = np.array([max(8, len(t) // 2) for t in self.texts])[item]
         new = np.concatenate(([True], (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (shift[1:] - shift[:-1] > slack[1:])))
         starts = np.flatnonzero(new)
+        # A strong seed, or two weak ones that don't overlap.
+        enough = np.logical_or.reduceat(self.strong[seed], starts) | (np.maximum.reduceat(place, starts) >= np.minimum.reduceat(place + self.sizes[seed], starts))
         best: dict[tuple[int, int], tuple[float, int, int, int]] = {}
-        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(new)]):
+        for lo, hi, good in zip(starts.tolist(), [*starts[1:].tolist(), len(new)], enough.tolist()):
+            if not good:
+                continue
             d, k = int(row[lo]), int(item[lo])
             t = self.texts[k]
             m, whole = len(t), MATCH * len(t)
@@ -164,8 +181,8 @@ class Seeds:
                 a, b = max(int(first[d]), a - int(slack[lo])), min(int(first[d + 1]), int(shift[hi - 1]) + m + int(slack[lo]))
                 score, same, s, e = align(t, h[a:b])
                 got = (score / whole, same, a + s, a + e)
-            least = min(LEAST_WORDS, m) if m >= SIZES[0] else m
-            if got[0] >= LEAST_SCORE and got[1] >= least and (m >= SIZES[0] or got[0] == 1.0):
+            least = min(LEAST_WORDS, m) if m >= SHORT else m
+            if got[0] >= LEAST_SCORE and got[1] >= least and (m >= SHORT or got[0] == 1.0):
                 old = best.get((d, k))
                 if old is None or (got[0], -got[2]) > (old[0], -old[2]):
                     best[d, k] = got
