@@ -327,6 +327,17 @@ def test_licenses(spark):
     }
 
 
+def test_whole_license_text_speaks_for_its_directory(spark):
+    mit, bsd = (f"Copyright (c) 2020 The Authors\n\n{licenses.FILES[k]}" for k in ("MIT", "BSD-3-Clause"))
+    long = "Licensed under the MIT License. " * 90
+    rows = [(0, "a/one", mit), (1, "a/two", "code"), (2, "b/one", bsd), (3, "b/two", None), (4, "c/one", mit + " ".join(f" w{i}" for i in range(300))), (5, "c/two", "code")]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    model = licenses.fit(df)
+    assert model.scan(long)[2] > 0  # more than 400 words are compared too
+    got = {r.doc_id: (r.license, r.origin) for r in licenses.scan(df, model).collect()}
+    assert got == {0: ("MIT", "file"), 1: ("MIT", "inherited"), 2: ("BSD-3-Clause", "file"), 3: ("BSD-3-Clause", "inherited"), 4: ("MIT", "header"), 5: (None, "none")}
+
+
 def test_word_hashes_do_not_cross_rows():
     from tidemark.llm.common import text_buffers, word_hashes
 

@@ -42,8 +42,23 @@ TEMPLATES = {
     "CC0-1.0": ("Dedicated to the public domain under CC0 1.0 Universal",),
     "Unlicense": ("This is free and unencumbered software released into the public domain",),
 }
+#: Whole texts, which a document as a whole is compared with besides the notices.
+FILES = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including
+without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following
+conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED,
+INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY,
+WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above
+copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
+and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior
+written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A
+PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT
+OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING
+IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+}
 FILE_NAMES = r"(?i)^(?:un)?licen[cs]e(?:[.-].*)?$|^copying(?:\..*)?$|^notice(?:\..*)?$"
-LEAST, LEAST_FILE, FILE_WORDS = 0.75, 0.8, 400
+LEAST, LEAST_FILE = 0.75, 0.8
 #: Most directories whose licence table is broadcast; beyond it the join is shuffled.
 BROADCAST = 200_000
 _TERM = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
@@ -61,15 +76,16 @@ class Model:
         self.top = math.log(1 + n) + 1
         self.idf = {t: math.log((1 + n) / (1 + df.get(t, 0))) + 1 for ts in templates.values() for x in ts for t in terms(x)}
         self.templates = [(name, w, math.sqrt(sum(v * v for v in w.values()))) for name, ts in sorted(templates.items()) for w in (self.weights(terms(x)) for x in ts)]
+        self.files = [(name, w, math.sqrt(sum(v * v for v in w.values()))) for name, w in ((name, self.weights(terms(x))) for name, x in sorted(FILES.items()))]
 
     def weights(self, words: list[str]) -> dict[str, float]:
         return {t: (1 + math.log(c)) * self.idf.get(t, self.top) for t, c in Counter(words).items()}
 
-    def best(self, words: list[str]) -> tuple[float, str]:
+    def best(self, words: list[str], whole: bool = False) -> tuple[float, str]:
         w = self.weights(words)
         norm = math.sqrt(sum(v * v for v in w.values())) or 1.0
         out = (0.0, "")
-        for name, t, size in self.templates:
+        for name, t, size in self.templates + self.files if whole else self.templates:
             s = sum(v * w[k] for k, v in t.items() if k in w) / norm / size
             if s > out[0] + 1e-12:
                 out = (s, name)
@@ -89,7 +105,7 @@ class Model:
                         got = self.best(words[max(0, i - a) : i + b])
                         if got[0] > out[0] + 1e-12:
                             out = got
-        whole = self.best(words)[0] if len(words) <= FILE_WORDS else 0.0
+        whole = self.best(words, whole=True)[0]
         return (out[1] if out[0] >= LEAST else None), out[0], whole
 
 
