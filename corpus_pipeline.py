@@ -45,7 +45,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best-fit packing", pack),
 ]
 
-#: Trained classifiers, alignment and tokenisation have no SQL; the tests hold run() against plain Python.
+#: Trained classifiers, alignment and tokenisation have no SQL; the tests hold run() against plain Python on planted cases.
 ORACLE_SQL: str | None = None
 
 

@@ -355,3 +355,39 @@ def test_pipeline_runs(spark):
     assert rows and {"doc_id", "sequence_id", "offset"} <= set(rows[0].asDict())
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "toxicity" and len(corpus_pipeline.STAGES) == 5
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_pipeline_equals_plain_python_on_planted_cases(spark, tmp_path):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    rng = random.Random(13)
+    item = " ".join(f"q{rng.randint(0, 5000)}" for _ in range(40))
+    texts, want = [], {}
+    for i in range(400):
+        t = prose(rng, 60)
+        if i % 4 == 0:  # toxic
+            t += " horrid nasty! vilest horrid"
+        elif i % 40 == 1:  # a near copy of the one two before, which stays
+            t = texts[i - 2].rsplit(" ", 1)[0] + " other" if i > 2 and (i - 2) in want else t
+        elif i % 40 == 2:  # holds a benchmark item
+            t = f"{t} {item} {t}"
+        elif i % 40 == 3:
+            t += f" mail u{i}@h.org IBAN DE89 3704 0044 0532 0130 00 BIC <|endoftext|> ip 1.2.3.4"
+        texts.append(t)
+        if i % 4 and i % 40 != 2 and not any(len(sets_of(t) & sets_of(texts[j])) >= 0.75 * len(sets_of(t) | sets_of(texts[j])) for j in range(i) if j % 4):
+            want[i] = t.replace(f"u{i}@h.org", "[EMAIL]").replace("DE89 3704 0044 0532 0130 00", "[IBAN]").replace("1.2.3.4", "[IP]")
+    assert 280 <= len(want) < 290
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    fresh = Tokenizer.from_file(queries.vocabulary_path())
+    ids = {i: np.array([*fresh.encode(t, add_special_tokens=False).ids, 2], "<u4") for i, t in want.items()}
+    assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows} == {(i, 0, 0, len(x), zlib.crc32(x.tobytes())) for i, x in ids.items()} and len(rows) == len(want)
+    by_seq = defaultdict(list)
+    for r in rows:
+        by_seq[r.sequence_id].append((r.offset, r.length))
+    for own in by_seq.values():
+        own.sort()
+        assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 1024
