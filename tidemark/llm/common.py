@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -16,45 +15,45 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else (unset) a temporary folder in
-    local mode or one in the warehouse on a cluster."""
+    """The folder all executors share: spark.checkpoint.dir, or, where it is unset, one in the
+    warehouse, never a temporary folder of one machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-            where = tempfile.mkdtemp(prefix="tidemark-")
-        else:
-            where = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        where = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends there, and a lost executor
-    costs no more than one reread."""
+    costs no more than one reread. What discard() leaves is deleted when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return out
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables that cut() wrote and nothing reads any more, and let Spark's cleaner drop the
-    shuffle files of plans that are gone."""
+    """Delete tables that cut() wrote and nothing reads any more."""
     for df in tables:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    if tables:
-        spark._jvm.System.gc()
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the Arrow batches that Python workers get; long texts come in few at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+#: Bounds of the Arrow batches that Python workers get: long texts come in few at a time.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches. The same for every operator, so that the order in which
+    queries are built does not matter."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def crc_mod(key, n: int):
@@ -73,63 +72,57 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BASE = 0x5851F42D4C957F2D  # odd, so that it has an inverse modulo 2^64
-_POW = np.ones(1, np.uint64)
-_INV = np.ones(1, np.uint64)
-
-
-def _powers(n: int) -> None:
-    global _POW, _INV
-    if len(_POW) < n:
-        n = max(n, 1 << 20)
-        for name, base in (("_POW", _BASE), ("_INV", pow(_BASE, -1, 1 << 64))):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            globals()[name] = np.multiply.accumulate(p)
-
-
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
-_NO_WORD = np.ones(256, bool)  # bytes of other scripts count as letters
-_NO_WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = False
-
-
-def word_hashes(data: np.ndarray, offsets: np.ndarray, plain: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of a column of UTF-8 texts (its bytes and row offsets): lower-cased A-Z, split at
-    ASCII white space (plain: at everything in ASCII but letters and digits, and U+00C0 to U+00DE are
-    lower-cased too). Returns word hashes, word start and end bytes, and for each row the index
-    of its first word (one more entry than rows)."""
-    lo, hi = int(offsets[0]), int(offsets[-1])
-    b = _LOWER[data[lo:hi]]
-    off = np.asarray(offsets, np.int64) - lo
-    if not len(b):
-        z = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), z, z, np.zeros(len(off), np.int64)
-    if plain:
-        capital = np.concatenate(([False], (b[:-1] == 0xC3))) & (b >= 0x80) & (b <= 0x9E) & (b != 0x97)
-        b = b + capital.astype(np.uint8) * np.uint8(32)
-    word = ~(_NO_WORD if plain else _SPACE)[b]
-    first = np.zeros(len(b) + 1, bool)
-    first[off] = True  # a row starts here: words never run over it
-    starts = np.flatnonzero(word & (first[:-1] | np.concatenate(([True], ~word[:-1]))))
-    ends = np.flatnonzero(word & (first[1:] | np.concatenate((~word[1:], [True])))) + 1
-    _powers(len(b) + 1)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * _POW[: len(b)], dtype=np.uint64)))
-    h = mix((total[ends] - total[starts]) * _INV[starts])
-    return h, starts + lo, ends + lo, np.searchsorted(starts, off)
-
-
-def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and row offsets of an Arrow string column; null rows are empty."""
+#: Key of the words' hash and the bytes of text that are hashed together.
+_KEY, _CHUNK = "tidemark-words-1", 1 << 20
+
+
+def hash_words(words: list[bytes]) -> np.ndarray:
+    """64-bit SipHash of each word: keyed, so that no family of words collides by construction."""
+    import pandas as pd
+
+    if not words:
+        return np.zeros(0, np.uint64)
+    return pd.util.hash_array(np.array(words, dtype=object), hash_key=_KEY, categorize=False)
+
+
+def hashed_rows(rows: Iterable[list[bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Word hashes of texts given as their words, some texts at a time: the hashes, and for each text
+    the index of its first word (one more entry than texts)."""
+    words: list[bytes] = []
+    first = [0]
+    for own in rows:
+        words += own
+        first.append(len(words))
+        if len(words) >= _CHUNK >> 3:
+            yield hash_words(words), np.array(first)
+            words, first = [], [0]
+    if len(first) > 1:
+        yield hash_words(words), np.array(first)
+
+
+def ascii_words(text: bytes | None) -> list[bytes]:
+    """Words of a UTF-8 text between ASCII white space, with A-Z lower-cased."""
+    return (text or b"").lower().split()
+
+
+def as_bytes(column) -> list[bytes | None]:
     import pyarrow as pa
 
-    column = column.cast(pa.large_string())
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    if column.null_count:
-        column = column.fill_null("")
-    _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if offsets else np.zeros(1, np.int64)
-    return (np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)), offsets
+    return column.cast(pa.large_binary()).to_pylist()
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or the first of name_, name__, ... that df has no column of."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+def many_to_one(many: DataFrame, one: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """many left join one, where one's column size says how many rows of many have its keys. Those of
+    more than a thousandth of all rows are a thousand at most and are broadcast, so that no task
+    of the shuffle gets a hot key."""
+    big = F.broadcast(one.where(F.col(size) * 1000 > total))
+    hot = many.join(big, keys)
+    cold = many.join(big.select(*keys), keys, "left_anti").join(one.where(F.col(size) * 1000 <= total), keys, "left")
+    return hot.unionByName(cold)

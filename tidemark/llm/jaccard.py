@@ -1,128 +1,285 @@
 """N-gram Jaccard join (operator 5): exact links between documents whose sets of 5-word shingles have
 a Jaccard similarity of at least 75 %, and the components of those links.
 
-1. Documents with equal sets form a class (by size and two 64-bit sums of shingle hashes); its
-   smallest id stands for it from then on, so copies cost one aggregation.
+1. Every text's shingle hashes are written once, sorted. Documents with equal sets form a class (by
+   size and two 64-bit sums of the hashes); one row stands for it, so copies cost one aggregation.
 2. A pair of sizes a <= b with the similarity shares a shingle within the first
    b - ceil(3b/4) + 1 shingles of the larger set and the first a - ceil(6a/7) + 1 of the smaller
-   one, in any total order of all shingles. Shingles are ordered by hash. Those that more than HOT
-   prefixes share are then moved to the end of the order and the documents that had them get new
-   prefixes, until no new ones appear: frequent passages so stop making candidates.
-3. Shingles that up to HOT prefixes share give their pairs directly, within a size band (sizes in
-   the ratio 3:4). What is left is shared by documents made of frequent shingles nearly whole. There
-   every member is first compared with its group's most central member; members that this leaves in
-   different components meet in size-banded tiles of at most TILE x TILE members.
-4. Candidates are bounded from above by hashed parity bitmaps (sizes less the count of differing
-   bits, halved); survivors are decided by exact intersection of sorted arrays, first one link a
-   document and then only the pairs that would still join two components.
+   one, in any total order of all shingles. The order is by hash, frequent shingles last. A
+   shingle is frequent if more than HOT sets hold it among the shingles that were counted: at first
+   about half of each set, then all of those sets whose prefix reaches beyond that half, until no
+   prefix holds a shingle that was not counted. So only documents made of frequent
+   shingles nearly whole have any in their prefixes.
+3. Members of one prefix shingle meet in tiles: of neighbouring size bands (sizes in the ratio
+   3:4), and of at most TILE x TILE members. A rare shingle's members are one tile, which
+   the JVM expands. Members of a frequent shingle are first compared with its group's most central
+   member; those that this leaves in different components meet in tiles by blocks.
+4. Every pair of a tile is bounded from above by hashed parity bitmaps (sizes less the count of
+   differing bits, halved); survivors are decided by exact intersection of sorted arrays,
+   first one link a document and then only the pairs that would still join two components.
+
+Words are hashed with keyed SipHash and shingles with a mix of five of those, 64 bits each. Sets are
+compared by these hashes: with n distinct shingles in a corpus, about n * n / 2^65 pairs of them are
+taken for one (0.7 for the 5e9 of 30 GB), and one such pair moves an intersection by one.
 
 Defined cases: a null text or one without words has no shingle and links with nothing; one of fewer
 than five words has its whole sequence as its shingle; repeated rows are copies of each other; rows
-of one id with different texts count as linked; texts of any length are taken whole; an empty table
-gives no row; extra columns are ignored.
+of one id with different texts are documents of their own; a row with a null id takes the component
+of the documents of its set and is no link between others; texts of any length are taken whole; an
+empty table gives no row; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import cut, discard, mix, small_batches, text_buffers, word_hashes
+from .common import as_bytes, ascii_words, cut, discard, free_name, hashed_rows, many_to_one, mix, small_batches
 
 WORDS, NUM, DEN = 5, 75, 100
-#: A shingle is frequent if more prefixes share it; twice as many each round.
+#: A shingle is frequent if more sets than this hold it among the counted shingles.
 HOT = 32
 TILE = 512
-#: Most ids or shingles that are broadcast; beyond it the same step is a shuffled join.
-BROADCAST = 1_000_000
-ROUNDS = 5
+#: Most ids or shingles that are broadcast (8 bytes each); beyond it the same step is a shuffled join.
+BROADCAST = 500_000
+#: Most edges whose components one task finds; beyond it they are found by rounds of joins.
+EDGES = 2_000_000
 _A = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F)]
 
+# Shingle sets
+
 
 def shingle_sets(column) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text of an Arrow column."""
-    h, _, _, first = word_hashes(*text_buffers(column))
-    n = max(0, len(h) - WORDS + 1)
-    s = np.zeros(n, np.uint64)
-    for k, a in enumerate(_A):
-        s += h[k : k + n] * a
-    s = mix(s)
-    for lo, hi in zip(first[:-1].tolist(), first[1:].tolist()):
-        if hi - lo >= WORDS:
-            yield np.unique(s[lo : hi - WORDS + 1])
-        elif hi > lo:
-            total = np.sum(h[lo:hi] * np.array(_A[: hi - lo]), dtype=np.uint64)
-            yield mix(np.array([total + np.uint64(hi - lo)], np.uint64))
-        else:
-            yield np.zeros(0, np.uint64)
+    for h, first in hashed_rows(map(ascii_words, as_bytes(column))):
+        n = max(0, len(h) - WORDS + 1)
+        s = np.zeros(n, np.uint64)
+        for k, a in enumerate(_A):
+            s += h[k : k + n] * a
+        s = mix(s)
+        for lo, hi in zip(first[:-1].tolist(), first[1:].tolist()):
+            if hi - lo >= WORDS:
+                yield np.unique(s[lo : hi - WORDS + 1])
+            elif hi > lo:
+                total = np.sum(h[lo:hi] * np.array(_A[: hi - lo]), dtype=np.uint64)
+                yield mix(np.array([total + np.uint64(hi - lo)], np.uint64))
+            else:
+                yield np.zeros(0, np.uint64)
+
+
+def _sets(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, n, d1, d2, shingles): every row's sorted set, its size and two sums of it."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = list(shingle_sets(b.column("text")))
+            with np.errstate(over="ignore"):
+                d1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+                d2 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+            raw = pa.array([s.tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("row"), b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(d1), pa.array(d2), raw],
+                ["row", "doc_id", "n", "d1", "d2", "shingles"],
+            )
+
+    return docs.mapInArrow(run, "row long, doc_id long, n long, d1 long, d2 long, shingles binary")
 
 
 def _prefix(n: int) -> int:
     return n + NUM * n // -DEN + 1 if n else 0
 
 
-def _over(docs: DataFrame, fields: str, make) -> DataFrame:
-    """mapInArrow over (doc_id, text): make(ids, sets) gives the columns."""
-    small_batches(docs.sparkSession)
+def _counted(n: int) -> int:
+    """How many shingles of a set are counted at first: twice its prefix."""
+    return min(n, 2 * _prefix(n))
+
+
+def _late(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Which members of a sorted set are in the sorted array hot."""
+    if not len(hot):
+        return np.zeros(len(s), bool)
+    i = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
+    return hot[i] == s
+
+
+def _reaches(s: np.ndarray, hot: np.ndarray) -> bool:
+    """Whether a set's prefix, hot shingles last, reaches beyond the shingles counted at first."""
+    k = _counted(len(s))
+    return k < len(s) and k - int(_late(s[:k], hot).sum()) < _prefix(len(s))
+
+
+def _tokens(own: DataFrame, pick, fields: str) -> DataFrame:
+    """Rows that pick(node, set) gives as a dict of arrays, for every set."""
+    names = [f.split(" ")[0] for f in fields.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield make(b.column(0), shingle_sets(b.column(1)))
+            got = [pick(k, np.frombuffer(raw, np.uint64)) for k, raw in zip(b.column("node").to_pylist(), b.column("shingles").to_pylist())]
+            got = [x for x in got if x is not None]
+            if got:
+                yield pa.RecordBatch.from_pydict({c: pa.array(np.concatenate([x[c] for x in got])) for c in names})
 
-    return docs.select("doc_id", "text").mapInArrow(run, fields)
+    return own.select("node", "shingles").mapInArrow(run, fields)
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
+    return np.ascontiguousarray(x).view(np.int64)
 
 
-def _signatures(docs: DataFrame) -> DataFrame:
-    def make(ids, sets):
-        rows = []
-        with np.errstate(over="ignore"):
-            for s in sets:
-                rows.append((len(s), int(_signed(np.sum(s, dtype=np.uint64, keepdims=True))[0]), int(_signed(np.sum(mix(s), dtype=np.uint64, keepdims=True))[0])))
-        n, d1, d2 = zip(*rows) if rows else ((), (), ())
-        return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64())], ["doc_id", "n", "d1", "d2"])
+def _frequent(tokens: DataFrame) -> DataFrame:
+    return cut(tokens.groupBy("token").count().where(F.col("count") > HOT).select("token"))
 
-    return _over(docs, "doc_id long, n long, d1 long, d2 long", make)
 
+def _broadcast(hot: DataFrame) -> np.ndarray:
+    """A checked number of frequent shingles, sorted."""
+    return np.sort(hot.toArrow().column(0).to_numpy().view(np.uint64))
 
-def _lists(arrays: list[np.ndarray], dtype=pa.int64()) -> pa.Array:
-    offsets = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
-    values = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(_signed(values), dtype))
 
+def _prefixes(own: DataFrame) -> DataFrame:
+    """(token, node, n, lead, hot): the prefix of every set. lead marks the part that the smaller set
+    of a pair needs, hot the frequent shingles."""
+    spark = own.sparkSession
+    hot = _frequent(_tokens(own, lambda _, s: {"token": _signed(s[: _counted(len(s))])}, "token long"))
+    if hot.count() > BROADCAST:
+        return _prefixes_by_join(own)
+    known, before = _broadcast(hot), np.zeros(0, np.uint64)
+    while len(known) > len(before):
+        shared = spark.sparkContext.broadcast((known, before))
 
-def _prefixes(docs: DataFrame, last=None) -> DataFrame:
-    """(rep, n, prefix): the first shingles by hash, those of `last` (a broadcast sorted array) after
-    all others."""
+        def rest(_, s, shared=shared):
+            now, old = shared.value
+            if _reaches(s, now) and not _reaches(s, old):
+                return {"token": _signed(s[_counted(len(s)) :])}
 
-    def make(ids, sets):
-        n, out = [], []
-        for s in sets:
-            n.append(len(s))
-            if last is not None and len(s):
-                late = np.isin(s, last.value, assume_unique=True)
-                s = np.concatenate((s[~late], s[late]))
-            out.append(s[: _prefix(len(s))])
-        return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n, pa.int64()), _lists(out)], ["rep", "n", "prefix"])
+        more = _frequent(_tokens(own, rest, "token long"))
+        if more.count() > BROADCAST:
+            return _prefixes_by_join(own)
+        before, known = known, np.union1d(known, _broadcast(more))
+    shared = spark.sparkContext.broadcast(known)
 
-    return _over(docs, "rep long, n long, prefix array<long>", make)
+    def pick(node, s):
+        late = _late(s, shared.value)
+        k = _prefix(len(s))
+        take = np.concatenate((np.flatnonzero(~late)[:k], np.flatnonzero(late)[:k]))[:k]
+        return {
+            "token": _signed(s[take]), "node": np.full(len(take), node, np.int64), "n": np.full(len(take), len(s), np.int64),
+            "lead": np.arange(len(take)) < len(s) // 7 + 1, "hot": late[take],
+        }
 
+    return cut(_tokens(own, pick, "token long, node long, n long, lead boolean, hot boolean"))
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """(rep, shingles): whole sorted sets."""
 
-    def make(ids, sets):
-        return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array([_signed(s).tobytes() for s in sets], pa.binary())], ["rep", "shingles"])
+def _prefixes_by_join(own: DataFrame) -> DataFrame:
+    """As _prefixes, with more frequent shingles than are broadcast: all shingles are counted."""
+    every = _tokens(own, lambda k, s: {"token": _signed(s), "node": np.full(len(s), k, np.int64)}, "token long, node long")
+    counts = every.groupBy("token").count().where(F.col("count") > HOT).select("token", F.lit(True).alias("hot"))
+    rows = every.join(counts, "token", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    # Sorted like the unsigned hashes of the other way; any order would do.
+    place = F.struct(F.col("hot"), (F.col("token") < 0).alias("high"), F.col("token"))
+    sets = rows.groupBy("node").agg(F.array_sort(F.collect_list(place)).alias("s"))  # one set a row: a document's own
+    n = F.size("s").cast("long")
+    first = F.slice("s", F.lit(1), (n - F.ceil(n * NUM / DEN) + 1).cast("int"))
+    flat = sets.select("node", n.alias("n"), F.posexplode(first).alias("pos", "x"))
+    return cut(flat.select(F.col("x.token").alias("token"), "node", "n", (F.col("pos") < F.floor(F.col("n") / 7) + 1).alias("lead"), F.col("x.hot").alias("hot")))
+
+
+# Candidate pairs
+
+_PAIR = "a long, b long, na long, nb long"
+
+
+def _pairs(prefixes: DataFrame) -> DataFrame:
+    """Distinct (a, b, na, nb) of the tiles of rare shingles. A group has few members: each count of
+    _prefixes admits HOT of them at most."""
+    rare = prefixes.where("not hot").groupBy("token").agg(F.collect_list(F.struct("n", "node", "lead")).alias("g"))
+    groups = rare.where((F.size("g") > 1) & F.exists("g", lambda x: x["lead"]))
+
+    def follows(x, y):
+        return ((x["n"] < y["n"]) | ((x["n"] == y["n"]) & (x["node"] < y["node"]))) & (x["n"] * DEN >= y["n"] * NUM)
+
+    def pairs_of(x):
+        pair = lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"), x["n"].alias("na"), y["n"].alias("nb"))
+        return F.transform(F.filter("g", lambda y: follows(x, y)), pair)
 
-    return _over(docs, "rep long, shingles binary", make)
+    every = F.flatten(F.transform(F.filter("g", lambda x: x["lead"]), pairs_of))
+    return groups.select(F.explode(every).alias("p")).select("p.*").distinct()
+
+
+def _stars(hot: DataFrame) -> DataFrame:
+    """Pairs of each member of a frequent shingle with the member that has the largest share of
+    frequent shingles in its prefix."""
+    share = hot.groupBy("node").agg((F.count("*") / F.max("n")).alias("share"))
+    best = F.max(F.struct(F.col("share"), (-F.col("node")).alias("first"), F.col("n")))
+    centre = hot.join(share, "node").groupBy("token").agg(best.alias("c")).select("token", (-F.col("c.first")).alias("b"), F.col("c.n").alias("nb"))
+    near = F.least("n", "nb") * DEN >= F.greatest("n", "nb") * NUM
+    star = hot.join(_small(centre), "token").where((F.col("node") != F.col("b")) & near)
+    swap = (F.col("n") > F.col("nb")) | ((F.col("n") == F.col("nb")) & (F.col("node") > F.col("b")))
+    one = lambda x, y, name: F.when(swap, y).otherwise(x).alias(name)
+    pairs = star.select(one(F.col("node"), F.col("b"), "a"), one(F.col("b"), F.col("node"), "b"), one(F.col("n"), F.col("nb"), "na"), one(F.col("nb"), F.col("n"), "nb"))
+    return pairs.distinct()
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """df, written, with a broadcast hint if it is small enough."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= BROADCAST else df
+
+
+def _tiles(own: DataFrame, hot: DataFrame, labels: DataFrame | None) -> DataFrame | None:
+    """Pairs that the bitmaps leave possible among members of frequent shingles' groups that are in
+    different components: tiles of at most about TILE x TILE members of neighbouring size
+    bands. Groups with a member in common make one, so that a member is there once."""
+    rows = hot
+    if labels is not None:
+        rows = rows.join(labels, "node", "left")
+    else:
+        rows = rows.withColumn("component", F.lit(None).cast("long"))
+    rows = rows.withColumn("component", F.coalesce("component", "node"))
+    mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("b")).where("lo <> hi")
+    rows = cut(rows.join(_small(mixed.select("token", "b")), "token"))
+    if rows.isEmpty():
+        return None
+    groups = components(rows.select(F.col("node").alias("a"), "b")).withColumnRenamed("component", "group")
+    rows = rows.groupBy("node", "n", "component").agg(F.max("lead").alias("lead")).join(groups, "node")
+    rows = cut(rows.join(_bitmaps(_only(own, rows)), "node").withColumn("band", F.floor(F.log("n") / F.log(F.lit(4 / 3)))))
+    sizes = rows.groupBy("group", "band").count().groupBy("group").agg(F.ceil(F.max("count") / TILE).alias("blocks"))
+    rows = rows.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    # A member goes to the tiles of its block with every block of its own band and, as the smaller
+    # set, of the two above (a ratio of 4/3 reaches no further).
+    member = ["node", "n", "component", "bits"]
+    every = F.explode(F.expr("sequence(0L, blocks - 1)"))
+    low = rows.where("lead").withColumn("y", F.explode(F.expr("sequence(band, band + 2)"))).withColumn("j", every)
+    low = low.select("group", F.col("band").alias("x"), "y", F.col("block").alias("i"), "j", *member)
+    high = rows.withColumn("x", F.explode(F.expr("sequence(band - 2, band)"))).withColumn("i", every)
+    high = high.select("group", "x", F.col("band").alias("y"), "i", F.col("block").alias("j"), *member)
+    high = high.select(*(F.col(c).alias(c) for c in high.columns))  # columns of its own: both sides come from rows
+    keys = ["group", "x", "y", "i", "j"]
+
+    def run(p, q):
+        import pandas as pd
+
+        out = []
+        if len(p) and len(q):
+            qn, qc, qr = q.n.to_numpy(), q.component.to_numpy(), q.node.to_numpy()
+            other = [np.frombuffer(x, np.uint8) for x in q.bits]
+            for r, n, c, raw in zip(p.node, p.n, p.component, p.bits):
+                mine = np.frombuffer(raw, np.uint8)
+                for k in np.flatnonzero((qc != c) & (n * DEN >= qn * NUM) & ((qn > n) | ((qn == n) & (qr > r)))):
+                    diff = differing(mine, other[k])
+                    if _similar((n + qn[k] - diff) // 2, n, qn[k]):
+                        out.append((r, qr[k], n, qn[k], diff))
+        return pd.DataFrame(out, columns=["a", "b", "na", "nb", "diff"], dtype="int64")
+
+    return cut(low.groupBy(*keys).cogroup(high.groupBy(*keys)).applyInPandas(run, _PAIR + ", diff long").distinct())
+
+
+# Deciding pairs
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -142,246 +299,210 @@ def differing(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
-def _bitmaps(docs: DataFrame) -> DataFrame:
-    def make(ids, sets):
-        return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary())], ["rep", "bits"])
-
-    return _over(docs, "rep long, bits binary", make)
-
-
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs whose doc_id is in ids (rep); ids come from a written table."""
-    ids = ids.select(F.col("rep").alias("doc_id")).distinct()
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST else ids, "doc_id", "left_semi")
-
-
-def _tokens(prefixes: DataFrame) -> DataFrame:
-    """(token, rep, n, lead): lead marks the prefix that a smaller set needs."""
-    rows = prefixes.select("rep", "n", F.posexplode("prefix").alias("pos", "token"))
-    return rows.select("token", "rep", "n", (F.col("pos") < F.floor(F.col("n") / 7) + 1).alias("lead"))
-
+def _bitmaps(own: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bits = [bitmap(np.frombuffer(raw, np.uint64)) for raw in b.column("shingles").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(bits, pa.binary())], ["node", "bits"])
 
-def _fits(small: str, large: str):
-    return F.col(small) * DEN >= F.col(large) * NUM
+    return own.select("node", "shingles").mapInArrow(run, "node long, bits binary")
 
 
-def _pairs(tokens: DataFrame, shared: DataFrame) -> DataFrame:
-    """Distinct (a, b, na, nb) that share a token of `shared` (each in HOT rows at most)."""
-    groups = tokens.join(shared.select("token"), "token").groupBy("token").agg(F.collect_list(F.struct("n", "rep", "lead")).alias("g")).where(F.exists("g", lambda x: x["lead"]))
-    below = lambda x, y: (x["n"] < y["n"]) | ((x["n"] == y["n"]) & (x["rep"] < y["rep"]))
-    pair = lambda x: F.transform(F.filter("g", lambda y: below(x, y) & (x["n"] * DEN >= y["n"] * NUM)), lambda y: F.struct(x["rep"].alias("a"), y["rep"].alias("b"), x["n"].alias("na"), y["n"].alias("nb")))
-    return groups.select(F.explode(F.flatten(F.transform(F.filter("g", lambda x: x["lead"]), pair))).alias("p")).select("p.*").where("a <> b").distinct()
+def _similar(both: int, na: int, nb: int) -> bool:
+    return both > 0 and DEN * both >= NUM * (na + nb - both)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node that (a, b) edges reach, for every node of an edge.
-    Large and small stars in turn; every round is written, so that lineage stays short."""
-    edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    before = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = cut(small.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
-        now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
-        if now == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        before = now
+def _only(own: DataFrame, ids: DataFrame) -> DataFrame:
+    """The sets of the nodes in ids (written or cheap to compute again)."""
+    return own.join(_small(ids.select("node").distinct()), "node", "left_semi")
 
 
-def _labelled(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """pairs whose ends are in different components."""
-    if labels is None:
-        return pairs
-    for end in ("a", "b"):
-        own = labels.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
-        pairs = pairs.join(own, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
-    return pairs.where("ca <> cb").drop("ca", "cb")
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
 
 
 def _attach(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
     for end in ("a", "b"):
-        pairs = pairs.join(table.select(F.col("rep").alias(end), F.col(column).alias(f"{column}_{end}")), end)
+        pairs = pairs.join(table.select(F.col("node").alias(end), F.col(column).alias(f"{column}_{end}")), end)
     return pairs
 
 
-def _bounded(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _bounded(own: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs that the bitmaps leave possible, with the least possible difference."""
-    ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep")))
-    bits = cut(_bitmaps(_only(docs, ids)))
+    bits = cut(_bitmaps(_only(own, _ends(pairs))))
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a_, b_, na, nb = (b.column(k).to_pylist() for k in ("a", "b", "na", "nb"))
-            x, y = (b.column(k).to_pylist() for k in ("bits_a", "bits_b"))
-            diff = [differing(np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)) for p, q in zip(x, y)]
-            keep = [i for i, d in enumerate(diff) if _similar((na[i] + nb[i] - d) // 2, na[i], nb[i])]
-            yield pa.RecordBatch.from_pydict({"a": pa.array([a_[i] for i in keep], pa.int64()), "b": pa.array([b_[i] for i in keep], pa.int64()), "na": pa.array([na[i] for i in keep], pa.int64()), "nb": pa.array([nb[i] for i in keep], pa.int64()), "diff": pa.array([diff[i] for i in keep], pa.int64())})
-
-    return cut(_attach(pairs, bits, "bits").select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(run, "a long, b long, na long, nb long, diff long"))
+            na, nb = b.column("na").to_pylist(), b.column("nb").to_pylist()
+            maps = zip(b.column("bits_a").to_pylist(), b.column("bits_b").to_pylist())
+            diff = [differing(np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)) for p, q in maps]
+            keep = pa.array([i for i, d in enumerate(diff) if _similar((na[i] + nb[i] - d) // 2, na[i], nb[i])], pa.int64())
+            plain = [b.column(c).take(keep) for c in ("a", "b", "na", "nb")]
+            yield pa.RecordBatch.from_arrays([*plain, pa.array(diff, pa.int64()).take(keep)], ["a", "b", "na", "nb", "diff"])
 
-
-def _similar(both: int, na: int, nb: int) -> bool:
-    return both > 0 and DEN * both >= NUM * (na + nb - both)
+    both = _attach(pairs, bits, "bits").select("a", "b", "na", "nb", "bits_a", "bits_b")
+    out = cut(both.mapInArrow(run, _PAIR + ", diff long"))
+    discard(bits)
+    return out
 
 
-def _exact(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The links among pairs, by intersection of sorted arrays."""
-    ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep")))
-    sets = cut(_sets(_only(docs, ids)))
+def _exact(own: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The links (a, b) among pairs, by intersection of sorted arrays."""
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a_, b_ = b.column("a").to_pylist(), b.column("b").to_pylist()
             keep = []
             for i, (p, q) in enumerate(zip(b.column("shingles_a").to_pylist(), b.column("shingles_b").to_pylist())):
                 x, y = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if _similar(both, len(x), len(y)):
+                if _similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)):
                     keep.append(i)
-            yield pa.RecordBatch.from_pydict({"a": pa.array([a_[i] for i in keep], pa.int64()), "b": pa.array([b_[i] for i in keep], pa.int64())})
+            keep = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("a").take(keep), b.column("b").take(keep)], ["a", "b"])
+
+    sets = _only(own, _ends(pairs))
+    both = _attach(pairs.select("a", "b"), sets, "shingles").select("a", "b", "shingles_a", "shingles_b")
+    return cut(both.mapInArrow(run, "a long, b long"))
+
 
-    return cut(_attach(pairs.select("a", "b"), sets, "shingles").mapInArrow(run, "a long, b long"))
+def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """pairs whose ends are in different components."""
+    if labels is None:
+        return pairs
+    for end in ("a", "b"):
+        mine = labels.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+        pairs = pairs.join(mine, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
+    return pairs.where("ca <> cb").drop("ca", "cb")
 
 
-def _links(docs: DataFrame, pairs: DataFrame, links: DataFrame | None, labels: DataFrame | None):
-    """More links from pairs: those that connect what is not connected yet, and the components."""
-    pairs = cut(_labelled(pairs, labels))
-    if pairs.isEmpty():
-        return links, labels
-    pairs = _bounded(docs, pairs)
-    # First, for each document the pair that looks closest; then whatever still joins two components.
+def _links(own: DataFrame, pairs: DataFrame, links: DataFrame | None, labels: DataFrame | None):
+    """More links, and the components, from pairs (a, b, na, nb, diff) that may be similar: first, for
+    each document, the pair that looks closest; then whatever still joins two components."""
     ends = pairs.select(F.col("a").alias("end"), *pairs.columns).unionByName(pairs.select(F.col("b").alias("end"), *pairs.columns))
-    first = ends.groupBy("end").agg(F.min(F.struct("diff", "a", "b", "na", "nb")).alias("p")).select("p.*").distinct()
-    for some in (cut(first.select("a", "b", "na", "nb")), None):
-        if some is None:
-            some = cut(_labelled(pairs.select("a", "b", "na", "nb").join(first.select("a", "b"), ["a", "b"], "left_anti"), labels))
+    first = cut(ends.groupBy("end").agg(F.min(F.struct("diff", "a", "b")).alias("p")).select("p.a", "p.b").distinct())
+    for step in (0, 1):
+        some = first if not step else cut(_apart(pairs.select("a", "b").join(first, ["a", "b"], "left_anti"), labels))
         if some.isEmpty():
             continue
-        found = _exact(docs, some)
+        found = _exact(own, some)
         links = found if links is None else links.unionByName(found)
         labels = cut(components(links))
     return links, labels
 
 
-def _tiles(docs: DataFrame, rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Candidate pairs among members of groups of frequent shingles (rows token, rep, n, lead) that
-    are in different components: tiles of at most about TILE x TILE members of neighbouring size
-    bands. Groups with a member in common make one, so that a member is there once."""
-    if labels is not None:
-        rows = rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    else:
-        rows = rows.withColumn("component", F.col("rep"))
-    mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rep").alias("b")).where("lo <> hi")
-    rows = cut(rows.join(mixed.select("token", "b"), "token"))
-    if rows.isEmpty():
-        return docs.sparkSession.createDataFrame([], "a long, b long, na long, nb long")
-    groups = components(rows.select(F.col("rep").alias("a"), "b")).select(F.col("node").alias("rep"), F.col("component").alias("token"))
-    rows = cut(rows.groupBy("rep", "n", "component").agg(F.max("lead").alias("lead")).join(groups, "rep"))
-    bits = cut(_bitmaps(_only(docs, rows.select("rep"))))
-    rows = rows.join(bits, "rep").withColumn("band", F.floor(F.log("n") / F.log(F.lit(4 / 3))))
-    sizes = rows.groupBy("token", "band").count().groupBy("token").agg(F.ceil(F.max("count") / TILE).alias("blocks"))
-    rows = rows.join(sizes, "token").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
-    # A member goes to the tiles of its block with every block of its own band and, as the smaller
-    # set, of the two above (a ratio of 4/3 reaches no further).
-    low = rows.withColumn("y", F.explode(F.expr("sequence(band, band + 2)"))).withColumn("j", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("token", F.col("band").alias("x"), "y", F.col("block").alias("i"), "j", "rep", "n", "component", "bits", "lead").where("lead")
-    high = rows.withColumn("x", F.explode(F.expr("sequence(band - 2, band)"))).withColumn("i", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("token", "x", F.col("band").alias("y"), "i", F.col("block").alias("j"), "rep", "n", "component", "bits", "lead")
-    keys = ["token", "x", "y", "i", "j"]
+# Components
 
-    def run(p, q):
-        import pandas as pd
 
-        out = []
-        if len(p) and len(q):
-            qn, qc, qr = q.n.to_numpy(), q.component.to_numpy(), q.rep.to_numpy()
-            other = [np.frombuffer(x, np.uint8) for x in q.bits]
-            for r, n, c, raw in zip(p.rep, p.n, p.component, p.bits):
-                own = np.frombuffer(raw, np.uint8)
-                for k in np.flatnonzero((qc != c) & (n * DEN >= qn * NUM) & ((qn > n) | ((qn == n) & (qr > r)))):
-                    if _similar((n + qn[k] - differing(own, other[k])) // 2, n, qn[k]):
-                        out.append((r, qr[k], n, qn[k]))
-        return pd.DataFrame(out, columns=["a", "b", "na", "nb"], dtype="int64")
+def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, smallest node reachable) of edges: labels pass along edges, and chains are halved."""
+    nodes, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = place[: len(a)], place[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        rx, ry = root[x], root[y]
+        apart = rx != ry
+        if not apart.any():
+            return nodes, nodes[root]
+        x, y = x[apart], y[apart]
+        low, high = np.minimum(rx[apart], ry[apart]), np.maximum(rx[apart], ry[apart])
+        np.minimum.at(root, high, low)
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+
+
+def components(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(node, component): the smallest node that (a, b) edges reach, for every node of an edge. Up to
+    EDGES of them one task does it, beyond that rounds of large and small stars."""
+    edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    if edges.count() > (EDGES if most is None else most):
+        return _star_components(edges)
 
-    high = high.select(*(F.col(c).alias(c) for c in high.columns))  # columns of its own: both sides come from rows
-    return low.groupBy(*keys).cogroup(high.groupBy(*keys)).applyInPandas(run, "a long, b long, na long, nb long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
+        if got:
+            nodes, labels = union_find(np.concatenate([x for x, _ in got]), np.concatenate([y for _, y in got]))
+            for i in range(0, len(nodes), 1 << 16):
+                yield pa.RecordBatch.from_pydict({"node": nodes[i : i + (1 << 16)], "component": labels[i : i + (1 << 16)]})
 
+    return edges.select("a", "b").coalesce(1).mapInArrow(run, "node long, component long")
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id), a row for every row of docs."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signatures = cut(_signatures(docs))
-    same = ["n", "d1", "d2"]
-    classes = cut(signatures.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")))
-    prefixes = cut(_prefixes(docs).where("n > 0").join(classes.select("rep"), "rep", "left_semi"))
-    repeated = signatures.count() > signatures.agg(F.count_distinct("doc_id")).first()[0]
-    moved: DataFrame | None = None  # hot tokens so far
-    pairs, rest = [], []
-    for round_ in range(ROUNDS):
-        tokens = _tokens(prefixes)
-        shared = cut(tokens.groupBy("token").count().where("count > 1"))
-        pairs.append(cut(_pairs(tokens, shared.where(F.col("count") <= HOT << round_))))
-        often = shared.where(F.col("count") > HOT << round_).select("token")
-        fresh = often if moved is None else often.join(moved, "token", "left_anti")
-        fresh = cut(fresh)
-        n_fresh = fresh.count()
-        if moved is not None or not n_fresh:
-            stay = often if not n_fresh else often.join(fresh, "token", "left_anti")
-            if round_ == ROUNDS - 1:
-                stay, n_fresh = often, 0
-            rest.append(cut(tokens.join(stay, "token")))
-        if not n_fresh:
-            break
-        moved = fresh if moved is None else cut(moved.unionByName(fresh))
-        again = cut(tokens.join(fresh, "token", "left_semi").select("rep").distinct())
-        n_moved = moved.count()
-        if n_moved <= BROADCAST:
-            hot = np.sort(np.array(moved.toArrow().column(0).to_numpy(), np.int64).view(np.uint64))
-            following = _prefixes(_only(docs, again), spark.sparkContext.broadcast(hot))
-        else:  # the order is made by a join instead
-            following = _prefixes_by_join(_only(docs, again), moved)
-        following = cut(following.dropDuplicates(["rep", "n"]) if repeated else following)
-        tokens = None
-        discard(prefixes, shared, again)
-        prefixes = following
-    found = reduce(DataFrame.unionByName, pairs)
-    rows = cut(reduce(DataFrame.unionByName, rest).distinct()) if rest else None
-    if rows is not None and not rows.isEmpty():
-        # Stars: each member with the member that has most of the frequent shingles of its groups.
-        share = rows.groupBy("rep").agg((F.count("*") / F.max("n")).alias("share"))
-        centre = rows.join(share, "rep").groupBy("token").agg(F.max(F.struct(F.col("share"), (-F.col("rep")).alias("first"), F.col("n"))).alias("c")).select("token", (-F.col("c.first")).alias("b"), F.col("c.n").alias("nb"))
-        star = rows.join(centre, "token").where("rep <> b").select(F.col("rep").alias("a"), "b", F.col("n").alias("na"), "nb").where(f"least(na, nb) * {DEN} >= greatest(na, nb) * {NUM}")
-        found = found.unionByName(star.select(*found.columns))
-        links, labels = _links(docs, found.distinct(), None, None)
-        links, labels = _links(docs, _tiles(docs, rows, labels), links, labels)
-    else:
-        links, labels = _links(docs, found.distinct(), None, None)
-    out = signatures.join(classes, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"))
-    if labels is None:
-        return out.select("doc_id", "n_shingles", F.col("rep").alias("component_id"))
-    return out.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+
+def _star_components(edges: DataFrame) -> DataFrame:
+    """Large and small stars in turn; every round is written, so that lineage stays short."""
+    before = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = cut(small.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+        now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+        if now == before:
+            roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+        before = now
 
 
-def _prefixes_by_join(docs: DataFrame, moved: DataFrame) -> DataFrame:
-    """As _prefixes with a `last` too large to broadcast."""
+# The join
 
-    def make(ids, sets):
-        sets = list(sets)
-        return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists(sets)], ["rep", "n", "all"])
 
-    rows = _over(docs, "rep long, n long, all array<long>", make).select("rep", "n", F.explode("all").alias("token"))
-    late = rows.join(moved.withColumn("late", F.lit(True)), "token", "left").withColumn("late", F.coalesce("late", F.lit(False)))
-    order = late.groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("late", "token"))).alias("all"))
-    return order.select("rep", "n", F.slice(F.transform("all", lambda x: x["token"]), 1, (F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1).cast("int")).alias("prefix"))
+def _representatives(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, shingles): the one row of each class that stands for it."""
+    own = sets.where("n > 0 and doc_id is not null")
+    spare = cut(own.select("row").join(classes.select(F.col("node").alias("row")), "row", "left_anti"))
+    few = spare.count() <= BROADCAST
+    own = own.join(F.broadcast(spare) if few else spare, "row", "left_anti").select(F.col("row").alias("node"), "shingles")
+    return own if few else cut(own)
 
 
-def dedupe(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: the one of the smallest id (the first of equal
-    rows of that id). Documents without words stay."""
-    found = join(docs)
-    keep = found.where("component_id = doc_id or component_id is null").select("doc_id").distinct()
-    out = docs.join(keep, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
-    twice = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null")
-    return out if twice.isEmpty() else out.where("doc_id is null").unionByName(out.where("doc_id is not null").dropDuplicates(["doc_id"]))
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id), a row for every row of docs."""
+    row = F.monotonically_increasing_id().alias("row")
+    sets = cut(_sets(docs.select(row, F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))))
+    same = ["n", "d1", "d2"]
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row")))
+    classes = sets.where("n > 0").groupBy(*same).agg(first.alias("first"), F.count("*").alias("members"))
+    classes = cut(classes.select(*same, "members", F.col("first.row").alias("node"), F.col("first.doc_id").alias("least")).where("node is not null"))
+    own = _representatives(sets, classes)
+    prefixes = _prefixes(own)
+    links = labels = None
+    hot = prefixes.where("hot")
+    some_hot = not hot.isEmpty()
+    pairs = _pairs(prefixes)
+    pairs = cut(pairs.unionByName(_stars(hot)).distinct() if some_hot else pairs)
+    if not pairs.isEmpty():
+        links, labels = _links(own, _bounded(own, pairs), links, labels)
+    if some_hot:
+        pairs = _tiles(own, hot, labels)
+        if pairs is not None:
+            links, labels = _links(own, pairs, links, labels)
+    total = sets.count()
+    if labels is None:
+        names = classes.withColumn("component_id", F.col("least"))
+    else:
+        named = labels.join(classes.select("node", "least"), "node")
+        least = cut(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("nodes")))
+        named = many_to_one(labels, least, ["component"], "nodes", total).select("node", "component_id")
+        names = classes.join(named, "node", "left").withColumn("component_id", F.coalesce("component_id", "least"))
+    names = cut(names.select(*same, "members", "component_id"))
+    out = many_to_one(sets.select("doc_id", *same), names, same, "members", total)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one document of each component: the one of the smallest id; of several rows of that
+    id the one whose text sorts first. Documents without words and rows with a null id stay, and an id
+    with several texts goes only if each is in a component of a smaller id."""
+    found = cut(join(docs, key, text))
+    stays = F.max((F.col("component_id") == F.col("doc_id")).cast("int"))
+    gone = cut(found.where("doc_id is not null").groupBy("doc_id").agg(stays.alias("_stays")).where("_stays = 0").select(F.col("doc_id").alias("_gone")))
+    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST else gone, docs[key].cast("long") == gone["_gone"], "left_anti")
+    twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if twice.isEmpty():
+        return out.select(*docs.columns)
+    rank = free_name(docs, "_rank")
+    order = Window.partitionBy(key).orderBy(F.col(text).asc_nulls_last(), F.xxhash64(*docs.columns))
+    return out.withColumn(rank, F.row_number().over(order)).where((F.col(rank) == 1) | F.col(key).isNull()).select(*docs.columns)
