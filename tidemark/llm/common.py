@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -45,6 +46,12 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files and broadcasts of plans that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: Bounds of the Arrow batches that Python workers get: long texts come in few at a time.
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 

@@ -20,6 +20,7 @@ the first; empty tables give no row; texts of any length are read whole; extra c
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, small_batches, text_buffers, word_hashes
+from .common import cut, free_name, hashed_rows, mix, small_batches
 
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16 << 20
 SIZES = (1, 2, 3, 4, 6, 8)
@@ -36,13 +37,28 @@ SIZES = (1, 2, 3, 4, 6, 8)
 SHORT = 3
 CHANCE, WEAK = 4.0, 1e-6
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Most ids that are broadcast; beyond it the join is shuffled.
+BROADCAST = 500_000
 #: Least share of the whole item's score, and least matched words, of a contaminated document.
 LEAST_SCORE, LEAST_WORDS = 0.5, 6
 _C = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F)]
 
 
-def words(column):
-    return word_hashes(*text_buffers(column), plain=True)
+_PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+_WORD = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """Lower-cased runs of letters and digits; all characters beyond ASCII count as letters."""
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_PLAIN).split()
+
+
+def words(column) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """Texts of an Arrow column some at a time, their word hashes and where each one's begin."""
+    texts, at = column.to_pylist(), 0
+    for h, first in hashed_rows(map(words_of, texts)):
+        yield texts[at : at + len(first) - 1], h, first
+        at += len(first) - 1
 
 
 def grams(ids: np.ndarray, n: int) -> np.ndarray:
@@ -54,21 +70,47 @@ def grams(ids: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int, int]:
-    """Smith-Waterman: (score, matched words, start, end) of the best local alignment, in words of
-    text. The gap recurrence along a row is a running maximum."""
-    m, n = len(item), len(text)
-    step = np.arange(n + 1) * -GAP
-    score = np.zeros((m + 1, n + 1), np.int32)
-    for i in range(1, m + 1):
-        up = score[i - 1]
-        row = np.maximum(up + GAP, 0)
-        row[1:] = np.maximum(row[1:], up[:-1] + np.where(text == item[i - 1], MATCH, MISMATCH))
-        score[i] = np.maximum.accumulate(row + step) - step
-    at = int(score.argmax())
-    i, j = divmod(at, n + 1)
-    best, end, same = int(score[i, j]), j, 0
-    while i and j and score[i, j] > 0:
+def _rows(item: np.ndarray, text: np.ndarray, floor: bool) -> Iterator[np.ndarray]:
+    """Rows of the alignment matrix, one for each word of item. floor: local alignment, whose cells are 0 at
+    least; else global, from (0, 0). The gap recurrence along a row is a running maximum."""
+    step = np.arange(len(text) + 1, dtype=np.int64) * -GAP
+    up = np.zeros(len(text) + 1, np.int64) if floor else -step
+    yield up
+    for w in item:
+        row = up + GAP
+        row[1:] = np.maximum(row[1:], up[:-1] + np.where(text == w, MATCH, MISMATCH))
+        if floor:
+            row = np.maximum(row, 0)
+        up = np.maximum.accumulate(row + step) - step
+        yield up
+
+
+def _last(item: np.ndarray, text: np.ndarray) -> np.ndarray:
+    row = None
+    for row in _rows(item, text, False):
+        pass
+    return row
+
+
+def _matched(item: np.ndarray, text: np.ndarray) -> int:
+    """Matched words of a best global alignment, by halves (Hirschberg): memory is linear."""
+    if not len(item) or not len(text):
+        return 0
+    if len(item) == 1:
+        return int((text == item[0]).any())
+    if len(item) * len(text) <= 1 << 20:
+        return _matched_small(item, text)
+    half = len(item) // 2
+    left = _last(item[:half], text)
+    right = _last(item[half:][::-1], text[::-1])[::-1]
+    cut_ = int((left + right).argmax())
+    return _matched(item[:half], text[:cut_]) + _matched(item[half:], text[cut_:])
+
+
+def _matched_small(item: np.ndarray, text: np.ndarray) -> int:
+    score = np.stack(list(_rows(item, text, False)))
+    i, j, same = len(item), len(text), 0
+    while i and j:
         hit = item[i - 1] == text[j - 1]
         if score[i, j] == score[i - 1, j - 1] + (MATCH if hit else MISMATCH):
             same += int(hit)
@@ -77,7 +119,35 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int, int]:
             i -= 1
         else:
             j -= 1
-    return best, same, j, end
+    return same
+
+
+def _end(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
+    """(score, words of item, words of text) up to where the best local alignment ends, the first of equals."""
+    best = (0, 0, 0)
+    for i, row in enumerate(_rows(item, text, True)):
+        j = int(row.argmax())
+        if row[j] > best[0]:
+            best = (int(row[j]), i, j)
+    return best
+
+
+def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int, int]:
+    """Smith-Waterman: (score, matched words, start, end) of the best local alignment, in words of
+    text. One row is held at a time: the end comes of a pass forward, the start of one back from
+    it, and the matches in between by halves."""
+    best, m, end = _end(item, text)
+    if not best:
+        return 0, 0, 0, 0
+    # Backwards from the end, the first cell that reaches the best score is the shortest such alignment.
+    back, rows = None, _rows(item[:m][::-1], text[:end][::-1], False)
+    for i, row in enumerate(rows):
+        hit = np.flatnonzero(row == best)
+        if len(hit):
+            back = (i, int(hit[0]))
+            break
+    i, j = back
+    return best, _matched(item[m - i : m], text[end - j : end]), end - j, end
 
 
 class Seeds:
@@ -191,14 +261,19 @@ class Seeds:
 
 
 def _blocks(benchmark: DataFrame, key: str, text: str) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """Ids and word hashes of the items, in blocks of about BLOCK_ITEMS items and BLOCK_CHARS of text. An item
+    longer than a block is one by itself."""
     items = benchmark.select(F.col(key).alias("k"), F.col(text).alias("t")).where("k is not null and t is not null")
-    n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("t")), F.lit(0))).first()
-    blocks = max(1, -(-n // BLOCK_ITEMS), -(-chars // BLOCK_CHARS))
-    for b in range(blocks):
-        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b)
-        got = own.toArrow().sort_by("k")  # a block's items at most
-        h, _, _, first = words(got.column("t"))
-        yield got.column("k").to_pylist(), [h[lo:hi] for lo, hi in zip(first[:-1], first[1:])]
+    size = F.length("t")
+    long = size > BLOCK_CHARS
+    n, chars = items.where(~long).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    blocks = max(1, -(-n // BLOCK_ITEMS), -(-2 * chars // BLOCK_CHARS))
+    parts = [items.where(~long) if blocks == 1 else items.where(~long & (F.pmod(F.xxhash64("k"), F.lit(blocks)) == b)) for b in range(blocks)]
+    for r in items.where(long).select("k").distinct().toLocalIterator():
+        parts.append(items.where(long & (F.col("k") == r.k)))
+    for part in parts:
+        got = part.toArrow().sort_by("k")  # a block's items at most
+        yield got.column("k").to_pylist(), [h[lo:hi] for _, h, first in words(got.column("t")) for lo, hi in zip(first[:-1], first[1:])]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -218,8 +293,7 @@ def _match_block(docs: DataFrame, ids: list, texts: list[np.ndarray], item_type:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
         counts, total = np.zeros(len(v) + 1, np.int64), 0
-        for b in batches:
-            h = words(b.column(0))[0]
+        for h in (h for b in batches for _, h, _ in words(b.column(0))):
             total += len(h)
             if len(v) and len(h):
                 i = np.minimum(np.searchsorted(v, h), len(v) - 1)
@@ -236,21 +310,34 @@ def _match_block(docs: DataFrame, ids: list, texts: list[np.ndarray], item_type:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = seeds.value
         for b in batches:
-            data, offsets = text_buffers(b.column(1))
-            h, at, end, first = word_hashes(data, offsets, plain=True)
-            keys = b.column(0)
-            out = []
-            for d, k, score, same, lo, hi in s.search(h, first):
-                chars = lambda x, d=d: len(bytes(data[offsets[d] : x]).decode("utf-8", "surrogatepass"))
-                out.append((keys[d].as_py(), s.ids[k], score, same, chars(at[lo]), chars(end[hi - 1])))
-            cols = list(zip(*out)) if out else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], keys.type), pa.array(cols[1]) if out else pa.array([], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.int64())], ["doc_id", "item_id", "score", "matched", "start", "end"])
+            keys, done, out = b.column(0), 0, []
+            for texts, h, first in words(b.column(1)):
+                places: dict[int, list[re.Match]] = {}
+                for d, k, score, same, lo, hi in s.search(h, first):
+                    if d not in places:  # lower case moves no end of a word, so the text itself has the same ones
+                        places[d] = list(_WORD.finditer(texts[d]))
+                    own = places[d]
+                    out.append((keys[done + d].as_py(), s.ids[k], score, same, own[lo - first[d]].start(), own[hi - 1 - first[d]].end()))
+                done += len(texts)
+            if out:
+                kinds = (keys.type, None, pa.float64(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["doc_id", "item_id", "score", "matched", "start", "end"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(find, f"doc_id {kind}, item_id {item_type}, score double, matched long, start long, end long")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold a benchmark item; columns as before."""
-    bad = matches(docs, benchmark).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without those that hold a benchmark item; columns as before. Rows with a null id are
+    judged each by itself, the others by id."""
+    known = docs.where(F.col(key).isNotNull())
+    bad = cut(matches(known, benchmark, key, text).select(F.col("doc_id").alias("_bad")).distinct())
+    small = bad.count() <= BROADCAST
+    out = known.join(F.broadcast(bad) if small else bad, known[key] == bad["_bad"], "left_anti")
+    # Rows without an id are told apart by a number of their own, written with them.
+    number = free_name(docs, "_row")
+    rest = cut(docs.where(F.col(key).isNull()).withColumn(number, F.monotonically_increasing_id()))
+    if rest.isEmpty():
+        return out.select(*docs.columns)
+    found = cut(matches(rest, benchmark, number, text).select(F.col("doc_id").alias("_bad")).distinct())
+    return out.unionByName(rest.join(found, rest[number] == found["_bad"], "left_anti").select(*docs.columns)).select(*docs.columns)

@@ -7,7 +7,7 @@ a Jaccard similarity of at least 75 %, and the components of those links.
    b - ceil(3b/4) + 1 shingles of the larger set and the first a - ceil(6a/7) + 1 of the smaller
    one, in any total order of all shingles. The order is by hash, frequent shingles last. A
    shingle is frequent if more than HOT sets hold it among the shingles that were counted: at first
-   about half of each set, then all of those sets whose prefix reaches beyond that half, until no
+   about a third of each set, then all of those sets whose prefix reaches beyond that, until no
    prefix holds a shingle that was not counted. So only documents made of frequent
    shingles nearly whole have any in their prefixes.
 3. Members of one prefix shingle meet in tiles: of neighbouring size bands (sizes in the ratio
@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import as_bytes, ascii_words, cut, discard, free_name, hashed_rows, many_to_one, mix, small_batches
+from .common import as_bytes, ascii_words, cut, discard, free_name, hashed_rows, many_to_one, mix, release, small_batches
 
 WORDS, NUM, DEN = 5, 75, 100
 #: A shingle is frequent if more sets than this hold it among the counted shingles.
@@ -96,8 +96,9 @@ def _prefix(n: int) -> int:
 
 
 def _counted(n: int) -> int:
-    """How many shingles of a set are counted at first: twice its prefix."""
-    return min(n, 2 * _prefix(n))
+    """How many shingles of a set are counted at first: its prefix and some more."""
+    k = _prefix(n)
+    return min(n, k + max(8, k // 4))
 
 
 def _late(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
@@ -141,9 +142,9 @@ def _broadcast(hot: DataFrame) -> np.ndarray:
     return np.sort(hot.toArrow().column(0).to_numpy().view(np.uint64))
 
 
-def _prefixes(own: DataFrame) -> DataFrame:
-    """(token, node, n, lead, hot): the prefix of every set. lead marks the part that the smaller set
-    of a pair needs, hot the frequent shingles."""
+def _prefixes(own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(token, node, n, lead) of the prefix of every set: rare shingles, and the frequent ones. lead marks
+    the part that the smaller set of a pair needs."""
     spark = own.sparkSession
     hot = _frequent(_tokens(own, lambda _, s: {"token": _signed(s[: _counted(len(s))])}, "token long"))
     if hot.count() > BROADCAST:
@@ -163,19 +164,20 @@ def _prefixes(own: DataFrame) -> DataFrame:
         before, known = known, np.union1d(known, _broadcast(more))
     shared = spark.sparkContext.broadcast(known)
 
-    def pick(node, s):
+    def pick(node, s, frequent):
         late = _late(s, shared.value)
-        k = _prefix(len(s))
-        take = np.concatenate((np.flatnonzero(~late)[:k], np.flatnonzero(late)[:k]))[:k]
-        return {
-            "token": _signed(s[take]), "node": np.full(len(take), node, np.int64), "n": np.full(len(take), len(s), np.int64),
-            "lead": np.arange(len(take)) < len(s) // 7 + 1, "hot": late[take],
-        }
+        k, rare = _prefix(len(s)), np.flatnonzero(~late)
+        take = np.flatnonzero(late)[: k - len(rare)] if frequent and len(rare) < k else rare[: 0 if frequent else k]
+        if len(take):
+            place = np.arange(len(take)) + (len(rare) if frequent else 0)
+            return {"token": _signed(s[take]), "node": np.full(len(take), node, np.int64), "n": np.full(len(take), len(s), np.int64), "lead": place < len(s) // 7 + 1}
 
-    return cut(_tokens(own, pick, "token long, node long, n long, lead boolean, hot boolean"))
+    fields = "token long, node long, n long, lead boolean"
+    rare, frequent = (_tokens(own, lambda k, s, f=f: pick(k, s, f), fields) for f in (False, True))
+    return rare, cut(frequent)
 
 
-def _prefixes_by_join(own: DataFrame) -> DataFrame:
+def _prefixes_by_join(own: DataFrame) -> tuple[DataFrame, DataFrame]:
     """As _prefixes, with more frequent shingles than are broadcast: all shingles are counted."""
     every = _tokens(own, lambda k, s: {"token": _signed(s), "node": np.full(len(s), k, np.int64)}, "token long, node long")
     counts = every.groupBy("token").count().where(F.col("count") > HOT).select("token", F.lit(True).alias("hot"))
@@ -186,7 +188,9 @@ def _prefixes_by_join(own: DataFrame) -> DataFrame:
     n = F.size("s").cast("long")
     first = F.slice("s", F.lit(1), (n - F.ceil(n * NUM / DEN) + 1).cast("int"))
     flat = sets.select("node", n.alias("n"), F.posexplode(first).alias("pos", "x"))
-    return cut(flat.select(F.col("x.token").alias("token"), "node", "n", (F.col("pos") < F.floor(F.col("n") / 7) + 1).alias("lead"), F.col("x.hot").alias("hot")))
+    lead = (F.col("pos") < F.floor(F.col("n") / 7) + 1).alias("lead")
+    out = cut(flat.select(F.col("x.token").alias("token"), "node", "n", lead, F.col("x.hot").alias("hot")))
+    return out.where("not hot").drop("hot"), out.where("hot").drop("hot")
 
 
 # Candidate pairs
@@ -194,11 +198,11 @@ def _prefixes_by_join(own: DataFrame) -> DataFrame:
 _PAIR = "a long, b long, na long, nb long"
 
 
-def _pairs(prefixes: DataFrame) -> DataFrame:
+def _pairs(rare: DataFrame) -> DataFrame:
     """Distinct (a, b, na, nb) of the tiles of rare shingles. A group has few members: each count of
-    _prefixes admits HOT of them at most."""
-    rare = prefixes.where("not hot").groupBy("token").agg(F.collect_list(F.struct("n", "node", "lead")).alias("g"))
-    groups = rare.where((F.size("g") > 1) & F.exists("g", lambda x: x["lead"]))
+    _prefixes admits HOT of them at most. Dealt out as plain rows, as most shingles have one member."""
+    groups = rare.repartition("token").groupBy("token").agg(F.collect_list(F.struct("n", "node", "lead")).alias("g"))
+    groups = groups.where((F.size("g") > 1) & F.exists("g", lambda x: x["lead"]))
 
     def follows(x, y):
         return ((x["n"] < y["n"]) | ((x["n"] == y["n"]) & (x["node"] < y["node"]))) & (x["n"] * DEN >= y["n"] * NUM)
@@ -460,19 +464,20 @@ def _representatives(sets: DataFrame, classes: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for every row of docs."""
-    row = F.monotonically_increasing_id().alias("row")
+    spark, row = docs.sparkSession, F.monotonically_increasing_id().alias("row")
     sets = cut(_sets(docs.select(row, F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))))
     same = ["n", "d1", "d2"]
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row")))
     classes = sets.where("n > 0").groupBy(*same).agg(first.alias("first"), F.count("*").alias("members"))
     classes = cut(classes.select(*same, "members", F.col("first.row").alias("node"), F.col("first.doc_id").alias("least")).where("node is not null"))
     own = _representatives(sets, classes)
-    prefixes = _prefixes(own)
+    rare, hot = _prefixes(own)
     links = labels = None
-    hot = prefixes.where("hot")
     some_hot = not hot.isEmpty()
-    pairs = _pairs(prefixes)
+    pairs = _pairs(rare)
+    release(spark)
     pairs = cut(pairs.unionByName(_stars(hot)).distinct() if some_hot else pairs)
+    release(spark)
     if not pairs.isEmpty():
         links, labels = _links(own, _bounded(own, pairs), links, labels)
     if some_hot:

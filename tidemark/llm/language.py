@@ -13,6 +13,7 @@ language that sorts first.
 
 from __future__ import annotations
 
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -25,8 +26,9 @@ from .common import crc_mod, small_batches
 
 #: Bound of the training sample, in documents a language.
 MAX_TRAIN = 3_000
-#: Most letters that the model tells apart; rarer ones share a class.
-MAX_LETTERS = 94
+#: Letters that the model tells apart one by one, the most frequent of the sample; rarer ones are told
+#: apart by script (the first word of their Unicode name), SCRIPTS of them, and then by "another letter".
+MAX_LETTERS, SCRIPTS = 94, 30
 UNKNOWN = "und"
 _STEPS, _BACKOFF = 12, 8.0
 _letters: np.ndarray | None = None
@@ -39,6 +41,10 @@ def _is_letter() -> np.ndarray:
     return _letters
 
 
+def _script(c: int) -> str:
+    return unicodedata.name(chr(c), "").split(" ")[0]
+
+
 def code_points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Lower-case code points of the texts with a zero before and after each one and for each
     character that is no letter; for each text the place of its first (one more entry)."""
@@ -69,9 +75,16 @@ class Model:
         for c, k in zip(triples[:, 2].tolist(), counts.sum(axis=1).tolist()):
             total[c] += k
         known = [c for c, _ in sorted(total.items(), key=lambda x: (-x[1], x[0])) if c][:MAX_LETTERS]
+        rare: Counter = Counter()
+        for c in total.keys() - set(known) - {0}:
+            rare[_script(c)] += total[c]
+        scripts = {name: k + 2 for k, (name, _) in enumerate(sorted(rare.items(), key=lambda x: (-x[1], x[0]))[:SCRIPTS])}
+        v = len(known) + len(scripts) + 2
         self.classes = np.where(_is_letter(), 1, 0).astype(np.int64)  # 0: no letter, 1: another letter
-        self.classes[known] = np.arange(2, len(known) + 2)
-        v = len(known) + 2
+        if scripts:
+            letters = np.flatnonzero(self.classes)
+            self.classes[letters] = [scripts.get(_script(c), 1) for c in letters.tolist()]
+        self.classes[known] = np.arange(v - len(known), v)
         tri = np.zeros((v, v, v, n))
         np.add.at(tri, tuple(self.classes[triples[:, k]] for k in range(3)), counts)
         one = tri.sum(axis=(0, 1)) + 0.1

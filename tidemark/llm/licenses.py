@@ -8,7 +8,8 @@ LEAST_FILE) speaks for its directory, and a document without a license takes tha
 ancestor directory that has one, found by joining the directories' ancestor paths.
 
 Defined cases: null or empty texts have no license; ties go to the license that sorts first;
-several licence files of a directory give the one of the highest score; a null path has no
+several licence files of a directory give the one of the highest score, then the one that sorts
+first; a null path has no
 directory, so it inherits nothing; repeated rows are treated alike; an empty table gives no row;
 whole texts are read; other columns stay.
 """
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, many_to_one, small_batches
 
 # Short forms of well-known licenses' notices.
 TEMPLATES = {
@@ -59,8 +60,7 @@ IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY O
 }
 FILE_NAMES = r"(?i)^(?:un)?licen[cs]e(?:[.-].*)?$|^copying(?:\..*)?$|^notice(?:\..*)?$"
 LEAST, LEAST_FILE = 0.75, 0.8
-#: Most directories whose licence table is broadcast; beyond it the join is shuffled.
-BROADCAST = 200_000
+OUTPUT = ("license", "score", "origin", "licensed_by")
 _TERM = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 _NEAR = re.compile(r"licen[cs]e|copyright|public domain|redistribut|permission|creative commons")
 _ANCHOR = re.compile(r"(?:un)?licen[cs]e.*|copyright.*|redistribut.*|domain|commons|permission|subject")
@@ -98,12 +98,14 @@ class Model:
             return None, 0.0, 0.0
         words = terms(low)
         out = (0.0, "")
+        seen: set[tuple[str, ...]] = set()  # a window that repeats has the cosine it had
         for i, w in enumerate(words):
             if _ANCHOR.fullmatch(w):
-                for a in _BEFORE:
-                    for b in _AFTER:
-                        got = self.best(words[max(0, i - a) : i + b])
-                        if got[0] > out[0] + 1e-12:
+                for window in {tuple(words[max(0, i - a) : i + b]): None for a in _BEFORE for b in _AFTER}:
+                    if window not in seen:
+                        seen.add(window)
+                        got = self.best(list(window))
+                        if got[0] > out[0] + 1e-12 or (got[0] > out[0] - 1e-12 and out[1] and got[1] < out[1]):
                             out = got
         whole = self.best(words, whole=True)[0]
         return (out[1] if out[0] >= LEAST else None), out[0], whole
@@ -131,7 +133,8 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
 
 def scan(files: DataFrame, model: Model, path: str = "path", text: str = "text") -> DataFrame:
     """files with license, score, origin ("header", "file", "inherited" or "none") and licensed_by,
-    the directory that an inherited license comes from; without the text."""
+    the directory that an inherited license comes from; without the text. Columns of files that have
+    one of these names are replaced."""
     spark = files.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -142,25 +145,35 @@ def scan(files: DataFrame, model: Model, path: str = "path", text: str = "text")
 
         return pd.DataFrame([shared.value.scan(t) for t in texts.tolist()], columns=["license", "score", "whole"])
 
-    own = cut(files.withColumn("_scan", of(F.col(text))).drop(text))  # written once, as three plans read it
-    folder = F.regexp_extract(F.coalesce(F.col(path), F.lit("")), r"^(.*)/[^/]*$", 1)
-    name = F.regexp_extract(F.coalesce(F.col(path), F.lit("")), r"([^/]*)$", 1)
-    own = own.withColumn("_dir", F.when(F.col(path).isNotNull(), folder))
-    is_file = F.col("_scan.license").isNotNull() & (name.rlike(FILE_NAMES) | (F.col("_scan.whole") >= LEAST_FILE))
-    own = own.withColumn("_file", is_file)
-    spoken = own.where("_file and _dir is not null").groupBy("_dir").agg(F.max_by("_scan.license", F.struct(F.col("_scan.score"), F.col("_scan.license"))).alias("_taken"))
+    kept = [c for c in files.columns if c not in (text, *OUTPUT)]
+    where = F.col(path).cast("string")
+    rows = files.select(F.struct(*(F.col(c) for c in kept)).alias("own"), where.alias("path"), of(F.col(text)).alias("scan"))
+    rows = cut(rows)  # written once, as three plans read it
+    folder = F.when(F.col("path").isNotNull(), F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).alias("dir")
+    name = F.regexp_extract(F.coalesce("path", F.lit("")), r"([^/]*)$", 1)
+    is_file = F.col("scan.license").isNotNull() & (name.rlike(FILE_NAMES) | (F.col("scan.whole") >= LEAST_FILE))
+    rows = rows.select("own", "scan", folder, is_file.alias("file"))
+    best = F.min_by("scan.license", F.struct(-F.col("scan.score"), F.col("scan.license")))
+    spoken = rows.where("file and dir is not null").groupBy("dir").agg(best.alias("taken"))
     # Every directory's ancestors, itself included, nearest first; distinct directories only.
-    parts = F.split("_dir", "/")
-    up = own.where("_dir is not null").select("_dir").distinct().select("_dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("_at"))
-    nearest = up.join(spoken.withColumnRenamed("_dir", "_at"), "_at").groupBy("_dir").agg(F.max_by(F.struct("_taken", "_at"), F.length("_at")).alias("_from"))
-    small = nearest.limit(BROADCAST + 1).count() <= BROADCAST
-    got = own.join(F.broadcast(nearest) if small else nearest, "_dir", "left")
-    mine = F.col("_scan.license").isNotNull()
-    inherited = F.col("_from").isNotNull()
+    parts = F.split("dir", "/")
+    ancestors = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    sizes = rows.where("dir is not null").groupBy("dir").agg(F.count("*").alias("files"))
+    sizes = cut(sizes)
+    up = sizes.select("dir", F.explode(ancestors).alias("at"))
+    below = up.groupBy("at").agg(F.count("*").alias("below"))
+    speaking = spoken.withColumnRenamed("dir", "at").join(below, "at")
+    total = sizes.agg(F.count("*"), F.coalesce(F.sum("files"), F.lit(0))).first()
+    told = many_to_one(up, cut(speaking), ["at"], "below", total[0]).where("taken is not null")
+    nearest = told.groupBy("dir").agg(F.max_by(F.struct("taken", "at"), F.length("at")).alias("from"))
+    nearest = cut(nearest.join(sizes, "dir"))
+    got = many_to_one(rows, nearest, ["dir"], "files", total[1])
+    mine = F.col("scan.license").isNotNull()
+    inherited = F.col("from").isNotNull()
     return got.select(
-        *[c for c in files.columns if c != text],
-        F.coalesce("_scan.license", "_from._taken").alias("license"),
-        F.when(mine, F.col("_scan.score")).otherwise(0.0).alias("score"),
-        F.when(F.col("_file"), "file").when(mine, "header").when(inherited, "inherited").otherwise("none").alias("origin"),
-        F.when(~mine & inherited, F.col("_from._at")).alias("licensed_by"),
+        *(F.col("own")[c].alias(c) for c in kept),
+        F.coalesce("scan.license", "from.taken").alias("license"),
+        F.when(mine, F.col("scan.score")).otherwise(0.0).alias("score"),
+        F.when(F.col("file"), "file").when(mine, "header").when(inherited, "inherited").otherwise("none").alias("origin"),
+        F.when(~mine & inherited, F.col("from.at")).alias("licensed_by"),
     )

@@ -4,8 +4,9 @@ Documents become token pieces of at most `capacity` tokens. Packing depends only
 pieces there are of each length, a table of `capacity` rows at most, so the driver solves it on
 that histogram whatever the size of the corpus: the largest remaining length opens a sequence, its
 undominated fillings are enumerated, each is used as often as the counts allow, and branches whose
-waste passes the bound of the best solution so far (at first the best-fit one) are pruned. The
-solution is a list of runs (a pattern and how often it is used); a piece finds its place from its
+waste passes the bound of the best solution so far (at first the best-fit one) are pruned. Best
+packing is NP-hard, so the search has a limit of steps; beyond it the best packing so far stands, which
+holds every piece but may take more sequences than need be. The solution is a list of runs (a pattern and how often it is used); a piece finds its place from its
 rank among the pieces of its length, which window functions give.
 
 Defined cases: a null or empty text is one piece (the end token alone); a document longer than the
@@ -19,7 +20,6 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_right
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,14 +31,15 @@ from pyspark.sql.window import Window
 from .common import cut, small_batches
 
 CAPACITY, END = 1024, 2
-#: Branches that the search may open beyond the first descent.
-BRANCHES = 400
-#: Fillings looked at for one sequence, and partial fillings enumerated to find them.
-FILLINGS, PARTIAL = 4, 200
-#: Partial fillings that a whole search may look at.
-STEPS = 200_000
-#: Rows aimed at for a group of pieces of one length whose ranks one task gives.
-GROUP = 200_000
+#: Partial fillings that a whole search may look at, and those for one sequence of a large one.
+STEPS, PARTIAL = 300_000, 200
+#: Fillings of one sequence that a search by runs branches on.
+FILLINGS = 4
+#: Up to so many pieces sequences are decided one by one, so that the search is exact if it ends.
+SINGLE = 60
+#: Least number of rows aimed at for a group of pieces whose ranks one task gives; a group holds a
+#: four-hundredth of all pieces at most, whatever their lengths.
+GROUP, GROUPS = 2_000, 400
 
 
 class Tokens:
@@ -52,7 +53,7 @@ class Tokens:
     file's merges are not in the order of their ids.
     """
 
-    MOST = 500_000
+    MOST = 100_000
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     PLAIN = bytes([10, *range(32, 127), *range(0xA1, 0xAD), *range(0xAE, 0x100)])
 
@@ -176,89 +177,181 @@ def _use(left: dict[int, int], pattern: list[int], out: list[Run]) -> int:
     return times
 
 
-def fillings(left: dict[int, int], lengths: list[int], capacity: int, spent: list[int]) -> list[tuple[int, ...]]:
-    """Undominated fillings around the largest length, fullest first: nothing can be added to them,
-    and larger lengths are tried first. lengths: those left, ascending. A few of the best are kept;
-    spent[0] counts the partial fillings looked at."""
-    first = lengths[-1]
-    found: list[tuple[int, tuple[int, ...]]] = []
-    stop = spent[0] + PARTIAL
-
-    def grow(top: int, room: int, own: list[int], same: int) -> None:
-        spent[0] += 1
-        i = min(top, bisect_right(lengths, room) - 1)
-        if i == top and same >= left[lengths[top]]:
-            i -= 1
+class Search:
+    """What a search has spent, and whether it has left anything out."""
+
+    def __init__(self, steps: int, partial: int):
+        self.steps, self.partial, self.spent, self.whole = steps, partial, 0, True
+
+
+def fillings(left: dict[int, int], lengths: list[int], capacity: int, search: Search) -> Iterator[tuple[int, ...]]:
+    """Undominated fillings around the largest length, larger lengths first: nothing that is left can be
+    added, and no length but the first can be swapped for the next larger one that is left. lengths:
+    those left, ascending. Once the search's steps for a sequence are spent, the filling at hand is
+    completed by best fit and is the last."""
+    stop = search.spent + search.partial
+
+    def grow(top: int, room: int, used: dict[int, int]) -> Iterator[tuple[int, ...]]:
+        # top: the largest index to go on with. Depth: the distinct lengths of one sequence.
+        search.spent += 1
+        i = _fitting(top, room, used, left, lengths)
         if i < 0:
-            found.append((room, tuple(own)))
+            if not _swappable(used, left, lengths, room):
+                yield _spelled(used)
             return
-        tries = 0
-        while i >= 0 and tries < 6 and spent[0] < stop and not (len(found) >= FILLINGS and found[-1][0] == 0):
+        while i >= 0:
             k = lengths[i]
-            own.append(k)
-            grow(i, room - k, own, same + 1 if i == top else 1)
-            own.pop()
-            tries += 1
-            i -= 1
-        if not found:
-            found.append((room, tuple(own)))
-
-    grow(len(lengths) - 1, capacity - first, [first], 1)
-    found.sort(key=lambda x: (x[0], len(x[1]), [-k for k in x[1]]))
-    return list(dict.fromkeys(own for _, own in found))[:FILLINGS]
-
-
-def solve(counts: dict[int, int], capacity: int = CAPACITY, branches: int = BRANCHES, steps: int = STEPS) -> list[Run]:
-    """Runs that pack all pieces into as few sequences as the search finds within its steps.
-    Deterministic."""
+            have = used.get(k, 0)
+            for n in range(min(room // k, left[k] - have), 0, -1):
+                if search.spent >= stop:
+                    search.whole = False
+                    yield _completed(i, room, used, left, lengths)
+                    return
+                yield from grow(i - 1, room - n * k, {**used, k: have + n})
+                if search.spent >= stop:
+                    search.whole = False
+                    return
+            i = _fitting(i - 1, room, used, left, lengths)
+
+    yield from grow(len(lengths) - 1, capacity - lengths[-1], {lengths[-1]: 1})
+
+
+def _fitting(top: int, room: int, used: dict[int, int], left: dict[int, int], lengths: list[int]) -> int:
+    """The largest index up to top of a length that fits and is left; -1 if none is."""
+    i = min(top, bisect_right(lengths, room) - 1)
+    while i >= 0 and used.get(lengths[i], 0) >= left[lengths[i]]:
+        i -= 1
+    return i
+
+
+def _completed(i: int, room: int, used: dict[int, int], left: dict[int, int], lengths: list[int]) -> tuple[int, ...]:
+    used = dict(used)
+    while i >= 0:
+        k = lengths[i]
+        n = min(room // k, left[k] - used.get(k, 0))
+        if n > 0:
+            used[k] = used.get(k, 0) + n
+            room -= n * k
+        i = min(i - 1, bisect_right(lengths, room) - 1)
+    return _spelled(used)
+
+
+def _spelled(used: dict[int, int]) -> tuple[int, ...]:
+    return tuple(k for k in sorted(used, reverse=True) for _ in range(used[k]))
+
+
+def _swappable(used: dict[int, int], left: dict[int, int], lengths: list[int], room: int) -> bool:
+    """Whether something left can be added, or take the place of a smaller length (not the first)."""
+    if room and any(used.get(k, 0) < left[k] for k in lengths[: bisect_right(lengths, room)]):
+        return True
+    first = lengths[-1]
+    for k, n in used.items():
+        if n - (k == first) > 0:
+            j = bisect_right(lengths, k)
+            while j < len(lengths) and lengths[j] - k <= room:
+                if used.get(lengths[j], 0) < left[lengths[j]]:
+                    return True
+                j += 1
+    return False
+
+
+def _descend(left: dict[int, int], pattern: tuple[int, ...], runs: list[Run], single: bool) -> tuple[dict[int, int], list[Run], int]:
+    after, more = dict(left), list(runs)
+    if single:
+        for k in pattern:
+            after[k] -= 1
+            if not after[k]:
+                del after[k]
+        more.append((pattern, 1))
+        return after, more, 1
+    return after, more, _use(after, list(pattern), more)
+
+
+def _options(left: dict[int, int], capacity: int, search: Search, single: bool) -> list[tuple[int, ...]]:
+    """Fillings to branch on, fullest first. By runs, FILLINGS full ones are enough."""
+    found: dict[tuple[int, ...], int] = {}
+    full = 0
+    for x in fillings(left, sorted(left), capacity, search):
+        found[x] = capacity - sum(x)
+        full += not found[x]
+        if not single and full >= FILLINGS:
+            search.whole = False
+            break
+    out = sorted(found, key=lambda x: (found[x], len(x), [-k for k in x]))
+    if not single and len(out) > FILLINGS:
+        search.whole = False
+        del out[FILLINGS:]
+    return out
+
+
+def solve(counts: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> list[Run]:
+    """Runs that pack all pieces into as few sequences as search() finds."""
+    return search(counts, capacity, steps)[0]
+
+
+def search(counts: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> tuple[list[Run], bool]:
+    """(runs, proven): runs that pack all pieces into as few sequences as the search finds within its
+    steps, and whether no packing can take fewer. Deterministic. Best fit is the first incumbent;
+    a filling whose waste would bring the packing up to the incumbent's is not followed. With up to
+    SINGLE pieces each sequence is decided by itself and a search that ends is exact; beyond, a
+    filling is repeated as often as the counts allow, and only reaching the total length's bound is
+    proof."""
     counts = {k: v for k, v in counts.items() if v}
     best = best_fit(counts, capacity)
     used = sum(n for _, n in best)
     total = sum(k * n for k, n in counts.items())
-    if used <= -(-total // capacity):
-        return best
-    # Depth first; the forks kept are the latest, where the search is cheap and waste is decided.
-    forks: deque = deque([(counts, [], 0, 0)], maxlen=branches)
-    spent = [0]
-    while forks and used > -(-total // capacity) and spent[0] <= steps:
+    bound = -(-total // capacity)
+    if used <= bound:
+        return best, True
+    single = sum(counts.values()) <= SINGLE
+    spending = Search(steps, steps if single else PARTIAL)
+    # Depth first; every fork keeps its counts, and the steps bound how many there are.
+    forks: list[tuple[dict[int, int], list[Run], int, int]] = [(counts, [], 0, 0)]
+    descents = 0
+    while forks and used > bound:
+        if spending.spent >= steps and descents:  # the first descent is always finished
+            spending.whole = False
+            break
         left, runs, bins, waste = forks.pop()
-        left, runs, lengths = dict(left), list(runs), sorted(left)
-        while left and waste < used * capacity - total and spent[0] <= 2 * steps:  # else it can't beat the incumbent
-            options = fillings(left, lengths, capacity, spent)
-            for other in options[:0:-1]:
-                lost = capacity - sum(other)
-                if waste + lost < used * capacity - total:
-                    after, more = dict(left), list(runs)
-                    n = _use(after, list(other), more)
-                    if waste + n * lost < used * capacity - total:
-                        forks.append((after, more, bins + n, waste + n * lost))
-            n = _use(left, list(options[0]), runs)
-            bins, waste = bins + n, waste + n * (capacity - sum(options[0]))
-            if len(left) < len(lengths):
-                lengths = [k for k in lengths if k in left]
-        if not left and bins < used:
-            best, used = runs, bins
-    return best
-
-
-def pack(rows: DataFrame, capacity: int = CAPACITY, branches: int = BRANCHES) -> DataFrame:
+        if not left:
+            descents += 1
+            if bins < used:
+                best, used = runs, bins
+            continue
+        if total + waste > (used - 1) * capacity:  # can't beat the incumbent
+            descents += 1
+            continue
+        options = _options(left, capacity, spending, single)
+        for pattern in reversed(options):
+            after, more, n = _descend(left, pattern, runs, single)
+            lost = waste + n * (capacity - sum(pattern))
+            if total + lost <= (used - 1) * capacity:
+                forks.append((after, more, bins + n, lost))
+            else:
+                descents += 1
+    return best, used <= bound or (single and spending.whole)
+
+
+def pack(rows: DataFrame, capacity: int = CAPACITY, steps: int = STEPS) -> DataFrame:
     """rows of pieces with sequence_id and offset. rows must give the same rows when read again."""
     spark = rows.sparkSession
-    total = rows.count()
-    salts = max(1, -(-total // GROUP))
     key = [c for c in ("doc_id", "piece", "ids_crc32") if c in rows.columns]
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*key), F.lit(salts)))
+    counts = {int(r[0]): int(r[1]) for r in rows.groupBy("length").count().collect()}  # capacity rows at most
+    most = max(GROUP, sum(counts.values()) // GROUPS)
+    salts = spark.createDataFrame([(k, -(-n // most)) for k, n in counts.items()], "length long, _salts long")
+    salted = rows.join(F.broadcast(salts), "length")  # a row for each length: capacity at most
+    salted = salted.withColumn("_salt", F.pmod(F.xxhash64(*key), "_salts")).select(*rows.columns, "_salt")
     sizes = salted.groupBy("length", "_salt").count()
-    counts = {int(r[0]): int(r[1]) for r in sizes.groupBy("length").agg(F.sum("count")).collect()}  # capacity rows at most
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    base = F.broadcast(base)  # GROUPS + capacity rows at most
     inside = Window.partitionBy("length", "_salt").orderBy(*key)
     ranked = salted.withColumn("_rank", F.row_number().over(inside) - 1).join(base, ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
     # For each length: from which rank on a run of a pattern holds, with its first sequence and place.
     starts: dict[int, list[tuple[int, int, int]]] = {}
     taken: dict[int, int] = {}
     sequence = 0
-    for pattern, times in solve(counts, capacity, branches):
+    for pattern, times in solve(counts, capacity, steps):
         place = 0
         for k in pattern:
             starts.setdefault(k, []).append((taken.get(k, 0), sequence, place))

@@ -14,7 +14,8 @@ Defined cases: vectors that are null, empty or hold null or non-finite component
 vectors of different lengths are compared over the shorter length; a query is never its own
 candidate (rows that repeat its id are not candidates either); every row counts, so that repeated
 rows of one id, of equal vectors or not, are candidates each, and those of a query's id share its k
-places; ties go to the smaller id; fewer candidates give fewer rows. Extra columns are ignored.
+places; components and scores beyond the range of a long count as its end; ties go to the smaller
+id; fewer candidates give fewer rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,6 +49,10 @@ def segments(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return mean, np.sqrt(np.maximum(squares - mean * mean, 0.0)), at
 
 
+def _long(x: int) -> int:
+    return max(-(1 << 63), min((1 << 63) - 1, x))
+
+
 def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query ids, candidate ids, scores) of the k best candidates of each query within a block.
     Exact: integer components up to 2^53 in total stay exact in doubles, others use Python's."""
@@ -75,7 +80,7 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
                 least = np.partition(s, len(s) - k)[len(s) - k]
             limit = qn[i] + cn[alive] - 2 * least
             alive = alive[distance <= limit * (1 + 1e-9) + 1e-6 * (1 + np.abs(limit))]
-        score = c[alive] @ q[i] if exact else np.array([int(sum(int(a) * int(b) for a, b in zip(c[j], q[i]))) for j in alive], object)
+        score = c[alive] @ q[i] if exact else np.array([_long(sum(int(a) * int(b) for a, b in zip(c[j], q[i]))) for j in alive], object)
         if len(alive) > k:
             kth = np.sort(score)[::-1][k - 1]
             keep = np.flatnonzero(score >= kth)
@@ -90,7 +95,7 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, n_candidates: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): both inputs as from quantised()."""
-    small_batches(candidates.sparkSession, 4096)
+    small_batches(candidates.sparkSession)
     once = lambda df: df.groupBy("vec_id", "v").count().select("vec_id", "v", F.explode(F.array_repeat(F.lit(0), F.least("count", F.lit(k)).cast("int")))).drop("col")
     queries, candidates = once(queries), once(candidates)
     nq, nc = queries.count(), candidates.count() if n_candidates is None else n_candidates

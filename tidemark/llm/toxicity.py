@@ -33,9 +33,14 @@ from .common import crc_mod, cut, small_batches
 MAX_TRAIN = 16_000
 #: Most n-grams that the model keeps, and the least z-score of a kept log-count ratio.
 MAX_GRAMS, LEAST_Z = 6_000, 3.5
+#: A word teaches if at least so many documents of the sample have it. Every word is scored. Rare words
+#: are mostly junk, which shifts the classes' totals: with 1 instead of 3, held-out results are the
+#: same (983 and 982 of 990 right on 0.1), with ten times the features in a document.
+LEAST_DOCS = 3
 SIZES = (3, 4, 5, 6)
 THRESHOLD = 0.3
-_CACHED = 400_000
+#: Words whose weight a worker remembers.
+_CACHED = 60_000
 
 
 def words_of(text: str | None) -> set[str]:
@@ -111,18 +116,33 @@ def _ratios(words: DataFrame, alpha: float = 1.0) -> dict[str, float]:
     return {x.g: x.r for x in kept.orderBy(F.desc("z"), "g").limit(MAX_GRAMS).collect()}
 
 
-def _logistic(idx: np.ndarray, val: np.ndarray, row: np.ndarray, y: np.ndarray, n: int, l2: float = 1e-3, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Accelerated gradient descent with a fixed number of steps; deterministic. idx, val, row: the
-    features, values and rows of a sparse matrix; y: labels."""
-    rows = y
-    norm = np.bincount(row, val * val, len(rows))
+#: Entries of the matrix that a step of the fit has in hand at once.
+_BLOCK = 1 << 18
+
+
+def _logistic(idx: np.ndarray, val: np.ndarray, ends: np.ndarray, r: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 300) -> tuple[np.ndarray, float]:
+    """Accelerated gradient descent with a fixed number of steps; deterministic. idx, val: features and
+    counts of a sparse matrix in small integers, row by row; ends: where each row ends; r: the features'
+    scales; y: labels. Rows are taken in blocks, so that no step holds the matrix in wider numbers."""
+    n, size = len(r), np.diff(np.concatenate(([0], ends)))
+    rows = np.flatnonzero(size)  # rows without a feature only see the bias
+    starts = (ends - size)[rows]
+    cuts = np.unique(np.searchsorted(starts, np.arange(0, int(ends[-1]), _BLOCK)))
+    blocks = [(rows[lo:hi], slice(int(starts[lo]), int(ends[rows[hi - 1]])), starts[lo:hi] - starts[lo], size[rows[lo:hi]]) for lo, hi in zip(cuts, [*cuts[1:], len(rows)]) if hi > lo]
+    norm = np.zeros(len(y))
+    for own, part, begin, _ in blocks:
+        norm[own] = np.add.reduceat(np.square(val[part] * r[idx[part]]), begin)
     step = 4.0 / (max(1.0, float(np.percentile(norm, 99))) + 1)
     w = v = np.zeros(n)
     b = c = math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
     for k in range(steps):
-        z = np.bincount(row, val * v[idx], len(rows)) + c
+        scaled, z, gw = v * r, np.full(len(y), c), np.zeros(n)
+        for own, part, begin, _ in blocks:
+            z[own] += np.add.reduceat(val[part] * scaled[idx[part]], begin)
         e = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        gw, gb = np.bincount(idx, val * e[row], n) / len(y) * 8 + l2 * v, e.mean() * 8
+        for own, part, _, times in blocks:
+            gw += np.bincount(idx[part], val[part] * np.repeat(e[own], times), n)
+        gw, gb = gw * r / len(y) * 8 + l2 * v, e.mean() * 8
         nw, nb = v - step * gw, c - step * gb
         m = k / (k + 3)
         v, c, w, b = nw + m * (nw - w), nb + m * (nb - b), nw, nb
@@ -132,8 +152,7 @@ def _logistic(idx: np.ndarray, val: np.ndarray, row: np.ndarray, y: np.ndarray,
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_train: int = MAX_TRAIN) -> Model:
     """Learn from the labelled documents whose crc32(key) mod 4 is not 2, at most about max_train
     of them (by a hash of the key)."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y is not null")
     known = known.where(crc_mod(F.col("k"), 4) != 2).groupBy("k").agg(F.max("y").alias("y"))
     n, toxic = known.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("y") > 0, 1)), F.lit(0))).first()
@@ -147,16 +166,24 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pos: Counter = Counter()
         neg: Counter = Counter()
+
+        def taken() -> pa.RecordBatch:
+            ws = sorted(pos.keys() | neg.keys())
+            out = {"w": ws, "p": pa.array([pos[w] for w in ws], pa.int64()), "q": pa.array([neg[w] for w in ws], pa.int64())}
+            pos.clear()
+            neg.clear()
+            return pa.RecordBatch.from_pydict(out)
+
         for b in batches:
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 (pos if y > 0 else neg).update(words_of(t))
-        ws = sorted(pos.keys() | neg.keys())
-        for i in range(0, len(ws), 10_000):
-            part = ws[i : i + 10_000]
-            yield pa.RecordBatch.from_pydict({"w": part, "p": pa.array([pos[w] for w in part], pa.int64()), "q": pa.array([neg[w] for w in part], pa.int64())})
+                if len(pos) + len(neg) >= _CACHED:
+                    yield taken()
+        if pos or neg:
+            yield taken()
 
     per_word = sample.mapInArrow(count, "w string, p long, q long").groupBy("w").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
-    ratios = _ratios(per_word.where("p + q >= 3"))
+    ratios = _ratios(per_word.where(F.col("p") + F.col("q") >= LEAST_DOCS))
     place = {g: i for i, g in enumerate(ratios)}
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,17 +199,19 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 out.append(Counter(chain.from_iterable(map(cache.__getitem__, words))))
                 if len(cache) > _CACHED:
                     cache.clear()
-            yield pa.RecordBatch.from_pydict({"k": b.column(2).cast(pa.int64()), "i": pa.array([list(c) for c in out], pa.list_(pa.int32())), "v": pa.array([list(c.values()) for c in out], pa.list_(pa.int32())), "y": b.column(1).cast(pa.int32())})
+            yield pa.RecordBatch.from_pydict({"k": b.column(2).cast(pa.int64()), "i": pa.array([list(c) for c in out], pa.list_(pa.int16())), "v": pa.array([list(c.values()) for c in out], pa.list_(pa.int32())), "y": b.column(1).cast(pa.int32())})
 
-    got = sample.mapInArrow(vectors, "k long, i array<int>, v array<int>, y int").toArrow().sort_by([("k", "ascending"), ("y", "ascending")])  # in order, whatever the order of arrival
+    got = sample.mapInArrow(vectors, "k long, i array<short>, v array<int>, y int").toArrow().sort_by([("k", "ascending"), ("y", "ascending")])  # in order, whatever the order of arrival
     if not got.num_rows:
         return Model({}, math.log((toxic + 0.5) / (n - toxic + 0.5)))
     r = np.array(list(ratios.values()) or [0.0])
     got = got.combine_chunks()
     ids, times = (got.column(c).combine_chunks() for c in ("i", "v"))
-    row = np.repeat(np.arange(got.num_rows), np.diff(ids.offsets.to_numpy()))
-    idx, val = ids.flatten().to_numpy().astype(np.int64), times.flatten().to_numpy().astype(float)
-    w, b = _logistic(idx, val * r[idx], row, (got.column("y").to_numpy() > 0).astype(float), len(r))
+    ends = ids.offsets.to_numpy()[1:].astype(np.int64) - int(ids.offsets[0].as_py())
+    y = (got.column("y").to_numpy() > 0).astype(float)
+    if not len(ids.flatten()):
+        return Model({}, math.log((toxic + 0.5) / (n - toxic + 0.5)))
+    w, b = _logistic(ids.flatten().to_numpy(), times.flatten().to_numpy(), ends, r, y)
     return Model({g: float(w[k] * r[k]) for g, k in place.items() if w[k]}, b)
 
 
