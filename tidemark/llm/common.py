@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,17 +27,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends there, and a lost executor
-    costs no more than one reread. What discard() leaves is deleted when the driver ends."""
+    costs no more than one reread. rows_of() tells how many rows there were without a job. What
+    discard() leaves is deleted when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._scratch = path
+    out._scratch, out._rows = path, seen.get.get("rows")
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return out
 
 
+def rows_of(table: DataFrame) -> int:
+    """How many rows a table that cut() wrote has."""
+    if table._rows is None:  # a plan that the optimizer found empty may report nothing
+        table._rows = table.count()
+    return table._rows
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that cut() wrote and nothing reads any more."""
     for df in tables:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, hashed_rows, mix, small_batches
+from .common import cut, free_name, hashed_rows, mix, rows_of, small_batches
 
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16 << 20
 SIZES = (1, 2, 3, 4, 6, 8)
@@ -332,12 +332,12 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id"
     judged each by itself, the others by id."""
     known = docs.where(F.col(key).isNotNull())
     bad = cut(matches(known, benchmark, key, text).select(F.col("doc_id").alias("_bad")).distinct())
-    small = bad.count() <= BROADCAST
+    small = rows_of(bad) <= BROADCAST
     out = known.join(F.broadcast(bad) if small else bad, known[key] == bad["_bad"], "left_anti")
     # Rows without an id are told apart by a number of their own, written with them.
     number = free_name(docs, "_row")
     rest = cut(docs.where(F.col(key).isNull()).withColumn(number, F.monotonically_increasing_id()))
-    if rest.isEmpty():
+    if not rows_of(rest):
         return out.select(*docs.columns)
     found = cut(matches(rest, benchmark, number, text).select(F.col("doc_id").alias("_bad")).distinct())
     return out.unionByName(rest.join(found, rest[number] == found["_bad"], "left_anti").select(*docs.columns)).select(*docs.columns)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import as_bytes, ascii_words, cut, discard, free_name, hashed_rows, many_to_one, mix, release, small_batches
+from .common import as_bytes, ascii_words, cut, free_name, hashed_rows, many_to_one, mix, release, rows_of, small_batches
 
 WORDS, NUM, DEN = 5, 75, 100
 #: A shingle is frequent if more sets than this hold it among the counted shingles.
@@ -147,7 +147,7 @@ def _prefixes(own: DataFrame) -> tuple[DataFrame, DataFrame]:
     the part that the smaller set of a pair needs."""
     spark = own.sparkSession
     hot = _frequent(_tokens(own, lambda _, s: {"token": _signed(s[: _counted(len(s))])}, "token long"))
-    if hot.count() > BROADCAST:
+    if rows_of(hot) > BROADCAST:
         return _prefixes_by_join(own)
     known, before = _broadcast(hot), np.zeros(0, np.uint64)
     while len(known) > len(before):
@@ -159,7 +159,7 @@ def _prefixes(own: DataFrame) -> tuple[DataFrame, DataFrame]:
                 return {"token": _signed(s[_counted(len(s)) :])}
 
         more = _frequent(_tokens(own, rest, "token long"))
-        if more.count() > BROADCAST:
+        if rows_of(more) > BROADCAST:
             return _prefixes_by_join(own)
         before, known = known, np.union1d(known, _broadcast(more))
     shared = spark.sparkContext.broadcast(known)
@@ -190,16 +190,16 @@ def _prefixes_by_join(own: DataFrame) -> tuple[DataFrame, DataFrame]:
     flat = sets.select("node", n.alias("n"), F.posexplode(first).alias("pos", "x"))
     lead = (F.col("pos") < F.floor(F.col("n") / 7) + 1).alias("lead")
     out = cut(flat.select(F.col("x.token").alias("token"), "node", "n", lead, F.col("x.hot").alias("hot")))
-    return out.where("not hot").drop("hot"), out.where("hot").drop("hot")
+    return out.where("not hot").drop("hot"), cut(out.where("hot").drop("hot"))
 
 
 # Candidate pairs
 
-_PAIR = "a long, b long, na long, nb long"
+_PAIR = "a long, b long"
 
 
 def _pairs(rare: DataFrame) -> DataFrame:
-    """Distinct (a, b, na, nb) of the tiles of rare shingles. A group has few members: each count of
+    """Distinct (a, b) of the tiles of rare shingles. A group has few members: each count of
     _prefixes admits HOT of them at most. Dealt out as plain rows, as most shingles have one member."""
     groups = rare.repartition("token").groupBy("token").agg(F.collect_list(F.struct("n", "node", "lead")).alias("g"))
     groups = groups.where((F.size("g") > 1) & F.exists("g", lambda x: x["lead"]))
@@ -208,7 +208,7 @@ def _pairs(rare: DataFrame) -> DataFrame:
         return ((x["n"] < y["n"]) | ((x["n"] == y["n"]) & (x["node"] < y["node"]))) & (x["n"] * DEN >= y["n"] * NUM)
 
     def pairs_of(x):
-        pair = lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"), x["n"].alias("na"), y["n"].alias("nb"))
+        pair = lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"))
         return F.transform(F.filter("g", lambda y: follows(x, y)), pair)
 
     every = F.flatten(F.transform(F.filter("g", lambda x: x["lead"]), pairs_of))
@@ -224,15 +224,14 @@ def _stars(hot: DataFrame) -> DataFrame:
     near = F.least("n", "nb") * DEN >= F.greatest("n", "nb") * NUM
     star = hot.join(_small(centre), "token").where((F.col("node") != F.col("b")) & near)
     swap = (F.col("n") > F.col("nb")) | ((F.col("n") == F.col("nb")) & (F.col("node") > F.col("b")))
-    one = lambda x, y, name: F.when(swap, y).otherwise(x).alias(name)
-    pairs = star.select(one(F.col("node"), F.col("b"), "a"), one(F.col("b"), F.col("node"), "b"), one(F.col("n"), F.col("nb"), "na"), one(F.col("nb"), F.col("n"), "nb"))
-    return pairs.distinct()
+    one = lambda x, y, name: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(name)
+    return star.select(one("node", "b", "a"), one("b", "node", "b")).distinct()
 
 
 def _small(df: DataFrame) -> DataFrame:
     """df, written, with a broadcast hint if it is small enough."""
     df = cut(df)
-    return F.broadcast(df) if df.count() <= BROADCAST else df
+    return F.broadcast(df) if rows_of(df) <= BROADCAST else df
 
 
 def _tiles(own: DataFrame, hot: DataFrame, labels: DataFrame | None) -> DataFrame | None:
@@ -247,11 +246,11 @@ def _tiles(own: DataFrame, hot: DataFrame, labels: DataFrame | None) -> DataFram
     rows = rows.withColumn("component", F.coalesce("component", "node"))
     mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("b")).where("lo <> hi")
     rows = cut(rows.join(_small(mixed.select("token", "b")), "token"))
-    if rows.isEmpty():
+    if not rows_of(rows):
         return None
     groups = components(rows.select(F.col("node").alias("a"), "b")).withColumnRenamed("component", "group")
     rows = rows.groupBy("node", "n", "component").agg(F.max("lead").alias("lead")).join(groups, "node")
-    rows = cut(rows.join(_bitmaps(_only(own, rows)), "node").withColumn("band", F.floor(F.log("n") / F.log(F.lit(4 / 3)))))
+    rows = cut(rows.join(_bitmaps(own), "node").withColumn("band", F.floor(F.log("n") / F.log(F.lit(4 / 3)))))
     sizes = rows.groupBy("group", "band").count().groupBy("group").agg(F.ceil(F.max("count") / TILE).alias("blocks"))
     rows = rows.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
     # A member goes to the tiles of its block with every block of its own band and, as the smaller
@@ -271,14 +270,14 @@ def _tiles(own: DataFrame, hot: DataFrame, labels: DataFrame | None) -> DataFram
         out = []
         if len(p) and len(q):
             qn, qc, qr = q.n.to_numpy(), q.component.to_numpy(), q.node.to_numpy()
-            other = [np.frombuffer(x, np.uint8) for x in q.bits]
+            other = [_sized(x)[1] for x in q.bits]
             for r, n, c, raw in zip(p.node, p.n, p.component, p.bits):
-                mine = np.frombuffer(raw, np.uint8)
+                mine = _sized(raw)[1]
                 for k in np.flatnonzero((qc != c) & (n * DEN >= qn * NUM) & ((qn > n) | ((qn == n) & (qr > r)))):
                     diff = differing(mine, other[k])
                     if _similar((n + qn[k] - diff) // 2, n, qn[k]):
-                        out.append((r, qr[k], n, qn[k], diff))
-        return pd.DataFrame(out, columns=["a", "b", "na", "nb", "diff"], dtype="int64")
+                        out.append((r, qr[k], diff))
+        return pd.DataFrame(out, columns=["a", "b", "diff"], dtype="int64")
 
     return cut(low.groupBy(*keys).cogroup(high.groupBy(*keys)).applyInPandas(run, _PAIR + ", diff long").distinct())
 
@@ -304,50 +303,56 @@ def differing(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _bitmaps(own: DataFrame) -> DataFrame:
+    """(node, bits): the set's size in eight bytes, then its bitmap."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bits = [bitmap(np.frombuffer(raw, np.uint64)) for raw in b.column("shingles").to_pylist()]
+            bits = [(len(raw) // 8).to_bytes(8, "little") + bitmap(np.frombuffer(raw, np.uint64)) for raw in b.column("shingles").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(bits, pa.binary())], ["node", "bits"])
 
     return own.select("node", "shingles").mapInArrow(run, "node long, bits binary")
 
 
-def _similar(both: int, na: int, nb: int) -> bool:
-    return both > 0 and DEN * both >= NUM * (na + nb - both)
-
-
-def _only(own: DataFrame, ids: DataFrame) -> DataFrame:
-    """The sets of the nodes in ids (written or cheap to compute again)."""
-    return own.join(_small(ids.select("node").distinct()), "node", "left_semi")
+def _sized(bits: bytes) -> tuple[int, np.ndarray]:
+    return int.from_bytes(bits[:8], "little"), np.frombuffer(bits, np.uint8, offset=8)
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+def _similar(both: int, na: int, nb: int) -> bool:
+    return both > 0 and DEN * both >= NUM * (na + nb - both)
 
 
-def _attach(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+def _both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """pairs (written) with the column of either end. Up to BROADCAST pairs are sent to the table, so that
+    only the rows of their ends are shuffled."""
+    few = rows_of(pairs) <= BROADCAST
+    if few:
+        keys = F.broadcast(pairs.select("a", "b"))
+        a = table.join(keys, table["node"] == keys["a"]).select("a", "b", F.col(column).alias(f"{column}_a"))
+        b = table.join(keys, table["node"] == keys["b"]).select("a", "b", F.col(column).alias(f"{column}_b"))
+        return a.join(b, ["a", "b"])
+    out = pairs.select("a", "b")
     for end in ("a", "b"):
-        pairs = pairs.join(table.select(F.col("node").alias(end), F.col(column).alias(f"{column}_{end}")), end)
-    return pairs
+        out = out.join(table.select(F.col("node").alias(end), F.col(column).alias(f"{column}_{end}")), end)
+    return out
 
 
 def _bounded(own: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs that the bitmaps leave possible, with the least possible difference."""
-    bits = cut(_bitmaps(_only(own, _ends(pairs))))
+    """(a, b, diff) of the pairs that the bitmaps leave possible, with the least possible difference."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            na, nb = b.column("na").to_pylist(), b.column("nb").to_pylist()
-            maps = zip(b.column("bits_a").to_pylist(), b.column("bits_b").to_pylist())
-            diff = [differing(np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)) for p, q in maps]
-            keep = pa.array([i for i, d in enumerate(diff) if _similar((na[i] + nb[i] - d) // 2, na[i], nb[i])], pa.int64())
-            plain = [b.column(c).take(keep) for c in ("a", "b", "na", "nb")]
-            yield pa.RecordBatch.from_arrays([*plain, pa.array(diff, pa.int64()).take(keep)], ["a", "b", "na", "nb", "diff"])
-
-    both = _attach(pairs, bits, "bits").select("a", "b", "na", "nb", "bits_a", "bits_b")
-    out = cut(both.mapInArrow(run, _PAIR + ", diff long"))
-    discard(bits)
-    return out
+            keep, diff = [], []
+            for i, (x, y) in enumerate(zip(b.column("bits_a").to_pylist(), b.column("bits_b").to_pylist())):
+                (nx, x), (ny, y) = _sized(x), _sized(y)
+                d = differing(x, y)
+                if _similar((nx + ny - d) // 2, nx, ny):
+                    keep.append(i)
+                    diff.append(d)
+            rows = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("a").take(rows), b.column("b").take(rows), pa.array(diff, pa.int64())], ["a", "b", "diff"])
+
+    both = _both(pairs, _bitmaps(own), "bits").select("a", "b", "bits_a", "bits_b")
+    return cut(both.mapInArrow(run, _PAIR + ", diff long"))
 
 
 def _exact(own: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -363,9 +368,8 @@ def _exact(own: DataFrame, pairs: DataFrame) -> DataFrame:
             keep = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("a").take(keep), b.column("b").take(keep)], ["a", "b"])
 
-    sets = _only(own, _ends(pairs))
-    both = _attach(pairs.select("a", "b"), sets, "shingles").select("a", "b", "shingles_a", "shingles_b")
-    return cut(both.mapInArrow(run, "a long, b long"))
+    both = _both(pairs, own, "shingles").select("a", "b", "shingles_a", "shingles_b")
+    return cut(both.mapInArrow(run, _PAIR))
 
 
 def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -379,17 +383,16 @@ def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _links(own: DataFrame, pairs: DataFrame, links: DataFrame | None, labels: DataFrame | None):
-    """More links, and the components, from pairs (a, b, na, nb, diff) that may be similar: first, for
-    each document, the pair that looks closest; then whatever still joins two components."""
+    """More links, and the components, from pairs (a, b, diff) that may be similar: first, for each
+    document, the pair that looks closest; then whatever still joins two components."""
     ends = pairs.select(F.col("a").alias("end"), *pairs.columns).unionByName(pairs.select(F.col("b").alias("end"), *pairs.columns))
     first = cut(ends.groupBy("end").agg(F.min(F.struct("diff", "a", "b")).alias("p")).select("p.a", "p.b").distinct())
     for step in (0, 1):
         some = first if not step else cut(_apart(pairs.select("a", "b").join(first, ["a", "b"], "left_anti"), labels))
-        if some.isEmpty():
-            continue
-        found = _exact(own, some)
-        links = found if links is None else links.unionByName(found)
-        labels = cut(components(links))
+        if rows_of(some):
+            found = _exact(own, some)
+            links = found if links is None else links.unionByName(found)
+            labels = cut(components(links))
     return links, labels
 
 
@@ -420,7 +423,7 @@ def components(edges: DataFrame, most: int | None = None) -> DataFrame:
     """(node, component): the smallest node that (a, b) edges reach, for every node of an edge. Up to
     EDGES of them one task does it, beyond that rounds of large and small stars."""
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    if edges.count() > (EDGES if most is None else most):
+    if rows_of(edges) > (EDGES if most is None else most):
         return _star_components(edges)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -457,7 +460,7 @@ def _representatives(sets: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, shingles): the one row of each class that stands for it."""
     own = sets.where("n > 0 and doc_id is not null")
     spare = cut(own.select("row").join(classes.select(F.col("node").alias("row")), "row", "left_anti"))
-    few = spare.count() <= BROADCAST
+    few = rows_of(spare) <= BROADCAST
     own = own.join(F.broadcast(spare) if few else spare, "row", "left_anti").select(F.col("row").alias("node"), "shingles")
     return own if few else cut(own)
 
@@ -473,18 +476,18 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     own = _representatives(sets, classes)
     rare, hot = _prefixes(own)
     links = labels = None
-    some_hot = not hot.isEmpty()
+    some_hot = rows_of(hot) > 0
     pairs = _pairs(rare)
     release(spark)
     pairs = cut(pairs.unionByName(_stars(hot)).distinct() if some_hot else pairs)
     release(spark)
-    if not pairs.isEmpty():
+    if rows_of(pairs):
         links, labels = _links(own, _bounded(own, pairs), links, labels)
     if some_hot:
         pairs = _tiles(own, hot, labels)
         if pairs is not None:
             links, labels = _links(own, pairs, links, labels)
-    total = sets.count()
+    total = rows_of(sets)
     if labels is None:
         names = classes.withColumn("component_id", F.col("least"))
     else:
@@ -504,7 +507,7 @@ def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     found = cut(join(docs, key, text))
     stays = F.max((F.col("component_id") == F.col("doc_id")).cast("int"))
     gone = cut(found.where("doc_id is not null").groupBy("doc_id").agg(stays.alias("_stays")).where("_stays = 0").select(F.col("doc_id").alias("_gone")))
-    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST else gone, docs[key].cast("long") == gone["_gone"], "left_anti")
+    out = docs.join(F.broadcast(gone) if rows_of(gone) <= BROADCAST else gone, docs[key].cast("long") == gone["_gone"], "left_anti")
     twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
     if twice.isEmpty():
         return out.select(*docs.columns)
