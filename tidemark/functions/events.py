@@ -28,8 +28,12 @@ def replay_id(event="event_id") -> Column:
     return F.sha2(F.concat(F.lit("late-replay:"), F.col(event)), 256)
 
 
+#: Characters that count as blank: white space of any kind and the separators U+001C to U+001F.
+_BLANK = r"^[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]*$"
+
+
 def _blank(c: str) -> Column:
-    return F.col(c).isNull() | (F.trim(c) == "")
+    return F.col(c).isNull() | F.col(c).rlike(_BLANK)
 
 
 def _shown(c: str) -> Column:
@@ -86,7 +90,9 @@ def reasons() -> Column:
 
 
 def checked(events: DataFrame) -> DataFrame:
-    return events.withColumn("rejection_reason", reasons())
+    """events with rejection_reason. The rules are evaluated once a row: a generator of one row keeps filters
+    on their result above it, which would else be pushed down with all rules spelled out again."""
+    return events.select("*", F.inline_outer(F.array(F.struct(reasons().alias("rejection_reason")))))
 
 
 def split_valid(events: DataFrame, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
@@ -96,12 +102,12 @@ def split_valid(events: DataFrame, now: Column | None = None) -> tuple[DataFrame
     return both.where("rejection_reason = ''").drop("rejection_reason"), bad.select(*ENVELOPE.names, "original_event", "rejection_reason", "processing_timestamp")
 
 
-def parse_payload(events: DataFrame, table: str) -> DataFrame:
+def parse_payload(events: DataFrame, table: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Events of one table with payload fields as columns, by the latest schema; fields that a row's
-    version does not have are null. The key falls back to business_key."""
+    version does not have are null. The key falls back to business_key. keep: further columns that stay."""
     pk = KEYS[table] if table in KEYS else payload_schema(table)
     since = added_in(table)
     rows = events.where(F.col("source_table") == table).withColumn("_p", F.from_json("payload", payload_schema(table)))
     lineage = ["event_id", "source_table", "operation", "business_key", "source_sequence", "event_timestamp", "ingested_timestamp", "batch_id", "schema_version"]
     fields = [F.coalesce(F.col(f"_p.{f}"), F.col("business_key")).alias(f) if f == pk else F.when(F.col("schema_version") >= since[f], F.col(f"_p.{f}")).alias(f) for f in payload_schema(table).names]
-    return rows.select(*lineage, *fields)
+    return rows.select(*lineage, *keep, *fields)

@@ -32,9 +32,8 @@ def _outcomes(spark: SparkSession, d: str) -> DataFrame:
 def _subscriptions(spark: SparkSession, d: str) -> DataFrame:
     """Current state of subscriptions after all batches."""
     results = _outcomes(spark, d).where("source_table = 'subscriptions'")
-    parsed = parse_payload(results, "subscriptions").drop("subscription_id")
-    extra = results.select("event_id", "batch_id", "apply_outcome").distinct()
-    return merge.state_of(parsed.join(extra, ["event_id", "batch_id"]), envelope.snapshot(spark, d, "subscriptions"), "subscriptions")
+    parsed = parse_payload(results, "subscriptions", ("apply_outcome",)).drop("subscription_id")
+    return merge.state_of(parsed, envelope.snapshot(spark, d, "subscriptions"), "subscriptions")
 
 
 def _state_columns(state: DataFrame) -> DataFrame:

@@ -49,9 +49,9 @@ a2 as (
 env as (
   select case when n % 50 = 19 then repeat('0', 64) else good_id end as event_id, source_table, operation, business_key,
          cast(source_sequence as bigint) as source_sequence, event_timestamp,
-         ISO(ts + d.lag_s * interval '1' second) as ingested_timestamp,
-         batch0 + d.lag_b as batch_id, cast(schema_version as int) as schema_version, payload
-  from a2 join (select 1 as m, 0 as lag_s, 0 as lag_b union all select 33, 60, 0 union all select 47, 120, 3) d on n % d.m = 0)
+         ISO(ts + lag_s * interval '1' second) as ingested_timestamp,
+         batch0 + lag_b as batch_id, cast(schema_version as int) as schema_version, payload
+  from (select *, 0 as lag_s, 0 as lag_b from a2 union all select *, 60, 0 from a2 where n % 33 = 0 union all select *, 120, 3 from a2 where n % 47 = 0) d)
 """
 SNAPSHOT_SQL = """
 select case c_custkey % 4 when 0 then 'accounts' when 1 then 'subscriptions' when 2 then 'invoices' else 'payments' end as source_table,
@@ -78,16 +78,26 @@ def spelled(sql: str, dialect: dict[str, str]) -> str:
     return sql
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores, where the files are too few to give each a part; many files stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
+def _over(sql: str, name: str, rows: DataFrame) -> DataFrame:
+    """sql with rows in the place of the table name; the session's views stay as they are."""
+    plain = sql.replace("{", "{{").replace("}", "}}")
+    return rows.sparkSession.sql(re.sub(rf"\bfrom {name}\b", "from {rows}", plain), rows=rows)
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.read.parquet(f"{sf_dir}/events.parquet").createOrReplaceTempView("events")
-    return spark.sql(spelled(ENVELOPE_SQL, SPARK) + "select * from env")
+    """The relation env. Its clock is UTC whatever the session's time zone: ts has none."""
+    return _over(spelled(ENVELOPE_SQL, SPARK) + "select * from env", "events", _spread(spark.read.parquet(f"{sf_dir}/events.parquet")))
 
 
 def snapshot(spark: SparkSession, sf_dir: str, table: str | None = None) -> DataFrame:
     """Snapshot rows of all tables, or of one with its key under its own name."""
     from tidemark.schemas import KEYS
 
-    spark.read.parquet(f"{sf_dir}/customer.parquet").createOrReplaceTempView("customer")
-    rows = spark.sql(SNAPSHOT_SQL)
+    rows = _over(SNAPSHOT_SQL, "customer", spark.read.parquet(f"{sf_dir}/customer.parquet"))
     return rows if table is None else rows.where(f"source_table = '{table}'").withColumnRenamed("business_key", KEYS[table])
