@@ -102,6 +102,10 @@ def migrate_schema(e: Engine, a: argparse.Namespace) -> None:
     print(*e.migrate(a.table, a.to_version))
 
 
+def vacuum(e: Engine, a: argparse.Namespace) -> None:
+    print(f"{e.vacuum(a.keep)} folders deleted")
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tidemark")
     p.add_argument("--root", default="data")
@@ -133,6 +137,7 @@ def parser() -> argparse.ArgumentParser:
     command(show_history, ("--subscription-id", {"default": None}), limit)
     command(show_replay_queue, limit, ("--pending", flag))
     command(migrate_schema, ("--table", {"choices": ["subscriptions"], "default": "subscriptions"}), ("--to-version", whole(2)))
+    command(vacuum, ("--keep", whole(10)))
     return p
 
 

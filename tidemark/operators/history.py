@@ -137,7 +137,8 @@ def pending(queue: DataFrame) -> DataFrame:
 
 def replay(queue: DataFrame, store: DataFrame, snapshot: DataFrame, history: DataFrame, state: DataFrame, now: Column, repair_current: bool = False):
     """(queue, history, state, audit) after all pending subscription events are replayed: the keys
-    they touch are rebuilt together. Other tables' events stay pending."""
+    they touch are rebuilt together. Other tables' events stay pending. A key whose current row is to be
+    repaired and that has none fails (NO_CURRENT_ROW), and its history stays."""
     due = queue.where("replay_status = 'PENDING' and source_table = 'subscriptions'")
     keys = due.select(F.col("business_key").alias(KEY)).distinct()
     events = store.where("source_table = 'subscriptions'").join(keys.withColumnRenamed(KEY, "business_key"), "business_key", "left_semi")
@@ -146,7 +147,9 @@ def replay(queue: DataFrame, store: DataFrame, snapshot: DataFrame, history: Dat
     fit = keys.join(unfit, KEY, "left_anti")
     built = build(base.join(fit, KEY, "left_semi"), events, now)
     broken = violations(built).select(KEY, F.concat(F.lit("INVARIANT: "), "rule").alias("why"))
-    if not repair_current:
+    if repair_current:  # nothing to repair is an error of that key, not a silent success
+        broken = broken.unionByName(fit.join(state.select(KEY), KEY, "left_anti").select(KEY, F.lit("NO_CURRENT_ROW").alias("why")))
+    else:
         broken = broken.unionByName(drift(built, state).select(KEY, F.concat(F.lit("DRIFT: "), "rule").alias("why")))
     why = unfit.unionByName(broken).groupBy(KEY).agg(F.min("why").alias("why"))
     good = built.join(why, KEY, "left_anti")

@@ -50,11 +50,22 @@ class Engine:
     def table(self, name: str) -> Table:
         return Table(self.spark, str(self.root / "tables" / name))
 
-    def _made(self, name: str, schema: T.StructType) -> Table:
+    def _made(self, name: str, schema: T.StructType, *keys: str) -> Table:
         t = self.table(name)
-        t.create(schema)
+        t.create(schema, keys)
         return t
 
+    def _ledger(self) -> Table:
+        return self._made("applied_events", LEDGER, "event_id")
+
+    def _event_store(self) -> Table:
+        return self._made("cdc_event_store", STORE, "event_id")
+
+    def vacuum(self, keep: int = 10) -> int:
+        """Delete all tables' versions but the last ones; returns how many folders went."""
+        names = [*TABLES, "applied_events", "cdc_event_store", "batch_apply_metrics", "subscriptions_history", "late_event_queue", "replay_audit"]
+        return sum(self.table(n).vacuum(keep) for n in names if self.table(n).exists())
+
     # Staging
 
     def process(self, batch: Batch, fail_at: str | None = None) -> dict:
@@ -128,7 +139,7 @@ class Engine:
                 continue
             state = merge.snapshot_state(read_snapshot(self.spark, self.raw, t), t, _now())
             later = set(state.columns) & (set(PAYLOADS[t, max(v for x, v in PAYLOADS if x == t)].names) - set(PAYLOADS[t, 1].names))
-            self.table(t).commit(state.drop(*later), "snapshot")
+            self.table(t).commit(state.drop(*later), "snapshot", keys=[KEYS[t]])
             made.append(t)
         return made
 
@@ -136,26 +147,30 @@ class Engine:
         state = self.table(table).read()
         return merge.active(state) if active_only else state
 
-    def _wide(self, table: str) -> tuple[DataFrame, list[str]]:
-        """The state with all columns of the latest schema, and those that the table has."""
-        state = self.table(table).read()
+    @staticmethod
+    def _wide(state: DataFrame, table: str) -> DataFrame:
+        """The state with all columns of the latest schema."""
         missing = {f.name: F.lit(None).cast(f.dataType) for f in state_schema(table).fields if f.name not in state.columns}
-        return state.withColumns(missing).select(*state_schema(table).names), state.columns
+        return state.withColumns(missing).select(*state_schema(table).names)
 
     def apply_events(self, unique: DataFrame, fail_at: str | None = None) -> list[dict]:
         """Merge valid, unique events into all tables, then ledger, event store and metrics, in that order: after
-        a crash in between, the same events are told apart by the ledger and the tables' sequences."""
+        a crash in between, the same events are told apart by the ledger and the tables' sequences. Events
+        whose id the store has with another content are an error before anything is committed. Each table is
+        committed against the version that was read, so another writer in between is an error, not a loss."""
         now, unique = _now(), unique.persist()
         counts: list[dict] = []
         try:
-            ledger = self._made("applied_events", LEDGER)
-            recorded = ledger.read()
+            self._check_identities(unique)
+            ledger = self._ledger()
+            recorded = ledger.pin(unique).df
             present = {r.source_table for r in unique.select("source_table").distinct().collect()}  # four at most: the events are valid
 
             def one(t: str) -> DataFrame:
-                state, columns = self._wide(t)
-                new, audit = merge.apply_batch(parse_payload(unique, t), state, recorded, t, now)
-                self.table(t).commit(new.select(*columns), "merge")
+                parsed = parse_payload(unique, t)
+                pin = self.table(t).pin(parsed)
+                new, audit = merge.apply_batch(parsed, self._wide(pin.df, t), recorded, t, now)
+                pin.commit(new.select(*pin.df.columns), "merge")
                 return audit
 
             with ThreadPoolExecutor(len(TABLES)) as pool:  # the tables are independent: their jobs share the cluster
@@ -192,14 +207,20 @@ class Engine:
         self.reconcile()
         if fail_at == "checkpoint":
             raise SimulatedFailure("before the checkpoint")
+        self.complete(batch.batch_id, counts)
+        return counts
+
+    def complete(self, batch_id: int, counts: list[dict]) -> None:
+        """Set down that a batch is applied, from the counts of apply_events."""
         top = {t: self.apply_checkpoint.mark(t) for t in TABLES}
         for r in counts:
             top[r["source_table"]] = max(top[r["source_table"]], r["max_sequence"])
-        self.apply_checkpoint.commit(batch.batch_id, top)
-        return counts
+        self.apply_checkpoint.commit(batch_id, top)
 
     def apply_pending(self) -> dict[int, list[dict]]:
-        return {b.batch_id: self.apply(b) for b in discover(self.cdc) if not self.apply_checkpoint.is_complete(b.batch_id)}
+        done = {b.batch_id: self.apply(b) for b in discover(self.cdc) if not self.apply_checkpoint.is_complete(b.batch_id)}
+        self.vacuum()
+        return done
 
     def reconcile(self) -> dict[str, dict]:
         """What must hold of current state and ledger; an error if something doesn't."""
@@ -226,12 +247,14 @@ class Engine:
 
     # Event store
 
-    def _store(self, rows: DataFrame) -> None:
-        store = self._made("cdc_event_store", STORE)
-        ids = [r.event_id for r in ops.identity_conflicts(store.read(), rows).limit(5).collect()]
+    def _check_identities(self, events: DataFrame) -> None:
+        ids = [r.event_id for r in ops.identity_conflicts(self._event_store().pin(events).df, events).limit(5).collect()]
         if ids:
             raise ops.EventIdentityConflict(f"other content under a known event id, such as {ids}")
-        store.commit(ops.store_upsert(store.read(), rows), "touch")
+
+    def _store(self, rows: DataFrame) -> None:
+        pin = self._event_store().pin(rows)
+        pin.commit(ops.store_upsert(pin.df, rows), "touch")
 
     def build_store(self) -> int:
         """Fill the store from all batches in one pass; returns the unique events offered."""
@@ -242,6 +265,7 @@ class Engine:
             ids = [r.event_id for r in ops.identity_conflicts(rows, unique).limit(5).collect()]
             if ids:
                 raise ops.EventIdentityConflict(f"batches disagree on the content of an event id, such as {ids}")
+            self._check_identities(rows)
             self._store(rows)
             return unique.count()
         finally:
@@ -253,30 +277,34 @@ class Engine:
         t = self.table("subscriptions_history")
         if t.exists() and not force:
             return False
-        t.commit(history.seed(read_snapshot(self.spark, self.raw, "subscriptions"), _now()), "snapshot")
+        t.commit(history.seed(read_snapshot(self.spark, self.raw, "subscriptions"), _now()), "snapshot", keys=[KEYS["subscriptions"]])
         return True
 
     def detect_late(self) -> int:
         """Queue stored subscription events behind their key's current sequence; returns how many are new."""
-        store = self._made("cdc_event_store", STORE).read().where("source_table = 'subscriptions'")
+        store = self._event_store().read().where("source_table = 'subscriptions'")
         late = ops.behind_current(store, self.current("subscriptions"), "subscription_id")
-        return self._made("late_event_queue", QUEUE).insert_only(history.queue_rows(late, _now()), ["event_id"])
+        return self._made("late_event_queue", QUEUE, "event_id").insert_only(history.queue_rows(late, _now()), ["event_id"])
 
     def replay_late(self, repair_current: bool = False) -> dict[str, int]:
         """Replay what is pending. History is committed before the queue, so that a crash in between leaves
         events pending, and replaying them again gives the same history."""
-        queue, hist, state, audits = self._made("late_event_queue", QUEUE), self.table("subscriptions_history"), self.table("subscriptions"), self._made("replay_audit", REPLAY_AUDIT)
+        queue, hist = self._made("late_event_queue", QUEUE, "event_id"), self.table("subscriptions_history")
         if not hist.exists():
             raise TableError("no history yet; run init-history first")
-        pending = queue.read().where("replay_status = 'PENDING'").count()
-        q, h, s, audit = history.replay(queue.read(), self.table("cdc_event_store").read(), read_snapshot(self.spark, self.raw, "subscriptions"), hist.read(), state.read(), _now(), repair_current)
+        due = queue.read().where("replay_status = 'PENDING'")
+        pending, key = due.count(), F.col("business_key").alias(KEYS["subscriptions"])
+        keys = due.where("source_table = 'subscriptions'").select("event_id", key)
+        q, h, s = queue.pin(due), hist.pin(keys), self.table("subscriptions").pin(keys)
+        snapshot, store = read_snapshot(self.spark, self.raw, "subscriptions"), self.table("cdc_event_store").read()
+        new_q, new_h, new_s, audit = history.replay(q.df, store, snapshot, h.df, s.df, _now(), repair_current)
         audit = audit.persist()
         try:
-            hist.commit(h.select(*HISTORY.names), "replay")
+            h.commit(new_h.select(*HISTORY.names), "replay")
             if repair_current:
-                state.commit(s, "repair")
-            audits.upsert(audit, ["replay_id"])
-            queue.commit(q, "replay")
+                s.commit(new_s, "repair")
+            self._made("replay_audit", REPLAY_AUDIT, "replay_id").upsert(audit, ["replay_id"])
+            q.commit(new_q, "replay")
             by = {r.status: r["count"] for r in audit.groupBy("status").count().collect()}
         finally:
             audit.unpersist()
