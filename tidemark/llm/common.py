@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.tables import observed
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -34,7 +36,7 @@ def cut(df: DataFrame) -> DataFrame:
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._scratch, out._rows = path, seen.get.get("rows")
+    out._scratch, out._rows = path, observed(seen)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return out
@@ -42,8 +44,6 @@ def cut(df: DataFrame) -> DataFrame:
 
 def rows_of(table: DataFrame) -> int:
     """How many rows a table that cut() wrote has."""
-    if table._rows is None:  # a plan that the optimizer found empty may report nothing
-        table._rows = table.count()
     return table._rows
 
 
