@@ -5,11 +5,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidemark.operators.events import collapse
 from tidemark.schemas import KEYS, LEDGER, SNAPSHOT_EVENT, SNAPSHOT_TIME, added_in, payload_schema, state_schema
 
+#: The money column of a table, which must be a decimal.
+MONEY = {"subscriptions": "monthly_amount", "invoices": "amount", "payments": "amount"}
 APPLIED = ("APPLIED_INSERT", "APPLIED_UPDATE", "APPLIED_DELETE")
 SUPERSEDED = "SUPERSEDED_WITHIN_BATCH"
 
@@ -140,6 +143,11 @@ def reconcile(state: DataFrame, key: str) -> DataFrame:
     )
 
 
+def money_is_decimal(state: DataFrame, table: str) -> bool:
+    """Whether the table's money column, if it has one, is an exact decimal."""
+    return table not in MONEY or state.schema[MONEY[table]].dataType == T.DecimalType(12, 2)
+
+
 def active(state: DataFrame) -> DataFrame:
     return state.where("not _is_deleted")
 

@@ -231,6 +231,8 @@ class Engine:
             t = r.pop("source_table")
             if r["null_keys"] or r["bad_sequences"] or r["distinct_keys"] != r["total_rows"] or r["active_rows"] + r["deleted_rows"] != r["total_rows"]:
                 raise ReconciliationError(f"{t}: {r}")
+            if not merge.money_is_decimal(self.table(t).read(), t):
+                raise ReconciliationError(f"{t}: {merge.MONEY[t]} is no decimal(12,2)")
             out[t] = r
         if self.table("applied_events").exists():
             r = self.table("applied_events").read().agg(F.count("*").alias("rows"), F.count_distinct("event_id").alias("events")).first().asDict()

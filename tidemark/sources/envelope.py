@@ -100,4 +100,7 @@ def snapshot(spark: SparkSession, sf_dir: str, table: str | None = None) -> Data
     from tidemark.schemas import KEYS
 
     rows = _over(SNAPSHOT_SQL, "customer", spark.read.parquet(f"{sf_dir}/customer.parquet"))
-    return rows if table is None else rows.where(f"source_table = '{table}'").withColumnRenamed("business_key", KEYS[table])
+    if table is None:
+        return rows
+    own = rows.where(f"source_table = '{table}'")
+    return (own.drop("account_id") if table == "accounts" else own).withColumnRenamed("business_key", KEYS[table])

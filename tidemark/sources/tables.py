@@ -29,6 +29,17 @@ def observed(seen: Observation) -> int:
     return row.getLong(0) if row.length() else 0
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that all executors share, deleted when the driver ends."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    path = f"{root.rstrip('/')}/tidemark/{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(place.getParent())
+    fs.deleteOnExit(place)
+    return path
+
+
 class TableError(RuntimeError):
     """A folder that exists but is no table, or a commit that another writer has made first."""
 
