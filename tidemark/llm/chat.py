@@ -8,8 +8,8 @@ no other names. The source is parsed into a syntax tree, constants are folded, a
 becomes Python closures that yield (text, marked) pieces, so that a conversation of any length is
 rendered as a stream, turn by turn.
 
-Control strings inside texts are escaped reversibly: a backslash goes before each backslash and
-each control string, and unescape() takes it away.
+Control strings inside texts are escaped reversibly: a backslash goes before each backslash and after
+the first character of each control string, so that none is left in one piece; unescape() takes it away.
 
 Defined cases: rows are taken by turn (null first), then role and text; a null role or text is
 empty; a null conversation id is a conversation of its own kind; repeated rows are repeated turns;
@@ -32,7 +32,7 @@ from .common import small_batches
 PART_CHARS = 1 << 20
 #: Control strings of the default template.
 OPEN, CLOSE, END = "<|turn|>", "<|text|>", "<|end|>"
-CONTROLS = (OPEN, CLOSE, END, "[INST]", "[/INST]")
+CONTROLS = (OPEN, CLOSE, END, "<s>", "</s>", "[INST]", "[/INST]")
 DEFAULT = "{% for m in messages %}<|turn|>{{ m.role | escape }}<|text|>{% if m.role == 'assistant' %}{% generation %}{{ m.text | escape }}{% endgeneration %}{% else %}{{ m.text | escape }}{% endif %}<|end|>{% endfor %}"
 
 
@@ -44,7 +44,7 @@ _ESCAPE = re.compile("|".join(re.escape(x) for x in ("\\", *CONTROLS)))
 
 
 def escape(text: str) -> str:
-    return _ESCAPE.sub(lambda m: "\\" + m[0], text)
+    return _ESCAPE.sub(lambda m: m[0][0] + "\\" + m[0][1:], text)
 
 
 def unescape(text: str) -> str:
@@ -451,7 +451,7 @@ def format_conversations(turns: DataFrame, template: str = DEFAULT, conv: str =
     return rows.mapInArrow(run, "conv_id long, part long, formatted string, marks array<struct<start:long,end:long>>")
 
 
-_CONTROL = re.compile(r"\\(?:" + "|".join(re.escape(x) for x in ("\\", *CONTROLS)) + ")|" + "|".join(re.escape(x) for x in (OPEN, CLOSE, END)), re.S)
+_CONTROL = re.compile(r"\\.|" + "|".join(re.escape(x) for x in (OPEN, CLOSE, END)), re.S)
 
 
 def read_turns(parts: Iterable[str]) -> Iterator[tuple[str, str]]:

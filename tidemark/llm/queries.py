@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -119,6 +120,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_pii, op2_decontamination, op3_toxicity, op4_chat_format, op5_jaccard, op6_secrets, op7_top_k, op8_language, op9_packing, op10_licenses)
 }
 
+_ESCAPED = "(" + "|".join(re.escape(x) for x in ("\\", *chat.CONTROLS)).replace("'", "''") + ")"
+
+
 ORACLES: dict[str, str] = {
     "op7_top_k": """
 with v as (select vec_id, [floor(256 * cast(x as double)) for x in embedding] as v from embeddings
@@ -126,4 +130,20 @@ with v as (select vec_id, [floor(256 * cast(x as double)) for x in embedding] as
 s as (select q.vec_id as query_id, c.vec_id as vec_id, cast(list_dot_product(q.v, c.v) as bigint) as score from v q join v c on q.vec_id <> c.vec_id and q.vec_id % 50 = 0),
 r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score from s)
 select query_id, rank, vec_id, score from r where rank <= 5""",
+    # Turns by turn, role and text; every control string and backslash in a text takes one more character.
+    "op4_chat_format": f"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e as (select *, length(regexp_replace(role, '{_ESCAPED}', '\\1x', 'g')) + length(regexp_replace(text, '{_ESCAPED}', '\\1x', 'g')) + {sum(map(len, (chat.OPEN, chat.CLOSE, chat.END)))} as chars from t)
+select conv_id, count(*) as n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' order by turn nulls first, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars, sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(chars) as bigint) as formatted_chars from e group by conv_id""",
+    "op5_jaccard": """
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (select doc_id, case when len(w) >= 5 then list_distinct([array_to_string(w[i : i + 4], ' ') for i in range(1, len(w) - 3)]) when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s from w),
+g as (select doc_id, len(s) as n, unnest(s) as g from s),
+e as (select a.doc_id as a, b.doc_id as b from g a join g b on a.g = b.g and a.doc_id <> b.doc_id and a.n * 4 >= b.n * 3 and b.n * 4 >= a.n * 3
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+r as (select a as doc_id, a as c from e union select e.b, r.c from r join e on r.doc_id = e.a )
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, least(s.doc_id, coalesce(min(r.c), s.doc_id)) as component_id from s left join r on r.doc_id = s.doc_id group by s.doc_id, len(s.s)""",
 }
