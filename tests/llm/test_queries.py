@@ -318,3 +318,14 @@ def test_frequent_shingles_by_join_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BROADCAST", 0)
     monkeypatch.setattr(jaccard, "EDGES", 0)
     assert sorted(map(tuple, jaccard.join(docs).collect())) == usual
+
+
+def test_pii_context_counts_on_both_sides(spark):
+    texts = ["123-45-6789 is my social security number", "my ssn: 123-45-6789", "123-45-6789 of nothing", "123-45-6789 and 223-45-6789 ssn"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    from tidemark.llm import pii
+
+    got = {r.doc_id: [(s.start, s.kind) for s in r.pii] for r in pii.scan(df).collect()}
+    assert got == {0: [(0, "ssn")], 1: [(8, "ssn")], 2: [], 3: [(16, "ssn")]}
+    clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert clean[0] == "[SSN] is my social security number" and clean[2] == texts[2] and clean[3] == "123-45-6789 and [SSN] ssn"

@@ -39,7 +39,7 @@ FILLINGS = 4
 SINGLE = 60
 #: Least number of rows aimed at for a group of pieces whose ranks one task gives; a group holds a
 #: four-hundredth of all pieces at most, whatever their lengths.
-GROUP, GROUPS = 2_000, 400
+GROUP, GROUPS = 100, 400
 
 
 class Tokens:

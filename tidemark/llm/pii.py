@@ -1,7 +1,7 @@
 """Personal data (operator 1), with DataFrame functions only.
 
 Patterns propose spans, validators confirm them (Luhn for cards, mod-97 for account numbers, parts
-up to 255 for addresses, digit counts for phones) and words just before a span adjust its score.
+up to 255 for addresses, digit counts for phones) and words near a span, on both sides, adjust its score.
 The base kinds keep every span that their rule confirms, whatever its score; the added kinds
 (account numbers, social security numbers, short cards, phones without a country code) need a
 score of LEAST.
@@ -34,7 +34,7 @@ LOCAL = r"(?<![0-9+(-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn", "local_phone", "short_card")
-#: Score of a confirmed span by itself, and what a context word before it adds.
+#: Score of a confirmed span by itself, and what a context word near it adds.
 SCORES = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.8, "iban": 0.9, "ssn": 0.4, "local_phone": 0.3, "short_card": 0.4}
 NEAR, CONTEXT_ADDS, LEAST = 48, 0.4, 0.6
 CONTEXT = {
@@ -115,18 +115,29 @@ def _cuts(text: Column, kind: str) -> Column:
     return F.aggregate(starts, zero, step, lambda a: F.concat(F.flatten(a["done"]), a["now"]))
 
 
+def _judged(text: Column, kind: str) -> Column:
+    """The text in pieces with a verdict: array<struct<m, g, good, score>>. Context words count within NEAR
+    characters before a match and after it, as far as the next match of the kind."""
+    cuts, context = _cuts(text, kind), "(?i)" + CONTEXT[kind]
+    after = F.slice(F.transform(cuts, lambda z: F.left(z["g"], F.lit(NEAR)).rlike(context)), F.lit(2), F.size(cuts))
+
+    def verdict(z: Column) -> Column:
+        m, g = z["x"]["m"], z["x"]["g"]
+        near = F.right(g, F.lit(NEAR)).rlike(context) | F.coalesce(z["after"], F.lit(False))
+        score = F.least(F.lit(1.0), F.lit(SCORES[kind]) + F.when(near, CONTEXT_ADDS).otherwise(0.0))
+        ok = confirmed(kind, m)
+        good = ok if kind in BASE else ok & (score >= LEAST)
+        return F.struct(m.alias("m"), g.alias("g"), F.coalesce(good, F.lit(False)).alias("good"), score.alias("score"))
+
+    return F.transform(F.arrays_zip(cuts.alias("x"), after.alias("after")), verdict)
+
+
 def find(text: Column, kind: str) -> Column:
     """Spans of one kind by start: array<struct<kind, start, end, score>>."""
     items = F.transform(
-        F.filter(_cuts(text, kind), lambda z: z["m"].isNotNull()),
-        lambda z: F.struct(
-            F.length(z["g"]).cast("long").alias("gap"),
-            F.length(z["m"]).cast("long").alias("size"),
-            confirmed(kind, z["m"]).alias("ok"),
-            F.least(F.lit(1.0), F.lit(SCORES[kind]) + F.when(F.right(z["g"], F.lit(NEAR)).rlike("(?i)" + CONTEXT[kind]), CONTEXT_ADDS).otherwise(0.0)).alias("score"),
-        ),
+        F.filter(_judged(text, kind), lambda z: z["m"].isNotNull()),
+        lambda z: F.struct(F.length(z["g"]).cast("long").alias("gap"), F.length(z["m"]).cast("long").alias("size"), z["good"].alias("good"), z["score"].alias("score")),
     )
-    good = (lambda x: x["ok"]) if kind in BASE else (lambda x: x["ok"] & (x["score"] >= LEAST))
     own = f"cast(array() as {_SPAN})"
 
     def step(a: Column, x: Column) -> Column:
@@ -135,8 +146,8 @@ def find(text: Column, kind: str) -> Column:
         full = F.size(a["now"]) >= 256  # blocks, so that appending stays cheap in texts with many spans
         return F.struct(
             (start + x["size"]).alias("at"),
-            F.when(~good(x), a["now"]).when(full, new).otherwise(F.concat(a["now"], new)).alias("now"),
-            F.when(good(x) & full, F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"]).alias("done"),
+            F.when(~x["good"], a["now"]).when(full, new).otherwise(F.concat(a["now"], new)).alias("now"),
+            F.when(x["good"] & full, F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"]).alias("done"),
         )
 
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.expr(own).alias("now"), F.expr(f"cast(array() as array<{_SPAN}>)").alias("done"))
@@ -154,13 +165,9 @@ def scan(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
 
 def _masked(text: Column, kind: str) -> Column:
     def piece(z: Column) -> Column:
-        good = confirmed(kind, z["m"])
-        if kind not in BASE:
-            near = F.right(z["g"], F.lit(NEAR)).rlike("(?i)" + CONTEXT[kind])
-            good = good & (F.lit(SCORES[kind]) + F.when(near, CONTEXT_ADDS).otherwise(0.0) >= LEAST)
-        return F.concat(z["g"], F.when(z["m"].isNull(), "").when(good, f"[{kind.upper()}]").otherwise(z["m"]))
+        return F.concat(z["g"], F.when(z["m"].isNull(), "").when(z["good"], f"[{kind.upper()}]").otherwise(z["m"]))
 
-    return F.array_join(F.transform(_cuts(text, kind), piece), "")
+    return F.array_join(F.transform(_judged(text, kind), piece), "")
 
 
 def redacted(text: Column, kinds: tuple[str, ...] = ("email", "iban", "card", "short_card", "phone", "ssn", "local_phone", "ip")) -> Column:
