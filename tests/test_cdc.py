@@ -166,3 +166,21 @@ def test_batches_and_checkpoint(spark, tmp_path):
     with pytest.raises(CheckpointRegressionError):
         c.commit(2, {"accounts": 4, "invoices": 9})
     assert c.mark("accounts") == 5 and c.mark("invoices") == 0 and c.is_complete(1) and not c.is_complete(2)
+
+
+def test_checkpoint_of_one_table(tmp_path):
+    c = Checkpoint(tmp_path)
+    assert c.load_table("accounts") == {"table_name": "accounts", "highest_source_sequence": 0, "last_processed_batch_id": 0, "last_updated_at": None, "processed_batch_ids": []}
+    assert c.advance("accounts", 7, 1)["highest_source_sequence"] == 7 and c.completed() == [1]
+    c.save_table("accounts", {"table_name": "accounts", "highest_source_sequence": 9, "last_processed_batch_id": 2, "processed_batch_ids": [1, 2], "last_updated_at": None})
+    assert c.mark("accounts") == 9 and json.loads((tmp_path / "accounts.json").read_text())["highest_source_sequence"] == 9
+    with pytest.raises(CheckpointRegressionError):
+        c.advance("accounts", 8, 3)
+    old = Checkpoint(tmp_path / "old")
+    (tmp_path / "old").mkdir()
+    for t in ("accounts", "subscriptions", "invoices"):
+        (tmp_path / "old" / f"{t}.json").write_text(json.dumps({"highest_source_sequence": 5, "last_processed_batch_id": 3, "processed_batch_ids": [2, 3]}))
+    (tmp_path / "old" / "payments.json").write_text("{broken")
+    assert old.mark("accounts") == 5 and old.mark("payments") == 0 and old.completed() == []
+    (tmp_path / "old" / "payments.json").write_text(json.dumps({"highest_source_sequence": 4, "processed_batch_ids": [3]}))
+    assert old.completed() == [3]

@@ -103,6 +103,25 @@ class Checkpoint:
     def is_complete(self, batch_id: int) -> bool:
         return batch_id in self.load()["completed_batch_ids"]
 
+    def completed(self) -> list[int]:
+        return list(self.load()["completed_batch_ids"])
+
+    def load_table(self, table: str) -> dict:
+        """One table's mark, with the batches that are complete."""
+        state = self.load()
+        own = state["tables"].get(table, {"highest_source_sequence": 0, "last_processed_batch_id": 0, "last_updated_at": None})
+        return {"table_name": table, **own, "processed_batch_ids": state["completed_batch_ids"]}
+
+    def save_table(self, table: str, state: dict) -> None:
+        """Commit one table's mark and write it to the table's own file as well, which older readers expect."""
+        self.commit(state["last_processed_batch_id"], {table: state["highest_source_sequence"]})
+        self._replace(self.path.parent / f"{table}.json", state)
+
+    def advance(self, table: str, sequence: int, batch_id: int) -> dict:
+        """Raise one table's mark; an error if it would fall."""
+        self.commit(batch_id, {table: sequence})
+        return self.load_table(table)
+
     def commit(self, batch_id: int, marks: dict[str, int]) -> None:
         state, now = self.load(), datetime.now(timezone.utc).isoformat()
         for t, seq in marks.items():
@@ -112,14 +131,19 @@ class Checkpoint:
             state["tables"][t] = {"highest_source_sequence": seq, "last_processed_batch_id": batch_id, "last_updated_at": now}
         state["completed_batch_ids"] = sorted({*state["completed_batch_ids"], batch_id})
         state["last_updated_at"] = now
-        self.path.parent.mkdir(parents=True, exist_ok=True)
-        fd, tmp = tempfile.mkstemp(dir=self.path.parent, prefix=".checkpoint-")
+        self._replace(self.path, state)
+
+    @staticmethod
+    def _replace(path: Path, content: dict) -> None:
+        """Write a file whole or not at all."""
+        path.parent.mkdir(parents=True, exist_ok=True)
+        fd, tmp = tempfile.mkstemp(dir=path.parent, prefix=".checkpoint-")
         try:
             with os.fdopen(fd, "w") as f:
-                json.dump(state, f, indent=2, sort_keys=True)
+                json.dump(content, f, indent=2, sort_keys=True)
                 f.flush()
                 os.fsync(f.fileno())
-            os.replace(tmp, self.path)
+            os.replace(tmp, path)
         except BaseException:
             Path(tmp).unlink(missing_ok=True)
             raise
