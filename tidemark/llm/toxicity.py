@@ -40,7 +40,7 @@ LEAST_DOCS = 3
 SIZES = (3, 4, 5, 6)
 THRESHOLD = 0.3
 #: Words whose weight a worker remembers.
-_CACHED = 60_000
+_CACHED = 100_000
 
 
 def words_of(text: str | None) -> set[str]:
@@ -68,20 +68,23 @@ class Model:
     weights: dict[str, float]
     bias: float
     _seen: dict[str, float] = field(default_factory=dict, repr=False)
+    _old: dict[str, float] = field(default_factory=dict, repr=False)
     _find: Callable[[str], set[str]] | None = field(default=None, repr=False)
 
     def __getstate__(self) -> dict:
-        return {"weights": self.weights, "bias": self.bias, "_seen": {}, "_find": None}
+        return {"weights": self.weights, "bias": self.bias, "_seen": {}, "_old": {}, "_find": None}
 
     def word(self, w: str) -> float:
         x = self._seen.get(w)
         if x is None:
-            if self._find is None:
-                self._find = finder(self.weights)
-            x = math.fsum(self.weights[g] for g in self._find(w))
+            x = self._old.get(w)
+            if x is None:
+                if self._find is None:
+                    self._find = finder(self.weights)
+                x = math.fsum(self.weights[g] for g in self._find(w))
             if len(w) <= 64:
-                if len(self._seen) >= _CACHED:
-                    self._seen.clear()
+                if len(self._seen) >= _CACHED:  # what is seen again comes back from the older half
+                    self._old, self._seen = self._seen, {}
                 self._seen[w] = x
         return x
 
