@@ -505,6 +505,7 @@ def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     id the one whose text sorts first. Documents without words and rows with a null id stay, and an id
     with several texts goes only if each is in a component of a smaller id."""
     found = cut(join(docs, key, text))
+    release(docs.sparkSession)
     stays = F.max((F.col("component_id") == F.col("doc_id")).cast("int"))
     gone = cut(found.where("doc_id is not null").groupBy("doc_id").agg(stays.alias("_stays")).where("_stays = 0").select(F.col("doc_id").alias("_gone")))
     out = docs.join(F.broadcast(gone) if rows_of(gone) <= BROADCAST else gone, docs[key].cast("long") == gone["_gone"], "left_anti")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut, small_batches
+from .common import crc_mod, cut, release, small_batches
 
 #: Bound of the labelled sample that a fit may use, in documents.
 MAX_TRAIN = 16_000
@@ -228,7 +228,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     if ids is None or not len(ids.flatten()):
         return Model({}, math.log((toxic + 0.5) / (n - toxic + 0.5)))
     ends = ids.offsets.to_numpy()[1:].astype(np.int64) - int(ids.offsets[0].as_py())
-    w, b = _logistic(ids.flatten().to_numpy(), got.column("v").combine_chunks().flatten().to_numpy(), ends, r, (got.column("y").to_numpy() > 0).astype(float))
+    idx, val = (got.column(c).combine_chunks().flatten().to_numpy().copy() for c in ("i", "v"))
+    y = (got.column("y").to_numpy() > 0).astype(float)
+    del got, ids
+    pa.default_memory_pool().release_unused()
+    release(docs.sparkSession)  # the sample's vectors are out of both heaps before the fit begins
+    w, b = _logistic(idx, val, ends, r, y)
     return Model({g: float(w[k] * r[k]) for g, k in place.items() if w[k]}, b)
 
 
