@@ -184,3 +184,13 @@ def test_checkpoint_of_one_table(tmp_path):
     assert old.mark("accounts") == 5 and old.mark("payments") == 0 and old.completed() == []
     (tmp_path / "old" / "payments.json").write_text(json.dumps({"highest_source_sequence": 4, "processed_batch_ids": [3]}))
     assert old.completed() == [3]
+
+
+def test_events_are_derived_and_checked_without_a_nested_loop(spark):
+    """The rules stand once in the plan of a diagnostic, and no join is a nested loop."""
+    from tidemark import queries
+
+    df = queries.QUERIES["diag_events_by_operation"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString() and "Join" not in plan
+    assert plan.count("Generate") == 1 and plan.count("PAYLOAD_NOT_A_JSON_OBJECT") == 1
