@@ -246,6 +246,7 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
 def test_top_k_keeps_repeated_rows(spark, monkeypatch, tmp_path):
     import duckdb
 
+    monkeypatch.setattr(topk, "PIVOTS", 3)
     monkeypatch.setattr(topk, "CANDIDATES", 20)
     monkeypatch.setattr(topk, "QUERIES", 2)
     rng = np.random.default_rng(8)

@@ -329,3 +329,39 @@ def test_pii_context_counts_on_both_sides(spark):
     assert got == {0: [(0, "ssn")], 1: [(8, "ssn")], 2: [], 3: [(16, "ssn")]}
     clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
     assert clean[0] == "[SSN] is my social security number" and clean[2] == texts[2] and clean[3] == "123-45-6789 and [SSN] ssn"
+
+
+@pytest.mark.parametrize("scale", [3, 3e15], ids=["exact in doubles", "beyond doubles"])
+def test_top_k_over_many_cells_equals_brute_force(spark, monkeypatch, scale):
+    """Clusters, copies, ties and vectors of several lengths over regions of several cells."""
+    for name, value in (("CANDIDATES", 10), ("QUERIES", 3), ("PIVOTS", 7)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(6, 20)) * 4
+    rows = []
+    for i in range(240):
+        v = np.round((centres[i % 6] + rng.normal(size=20) * (i % 4)) * scale)[: 20 - i % 3 * 4]
+        rows.append((i, [float(x) for x in v]))
+    rows += [(i + 1000, rows[7][1]) for i in range(30)] + [(400, []), (450, None), rows[50]]
+    df = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), scale=1)
+    got = sorted(map(tuple, topk.top_k(df.where("vec_id % 50 = 0"), df, k=4).collect()))
+    whole = [(i, [int(x) for x in v]) for i, v in rows if v]
+    want = []
+    for i in sorted({i for i, _ in whole if i % 50 == 0}):
+        scores = []
+        for v in (v for j, v in whole if j == i):
+            scores += [(max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(v, x)))), j) for j, x in whole if j != i]
+        best = sorted(scores, key=lambda x: (-x[0], x[1]))[:4]
+        want += [(i, r + 1, j, s) for r, (s, j) in enumerate(best)]
+    assert got == sorted(want)
+
+
+def test_top_k_leaves_out_regions_and_keeps_thresholds_below_the_best():
+    rng = np.random.default_rng(2)
+    x = np.round(np.vstack([rng.normal(size=(50, 32)) + 40 * s for s in (1, -1)]))
+    cell = topk.Cell(np.arange(100), x)
+    rows, found, score, least = cell.search(np.array([0, 99]), x[[0, 99]], np.full(2, -np.inf), 5)
+    products = x[[0, 99]] @ x.T
+    products[0, 0] = products[1, 99] = -np.inf
+    assert (least == np.sort(products, axis=1)[:, -5]).all() and len(rows) == 10
+    assert (score == products[rows, found]).all() and set(found[:5]) < set(range(50)) and set(found[5:]) < set(range(50, 100))
