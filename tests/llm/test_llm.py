@@ -18,7 +18,10 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long, star
 
 def docs(spark, texts):
     """documents with two more columns of clashing names, in four partitions."""
-    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x", "y") for i, t in enumerate(texts)], DOCS).repartition(4)
+    return (
+        spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x", "y") for i, t in enumerate(texts)], DOCS)
+        .repartition(4)
+    )
 
 
 def prose(rng, n, words=400):
@@ -30,17 +33,40 @@ ODD = [None, "", " \n\t ", "a", "a b c d", "é" * 50_000, "a b c d", "日本 語
 
 def test_pii_equals_plain_python(spark):
     texts = [
-        *ODD, "mail a.b@c-d.example.com.+x@y.z, a@b", "ip 1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.255", "card 4111 1111 1111 1111 4111111111111112 4-1-1-1", "é+1 (555) 010-9999 +12 +1 2 +123456789012345678",
-        "x" * 3000 + "@" + "a." * 500 + "com", "IBAN GB82 WEST 1234 5698 7654 32 and GB83 WEST 1234 5698 7654 32", "phone 555-010-9999 or 555-010-9998x", "1" * 20_000, " ".join(f"u{i}@h.org" for i in range(700)),
-    ]
+        *ODD,
+        "mail a.b@c-d.example.com.+x@y.z, a@b",
+        "ip 1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.255",
+        "card 4111 1111 1111 1111 4111111111111112 4-1-1-1",
+        "é+1 (555) 010-9999 +12 +1 2 +123456789012345678",
+        "x" * 3000 + "@" + "a." * 500 + "com",
+        "IBAN GB82 WEST 1234 5698 7654 32 and GB83 WEST 1234 5698 7654 32",
+        "phone 555-010-9999 or 555-010-9998x",
+        "1" * 20_000,
+        " ".join(f"u{i}@h.org" for i in range(700)),
+    ]
     rules = [
-        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(x) <= 255 for x in s.split("."))),
-        ("card", r"[0-9]([\x20-]?[0-9])+", lambda s: 14 <= len(d := re.sub("[^0-9]", "", s)) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0),
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(x) <= 255 for x in s.split("."))),
+        (
+            "card",
+            r"[0-9]([\x20-]?[0-9])+",
+            lambda s: 14 <= len(d := re.sub("[^0-9]", "", s)) <= 19 and sum(
+                sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))
+            ) % 10 == 0
+        ),
         ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 10 <= len(re.sub("[^0-9]", "", s)) <= 15),
-    ]
-    rows = {r.doc_id: [(s.start, s.end, s.kind) for s in r.pii] for r in pii.scan(docs(spark, texts)).select("doc_id", "pii").collect()}
+    ]
+    rows = {
+        r.doc_id: [(s.start, s.end, s.kind) for s in r.pii]
+        for r in pii.scan(docs(spark, texts)).select("doc_id", "pii").collect()
+    }
     for i, t in enumerate(texts):
-        want = sorted((m.start(), r, m.end(), k) for r, (k, p, ok) in enumerate(rules) for m in re.finditer(p, t or "") if ok(m[0]))
+        want = sorted(
+            (m.start(), r, m.end(), k)
+            for r, (k, p, ok) in enumerate(rules)
+            for m in re.finditer(p, t or "")
+            if ok(m[0])
+        )
         assert [x for x in rows[i] if x[2] in pii.BASE] == [(s, e, k) for s, _, e, k in want]
     kinds = Counter(k for r in rows.values() for *_, k in r)
     assert kinds["iban"] == 1 and kinds["local_phone"] == 1
@@ -51,11 +77,23 @@ def test_pii_equals_plain_python(spark):
 def test_iban_ends_before_upper_case_words(spark):
     de, gb, no = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO9386011117947"
     cases = [  # a text and the account numbers in it
-        (f"IBAN {de} BIC COBADEFFXXX", [de]), (f"IBAN {gb} EUR 500", [gb]), (f"{de} {gb} {no} 12 X", [de, gb, no]), (f"REF AB12 {de} OK", [de]), (f"é日 {de.replace(' ', '')} 500 EUR, {gb}", [de.replace(" ", ""), gb]),
-        (f"{gb} And {no[:-1]}xA {no}", [gb, no]), ("DE88 3704 0044 0532 0130 00 BIC COBADEFFXXX", []), (f"pay {no}", [no]), (" ".join([de, "EUR 500", gb] * 300), [de, gb] * 300), ("AB12 " * 3000 + de, [de]), (None, []),
-    ]
+        (f"IBAN {de} BIC COBADEFFXXX", [de]),
+        (f"IBAN {gb} EUR 500", [gb]),
+        (f"{de} {gb} {no} 12 X", [de, gb, no]),
+        (f"REF AB12 {de} OK", [de]),
+        (f"é日 {de.replace(' ', '')} 500 EUR, {gb}", [de.replace(" ", ""), gb]),
+        (f"{gb} And {no[:-1]}xA {no}", [gb, no]),
+        ("DE88 3704 0044 0532 0130 00 BIC COBADEFFXXX", []),
+        (f"pay {no}", [no]),
+        (" ".join([de, "EUR 500", gb] * 300), [de, gb] * 300),
+        ("AB12 " * 3000 + de, [de]),
+        (None, []),
+    ]
     rows = docs(spark, [t for t, _ in cases])
-    found = {r.doc_id: [(s.start, s.end) for s in r.pii if s.kind == "iban"] for r in pii.scan(rows).select("doc_id", "pii").collect()}
+    found = {
+        r.doc_id: [(s.start, s.end) for s in r.pii if s.kind == "iban"]
+        for r in pii.scan(rows).select("doc_id", "pii").collect()
+    }
     clean = {r.doc_id: r.text for r in pii.redact(rows).collect()}
     for i, (t, ibans) in enumerate(cases):
         want, rest, at = [], t, 0
@@ -115,9 +153,19 @@ def test_decontamination_finds_edited_copies(spark):
     for i in range(0, 40, 9):
         edited[i] = "changed"
     clean = [" ".join(f"q{rng.randint(0, 5000)}" for _ in range(300)) for _ in range(20)]
-    texts = [*ODD, *clean, "pre " + items[0].upper().replace(" ", "!! ") + " post", "pre é " + " ".join(edited) + " post", "a tiny one here", items[2] + " x " + items[3]]
+    texts = [
+        *ODD,
+        *clean,
+        "pre " + items[0].upper().replace(" ", "!! ") + " post",
+        "pre é " + " ".join(edited) + " post",
+        "a tiny one here",
+        items[2] + " x " + items[3]
+    ]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    got = {(r.doc_id, r.item_id): (r.score, texts[r.doc_id][r.start : r.end]) for r in decontaminate.matches(docs(spark, texts), bench).collect()}
+    got = {
+        (r.doc_id, r.item_id): (r.score, texts[r.doc_id][r.start : r.end])
+        for r in decontaminate.matches(docs(spark, texts), bench).collect()
+    }
     n = len(ODD) + len(clean)
     assert set(got) == {(n, 0), (n + 1, 1), (n + 2, 5), (n + 3, 2), (n + 3, 3)}
     assert got[n, 0][0] == 1.0 and got[n + 1, 1][1].startswith("q") and got[n + 2, 5][1] == "tiny one"
@@ -151,7 +199,14 @@ def test_smith_waterman():
 
 def test_toxicity_held_out(spark):
     rng = random.Random(3)
-    texts = [prose(rng, 60) + (f" {rng.choice(['horrid', 'nasty', 'vilest'])}{rng.choice(['', '!', 'ly'])}" if i % 6 == 0 else "") for i in range(900)] + ODD
+    texts = (
+        [
+            prose(rng, 60)
+            + (f" {rng.choice(['horrid', 'nasty', 'vilest'])}{rng.choice(['', '!', 'ly'])}" if i % 6 == 0 else "")
+            for i in range(900)
+        ]
+        + ODD
+    )
     rows = docs(spark, texts)
     labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(900)] + [(0, None)], "doc_id long, toxic int")
     model = toxicity.fit(rows, labels)
@@ -168,7 +223,12 @@ def test_language_mixture(spark):
     sounds = {"aa": "bdg", "bb": "lmn", "cc": "prs"}
     word = lambda l: "".join(rng.choice(sounds[l]) + rng.choice("aeiou") for _ in range(3))
     rows = [(i, " ".join(word(l) for _ in range(40)), l) for i, l in ((i, ("aa", "bb", "cc")[i % 3]) for i in range(300))]
-    rows += [(300, " ".join([word("aa") for _ in range(60)] + [word("bb") for _ in range(30)]), None), (301, None, "aa"), (302, "12 !", "bb"), (303, "é" * 9000, None)]
+    rows += [
+        (300, " ".join([word("aa") for _ in range(60)] + [word("bb") for _ in range(30)]), None),
+        (301, None, "aa"),
+        (302, "12 !", "bb"),
+        (303, "é" * 9000, None)
+    ]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {r.doc_id: (r.lang_mix.lang_pred, r.lang_mix.score) for r in language.identify(df, language.fit(df)).collect()}
     assert all(got[i][0] == rows[i][2] for i in range(300))
@@ -179,7 +239,11 @@ def test_language_mixture(spark):
 
 def test_chat_round_trip(spark):
     texts = ["</s>[INST] ok [/INST]", "\\", "\\\\<|end|>", "<|turn|>user<|text|>", None, "", "é" * 100_000, "[INST", "\n"]
-    rows = [(c, t, ("user", "assistant", "system")[(c + t) % 3], texts[(c * 5 + t) % len(texts)]) for c in range(6) for t in range(9)]
+    rows = [
+        (c, t, ("user", "assistant", "system")[(c + t) % 3], texts[(c * 5 + t) % len(texts)])
+        for c in range(6)
+        for t in range(9)
+    ]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("part", F.lit(1))
     got = defaultdict(list)
     for r in sorted(chat.format_conversations(df, part_chars=50).collect(), key=lambda r: (r.conv_id, r.part)):
@@ -196,7 +260,9 @@ def test_chat_round_trip(spark):
 
 
 def test_templates():
-    t = chat.Template("{% if 1 + 1 == 2 %}{{ 'a' + 'b' }}{% else %}no{% endif %}{% for m in messages %}{% if loop.first %}<{% elif m.role == 'x' and not loop.last %}-{% else %}|{% endif %}{{ m.text | upper }}{% if loop.last %}>{% endif %}{% endfor %}")
+    t = chat.Template(
+        "{% if 1 + 1 == 2 %}{{ 'a' + 'b' }}{% else %}no{% endif %}{% for m in messages %}{% if loop.first %}<{% elif m.role == 'x' and not loop.last %}-{% else %}|{% endif %}{{ m.text | upper }}{% if loop.last %}>{% endif %}{% endfor %}"
+    )
     assert t.tree[0] == chat.Emit(chat.Const("ab"))
     assert "".join(p for p, _ in t.render([{"role": "x", "text": c} for c in "abc"])) == "ab<A-B|C>"
     for bad in ("{% if x %}", "{{ m.__class__() }}", "{{ open }}{% endfor %}", "{{ 1 | eval }}", "{% import os %}"):
@@ -221,9 +287,17 @@ def test_secrets():
 def test_secrets_of_letters_only():
     model = secrets.Model(secrets.labelled(["thereationing", "retationerenst"]))
     rng = random.Random(11)
-    for letters, least in (("abcdefghijklmnopqrstuvwxyz", 0.9), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.99), ("abcdefghijklmnopqrstuvwxyz-_", 0.7)):
+    for letters, least in (
+        ("abcdefghijklmnopqrstuvwxyz", 0.9),
+        ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.99),
+        ("abcdefghijklmnopqrstuvwxyz-_", 0.7)
+    ):
         keys = ["".join(rng.choices(letters, k=32)) for _ in range(300)]
-        assert sum([(4, 36, "random")] == [x[:3] for x in secrets.spans(f"see {t} now", model)] for t in keys) >= least * len(keys)
+        assert (
+            sum(
+                [(4, 36, "random")] == [x[:3] for x in secrets.spans(f"see {t} now", model)] for t in keys
+            ) >= least * len(keys)
+        )
     held = secrets.labelled(n=2000, seed=99)
     assert sum(bool(secrets.spans(f"see {t} now", model)) == bool(y) for t, y in held) >= 0.97 * len(held)
 
@@ -234,11 +308,19 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(5)
     v = rng.normal(size=(300, 16)).round(1)
     v[100:140] = v[50]
-    rows = [(i, [float(x) for x in v[i]]) for i in range(300)] + [(300, None), (350, [float("nan")] * 16), (351, [None] * 16), (352, []), (7, [float(x) for x in v[7]])]
+    rows = [(i, [float(x) for x in v[i]]) for i in range(300)] + [
+        (300, None), (350, [float("nan")] * 16), (351, [None] * 16), (352, []), (7, [float(x) for x in v[7]])
+    ]
     df = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     got = sorted(map(tuple, topk.top_k(df.where("vec_id % 50 = 0"), df).collect()))
     q = np.floor(v * 256).astype(int)
-    want = sorted((i, r + 1, j, s) for i in range(0, 300, 50) for r, (s, j) in enumerate(sorted(((int(q[i] @ q[j]), j) for j in range(300) if j != i), key=lambda x: (-x[0], x[1]))[:5]))
+    want = sorted(
+        (i, r + 1, j, s)
+        for i in range(0, 300, 50)
+        for r, (s, j) in enumerate(
+            sorted(((int(q[i] @ q[j]), j) for j in range(300) if j != i), key=lambda x: (-x[0], x[1]))[:5]
+        )
+    )
     assert got == want
     assert topk.top_k(df.limit(0), df).count() == 0
 
@@ -251,7 +333,12 @@ def test_top_k_keeps_repeated_rows(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(topk, "QUERIES", 2)
     rng = np.random.default_rng(8)
     v = [[float(x) for x in r] for r in rng.normal(size=(120, 16)).round(1)]
-    rows = list(enumerate(v)) + [(7, [30 * x for x in v[0]])] + [(9, [2 * x for x in v[50]])] * 8 + [(50, v[3]), (100, v[100]), (11, v[3])]
+    rows = (
+        list(enumerate(v))
+        + [(7, [30 * x for x in v[0]])]
+        + [(9, [2 * x for x in v[50]])] * 8
+        + [(50, v[3]), (100, v[100]), (11, v[3])]
+    )
     spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
     con = duckdb.connect()
     con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
@@ -263,7 +350,21 @@ def test_top_k_keeps_repeated_rows(spark, monkeypatch, tmp_path):
 def test_tokens_equal_the_library():
     tokens = packing.Tokens(queries.vocabulary_path())
     rng = random.Random(6)
-    texts = ["", "a  b", " a", "a ", "x\n\ny z", "a \nb", "don't we'll 12 3!?", "日本 語", "<|endoftext|> hi", "a\tb c", "Œuvre", "q" * 5000, *(prose(rng, 50) + rng.choice([".", "\nÉté ", "###", " ¿qué? ñ"]) for _ in range(100))]
+    texts = [
+        "",
+        "a  b",
+        " a",
+        "a ",
+        "x\n\ny z",
+        "a \nb",
+        "don't we'll 12 3!?",
+        "日本 語",
+        "<|endoftext|> hi",
+        "a\tb c",
+        "Œuvre",
+        "q" * 5000,
+        *(prose(rng, 50) + rng.choice([".", "\nÉté ", "###", " ¿qué? ñ"]) for _ in range(100))
+    ]
     assert tokens.fast is not None
     for t in texts:
         assert tokens.encode(t) == np.array(tokens.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
@@ -274,7 +375,16 @@ def test_added_tokens_equal_a_fresh_tokenizer():
 
     tokens, fresh = packing.Tokens(queries.vocabulary_path()), Tokenizer.from_file(queries.vocabulary_path())
     assert fresh.encode("<|endoftext|> hi", add_special_tokens=False).ids == [50256, 23105]
-    for t in ("<|endoftext|> hi", "a b<|endoftext|>c d", "one <|endoftext|><|endoftext|> two", "é <|endoftext|>", "日本 <|endoftext|>  x", "<|endoftext|", "endoftext|> a", "plain words only"):
+    for t in (
+        "<|endoftext|> hi",
+        "a b<|endoftext|>c d",
+        "one <|endoftext|><|endoftext|> two",
+        "é <|endoftext|>",
+        "日本 <|endoftext|>  x",
+        "<|endoftext|",
+        "endoftext|> a",
+        "plain words only"
+    ):
         assert np.frombuffer(tokens.encode(t), "<u4").tolist() == fresh.encode(t, add_special_tokens=False).ids
 
 
@@ -292,7 +402,10 @@ def test_packing(spark):
         ids = tokens.encode(t or "") + (2).to_bytes(4, "little")
         own = sorted(by_doc[i], key=lambda r: r.piece)
         assert [r.piece for r in own] == list(range(len(own))) and sum(r.length for r in own) == len(ids) // 4
-        assert all(r.ids_crc32 == zlib.crc32(ids[4 * r.start : 4 * (r.start + r.length)]) for r in own) and all(r.length == 1024 for r in own[1:])
+        assert (
+            all(r.ids_crc32 == zlib.crc32(ids[4 * r.start : 4 * (r.start + r.length)]) for r in own)
+            and all(r.length == 1024 for r in own[1:])
+        )
         total += len(ids) // 4
     for own in by_seq.values():
         at = 0
@@ -317,26 +430,48 @@ def test_search_beats_best_fit():
 
 def test_licenses(spark):
     rows = [
-        (0, "r/a/LICENSE", "Licensed under the Apache License, Version 2.0."), (1, "r/a/b/c/x.py", "no words about it"), (2, "r/y.py", "code here"), (3, "r/a/z.py", "code\nReleased under the MIT License.\nmore code here"),
-        (4, None, None), (5, "r/a/b/LICENSE.txt", "Licensed under CC BY-NC 4.0."), (6, "r/a/w.py", ""), (7, "r/ab/v.py", "a licence to print money"),
-    ]
+        (0, "r/a/LICENSE", "Licensed under the Apache License, Version 2.0."),
+        (1, "r/a/b/c/x.py", "no words about it"),
+        (2, "r/y.py", "code here"),
+        (3, "r/a/z.py", "code\nReleased under the MIT License.\nmore code here"),
+        (4, None, None),
+        (5, "r/a/b/LICENSE.txt", "Licensed under CC BY-NC 4.0."),
+        (6, "r/a/w.py", ""),
+        (7, "r/ab/v.py", "a licence to print money"),
+    ]
     df = spark.createDataFrame(rows, "doc_id long, path string, text string")
     got = {r.doc_id: (r.license, r.origin, r.licensed_by) for r in licenses.scan(df, licenses.fit(df)).collect()}
     assert got == {
-        0: ("Apache-2.0", "file", None), 1: ("CC-BY-NC-4.0", "inherited", "r/a/b"), 2: (None, "none", None), 3: ("MIT", "header", None), 4: (None, "none", None),
+        0: ("Apache-2.0", "file", None),
+        1: ("CC-BY-NC-4.0", "inherited", "r/a/b"),
+        2: (None, "none", None),
+        3: ("MIT", "header", None),
+        4: (None, "none", None),
         5: ("CC-BY-NC-4.0", "file", None), 6: ("Apache-2.0", "inherited", "r/a"), 7: (None, "none", None),
-    }
+    }
 
 
 def test_whole_license_text_speaks_for_its_directory(spark):
     mit, bsd = (f"Copyright (c) 2020 The Authors\n\n{licenses.FILES[k]}" for k in ("MIT", "BSD-3-Clause"))
     long = "Licensed under the MIT License. " * 90
-    rows = [(0, "a/one", mit), (1, "a/two", "code"), (2, "b/one", bsd), (3, "b/two", None), (4, "c/one", mit + " ".join(f" w{i}" for i in range(300))), (5, "c/two", "code")]
+    rows = [
+        (0, "a/one", mit),
+        (1, "a/two", "code"),
+        (2, "b/one", bsd),
+        (3, "b/two", None),
+        (4, "c/one", mit + " ".join(f" w{i}" for i in range(300))),
+        (5, "c/two", "code")
+    ]
     df = spark.createDataFrame(rows, "doc_id long, path string, text string")
     model = licenses.fit(df)
     assert model.scan(long)[2] > 0  # more than 400 words are compared too
     got = {r.doc_id: (r.license, r.origin) for r in licenses.scan(df, model).collect()}
-    assert got == {0: ("MIT", "file"), 1: ("MIT", "inherited"), 2: ("BSD-3-Clause", "file"), 3: ("BSD-3-Clause", "inherited"), 4: ("MIT", "header"), 5: (None, "none")}
+    assert (
+        got == {
+            0: ("MIT", "file"), 1: ("MIT", "inherited"), 2: ("BSD-3-Clause", "file"),
+            3: ("BSD-3-Clause", "inherited"), 4: ("MIT", "header"), 5: (None, "none")
+        }
+    )
 
 
 def test_word_hashes_do_not_cross_rows():
@@ -353,7 +488,10 @@ def test_words_that_collide_in_a_polynomial_hash_are_told_apart(spark):
     """Words of the Thue-Morse sequence and its complement have one polynomial hash modulo 2^64 for any base."""
     word = "".join("ab"[i.bit_count() % 2] for i in range(2048))
     other = word.translate({97: 98, 98: 97})
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs(spark, [f"p q {word} r s", f"p q {other} r s", f"P q {word} r\ts"])).collect()}
+    got = {
+        r.doc_id: (r.n_shingles, r.component_id)
+        for r in jaccard.join(docs(spark, [f"p q {word} r s", f"p q {other} r s", f"P q {word} r\ts"])).collect()
+    }
     assert got == {0: (1, 0), 1: (1, 1), 2: (1, 0)}
 
 
@@ -383,19 +521,40 @@ def test_pipeline_equals_plain_python_on_planted_cases(spark, tmp_path):
         elif i % 40 == 3:
             t += f" mail u{i}@h.org IBAN DE89 3704 0044 0532 0130 00 BIC <|endoftext|> ip 1.2.3.4"
         texts.append(t)
-        if i % 4 and i % 40 != 2 and not any(len(sets_of(t) & sets_of(texts[j])) >= 0.75 * len(sets_of(t) | sets_of(texts[j])) for j in range(i) if j % 4):
-            want[i] = t.replace(f"u{i}@h.org", "[EMAIL]").replace("DE89 3704 0044 0532 0130 00", "[IBAN]").replace("1.2.3.4", "[IP]")
+        if i % 4 and i % 40 != 2 and not any(
+            len(sets_of(t) & sets_of(texts[j])) >= 0.75 * len(sets_of(t) | sets_of(texts[j]))
+            for j in range(i)
+            if j % 4
+        ):
+            want[i] = (
+                t.replace(f"u{i}@h.org", "[EMAIL]")
+                .replace("DE89 3704 0044 0532 0130 00", "[IBAN]")
+                .replace("1.2.3.4", "[IP]")
+            )
     assert 280 <= len(want) < 290
-    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(
+        [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)],
+        "doc_id long, text string, lang string, source string, n_chars long"
+    ).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(
+        [(i, 1, int(i % 4 == 0)) for i in range(400)], "doc_id long, quality int, toxic int"
+    ).write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     fresh = Tokenizer.from_file(queries.vocabulary_path())
     ids = {i: np.array([*fresh.encode(t, add_special_tokens=False).ids, 2], "<u4") for i, t in want.items()}
-    assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows} == {(i, 0, 0, len(x), zlib.crc32(x.tobytes())) for i, x in ids.items()} and len(rows) == len(want)
+    assert (
+        {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows} == {
+            (i, 0, 0, len(x), zlib.crc32(x.tobytes())) for i, x in ids.items()
+        }
+        and len(rows) == len(want)
+    )
     by_seq = defaultdict(list)
     for r in rows:
         by_seq[r.sequence_id].append((r.offset, r.length))
     for own in by_seq.values():
         own.sort()
-        assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 1024
+        assert (
+            [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))]
+            and sum(n for _, n in own) <= 1024
+        )

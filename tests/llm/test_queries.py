@@ -92,7 +92,12 @@ def test_op3_toxicity(spark):
     got = {r.doc_id: r for r in queries.op3_toxicity(spark, sf).collect()}
     labels = {r["doc_id"]: r["toxic"] for r in pq.read_table(f"{sf}/labels.parquet").to_pylist()}
     assert len(got) == pq.read_metadata(f"{sf}/documents.parquet").num_rows
-    assert all(r.held_out == (crc(i, 4) == 2) and r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1 for i, r in got.items())
+    assert (
+        all(
+            r.held_out == (crc(i, 4) == 2) and r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1
+            for i, r in got.items()
+        )
+    )
     held = [i for i in labels if crc(i, 4) == 2 and i in got]
     assert sum(got[i].predicted == labels[i] for i in held) >= 0.98 * len(held)
 
@@ -104,7 +109,12 @@ def test_op8_language(spark):
     langs = {d["lang"] for d in docs if d["lang"]}
     assert len(got) == len(docs) and {r.lang_pred for r in got.values()} <= langs | {"und"}
     letters = {d["doc_id"]: any(c.isalpha() for c in d["text"] or "") for d in docs}
-    assert all(r.held_out == (crc(i, 5) == 0) and (r.lang_pred == "und") == (not letters[i]) and 0 <= r.score <= 1 for i, r in got.items())
+    assert (
+        all(
+            r.held_out == (crc(i, 5) == 0) and (r.lang_pred == "und") == (not letters[i]) and 0 <= r.score <= 1
+            for i, r in got.items()
+        )
+    )
     held = [d for d in docs if crc(d["doc_id"], 5) == 0 and d["lang"] and letters[d["doc_id"]]]
     assert sum(got[d["doc_id"]].lang_pred == d["lang"] for d in held) >= 0.95 * len(held)
 
@@ -124,12 +134,19 @@ def test_op9_packing(spark):
         total += len(ids)
         at = 0
         for k, r in enumerate(sorted(own[d["doc_id"]], key=lambda r: r.piece)):
-            assert (r.piece, r.start) == (k, at) and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes()) and (k == 0 or r.length == 1024)
+            assert (
+                (r.piece, r.start) == (k, at)
+                and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+                and (k == 0 or r.length == 1024)
+            )
             at += r.length
         assert at == len(ids)
     for pieces in by_sequence.values():
         pieces.sort()
-        assert [o for o, _ in pieces] == [sum(n for _, n in pieces[:k]) for k in range(len(pieces))] and sum(n for _, n in pieces) <= 1024
+        assert (
+            [o for o, _ in pieces] == [sum(n for _, n in pieces[:k]) for k in range(len(pieces))]
+            and sum(n for _, n in pieces) <= 1024
+        )
     assert len(by_sequence) <= -(-total // 1024) * 1.01 + 1
 
 
@@ -156,7 +173,10 @@ def test_packing_is_exact_on_small_histograms():
     rng = random.Random(21)
     for _ in range(250):
         capacity = rng.choice([10, 20, 50, 100])
-        items = [rng.randint(1, capacity) if rng.random() < 0.3 else rng.randint(max(1, capacity // 5), capacity // 2) for _ in range(rng.randint(1, 11))]
+        items = [
+            rng.randint(1, capacity) if rng.random() < 0.3 else rng.randint(max(1, capacity // 5), capacity // 2)
+            for _ in range(rng.randint(1, 11))
+        ]
         counts = Counter(items)
         runs, proven = packing.search(counts, capacity)
         used = Counter()
@@ -184,7 +204,9 @@ def test_op2_equals_alignment_of_all_pairs(spark):
             if len(words) < decontaminate.SHORT or np.isin(words, text).sum() < decontaminate.LEAST_SCORE * len(words) - 1:
                 continue  # too few common words for half of the item's score
             score, same, _, _ = decontaminate.align(words, text)
-            if score >= decontaminate.LEAST_SCORE * decontaminate.MATCH * len(words) and same >= min(decontaminate.LEAST_WORDS, len(words)):
+            if score >= decontaminate.LEAST_SCORE * decontaminate.MATCH * len(words) and same >= min(
+                decontaminate.LEAST_WORDS, len(words)
+            ):
                 want.add((doc["doc_id"], item["item_id"]))
     assert got == want and want
 
@@ -228,21 +250,50 @@ def test_top_k_of_huge_components_is_defined(spark):
     assert [x[1] for x in got] == [7, 50, 8] and got[0][2] == 2**63 - 1 and got[2][2] == -(2**63)
 
 
-ODD = [None, "", " \n\t ", "a", "a b c d", "é" * 30_000, "a b c d", "日本 語", "license " * 2000, "x@y.z +1 (555) 010-9999 <|endoftext|>"]
-FIELDS = "doc_id long, text string, lang string, source string, n_chars long, license string, pii string, secrets string, lang_mix string, score double, rep long, token long, _rank int, _bad long, _salt int, length string"
+ODD = [
+    None,
+    "",
+    " \n\t ",
+    "a",
+    "a b c d",
+    "é" * 30_000,
+    "a b c d",
+    "日本 語",
+    "license " * 2000,
+    "x@y.z +1 (555) 010-9999 <|endoftext|>"
+]
+FIELDS = (
+    "doc_id long, text string, lang string, source string, n_chars long, license string, pii string, "
+    "secrets string, lang_mix string, score double, rep long, token long, _rank int, _bad long, _salt int, "
+    "length string"
+)
 
 
 def odd_tables(spark, folder, texts):
-    rows = [(i, t, "en" if i % 3 else None, "s", len(t or ""), *["x"] * 4, 0.5, 1, 2, 3, 4, 5, "y") for i, t in enumerate(texts)]
+    rows = [
+        (i, t, "en" if i % 3 else None, "s", len(t or ""), *["x"] * 4, 0.5, 1, 2, 3, 4, 5, "y")
+        for i, t in enumerate(texts)
+    ]
     if texts:
         rows += [rows[4], (None, "a b c d", *rows[4][2:]), (None, *rows[4][1:])]
     spark.createDataFrame(rows, FIELDS).repartition(3).write.parquet(f"{folder}/documents.parquet")
-    spark.createDataFrame([(0, 1, 0), (None, 1, 1)] if texts else [], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
-    spark.createDataFrame([(0, "a b c d e f g h"), (1, None), (2, "")] if texts else [], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame(
+        [(0, 1, 0), (None, 1, 1)] if texts else [], "doc_id long, quality int, toxic int"
+    ).write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(
+        [(0, "a b c d e f g h"), (1, None), (2, "")] if texts else [], "item_id long, text string"
+    ).write.parquet(f"{folder}/benchmark.parquet")
     vectors = [(0, [0.5, 1.0]), (50, None), (1, [0.5, None]), (2, [0.25, 0.25]), (2, [0.25, 0.25]), (None, [1.0, 1.0])]
-    spark.createDataFrame(vectors if texts else [], "vec_id long, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
-    turns = [(0, 0, "user", None), (0, 1, "assistant", "ok"), (0, 1, "assistant", "ok"), (None, None, None, "\\ <|end|>"), (1, 0, "assistant", "é" * 9000)]
-    spark.createDataFrame(turns if texts else [], "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+    spark.createDataFrame(
+        vectors if texts else [], "vec_id long, embedding array<float>"
+    ).write.parquet(f"{folder}/embeddings.parquet")
+    turns = [
+        (0, 0, "user", None), (0, 1, "assistant", "ok"), (0, 1, "assistant", "ok"), (None, None, None, "\\ <|end|>"),
+        (1, 0, "assistant", "é" * 9000)
+    ]
+    spark.createDataFrame(
+        turns if texts else [], "conv_id long, turn long, role string, text string"
+    ).write.parquet(f"{folder}/conversations.parquet")
     return len(rows)
 
 
@@ -274,13 +325,18 @@ def test_odd_and_empty_tables(spark, tmp_path, texts):
 
 def test_rows_without_an_id_are_judged_by_themselves(spark):
     item = " ".join(f"q{i}" for i in range(30))
-    df = spark.createDataFrame([(None, item, 1), (None, "clean text here", 2), (1, "pre " + item, 3), (2, "clean", 4)], "doc_id long, text string, _bad int")
+    df = spark.createDataFrame(
+        [(None, item, 1), (None, "clean text here", 2), (1, "pre " + item, 3), (2, "clean", 4)],
+        "doc_id long, text string, _bad int"
+    )
     bench = spark.createDataFrame([(0, item)], "item_id long, text string")
     assert sorted(r._bad for r in decontaminate.drop_contaminated(df, bench).collect()) == [2, 4]
 
 
 def test_secrets_fit_and_scan(spark):
-    df = spark.createDataFrame([(0, "key ghR7xQ2mZp9LkWv4TnB8sYd3 here"), (1, "plain words only"), (2, None)], "doc_id long, text string")
+    df = spark.createDataFrame(
+        [(0, "key ghR7xQ2mZp9LkWv4TnB8sYd3 here"), (1, "plain words only"), (2, None)], "doc_id long, text string"
+    )
     model = secrets.fit(df)
     got = {r.doc_id: [s.kind for s in r.secrets] for r in secrets.scan(df, model).collect()}
     assert got == {0: ["random"], 1: [], 2: []}
@@ -292,7 +348,11 @@ def test_language_tells_scripts_of_rare_letters_apart(spark):
     rng = random.Random(9)
     pick = lambda lo, hi: "".join(chr(rng.randint(lo, hi)) for _ in range(4))
     ranges = {"ko": (0xAC00, 0xD000), "zh": (0x4E00, 0x9000)}
-    rows = [(i, " ".join(pick(*ranges[lang]) for _ in range(20)), lang) for i in range(120) for lang in [("ko", "zh")[i % 2]]]
+    rows = [
+        (i, " ".join(pick(*ranges[lang]) for _ in range(20)), lang)
+        for i in range(120)
+        for lang in [("ko", "zh")[i % 2]]
+    ]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {r.doc_id: r.lang_mix.lang_pred for r in language.identify(df, language.fit(df)).collect()}
     held = [r for r in rows if crc(r[0], 5) == 0]
@@ -304,7 +364,10 @@ def test_components_in_one_task_equal_rounds_of_stars(spark):
 
     rng = random.Random(5)
     edges = spark.createDataFrame([(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)], "a long, b long")
-    one, rounds = (sorted(map(tuple, jaccard.components(edges, most).select("node", "component").collect())) for most in (None, 0))
+    one, rounds = (
+        sorted(map(tuple, jaccard.components(edges, most).select("node", "component").collect()))
+        for most in (None, 0)
+    )
     assert one == rounds and len(one) > 100
 
 
@@ -321,14 +384,23 @@ def test_frequent_shingles_by_join_give_the_same(spark, monkeypatch):
 
 
 def test_pii_context_counts_on_both_sides(spark):
-    texts = ["123-45-6789 is my social security number", "my ssn: 123-45-6789", "123-45-6789 of nothing", "123-45-6789 and 223-45-6789 ssn"]
+    texts = [
+        "123-45-6789 is my social security number",
+        "my ssn: 123-45-6789",
+        "123-45-6789 of nothing",
+        "123-45-6789 and 223-45-6789 ssn"
+    ]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     from tidemark.llm import pii
 
     got = {r.doc_id: [(s.start, s.kind) for s in r.pii] for r in pii.scan(df).collect()}
     assert got == {0: [(0, "ssn")], 1: [(8, "ssn")], 2: [], 3: [(16, "ssn")]}
     clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
-    assert clean[0] == "[SSN] is my social security number" and clean[2] == texts[2] and clean[3] == "123-45-6789 and [SSN] ssn"
+    assert (
+        clean[0] == "[SSN] is my social security number"
+        and clean[2] == texts[2]
+        and clean[3] == "123-45-6789 and [SSN] ssn"
+    )
 
 
 @pytest.mark.parametrize("scale", [3, 3e15], ids=["exact in doubles", "beyond doubles"])
@@ -350,7 +422,9 @@ def test_top_k_over_many_cells_equals_brute_force(spark, monkeypatch, scale):
     for i in sorted({i for i, _ in whole if i % 50 == 0}):
         scores = []
         for v in (v for j, v in whole if j == i):
-            scores += [(max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(v, x)))), j) for j, x in whole if j != i]
+            scores += [
+                (max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(v, x)))), j) for j, x in whole if j != i
+            ]
         best = sorted(scores, key=lambda x: (-x[0], x[1]))[:4]
         want += [(i, r + 1, j, s) for r, (s, j) in enumerate(best)]
     assert got == sorted(want)
@@ -364,4 +438,8 @@ def test_top_k_leaves_out_regions_and_keeps_thresholds_below_the_best():
     products = x[[0, 99]] @ x.T
     products[0, 0] = products[1, 99] = -np.inf
     assert (least == np.sort(products, axis=1)[:, -5]).all() and len(rows) == 10
-    assert (score == products[rows, found]).all() and set(found[:5]) < set(range(50)) and set(found[5:]) < set(range(50, 100))
+    assert (
+        (score == products[rows, found]).all()
+        and set(found[:5]) < set(range(50))
+        and set(found[5:]) < set(range(50, 100))
+    )

@@ -103,7 +103,10 @@ class Mark:
 _PIECE = re.compile(r"\{\{-?(.*?)-?\}\}|\{%-?(.*?)-?%\}|\{#.*?#\}", re.S)
 _LEX = re.compile(r"""\s*(?:(?P<str>'[^']*'|"[^"]*")|(?P<num>\d+)|(?P<name>[A-Za-z]\w*)|(?P<op>==|!=|<=|>=|[<>+|.()]))""")
 _FILTERS: dict[str, Callable[[str], str]] = {"escape": escape, "upper": str.upper, "lower": str.lower, "trim": str.strip}
-_BINARY: dict[str, Callable] = {"==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, ">": lambda a, b: a > b, "<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b, "+": lambda a, b: a + b}
+_BINARY: dict[str, Callable] = {
+    "==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, ">": lambda a, b: a > b,
+    "<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b, "+": lambda a, b: a + b
+}
 
 
 class _Expression:
@@ -371,7 +374,14 @@ def _step(node) -> Callable[[dict, bool], Iterator[tuple[str, bool]]]:
         i = 0
         while item is not None:  # one item ahead, so that loop.last is known in a stream
             following = next(it, None)
-            yield from body({**env, node.name: item, "loop": {"first": i == 0, "last": following is None, "index": i + 1, "index0": i}}, marked)
+            yield from body(
+                {
+                    **env,
+                    node.name: item,
+                    "loop": {"first": i == 0, "last": following is None, "index": i + 1, "index0": i}
+                },
+                marked
+            )
             item, i = following, i + 1
 
     return loop
@@ -390,15 +400,27 @@ class Template:
         return Template, (self.source,)
 
 
-def format_conversations(turns: DataFrame, template: str = DEFAULT, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", part_chars: int = PART_CHARS) -> DataFrame:
+def format_conversations(
+    turns: DataFrame, template: str = DEFAULT, conv: str = "conv_id", turn: str = "turn", role: str = "role",
+    text: str = "text", part_chars: int = PART_CHARS
+) -> DataFrame:
     """Rows (conv_id, part, formatted, marks): parts in order make the conversation's formatted
     text; marks are the [start, end) code points of each part that generation markers hold. A part
     ends at a turn's end unless a single turn is longer. Rows of a conversation are dealt to one
     task and streamed there; nothing holds a whole conversation."""
     small_batches(turns.sparkSession)
     compiled = Template(template)
-    rows = turns.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
+    rows = turns.select(
+        F.col(conv).cast("long").alias("conv_id"),
+        F.col(turn).cast("long").alias("turn"),
+        F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"),
+        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")
+    )
+    rows = (
+        rows.repartition("conv_id")
+        .sortWithinPartitions("conv_id", "turn", "role", "text")
+        .select("conv_id", "role", "text")
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream = ((c, {"role": r, "text": t}) for b in batches for c, r, t in zip(*(x.to_pylist() for x in b.columns)))
@@ -417,7 +439,18 @@ def format_conversations(turns: DataFrame, template: str = DEFAULT, conv: str =
         def flush() -> pa.RecordBatch:
             cols = list(zip(*out))
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array([[{"start": s, "end": e} for s, e in x] for x in cols[3]], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["conv_id", "part", "formatted", "marks"])
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(cols[0], pa.int64()),
+                    pa.array(cols[1], pa.int64()),
+                    pa.array(cols[2], pa.string()),
+                    pa.array(
+                        [[{"start": s, "end": e} for s, e in x] for x in cols[3]],
+                        pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+                    )
+                ],
+                ["conv_id", "part", "formatted", "marks"]
+            )
 
         size = 0
         while True:

@@ -41,7 +41,13 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 BROADCAST = 500_000
 #: Least share of the whole item's score, and least matched words, of a contaminated document.
 LEAST_SCORE, LEAST_WORDS = 0.5, 6
-_C = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F)]
+_C = [
+    np.uint64(x)
+    for x in (
+        0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB,
+        0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F
+    )
+]
 
 
 _PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -166,7 +172,11 @@ class Seeds:
                 if len(t) < n:
                     break
                 run = np.convolve(p, np.ones(n), "valid")
-                rare = (run + np.log(max(total, 1)) <= np.log(CHANCE)) & ~taken[: len(run)] if len(t) >= SHORT else np.ones(1, bool)
+                rare = (
+                    (run + np.log(max(total, 1)) <= np.log(CHANCE)) & ~taken[: len(run)]
+                    if len(t) >= SHORT
+                    else np.ones(1, bool)
+                )
                 half = (run <= np.log(WEAK)) & ~(weak | taken)[: len(run)] & ~rare
                 g = grams(t, n)
                 for i in np.flatnonzero(rare | half):
@@ -233,10 +243,14 @@ class Seeds:
         item, place = self.items[seed], self.places[seed]
         row, shift = doc[pos], pos - place
         slack = np.array([max(8, len(t) // 2) for t in self.texts])[item]
-        new = np.concatenate(([True], (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (shift[1:] - shift[:-1] > slack[1:])))
+        new = np.concatenate(
+            ([True], (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (shift[1:] - shift[:-1] > slack[1:]))
+        )
         starts = np.flatnonzero(new)
         # A strong seed, or two weak ones that don't overlap.
-        enough = np.logical_or.reduceat(self.strong[seed], starts) | (np.maximum.reduceat(place, starts) >= np.minimum.reduceat(place + self.sizes[seed], starts))
+        enough = np.logical_or.reduceat(self.strong[seed], starts) | (
+            np.maximum.reduceat(place, starts) >= np.minimum.reduceat(place + self.sizes[seed], starts)
+        )
         best: dict[tuple[int, int], tuple[float, int, int, int]] = {}
         for lo, hi, good in zip(starts.tolist(), [*starts[1:].tolist(), len(new)], enough.tolist()):
             if not good:
@@ -248,7 +262,9 @@ class Seeds:
             if shift[hi - 1] == a and a >= first[d] and a + m <= first[d + 1] and np.array_equal(h[a : a + m], t):
                 got = (1.0, m, a, a + m)
             else:
-                a, b = max(int(first[d]), a - int(slack[lo])), min(int(first[d + 1]), int(shift[hi - 1]) + m + int(slack[lo]))
+                a, b = max(int(first[d]), a - int(slack[lo])), min(
+                    int(first[d + 1]), int(shift[hi - 1]) + m + int(slack[lo])
+                )
                 score, same, s, e = align(t, h[a:b])
                 got = (score / whole, same, a + s, a + e)
             least = min(LEAST_WORDS, m) if m >= SHORT else m
@@ -268,21 +284,35 @@ def _blocks(benchmark: DataFrame, key: str, text: str) -> Iterator[tuple[list, l
     long = size > BLOCK_CHARS
     n, chars = items.where(~long).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
     blocks = max(1, -(-n // BLOCK_ITEMS), -(-2 * chars // BLOCK_CHARS))
-    parts = [items.where(~long) if blocks == 1 else items.where(~long & (F.pmod(F.xxhash64("k"), F.lit(blocks)) == b)) for b in range(blocks)]
+    parts = [
+        items.where(~long) if blocks == 1 else items.where(~long & (F.pmod(F.xxhash64("k"), F.lit(blocks)) == b))
+        for b in range(blocks)
+    ]
     for r in items.where(long).select("k").distinct().toLocalIterator():
         parts.append(items.where(long & (F.col("k") == r.k)))
     for part in parts:
         got = part.toArrow().sort_by("k")  # a block's items at most
-        yield got.column("k").to_pylist(), [h[lo:hi] for _, h, first in words(got.column("t")) for lo, hi in zip(first[:-1], first[1:])]
+        yield got.column("k").to_pylist(), [
+            h[lo:hi] for _, h, first in words(got.column("t")) for lo, hi in zip(first[:-1], first[1:])
+        ]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+def matches(
+    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
+    item_text: str = "text"
+) -> DataFrame:
     """(doc_id, item_id, score, matched, start, end): contaminated documents by item, and the code
     points of the passage."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    return reduce(DataFrame.unionByName, (_match_block(docs, ids, texts, benchmark.schema[item].dataType.simpleString()) for ids, texts in _blocks(benchmark, item, item_text)))
+    return reduce(
+        DataFrame.unionByName,
+        (
+            _match_block(docs, ids, texts, benchmark.schema[item].dataType.simpleString())
+            for ids, texts in _blocks(benchmark, item, item_text)
+        )
+    )
 
 
 def _match_block(docs: DataFrame, ids: list, texts: list[np.ndarray], item_type: str) -> DataFrame:
@@ -302,7 +332,8 @@ def _match_block(docs: DataFrame, ids: list, texts: list[np.ndarray], item_type:
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_pydict({"i": pa.array(at, pa.int64()), "n": pa.array(counts[at], pa.int64())})
 
-    got = docs.select("text").mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()  # the block's words at most
+    # The block's words at most.
+    got = docs.select("text").mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(len(vocabulary) + 1, np.int64)
     counts[got.column("i").to_numpy()] = got.column("n").to_numpy()
     seeds = spark.sparkContext.broadcast(Seeds(ids, texts, vocabulary, counts[:-1], int(counts[-1])))
@@ -317,11 +348,19 @@ def _match_block(docs: DataFrame, ids: list, texts: list[np.ndarray], item_type:
                     if d not in places:  # lower case moves no end of a word, so the text itself has the same ones
                         places[d] = list(_WORD.finditer(texts[d]))
                     own = places[d]
-                    out.append((keys[done + d].as_py(), s.ids[k], score, same, own[lo - first[d]].start(), own[hi - 1 - first[d]].end()))
+                    out.append(
+                        (
+                            keys[done + d].as_py(), s.ids[k], score, same, own[lo - first[d]].start(),
+                            own[hi - 1 - first[d]].end()
+                        )
+                    )
                 done += len(texts)
             if out:
                 kinds = (keys.type, None, pa.float64(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["doc_id", "item_id", "score", "matched", "start", "end"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*out), kinds)],
+                    ["doc_id", "item_id", "score", "matched", "start", "end"]
+                )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(find, f"doc_id {kind}, item_id {item_type}, score double, matched long, start long, end long")
@@ -340,4 +379,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id"
     if not rows_of(rest):
         return out.select(*docs.columns)
     found = cut(matches(rest, benchmark, number, text).select(F.col("doc_id").alias("_bad")).distinct())
-    return out.unionByName(rest.join(found, rest[number] == found["_bad"], "left_anti").select(*docs.columns)).select(*docs.columns)
+    return (
+        out.unionByName(rest.join(found, rest[number] == found["_bad"], "left_anti").select(*docs.columns))
+        .select(*docs.columns)
+    )

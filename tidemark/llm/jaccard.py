@@ -49,7 +49,10 @@ TILE = 512
 BROADCAST = 500_000
 #: Most edges whose components one task finds; beyond it they are found by rounds of joins.
 EDGES = 2_000_000
-_A = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F)]
+_A = [
+    np.uint64(x)
+    for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F)
+]
 
 # Shingle sets
 
@@ -84,7 +87,14 @@ def _sets(docs: DataFrame) -> DataFrame:
                 d2 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
             raw = pa.array([s.tobytes() for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [b.column("row"), b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(d1), pa.array(d2), raw],
+                [
+                    b.column("row"),
+                    b.column("doc_id"),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array(d1),
+                    pa.array(d2),
+                    raw
+                ],
                 ["row", "doc_id", "n", "d1", "d2", "shingles"],
             )
 
@@ -121,7 +131,10 @@ def _tokens(own: DataFrame, pick, fields: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [pick(k, np.frombuffer(raw, np.uint64)) for k, raw in zip(b.column("node").to_pylist(), b.column("shingles").to_pylist())]
+            got = [
+                pick(k, np.frombuffer(raw, np.uint64))
+                for k, raw in zip(b.column("node").to_pylist(), b.column("shingles").to_pylist())
+            ]
             got = [x for x in got if x is not None]
             if got:
                 yield pa.RecordBatch.from_pydict({c: pa.array(np.concatenate([x[c] for x in got])) for c in names})
@@ -170,7 +183,12 @@ def _prefixes(own: DataFrame) -> tuple[DataFrame, DataFrame]:
         take = np.flatnonzero(late)[: k - len(rare)] if frequent and len(rare) < k else rare[: 0 if frequent else k]
         if len(take):
             place = np.arange(len(take)) + (len(rare) if frequent else 0)
-            return {"token": _signed(s[take]), "node": np.full(len(take), node, np.int64), "n": np.full(len(take), len(s), np.int64), "lead": place < len(s) // 7 + 1}
+            return {
+                "token": _signed(s[take]),
+                "node": np.full(len(take), node, np.int64),
+                "n": np.full(len(take), len(s), np.int64),
+                "lead": place < len(s) // 7 + 1
+            }
 
     fields = "token long, node long, n long, lead boolean"
     rare, frequent = (_tokens(own, lambda k, s, f=f: pick(k, s, f), fields) for f in (False, True))
@@ -220,7 +238,12 @@ def _stars(hot: DataFrame) -> DataFrame:
     frequent shingles in its prefix."""
     share = hot.groupBy("node").agg((F.count("*") / F.max("n")).alias("share"))
     best = F.max(F.struct(F.col("share"), (-F.col("node")).alias("first"), F.col("n")))
-    centre = hot.join(share, "node").groupBy("token").agg(best.alias("c")).select("token", (-F.col("c.first")).alias("b"), F.col("c.n").alias("nb"))
+    centre = (
+        hot.join(share, "node")
+        .groupBy("token")
+        .agg(best.alias("c"))
+        .select("token", (-F.col("c.first")).alias("b"), F.col("c.n").alias("nb"))
+    )
     near = F.least("n", "nb") * DEN >= F.greatest("n", "nb") * NUM
     star = hot.join(_small(centre), "token").where((F.col("node") != F.col("b")) & near)
     swap = (F.col("n") > F.col("nb")) | ((F.col("n") == F.col("nb")) & (F.col("node") > F.col("b")))
@@ -244,7 +267,11 @@ def _tiles(own: DataFrame, hot: DataFrame, labels: DataFrame | None) -> DataFram
     else:
         rows = rows.withColumn("component", F.lit(None).cast("long"))
     rows = rows.withColumn("component", F.coalesce("component", "node"))
-    mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("b")).where("lo <> hi")
+    mixed = (
+        rows.groupBy("token")
+        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("b"))
+        .where("lo <> hi")
+    )
     rows = cut(rows.join(_small(mixed.select("token", "b")), "token"))
     if not rows_of(rows):
         return None
@@ -307,7 +334,10 @@ def _bitmaps(own: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bits = [(len(raw) // 8).to_bytes(8, "little") + bitmap(np.frombuffer(raw, np.uint64)) for raw in b.column("shingles").to_pylist()]
+            bits = [
+                (len(raw) // 8).to_bytes(8, "little") + bitmap(np.frombuffer(raw, np.uint64))
+                for raw in b.column("shingles").to_pylist()
+            ]
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(bits, pa.binary())], ["node", "bits"])
 
     return own.select("node", "shingles").mapInArrow(run, "node long, bits binary")
@@ -349,7 +379,9 @@ def _bounded(own: DataFrame, pairs: DataFrame) -> DataFrame:
                     keep.append(i)
                     diff.append(d)
             rows = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("a").take(rows), b.column("b").take(rows), pa.array(diff, pa.int64())], ["a", "b", "diff"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("a").take(rows), b.column("b").take(rows), pa.array(diff, pa.int64())], ["a", "b", "diff"]
+            )
 
     both = _both(pairs, _bitmaps(own), "bits").select("a", "b", "bits_a", "bits_b")
     return cut(both.mapInArrow(run, _PAIR + ", diff long"))
@@ -385,7 +417,10 @@ def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
 def _links(own: DataFrame, pairs: DataFrame, links: DataFrame | None, labels: DataFrame | None):
     """More links, and the components, from pairs (a, b, diff) that may be similar: first, for each
     document, the pair that looks closest; then whatever still joins two components."""
-    ends = pairs.select(F.col("a").alias("end"), *pairs.columns).unionByName(pairs.select(F.col("b").alias("end"), *pairs.columns))
+    ends = (
+        pairs.select(F.col("a").alias("end"), *pairs.columns)
+        .unionByName(pairs.select(F.col("b").alias("end"), *pairs.columns))
+    )
     first = cut(ends.groupBy("end").agg(F.min(F.struct("diff", "a", "b")).alias("p")).select("p.a", "p.b").distinct())
     for step in (0, 1):
         some = first if not step else cut(_apart(pairs.select("a", "b").join(first, ["a", "b"], "left_anti"), labels))
@@ -472,7 +507,10 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     same = ["n", "d1", "d2"]
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row")))
     classes = sets.where("n > 0").groupBy(*same).agg(first.alias("first"), F.count("*").alias("members"))
-    classes = cut(classes.select(*same, "members", F.col("first.row").alias("node"), F.col("first.doc_id").alias("least")).where("node is not null"))
+    classes = cut(
+        classes.select(*same, "members", F.col("first.row").alias("node"), F.col("first.doc_id").alias("least"))
+        .where("node is not null")
+    )
     own = _representatives(sets, classes)
     rare, hot = _prefixes(own)
     links = labels = None
@@ -507,11 +545,25 @@ def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     found = cut(join(docs, key, text))
     release(docs.sparkSession)
     stays = F.max((F.col("component_id") == F.col("doc_id")).cast("int"))
-    gone = cut(found.where("doc_id is not null").groupBy("doc_id").agg(stays.alias("_stays")).where("_stays = 0").select(F.col("doc_id").alias("_gone")))
-    out = docs.join(F.broadcast(gone) if rows_of(gone) <= BROADCAST else gone, docs[key].cast("long") == gone["_gone"], "left_anti")
+    gone = cut(
+        found.where("doc_id is not null")
+        .groupBy("doc_id")
+        .agg(stays.alias("_stays"))
+        .where("_stays = 0")
+        .select(F.col("doc_id").alias("_gone"))
+    )
+    out = docs.join(
+        F.broadcast(gone) if rows_of(gone) <= BROADCAST else gone,
+        docs[key].cast("long") == gone["_gone"],
+        "left_anti"
+    )
     twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
     if twice.isEmpty():
         return out.select(*docs.columns)
     rank = free_name(docs, "_rank")
     order = Window.partitionBy(key).orderBy(F.col(text).asc_nulls_last(), F.xxhash64(*docs.columns))
-    return out.withColumn(rank, F.row_number().over(order)).where((F.col(rank) == 1) | F.col(key).isNull()).select(*docs.columns)
+    return (
+        out.withColumn(rank, F.row_number().over(order))
+        .where((F.col(rank) == 1) | F.col(key).isNull())
+        .select(*docs.columns)
+    )

@@ -165,7 +165,11 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     """Learn from documents whose crc32(key) mod 5 is not 0, about max_train of each language at
     most (by a hash of the key)."""
     small_batches(docs.sparkSession)
-    own = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where("k is not null and t is not null and l is not null").where(crc_mod(F.col("k"), 5) != 0)
+    own = (
+        docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
+        .where("k is not null and t is not null and l is not null")
+        .where(crc_mod(F.col("k"), 5) != 0)
+    )
     sizes = {r[0]: r[1] for r in own.groupBy("l").count().collect()}  # a row for each language
     langs = sorted(sizes)
     if not langs:
@@ -188,7 +192,9 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
                 g, n = np.unique(((two << 42) | (one << 21) | here)[counts], return_counts=True)
                 seen[name].update(dict(zip(g.tolist(), n.tolist())))
         for name, c in seen.items():
-            yield pa.RecordBatch.from_pydict({"l": [name] * len(c), "g": pa.array(c.keys(), pa.int64()), "n": pa.array(c.values(), pa.int64())})
+            yield pa.RecordBatch.from_pydict(
+                {"l": [name] * len(c), "g": pa.array(c.keys(), pa.int64()), "n": pa.array(c.values(), pa.int64())}
+            )
 
     got = sample.mapInArrow(count, "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n")).toArrow()
     name, g, n = (got.column(k).to_pylist() for k in range(3))

@@ -29,17 +29,43 @@ from .common import cut, many_to_one, small_batches
 
 # Short forms of well-known licenses' notices.
 TEMPLATES = {
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License"),
-    "MIT": ("Released under the MIT License", "Licensed under the MIT license", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3", "free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    "Apache-2.0": (
+        "Licensed under the Apache License, Version 2.0",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in "
+        "compliance with the License"
+    ),
+    "MIT": (
+        "Released under the MIT License",
+        "Licensed under the MIT license",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software "
+        "and associated documentation files"
+    ),
+    "GPL-3.0": (
+        "This work is licensed under the GNU General Public License, version 3",
+        "free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
+        "License as published by the Free Software Foundation, either version 3 of the License"
+    ),
     "GPL-2.0": ("Licensed under the GNU General Public License, version 2",),
     "LGPL-3.0": ("Licensed under the GNU Lesser General Public License, version 3",),
     "AGPL-3.0": ("Licensed under the GNU Affero General Public License, version 3",),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",),
-    "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Licensed under the BSD 3-Clause License"),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, "
+        "are permitted provided that the following conditions are met",
+        "Licensed under the BSD 3-Clause License"
+    ),
+    "CC-BY-4.0": (
+        "Licensed under CC BY 4.0",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License"
+    ),
+    "CC-BY-SA-4.0": (
+        "Licensed under CC BY-SA 4.0",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"
+    ),
+    "CC-BY-NC-4.0": (
+        "Licensed under CC BY-NC 4.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"
+    ),
     "CC0-1.0": ("Dedicated to the public domain under CC0 1.0 Universal",),
     "Unlicense": ("This is free and unencumbered software released into the public domain",),
 }
@@ -75,8 +101,15 @@ class Model:
     def __init__(self, df: dict[str, int], n: int, templates: dict[str, tuple[str, ...]] = TEMPLATES):
         self.top = math.log(1 + n) + 1
         self.idf = {t: math.log((1 + n) / (1 + df.get(t, 0))) + 1 for ts in templates.values() for x in ts for t in terms(x)}
-        self.templates = [(name, w, math.sqrt(sum(v * v for v in w.values()))) for name, ts in sorted(templates.items()) for w in (self.weights(terms(x)) for x in ts)]
-        self.files = [(name, w, math.sqrt(sum(v * v for v in w.values()))) for name, w in ((name, self.weights(terms(x))) for name, x in sorted(FILES.items()))]
+        self.templates = [
+            (name, w, math.sqrt(sum(v * v for v in w.values())))
+            for name, ts in sorted(templates.items())
+            for w in (self.weights(terms(x)) for x in ts)
+        ]
+        self.files = [
+            (name, w, math.sqrt(sum(v * v for v in w.values())))
+            for name, w in ((name, self.weights(terms(x))) for name, x in sorted(FILES.items()))
+        ]
 
     def weights(self, words: list[str]) -> dict[str, float]:
         return {t: (1 + math.log(c)) * self.idf.get(t, self.top) for t, c in Counter(words).items()}
@@ -126,7 +159,8 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
                     c.update(vocabulary & found)
         yield pa.RecordBatch.from_pydict({"t": list(c), "n": pa.array(c.values(), pa.int64())})
 
-    rows = docs.select(text).mapInArrow(count, "t string, n long").groupBy("t").agg(F.sum("n")).collect()  # the vocabulary at most
+    # The vocabulary at most.
+    rows = docs.select(text).mapInArrow(count, "t string, n long").groupBy("t").agg(F.sum("n")).collect()
     df = {r[0]: r[1] for r in rows}
     return Model(df, df.pop("", 0))
 

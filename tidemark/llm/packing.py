@@ -6,8 +6,9 @@ that histogram whatever the size of the corpus: the largest remaining length ope
 undominated fillings are enumerated, each is used as often as the counts allow, and branches whose
 waste passes the bound of the best solution so far (at first the best-fit one) are pruned. Best
 packing is NP-hard, so the search has a limit of steps; beyond it the best packing so far stands, which
-holds every piece but may take more sequences than need be. The solution is a list of runs (a pattern and how often it is used); a piece finds its place from its
-rank among the pieces of its length, which window functions give.
+holds every piece but may take more sequences than need be. The solution is a list of runs (a
+pattern and how often it is used); a piece finds its place from its rank among the pieces of its
+length, which window functions give.
 
 Defined cases: a null or empty text is one piece (the end token alone); a document longer than the
 capacity is cut so that all pieces but the first are full; repeated rows are packed each; an empty
@@ -68,13 +69,17 @@ class Tokens:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
         letters = [*range(33, 127), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        byte = {chr(b): b for b in letters} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in letters)}
+        byte = {chr(b): b for b in letters} | {
+            chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in letters)
+        }
         special = {t["content"] for t in spec.get("added_tokens", ())}
         self.added = tuple(special)
         ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if t not in special}
         merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
         self.fast = None
-        if merged == sorted(merged) and spec["pre_tokenizer"].get("type") == "ByteLevel" and not spec["pre_tokenizer"].get("add_prefix_space") and not spec.get("normalizer"):
+        before = spec["pre_tokenizer"]
+        plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and not spec.get("normalizer")
+        if plain and merged == sorted(merged):
             self.fast = tiktoken.Encoding("own", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.size = np.zeros(max(ranks.values()) + 1, np.int64)
         for t, i in ranks.items():
@@ -94,7 +99,11 @@ class Tokens:
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
         try:
-            plain = self.fast and not text.encode("latin-1").translate(None, self.PLAIN) and not any(x in text for x in self.added)
+            plain = (
+                self.fast
+                and not text.encode("latin-1").translate(None, self.PLAIN)
+                and not any(x in text for x in self.added)
+            )
         except UnicodeEncodeError:
             plain = False
         if not plain or not text or "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " ":
@@ -115,7 +124,10 @@ class Tokens:
 _tokens: dict[str, Tokens] = {}
 
 
-def pieces(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
+def pieces(
+    docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY,
+    end: int = END, with_ids: bool = False
+) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32[, ids binary]) of every document."""
     small_batches(docs.sparkSession)
     tail = np.array([end], "<u4").tobytes()
@@ -141,7 +153,9 @@ def pieces(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "t
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names)
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return docs.select(key, text).mapInArrow(
+        run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
+    )
 
 
 Run = tuple[tuple[int, ...], int]  # lengths of a sequence, largest first, and how often it is used
@@ -255,7 +269,9 @@ def _swappable(used: dict[int, int], left: dict[int, int], lengths: list[int], r
     return False
 
 
-def _descend(left: dict[int, int], pattern: tuple[int, ...], runs: list[Run], single: bool) -> tuple[dict[int, int], list[Run], int]:
+def _descend(
+    left: dict[int, int], pattern: tuple[int, ...], runs: list[Run], single: bool
+) -> tuple[dict[int, int], list[Run], int]:
     after, more = dict(left), list(runs)
     if single:
         for k in pattern:
@@ -346,7 +362,11 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, steps: int = STEPS) -> DataF
     base = sizes.withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     base = F.broadcast(base)  # GROUPS + capacity rows at most
     inside = Window.partitionBy("length", "_salt").orderBy(*key)
-    ranked = salted.withColumn("_rank", F.row_number().over(inside) - 1).join(base, ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
+    ranked = (
+        salted.withColumn("_rank", F.row_number().over(inside) - 1)
+        .join(base, ["length", "_salt"])
+        .withColumn("_rank", F.col("_rank") + F.col("_before"))
+    )
     # For each length: from which rank on a run of a pattern holds, with its first sequence and place.
     starts: dict[int, list[tuple[int, int, int]]] = {}
     taken: dict[int, int] = {}

@@ -47,9 +47,21 @@ CONTEXT = {
     "local_phone": r"phone|\btel|call|mobile|fax",
     "short_card": "card|visa|master|amex|credit|debit|pay",
 }
-_PATTERNS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "iban": IBAN, "ssn": SSN, "local_phone": LOCAL, "short_card": CARD}
+_PATTERNS = {
+    "email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "iban": IBAN, "ssn": SSN, "local_phone": LOCAL,
+    "short_card": CARD
+}
 #: A cheap test that a text can have the kind at all.
-_MAY = {"email": r"@[A-Za-z0-9-]++\.", "ip": r"[0-9]\.[0-9]", "card": r"(?:[0-9][ -]?){14}", "phone": r"\+[0-9]", "iban": r"[A-Z]{2}[0-9]{2}", "ssn": r"-[0-9]{2}-", "local_phone": r"[0-9]{3}[ .-][0-9]{4}", "short_card": r"(?:[0-9][ -]?){12}"}
+_MAY = {
+    "email": r"@[A-Za-z0-9-]++\.",
+    "ip": r"[0-9]\.[0-9]",
+    "card": r"(?:[0-9][ -]?){14}",
+    "phone": r"\+[0-9]",
+    "iban": r"[A-Z]{2}[0-9]{2}",
+    "ssn": r"-[0-9]{2}-",
+    "local_phone": r"[0-9]{3}[ .-][0-9]{4}",
+    "short_card": r"(?:[0-9][ -]?){12}"
+}
 
 
 def _digits(m: Column) -> Column:
@@ -61,14 +73,22 @@ def _mod97(m: Column) -> Column:
     plain = F.regexp_replace(m, " ", "")
     chars = F.split(F.concat(F.substring(plain, 5, 40), F.substring(plain, 1, 4)), "")
     value = lambda c: F.when(c.between("0", "9"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
-    rest = F.aggregate(chars, F.lit(0), lambda a, c: F.when(c == "", a).when(c.between("0", "9"), (a * 10 + value(c)) % 97).otherwise((a * 100 + value(c)) % 97))
+    rest = F.aggregate(
+        chars,
+        F.lit(0),
+        lambda a, c: F.when(c == "", a).when(
+            c.between("0", "9"), (a * 10 + value(c)) % 97
+        ).otherwise((a * 100 + value(c)) % 97)
+    )
     return F.length(plain).between(15, 34) & (rest == 1)
 
 
 def confirmed(kind: str, m: Column) -> Column:
     """Whether a match of the kind's pattern is one."""
     if kind == "ip":
-        return m.rlike(r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})){3}$")
+        return m.rlike(
+            r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})){3}$"
+        )
     if kind in ("card", "short_card"):
         n = F.length(_digits(m))
         return (n.between(14, 19) if kind == "card" else n.between(12, 13)) & F.call_function("luhn_check", _digits(m))
@@ -96,14 +116,21 @@ def _cuts(text: Column, kind: str) -> Column:
         ends = F.transform(F.sequence(F.size(words), F.lit(1), F.lit(-1)), lambda i: F.array_join(F.slice(words, 1, i), " "))
         return F.get(F.filter(ends, _mod97), F.lit(0))
 
-    starts = F.transform(raw, lambda z: F.struct(z["g"].alias("g"), F.left(z["m"], F.lit(4)).alias("head"), longest(z["m"]).alias("best")))
+    starts = F.transform(
+        raw,
+        lambda z: F.struct(z["g"].alias("g"), F.left(z["m"], F.lit(4)).alias("head"), longest(z["m"]).alias("best"))
+    )
     own = "array<struct<m:string,g:string>>"
 
     def step(a: Column, x: Column) -> Column:
         # skip: what a confirmed match took of the text after its first four characters
         over = F.greatest(a["skip"] - F.length(x["g"]), F.lit(0))
         m = F.when(over > 0, F.lit("")).otherwise(F.coalesce(x["best"], x["head"]))
-        new = F.array(F.struct(m.alias("m"), F.when(a["skip"] > 0, F.substr(x["g"], a["skip"] + 1)).otherwise(x["g"]).alias("g")))
+        new = F.array(
+            F.struct(
+                m.alias("m"), F.when(a["skip"] > 0, F.substr(x["g"], a["skip"] + 1)).otherwise(x["g"]).alias("g")
+            )
+        )
         full = F.size(a["now"]) >= 256
         return F.struct(
             F.when(over > 0, over - 4).otherwise(F.coalesce(F.length(x["best"]) - 4, F.lit(0))).alias("skip"),
@@ -111,7 +138,11 @@ def _cuts(text: Column, kind: str) -> Column:
             F.when(full, F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"]).alias("done"),
         )
 
-    zero = F.struct(F.lit(0).alias("skip"), F.expr(f"cast(array() as {own})").alias("now"), F.expr(f"cast(array() as array<{own}>)").alias("done"))
+    zero = F.struct(
+        F.lit(0).alias("skip"),
+        F.expr(f"cast(array() as {own})").alias("now"),
+        F.expr(f"cast(array() as array<{own}>)").alias("done")
+    )
     return F.aggregate(starts, zero, step, lambda a: F.concat(F.flatten(a["done"]), a["now"]))
 
 
@@ -136,13 +167,23 @@ def find(text: Column, kind: str) -> Column:
     """Spans of one kind by start: array<struct<kind, start, end, score>>."""
     items = F.transform(
         F.filter(_judged(text, kind), lambda z: z["m"].isNotNull()),
-        lambda z: F.struct(F.length(z["g"]).cast("long").alias("gap"), F.length(z["m"]).cast("long").alias("size"), z["good"].alias("good"), z["score"].alias("score")),
+        lambda z: F.struct(
+            F.length(z["g"]).cast("long").alias("gap"),
+            F.length(z["m"]).cast("long").alias("size"),
+            z["good"].alias("good"),
+            z["score"].alias("score")
+        ),
     )
     own = f"cast(array() as {_SPAN})"
 
     def step(a: Column, x: Column) -> Column:
         start = a["at"] + x["gap"]
-        new = F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + x["size"]).alias("end"), x["score"].alias("score")))
+        new = F.array(
+            F.struct(
+                F.lit(kind).alias("kind"), start.alias("start"), (start + x["size"]).alias("end"),
+                x["score"].alias("score")
+            )
+        )
         full = F.size(a["now"]) >= 256  # blocks, so that appending stays cheap in texts with many spans
         return F.struct(
             (start + x["size"]).alias("at"),
@@ -150,7 +191,11 @@ def find(text: Column, kind: str) -> Column:
             F.when(x["good"] & full, F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"]).alias("done"),
         )
 
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.expr(own).alias("now"), F.expr(f"cast(array() as array<{_SPAN}>)").alias("done"))
+    zero = F.struct(
+        F.lit(0).cast("long").alias("at"),
+        F.expr(own).alias("now"),
+        F.expr(f"cast(array() as array<{_SPAN}>)").alias("done")
+    )
     spans = F.aggregate(items, zero, step, lambda a: F.concat(F.flatten(a["done"]), a["now"]))
     return F.when(text.rlike(_MAY[kind]), spans).otherwise(F.expr(own))
 
@@ -159,8 +204,25 @@ def scan(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
     """docs with a column of all spans by start, then kind: array<struct<kind, start, end, score>>."""
     whole = F.coalesce(F.col(text), F.lit(""))
     both = F.concat(*(find(whole, k) for k in KINDS))
-    order = F.transform(both, lambda s: F.struct(s["start"].alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["score"].alias("score")))
-    return docs.withColumn(out, F.transform(F.array_sort(order), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score"))))
+    order = F.transform(
+        both,
+        lambda s: F.struct(
+            s["start"].alias("start"),
+            F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("rank"),
+            s["end"].alias("end"),
+            s["kind"].alias("kind"),
+            s["score"].alias("score")
+        )
+    )
+    return docs.withColumn(
+        out,
+        F.transform(
+            F.array_sort(order),
+            lambda s: F.struct(
+                s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score")
+            )
+        )
+    )
 
 
 def _masked(text: Column, kind: str) -> Column:
@@ -170,7 +232,10 @@ def _masked(text: Column, kind: str) -> Column:
     return F.array_join(F.transform(_judged(text, kind), piece), "")
 
 
-def redacted(text: Column, kinds: tuple[str, ...] = ("email", "iban", "card", "short_card", "phone", "ssn", "local_phone", "ip")) -> Column:
+def redacted(
+    text: Column,
+    kinds: tuple[str, ...] = ("email", "iban", "card", "short_card", "phone", "ssn", "local_phone", "ip")
+) -> Column:
     """The text with every confirmed span replaced by its kind in square brackets, kind by kind."""
     for kind in kinds:
         text = F.when(text.rlike(_MAY[kind]), _masked(text, kind)).otherwise(text)

@@ -94,7 +94,9 @@ class Cell:
         self.ids, self.x, self.norms, self.levels = ids, x, norms(x), levels_of(x)
         self.top = float(np.abs(x).max(initial=0.0))
 
-    def search(self, ids: np.ndarray, q: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def search(
+        self, ids: np.ndarray, q: np.ndarray, least: np.ndarray, k: int
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(rows of q, candidate ids, scores) of each query's k best candidates that reach least, and
         least raised to the k-th best score. Exact: integers below 2^53 in total are exact in
         doubles, others are multiplied as Python's."""
@@ -117,7 +119,10 @@ class Cell:
             score = near[rows, at].astype(np.int64)
         else:
             whole = lambda v: [int(a) for a in v]
-            score = np.array([_long(sum(a * b for a, b in zip(whole(q[i]), whole(self.x[j])))) for i, j in zip(rows, columns[at])], np.int64)
+            score = np.array(
+                [_long(sum(a * b for a, b in zip(whole(q[i]), whole(self.x[j])))) for i, j in zip(rows, columns[at])],
+                np.int64
+            )
         found = self.ids[columns[at]]
         order = np.lexsort((found, ~score, rows))  # ~score falls as score rises, and cannot overflow
         rows, found, score = rows[order], found[order], score[order]
@@ -158,25 +163,37 @@ class Regions:
                 norm = norms(x)
                 for p in np.unique(pivot):
                     own = pivot == p
-                    new = [int(own.sum()), norm[own].max(), mean[own].min(axis=0), mean[own].max(axis=0), spread[own].max(axis=0)]
+                    new = [
+                        int(own.sum()), norm[own].max(), mean[own].min(axis=0), mean[own].max(axis=0),
+                        spread[own].max(axis=0)
+                    ]
                     old = seen.get(p)
                     merge = (int.__add__, max, np.minimum, np.maximum, np.maximum)
                     seen[p] = new if old is None else [f(a, b) for f, a, b in zip(merge, old, new)]
             if seen:
                 n, norm, low, high, spread = zip(*seen.values())
                 lists = [pa.array([list(map(float, r)) for r in x], pa.list_(pa.float64())) for x in (low, high, spread)]
-                yield _batch(schema, pa.array(list(seen), pa.int32()), pa.array(n, pa.int64()), pa.array(map(float, norm), pa.float64()), *lists)
+                yield _batch(
+                    schema,
+                    pa.array(list(seen), pa.int32()),
+                    pa.array(n, pa.int64()),
+                    pa.array(map(float, norm), pa.float64()),
+                    *lists
+                )
 
         parts = candidates.select("pivot", "v").mapInArrow(run, schema)
         size = sum(m.shape[1] for m, _ in levels_of(np.zeros((1, width))))
         each = lambda f, name: F.array(*(f(F.col(name)[i]) for i in range(size))).alias(name)
         merged = parts.groupBy("pivot").agg(
-            F.sum("n").alias("n"), F.max("norm").alias("norm"), each(F.min, "low"), each(F.max, "high"), each(F.max, "spread")
+            F.sum("n").alias("n"), F.max("norm").alias("norm"), each(F.min, "low"), each(F.max, "high"),
+            each(F.max, "spread")
         )
         found = merged.orderBy("pivot").collect()  # a row a region
         self.at = np.array([r.pivot for r in found], np.int64)
         self.cells = {r.pivot: -(-r.n // self.rows) for r in found}
-        self.norm, self.low, self.high, self.spread = (np.array([r[x] for r in found]) for x in ("norm", "low", "high", "spread"))
+        self.norm, self.low, self.high, self.spread = (
+            np.array([r[x] for r in found]) for x in ("norm", "low", "high", "spread")
+        )
 
     def promising(self, q: np.ndarray, least: np.ndarray) -> list[np.ndarray]:
         """For each query the regions that may hold a candidate of at least that score."""
@@ -184,7 +201,11 @@ class Regions:
         start, room = 0, slack(norms(q), self.norm)
         for mean, spread in levels_of(q):
             own = slice(start, start + mean.shape[1])
-            bound = np.maximum(mean, 0) @ self.high[:, own].T + np.minimum(mean, 0) @ self.low[:, own].T + spread @ self.spread[:, own].T
+            bound = (
+                np.maximum(mean, 0) @ self.high[:, own].T
+                + np.minimum(mean, 0) @ self.low[:, own].T
+                + spread @ self.spread[:, own].T
+            )
             alive &= np.clip(bound, _LOW, _HIGH) + room >= least[:, None]
             start += mean.shape[1]
         return [self.at[row] for row in alive]
@@ -192,7 +213,9 @@ class Regions:
 
 def meet(candidates: DataFrame, queries: DataFrame, width: int, k: int, schema: str, out) -> DataFrame:
     """Every cell's queries stream past its candidates; out(cell or None, ids, v, q, least) gives a batch."""
-    lay = lambda df, kind, least: df.select("pivot", "cell", F.lit(kind).alias("kind"), "vec_id", "v", least.alias("least"))
+    lay = lambda df, kind, least: df.select(
+        "pivot", "cell", F.lit(kind).alias("kind"), "vec_id", "v", least.alias("least")
+    )
     both = lay(candidates, 0, F.lit(None).cast("double")).unionByName(lay(queries, 1, F.col("least")))
     both = both.repartition("pivot", "cell").sortWithinPartitions("pivot", "cell", "kind")
 
@@ -257,7 +280,10 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
 
     start = queries.select("pivot", F.lit(0).cast("long").alias("cell"), "vec_id", "v", F.lit(float("-inf")).alias("least"))
     known = meet(candidates.where("cell = 0"), start, width, k, thresholds, first)
-    sent = known.select("vec_id", "v", "least", F.explode("near").alias("pivot")).withColumn("pivot", F.col("pivot").cast("int"))
+    sent = (
+        known.select("vec_id", "v", "least", F.explode("near").alias("pivot"))
+        .withColumn("pivot", F.col("pivot").cast("int"))
+    )
     sent = sent.join(cells, "pivot").withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)))
 
     hits = "query_id long, vec_id long, score long"

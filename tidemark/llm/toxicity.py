@@ -109,9 +109,15 @@ def _ratios(words: DataFrame, alpha: float = 1.0) -> dict[str, float]:
                 for g in grams(w):
                     pos[g] += p
                     neg[g] += q
-            yield pa.RecordBatch.from_pydict({"g": list(pos), "p": pa.array(pos.values(), pa.int64()), "q": pa.array(neg.values(), pa.int64())})
-
-    counts = cut(words.mapInArrow(spell, "g string, p long, q long").groupBy("g").agg(F.sum("p").alias("p"), F.sum("q").alias("q")))
+            yield pa.RecordBatch.from_pydict(
+                {"g": list(pos), "p": pa.array(pos.values(), pa.int64()), "q": pa.array(neg.values(), pa.int64())}
+            )
+
+    counts = cut(
+        words.mapInArrow(spell, "g string, p long, q long")
+        .groupBy("g")
+        .agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    )
     total_p, total_q = counts.agg(F.coalesce(F.sum("p"), F.lit(0)), F.coalesce(F.sum("q"), F.lit(0))).first()
     p, q = F.col("p") + alpha, F.col("q") + alpha
     r = F.log(p / (total_p + alpha)) - F.log(q / (total_q + alpha))
@@ -123,7 +129,10 @@ def _ratios(words: DataFrame, alpha: float = 1.0) -> dict[str, float]:
 _BLOCK = 1 << 18
 
 
-def _logistic(idx: np.ndarray, val: np.ndarray, ends: np.ndarray, r: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 120) -> tuple[np.ndarray, float]:
+def _logistic(
+    idx: np.ndarray, val: np.ndarray, ends: np.ndarray, r: np.ndarray, y: np.ndarray, l2: float = 1e-3,
+    steps: int = 120
+) -> tuple[np.ndarray, float]:
     """Accelerated gradient descent with a fixed number of steps; deterministic. idx, val: the features of
     each row and their counts in small numbers, row by row; ends: where each row ends; r: the features'
     scales; y: labels. Rows are taken in blocks, so that no step holds them all in wider numbers."""
@@ -131,7 +140,11 @@ def _logistic(idx: np.ndarray, val: np.ndarray, ends: np.ndarray, r: np.ndarray,
     rows = np.flatnonzero(size)  # rows without a feature only see the bias
     starts = (ends - size)[rows]
     cuts = np.unique(np.searchsorted(starts, np.arange(0, int(ends[-1]), _BLOCK)))
-    blocks = [(rows[lo:hi], slice(int(starts[lo]), int(ends[rows[hi - 1]])), starts[lo:hi] - starts[lo], size[rows[lo:hi]]) for lo, hi in zip(cuts, [*cuts[1:], len(rows)]) if hi > lo]
+    blocks = [
+        (rows[lo:hi], slice(int(starts[lo]), int(ends[rows[hi - 1]])), starts[lo:hi] - starts[lo], size[rows[lo:hi]])
+        for lo, hi in zip(cuts, [*cuts[1:], len(rows)])
+        if hi > lo
+    ]
 
     def forward(v: np.ndarray, c: float) -> np.ndarray:
         scaled, z = v * r, np.full(len(y), c)
@@ -169,11 +182,17 @@ def _logistic(idx: np.ndarray, val: np.ndarray, ends: np.ndarray, r: np.ndarray,
     return w, float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_train: int = MAX_TRAIN) -> Model:
+def fit(
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
+    max_train: int = MAX_TRAIN
+) -> Model:
     """Learn from the labelled documents whose crc32(key) mod 4 is not 2, at most about max_train
     of them (by a hash of the key)."""
     small_batches(docs.sparkSession)
-    known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y is not null")
+    known = (
+        labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
+        .where("k is not null and y is not null")
+    )
     known = known.where(crc_mod(F.col("k"), 4) != 2).groupBy("k").agg(F.max("y").alias("y"))
     n, toxic = known.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("y") > 0, 1)), F.lit(0))).first()
     if not n or not toxic or toxic == n:
@@ -181,7 +200,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return Model({}, math.log((share + 1e-9) / (1 - share + 1e-9)))
     if n > max_train:
         known = known.where(F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < int((1 << 20) * max_train / n))
-    sample = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(known), "k").select("t", "y", F.xxhash64("k").alias("k"))  # known holds max_train rows at most
+    # known holds max_train rows at most
+    sample = (
+        docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+        .join(F.broadcast(known), "k")
+        .select("t", "y", F.xxhash64("k").alias("k"))
+    )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pos: Counter = Counter()
@@ -202,7 +226,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         if pos or neg:
             yield taken()
 
-    per_word = sample.mapInArrow(count, "w string, p long, q long").groupBy("w").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    per_word = (
+        sample.mapInArrow(count, "w string, p long, q long")
+        .groupBy("w")
+        .agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    )
     ratios = _ratios(per_word.where(F.col("p") + F.col("q") >= LEAST_DOCS))
     place = {g: i for i, g in enumerate(ratios)}
 
@@ -219,7 +247,14 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 out.append(Counter(chain.from_iterable(map(cache.__getitem__, words))))
                 if len(cache) > _CACHED:
                     cache.clear()
-            yield pa.RecordBatch.from_pydict({"k": b.column(2).cast(pa.int64()), "i": pa.array([list(c) for c in out], pa.list_(pa.int16())), "v": pa.array([list(c.values()) for c in out], pa.list_(pa.float32())), "y": b.column(1).cast(pa.int32())})
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "k": b.column(2).cast(pa.int64()),
+                    "i": pa.array([list(c) for c in out], pa.list_(pa.int16())),
+                    "v": pa.array([list(c.values()) for c in out], pa.list_(pa.float32())),
+                    "y": b.column(1).cast(pa.int32())
+                }
+            )
 
     got = sample.mapInArrow(vectors, "k long, i array<short>, v array<float>, y int").toArrow()  # MAX_TRAIN rows at most
     got = got.sort_by([("k", "ascending"), ("y", "ascending")]).combine_chunks()  # in order, whatever the order of arrival
