@@ -23,9 +23,25 @@ def now():
     return F.lit("2025-01-01T00:00:00+00:00")
 
 
-def event(seq, op="UPDATE", key="SUB-1", table="subscriptions", batch=1, version=1, ingested="2025-01-01T00:00:00", payload=None, **changes):
-    p = payload if payload is not None else json.dumps({"subscription_id": key, "account_id": "A", "plan": f"P{seq}", "status": "ACTIVE"})
-    row = {"event_id": hashlib.sha256(f"{table}:{key}:{seq}:{op}".encode()).hexdigest(), "source_table": table, "operation": op, "business_key": key, "source_sequence": seq, "event_timestamp": "2025-01-01T00:00:00+00:00", "ingested_timestamp": ingested, "batch_id": batch, "schema_version": version, "payload": p}
+def event(
+    seq, op="UPDATE", key="SUB-1", table="subscriptions", batch=1, version=1, ingested="2025-01-01T00:00:00",
+    payload=None, **changes
+):
+    p = payload if payload is not None else json.dumps(
+        {"subscription_id": key, "account_id": "A", "plan": f"P{seq}", "status": "ACTIVE"}
+    )
+    row = {
+        "event_id": hashlib.sha256(f"{table}:{key}:{seq}:{op}".encode()).hexdigest(),
+        "source_table": table,
+        "operation": op,
+        "business_key": key,
+        "source_sequence": seq,
+        "event_timestamp": "2025-01-01T00:00:00+00:00",
+        "ingested_timestamp": ingested,
+        "batch_id": batch,
+        "schema_version": version,
+        "payload": p
+    }
     return tuple((row | changes)[c] for c in ENVELOPE.names)
 
 
@@ -33,7 +49,10 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, ENVELOPE)
 
 
-@pytest.mark.parametrize("name", ["diag_invalid_by_reason", "dedup_dropped", "merge_outcomes", "merge_current_state", "scd2_history", "scd2_drift"])
+@pytest.mark.parametrize(
+    "name",
+    ["diag_invalid_by_reason", "dedup_dropped", "merge_outcomes", "merge_current_state", "scd2_history", "scd2_drift"]
+)
 def test_same_rows_as_sql(spark, name):
     con = duckdb.connect()
     for t in ("events", "customer"):
@@ -47,18 +66,38 @@ def test_same_rows_as_sql(spark, name):
 
 def test_rules(spark):
     cases = {
-        "": event(1), "MISSING_EVENT_ID": event(2, event_id=" "), "INVALID_EVENT_ID_FORMAT": event(3, event_id="x"), "UNKNOWN_SOURCE_TABLE: 'None'": event(4, source_table=None), "MISSING_BUSINESS_KEY": event(5, key="", payload='{"account_id":"A","plan":"P","status":"S","subscription_id":""}'),
-        "INVALID_BATCH_ID: 0": event(6, batch=0), "MISSING_EVENT_TIMESTAMP": event(7, event_timestamp=None), "UNPARSEABLE_EVENT_TIMESTAMP: '12:30'": event(8, event_timestamp="12:30"), "INVALID_SCHEMA_VERSION: 0": event(9, version=0),
-        "MISSING_PAYLOAD": event(10, payload=" "), "PAYLOAD_NOT_A_JSON_OBJECT": event(11, payload="[1]"), "DELETE_PAYLOAD_MISSING_PRIMARY_KEY: 'subscription_id'": event(12, "DELETE", payload='{"x":1}'),
-        "PAYLOAD_MISSING_REQUIRED_FIELDS: [plan, status]": event(13, payload='{"subscription_id":"SUB-1","account_id":null}'), "EVENT_ID_MISMATCH": event(14, event_id="0" * 64), "PAYLOAD_KEY_MISMATCH": event(15, payload='{"subscription_id":"Z","account_id":"A","plan":"P","status":"S"}'),
-    }
+        "": event(1),
+        "MISSING_EVENT_ID": event(2, event_id=" "),
+        "INVALID_EVENT_ID_FORMAT": event(3, event_id="x"),
+        "UNKNOWN_SOURCE_TABLE: 'None'": event(4, source_table=None),
+        "MISSING_BUSINESS_KEY": event(
+            5, key="", payload='{"account_id":"A","plan":"P","status":"S","subscription_id":""}'
+        ),
+        "INVALID_BATCH_ID: 0": event(6, batch=0),
+        "MISSING_EVENT_TIMESTAMP": event(7, event_timestamp=None),
+        "UNPARSEABLE_EVENT_TIMESTAMP: '12:30'": event(8, event_timestamp="12:30"),
+        "INVALID_SCHEMA_VERSION: 0": event(9, version=0),
+        "MISSING_PAYLOAD": event(10, payload=" "),
+        "PAYLOAD_NOT_A_JSON_OBJECT": event(11, payload="[1]"),
+        "DELETE_PAYLOAD_MISSING_PRIMARY_KEY: 'subscription_id'": event(12, "DELETE", payload='{"x":1}'),
+        "PAYLOAD_MISSING_REQUIRED_FIELDS: [plan, status]": event(
+            13, payload='{"subscription_id":"SUB-1","account_id":null}'
+        ),
+        "EVENT_ID_MISMATCH": event(14, event_id="0" * 64),
+        "PAYLOAD_KEY_MISMATCH": event(15, payload='{"subscription_id":"Z","account_id":"A","plan":"P","status":"S"}'),
+    }
     valid, bad = split_valid(frame(spark, list(cases.values())), now())
     assert [r.source_sequence for r in valid.collect()] == [1]
     assert {r.source_sequence: r.rejection_reason for r in bad.collect()} == {c[4]: k for k, c in cases.items() if k}
 
 
 def test_dedup_is_independent_of_arrival(spark):
-    rows = [event(1, ingested="2025-01-02"), event(1, ingested="2025-01-01", payload='{"b":1}'), event(1, ingested="2025-01-01", payload='{"a":1}'), event(2, ingested=None)]
+    rows = [
+        event(1, ingested="2025-01-02"),
+        event(1, ingested="2025-01-01", payload='{"b":1}'),
+        event(1, ingested="2025-01-01", payload='{"a":1}'),
+        event(2, ingested=None)
+    ]
     for order in (rows, rows[::-1]):
         kept, dropped = ops.deduplicate(frame(spark, order))
         assert dropped.count() == 2
@@ -71,23 +110,49 @@ def test_closed_form_equals_batch_loop(spark):
     for seq in range(1, 60):
         op, v = rng.choice(["INSERT", "UPDATE", "UPDATE", "DELETE"]), rng.choice([1, 2])
         key = f"SUB-{rng.randint(1, 6)}"
-        p = {"subscription_id": key, "account_id": "A", "plan": f"P{seq}", "status": "S"} | ({"billing_cycle": f"C{seq}", "currency": "USD"} if v == 2 else {})
+        p = (
+            {"subscription_id": key, "account_id": "A", "plan": f"P{seq}", "status": "S"}
+            | ({"billing_cycle": f"C{seq}", "currency": "USD"} if v == 2 else {})
+        )
         e = event(100 + seq, op, key, batch=rng.randint(1, 5), version=v, payload=json.dumps(p))
         rows += [e] + ([event(100 + seq, op, key, batch=6, version=v, payload=json.dumps(p))] if seq % 9 == 0 else [])
-    snap = spark.createDataFrame([(f"SUB-{k}", "A", "P0", "ACTIVE", 5, None) for k in range(1, 4)], "subscription_id string, account_id string, plan string, status string, source_sequence long, created_at string")
+    snap = spark.createDataFrame(
+        [(f"SUB-{k}", "A", "P0", "ACTIVE", 5, None) for k in range(1, 4)],
+        "subscription_id string, account_id string, plan string, status string, source_sequence long, created_at string"
+    )
     unique = ops.deduplicate(frame(spark, rows), ("batch_id", "source_table"))[0].cache()
-    results = merge.outcomes(unique, snap.select(F.lit("subscriptions").alias("source_table"), F.col("subscription_id").alias("business_key"), "source_sequence"))
-    parsed = parse_payload(results, "subscriptions").drop("subscription_id").join(results.select("event_id", "batch_id", "apply_outcome"), ["event_id", "batch_id"])
+    results = merge.outcomes(
+        unique,
+        snap.select(
+            F.lit("subscriptions").alias("source_table"),
+            F.col("subscription_id").alias("business_key"),
+            "source_sequence"
+        )
+    )
+    parsed = (
+        parse_payload(results, "subscriptions")
+        .drop("subscription_id")
+        .join(results.select("event_id", "batch_id", "apply_outcome"), ["event_id", "batch_id"])
+    )
     closed = merge.state_of(parsed, snap, "subscriptions")
     state, ledger, audits = merge.snapshot_state(snap, "subscriptions", now()), spark.createDataFrame([], LEDGER), []
     for b in range(1, 7):
-        state, audit = merge.apply_batch(parse_payload(unique.where(f"batch_id = {b}"), "subscriptions"), state, ledger, "subscriptions", now())
-        state, audit = spark.createDataFrame(state.collect(), state_schema("subscriptions")), spark.createDataFrame(audit.collect(), LEDGER)
+        state, audit = merge.apply_batch(
+            parse_payload(unique.where(f"batch_id = {b}"), "subscriptions"), state, ledger, "subscriptions", now()
+        )
+        state, audit = spark.createDataFrame(
+            state.collect(), state_schema("subscriptions")
+        ), spark.createDataFrame(audit.collect(), LEDGER)
         ledger = ledger.join(audit.select("event_id"), "event_id", "left_anti").select(*LEDGER.names).unionByName(audit)
         audits += [(r.event_id, r.batch_id, r.apply_outcome, r.target_sequence_after) for r in audit.collect()]
     cols = [*payload_schema("subscriptions").names, "_last_source_sequence", "_last_event_id", "_is_deleted"]
     assert sorted(map(str, closed.select(*cols).collect())) == sorted(map(str, state.select(*cols).collect()))
-    assert sorted(map(str, audits)) == sorted(str(tuple(r)) for r in results.select("event_id", "batch_id", "apply_outcome", "target_sequence_after").collect())
+    assert (
+        sorted(map(str, audits)) == sorted(
+            str(tuple(r))
+            for r in results.select("event_id", "batch_id", "apply_outcome", "target_sequence_after").collect()
+        )
+    )
 
 
 def test_recovered_after_partial_commit(spark):
@@ -100,7 +165,10 @@ def test_recovered_after_partial_commit(spark):
 
 
 def test_late_event_makes_four_versions_and_collision_conflicts(spark):
-    snap = spark.createDataFrame([("SUB-1", "A", "P0", "ACTIVE", 5, None), ("SUB-2", "A", "P0", "ACTIVE", 6, None)], "subscription_id string, account_id string, plan string, status string, source_sequence long, created_at string")
+    snap = spark.createDataFrame(
+        [("SUB-1", "A", "P0", "ACTIVE", 5, None), ("SUB-2", "A", "P0", "ACTIVE", 6, None)],
+        "subscription_id string, account_id string, plan string, status string, source_sequence long, created_at string"
+    )
     rows = [event(25), event(55), event(40), event(20, key="SUB-2"), event(20, "DELETE", key="SUB-2")]
     store = ops.store_of(frame(spark, rows))
     first = history.build(snap, ops.store_of(frame(spark, rows[:2])), now())
@@ -108,7 +176,11 @@ def test_late_event_makes_four_versions_and_collision_conflicts(spark):
     state = merge.snapshot_state(snap, "subscriptions", now())
     q, h, s, audit = history.replay(queue, store, snap, first, state, now(), repair_current=True)
     assert {(r.business_key, r.replay_status) for r in q.collect()} == {("SUB-1", "APPLIED"), ("SUB-2", "CONFLICT")}
-    assert [r.plan for r in h.where("subscription_id = 'SUB-1'").orderBy("valid_from_sequence").collect()] == ["P0", "P25", "P40", "P55"]
+    assert (
+        [
+            r.plan for r in h.where("subscription_id = 'SUB-1'").orderBy("valid_from_sequence").collect()
+        ] == ["P0", "P25", "P40", "P55"]
+    )
     assert history.violations(h).count() == 0 and s.where("subscription_id = 'SUB-1'").first().plan == "P55"
     assert audit.count() == 3
 
@@ -140,7 +212,10 @@ def test_tables(spark, tmp_path):
     assert t.insert_only(spark.createDataFrame([(3, "x"), (4, "e")], "k int, v string"), ["k"]) == 1
     t.update_where(F.col("k") == 1, {"v": F.lit("z")})
     t.delete_where(F.col("k") == 2)
-    assert t.add_columns({"w": "int"}) == ("MIGRATED_SUCCESS", ["w"]) and t.add_columns({"w": "int"}) == ("ALREADY_MIGRATED", [])
+    assert (
+        t.add_columns({"w": "int"}) == ("MIGRATED_SUCCESS", ["w"])
+        and t.add_columns({"w": "int"}) == ("ALREADY_MIGRATED", [])
+    )
     assert {(r.k, r.v) for r in t.read().collect()} == {(1, "z"), (3, "d"), (4, "e")}
     assert {(r.k, r.v) for r in t.read(1).collect()} == {(1, "a"), (2, "b")}
     with pytest.raises(TableError):
@@ -170,16 +245,29 @@ def test_batches_and_checkpoint(spark, tmp_path):
 
 def test_checkpoint_of_one_table(tmp_path):
     c = Checkpoint(tmp_path)
-    assert c.load_table("accounts") == {"table_name": "accounts", "highest_source_sequence": 0, "last_processed_batch_id": 0, "last_updated_at": None, "processed_batch_ids": []}
+    assert (
+        c.load_table("accounts") == {
+            "table_name": "accounts", "highest_source_sequence": 0, "last_processed_batch_id": 0,
+            "last_updated_at": None, "processed_batch_ids": []
+        }
+    )
     assert c.advance("accounts", 7, 1)["highest_source_sequence"] == 7 and c.completed() == [1]
-    c.save_table("accounts", {"table_name": "accounts", "highest_source_sequence": 9, "last_processed_batch_id": 2, "processed_batch_ids": [1, 2], "last_updated_at": None})
+    c.save_table(
+        "accounts",
+        {
+            "table_name": "accounts", "highest_source_sequence": 9, "last_processed_batch_id": 2,
+            "processed_batch_ids": [1, 2], "last_updated_at": None
+        }
+    )
     assert c.mark("accounts") == 9 and json.loads((tmp_path / "accounts.json").read_text())["highest_source_sequence"] == 9
     with pytest.raises(CheckpointRegressionError):
         c.advance("accounts", 8, 3)
     old = Checkpoint(tmp_path / "old")
     (tmp_path / "old").mkdir()
     for t in ("accounts", "subscriptions", "invoices"):
-        (tmp_path / "old" / f"{t}.json").write_text(json.dumps({"highest_source_sequence": 5, "last_processed_batch_id": 3, "processed_batch_ids": [2, 3]}))
+        (tmp_path / "old" / f"{t}.json").write_text(
+            json.dumps({"highest_source_sequence": 5, "last_processed_batch_id": 3, "processed_batch_ids": [2, 3]})
+        )
     (tmp_path / "old" / "payments.json").write_text("{broken")
     assert old.mark("accounts") == 5 and old.mark("payments") == 0 and old.completed() == []
     (tmp_path / "old" / "payments.json").write_text(json.dumps({"highest_source_sequence": 4, "processed_batch_ids": [3]}))

@@ -48,7 +48,13 @@ def test_a_writer_in_between_is_an_error_and_not_a_loss(spark, tmp_path):
 
 
 def made(spark, rows):
-    df = spark.createDataFrame([(None, *r[:4], r[4] if len(r) > 4 else "2025-01-01T00:00:00+00:00", "2025-01-02T00:00:00+00:00", *r[5:]) for r in rows], ENVELOPE)
+    df = spark.createDataFrame(
+        [
+            (None, *r[:4], r[4] if len(r) > 4 else "2025-01-01T00:00:00+00:00", "2025-01-02T00:00:00+00:00", *r[5:])
+            for r in rows
+        ],
+        ENVELOPE
+    )
     return df.withColumn("event_id", event_id())
 
 
@@ -61,8 +67,13 @@ def laid_out(spark, root, batches):
     (root / "raw" / "snapshot").mkdir(parents=True)
     for t in TABLES:
         (root / "raw" / "snapshot" / f"{t}.jsonl").write_text("")
-    one = {"subscription_id": "S1", "account_id": "A1", "plan": "P0", "status": "ACTIVE", "monthly_amount": "1.00", "renewal_date": "2025-01-01", "source_sequence": 1, "created_at": "2024-01-01"}
-    (root / "raw" / "snapshot" / "subscriptions.jsonl").write_text("".join(json.dumps(one | {"subscription_id": f"S{i}", "source_sequence": i}) + "\n" for i in range(1, 5)))
+    one = {
+        "subscription_id": "S1", "account_id": "A1", "plan": "P0", "status": "ACTIVE", "monthly_amount": "1.00",
+        "renewal_date": "2025-01-01", "source_sequence": 1, "created_at": "2024-01-01"
+    }
+    (root / "raw" / "snapshot" / "subscriptions.jsonl").write_text(
+        "".join(json.dumps(one | {"subscription_id": f"S{i}", "source_sequence": i}) + "\n" for i in range(1, 5))
+    )
     for b, rows in batches.items():
         folder = root / "raw" / "cdc" / f"batch_id={b:06d}"
         folder.mkdir(parents=True)
@@ -77,16 +88,25 @@ def laid_out(spark, root, batches):
 
 BATCHES = {
     1: [
-        subscription("S1", 100, "UPDATE", 1, 2, account_id="A1", plan="P5", status="ACTIVE", billing_cycle="MONTHLY", currency="USD"),
+        subscription(
+            "S1", 100, "UPDATE", 1, 2, account_id="A1", plan="P5", status="ACTIVE", billing_cycle="MONTHLY",
+            currency="USD"
+        ),
         subscription("S2", 101, "UPDATE", 1, 1, account_id="A2", plan="P6", status="ACTIVE"),
-        subscription("S2", 102, "UPDATE", 1, 2, account_id="A2", plan="P7", status="ACTIVE", billing_cycle="ANNUAL", currency="EUR"),
+        subscription(
+            "S2", 102, "UPDATE", 1, 2, account_id="A2", plan="P7", status="ACTIVE", billing_cycle="ANNUAL",
+            currency="EUR"
+        ),
     ],
     2: [
         subscription("S1", 110, "DELETE", 2, 1),
         subscription("S2", 111, "UPDATE", 2, 1, account_id="A2", plan="P8", status="PAUSED"),
         subscription("S9", 112, "INSERT", 2, 1, account_id="A9", plan="P9", status="ACTIVE"),
     ],
-    3: [subscription("S1", 105, "UPDATE", 3, 1, account_id="A1", plan="LATE", status="ACTIVE"), subscription("S3", 120, "DELETE", 3, 1)],
+    3: [
+        subscription("S1", 105, "UPDATE", 3, 1, account_id="A1", plan="LATE", status="ACTIVE"),
+        subscription("S3", 120, "DELETE", 3, 1)
+    ],
 }
 
 
@@ -113,7 +133,10 @@ def test_a_conflicting_event_leaves_every_table_as_it_was(spark, tmp_path):
     e.apply_pending()
     names = ("subscriptions", "applied_events", "cdc_event_store", "batch_apply_metrics")
     before = {n: (e.table(n).versions()[-1], shown(e.table(n).read())) for n in names}
-    other = subscription("S1", 100, "UPDATE", 2, 2, account_id="A1", plan="OTHER", status="ACTIVE", billing_cycle="MONTHLY", currency="USD")
+    other = subscription(
+        "S1", 100, "UPDATE", 2, 2, account_id="A1", plan="OTHER", status="ACTIVE", billing_cycle="MONTHLY",
+        currency="USD"
+    )
     with pytest.raises(EventIdentityConflict):
         e.apply_events(made(spark, [other, subscription("S4", 130, "DELETE", 2, 1)]))
     assert before == {n: (e.table(n).versions()[-1], shown(e.table(n).read())) for n in names}
@@ -121,7 +144,10 @@ def test_a_conflicting_event_leaves_every_table_as_it_was(spark, tmp_path):
 
 def test_blank_is_any_white_space(spark):
     rows = [subscription(k, 5, "UPDATE", 1, 1, account_id="A", plan="P", status="S") for k in ("\t", "  ", "\x1c", "x\t")]
-    reasons = [r.rejection_reason for r in checked(made(spark, rows)).orderBy(F.length("business_key"), "business_key").collect()]
+    reasons = [
+        r.rejection_reason
+        for r in checked(made(spark, rows)).orderBy(F.length("business_key"), "business_key").collect()
+    ]
     assert sum("MISSING_BUSINESS_KEY" in r for r in reasons) == 3
 
 
@@ -132,11 +158,18 @@ def test_repair_without_a_current_row_fails_that_key(spark):
         if f.name not in store.columns:
             store = store.withColumn(f.name, F.lit(None).cast(f.dataType))
     queue = history.queue_rows(store, F.lit("now"))
-    fields = "subscription_id string, source_sequence long, created_at string, account_id string, plan string, status string, monthly_amount string, renewal_date string"
+    fields = (
+        "subscription_id string, source_sequence long, created_at string, account_id string, plan string, "
+        "status string, monthly_amount string, renewal_date string"
+    )
     snapshot = spark.createDataFrame([(k, 1, "t", "A", "P0", "S", "1", "r") for k in ("S1", "S2")], fields)
-    state = spark.createDataFrame([("S1", *[None] * (len(state_schema("subscriptions").names) - 1))], state_schema("subscriptions"))
+    state = spark.createDataFrame(
+        [("S1", *[None] * (len(state_schema("subscriptions").names) - 1))], state_schema("subscriptions")
+    )
     seeded = history.seed(snapshot, F.lit("now"))
-    q, h, s, audit = history.replay(queue, store.select(*STORE.names), snapshot, seeded, state, F.lit("later"), repair_current=True)
+    q, h, s, audit = history.replay(
+        queue, store.select(*STORE.names), snapshot, seeded, state, F.lit("later"), repair_current=True
+    )
     got = {r.business_key: (r.status, r.failure_reason, r.current_state_changed) for r in audit.collect()}
     assert got == {"S1": ("APPLIED", None, True), "S2": ("FAILED", "NO_CURRENT_ROW", False)}
     assert h.select(*HISTORY.names).where("subscription_id = 'S2'").count() == 1 and s.where("plan = 'P'").count() == 1

@@ -136,7 +136,11 @@ def parser() -> argparse.ArgumentParser:
     command(replay_late_events, ("--repair-current", flag))
     command(show_history, ("--subscription-id", {"default": None}), limit)
     command(show_replay_queue, limit, ("--pending", flag))
-    command(migrate_schema, ("--table", {"choices": ["subscriptions"], "default": "subscriptions"}), ("--to-version", whole(2)))
+    command(
+        migrate_schema,
+        ("--table", {"choices": ["subscriptions"], "default": "subscriptions"}),
+        ("--to-version", whole(2))
+    )
     command(vacuum, ("--keep", whole(10)))
     return p
 

@@ -51,7 +51,10 @@ def reasons() -> Column:
     """All failed rules of an event, joined by "; " in a fixed order; empty for a valid event."""
     known = F.coalesce(F.col("source_table").isin(*TABLES), F.lit(False))
     known_op = F.coalesce(F.col("operation").isin(*OPERATIONS), F.lit(False))
-    registered = F.concat_ws(":", "source_table", F.col("schema_version").cast("string")).isin(*(f"{t}:{v}" for t, v in PAYLOADS))
+    registered = (
+        F.concat_ws(":", "source_table", F.col("schema_version").cast("string"))
+        .isin(*(f"{t}:{v}" for t, v in PAYLOADS))
+    )
     bad_version = F.col("schema_version").isNull() | (F.col("schema_version") <= 0)
     bad_sequence = F.col("source_sequence").isNull() | (F.col("source_sequence") <= 0)
     names = F.json_object_keys("payload")
@@ -71,19 +74,41 @@ def reasons() -> Column:
         F.when(_blank("business_key"), "MISSING_BUSINESS_KEY"),
         F.when(bad_sequence, F.concat(F.lit("INVALID_SOURCE_SEQUENCE: "), _shown("source_sequence"))),
         F.when(F.col("event_timestamp").isNull() | (F.col("event_timestamp") == ""), "MISSING_EVENT_TIMESTAMP").when(
-            ~F.col("event_timestamp").rlike(_TIME) | F.col("event_timestamp").try_cast("timestamp").isNull(), F.concat(F.lit("UNPARSEABLE_EVENT_TIMESTAMP: '"), "event_timestamp", F.lit("'"))
+            ~F.col("event_timestamp").rlike(_TIME) | F.col("event_timestamp").try_cast("timestamp").isNull(),
+            F.concat(F.lit("UNPARSEABLE_EVENT_TIMESTAMP: '"), "event_timestamp", F.lit("'"))
+        ),
+        F.when(
+            F.col("batch_id").isNull() | (F.col("batch_id") <= 0),
+            F.concat(F.lit("INVALID_BATCH_ID: "), _shown("batch_id"))
         ),
-        F.when(F.col("batch_id").isNull() | (F.col("batch_id") <= 0), F.concat(F.lit("INVALID_BATCH_ID: "), _shown("batch_id"))),
         F.when(bad_version, F.concat(F.lit("INVALID_SCHEMA_VERSION: "), _shown("schema_version"))).when(
-            known & ~registered, F.concat(F.lit("UNSUPPORTED_SCHEMA_VERSION: table '"), "source_table", F.lit("' does not support schema_version "), _shown("schema_version"))
+            known & ~registered,
+            F.concat(
+                F.lit("UNSUPPORTED_SCHEMA_VERSION: table '"),
+                "source_table",
+                F.lit("' does not support schema_version "),
+                _shown("schema_version")
+            )
         ),
-        F.when(_blank("payload"), "MISSING_PAYLOAD").when(parsed.isNull(), "MALFORMED_JSON_PAYLOAD").when(~is_object, "PAYLOAD_NOT_A_JSON_OBJECT"),
+        F.when(_blank("payload"), "MISSING_PAYLOAD")
+        .when(parsed.isNull(), "MALFORMED_JSON_PAYLOAD")
+        .when(~is_object, "PAYLOAD_NOT_A_JSON_OBJECT"),
         F.when(checked & pk.isNotNull() & ~pk.eqNullSafe(F.col("business_key")), "PAYLOAD_KEY_MISMATCH"),
         F.when(
-            checked & (F.col("operation") == "DELETE") & ~has_pk & ~F.coalesce(F.array_contains(values, F.coalesce("business_key", F.lit(""))), F.lit(False)),
-            F.concat(F.lit("DELETE_PAYLOAD_MISSING_PRIMARY_KEY: '"), _by_table({t: F.lit(k) for t, k in KEYS.items()}), F.lit("'")),
+            checked
+            & (F.col("operation") == "DELETE")
+            & ~has_pk
+            & ~F.coalesce(F.array_contains(values, F.coalesce("business_key", F.lit(""))), F.lit(False)),
+            F.concat(
+                F.lit("DELETE_PAYLOAD_MISSING_PRIMARY_KEY: '"),
+                _by_table({t: F.lit(k) for t, k in KEYS.items()}),
+                F.lit("'")
+            ),
+        ),
+        F.when(
+            checked & (F.col("operation") != "DELETE") & (F.size(missing) > 0),
+            F.concat(F.lit("PAYLOAD_MISSING_REQUIRED_FIELDS: ["), F.array_join(missing, ", "), F.lit("]"))
         ),
-        F.when(checked & (F.col("operation") != "DELETE") & (F.size(missing) > 0), F.concat(F.lit("PAYLOAD_MISSING_REQUIRED_FIELDS: ["), F.array_join(missing, ", "), F.lit("]"))),
         F.when(whole_id & complete & (F.col("event_id") != event_id()), "EVENT_ID_MISMATCH"),
     ]
     return F.array_join(F.array_compact(F.array(*rules)), "; ")
@@ -98,8 +123,17 @@ def checked(events: DataFrame) -> DataFrame:
 def split_valid(events: DataFrame, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Valid events, and the quarantine with reason, time and the original event as JSON."""
     both = checked(events)
-    bad = both.where("rejection_reason <> ''").withColumns({"original_event": F.to_json(F.struct(*ENVELOPE.names)), "processing_timestamp": now if now is not None else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")})
-    return both.where("rejection_reason = ''").drop("rejection_reason"), bad.select(*ENVELOPE.names, "original_event", "rejection_reason", "processing_timestamp")
+    bad = both.where("rejection_reason <> ''").withColumns(
+        {
+            "original_event": F.to_json(F.struct(*ENVELOPE.names)),
+            "processing_timestamp": now
+            if now is not None
+            else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+        }
+    )
+    return both.where("rejection_reason = ''").drop("rejection_reason"), bad.select(
+        *ENVELOPE.names, "original_event", "rejection_reason", "processing_timestamp"
+    )
 
 
 def parse_payload(events: DataFrame, table: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -108,6 +142,14 @@ def parse_payload(events: DataFrame, table: str, keep: tuple[str, ...] = ()) ->
     pk = KEYS[table] if table in KEYS else payload_schema(table)
     since = added_in(table)
     rows = events.where(F.col("source_table") == table).withColumn("_p", F.from_json("payload", payload_schema(table)))
-    lineage = ["event_id", "source_table", "operation", "business_key", "source_sequence", "event_timestamp", "ingested_timestamp", "batch_id", "schema_version"]
-    fields = [F.coalesce(F.col(f"_p.{f}"), F.col("business_key")).alias(f) if f == pk else F.when(F.col("schema_version") >= since[f], F.col(f"_p.{f}")).alias(f) for f in payload_schema(table).names]
+    lineage = [
+        "event_id", "source_table", "operation", "business_key", "source_sequence", "event_timestamp",
+        "ingested_timestamp", "batch_id", "schema_version"
+    ]
+    fields = [
+        F.coalesce(F.col(f"_p.{f}"), F.col("business_key")).alias(f)
+        if f == pk
+        else F.when(F.col("schema_version") >= since[f], F.col(f"_p.{f}")).alias(f)
+        for f in payload_schema(table).names
+    ]
     return rows.select(*lineage, *keep, *fields)

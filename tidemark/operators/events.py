@@ -16,7 +16,11 @@ class EventIdentityConflict(ValueError):
 
 
 def _delivery_order():
-    return [F.col("ingested_timestamp").asc_nulls_last(), F.col("source_sequence").asc(), F.col("canonical_event_hash").asc()]
+    return [
+        F.col("ingested_timestamp").asc_nulls_last(),
+        F.col("source_sequence").asc(),
+        F.col("canonical_event_hash").asc()
+    ]
 
 
 def ranked_deliveries(events: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
@@ -31,7 +35,9 @@ def deduplicate(events: DataFrame, scope: tuple[str, ...] = ()) -> tuple[DataFra
     return ranked.where("delivery_rank = 1").drop("delivery_rank"), ranked.where("delivery_rank > 1").drop("delivery_rank")
 
 
-def collapse(events: DataFrame, key: str = "business_key", scope: tuple[str, ...] = ("batch_id", "source_table")) -> DataFrame:
+def collapse(
+    events: DataFrame, key: str = "business_key", scope: tuple[str, ...] = ("batch_id", "source_table")
+) -> DataFrame:
     """events with collapse_rank: the winner of each key (1) has the highest sequence, then event id."""
     order = Window.partitionBy(*scope, key).orderBy(F.desc("source_sequence"), F.desc("event_id"))
     return events.withColumn("collapse_rank", F.row_number().over(order))
@@ -48,14 +54,23 @@ def high_water_marks(events: DataFrame, seed: DataFrame | None = None) -> DataFr
     before = Window.partitionBy("source_table").orderBy("batch_id").rowsBetween(Window.unboundedPreceding, -1)
     out = by_batch.withColumn("hwm_before", F.coalesce(F.max("batch_max").over(before), F.lit(0)))
     if seed is not None:
-        out = out.join(F.broadcast(seed), "source_table", "left").withColumn("hwm_before", F.greatest("hwm_before", F.coalesce("hwm", F.lit(0)))).drop("hwm")  # a row for each of the four tables
+        # a row for each of the four tables
+        out = (
+            out.join(F.broadcast(seed), "source_table", "left")
+            .withColumn("hwm_before", F.greatest("hwm_before", F.coalesce("hwm", F.lit(0))))
+            .drop("hwm")
+        )
     return out
 
 
 def late_by_mark(events: DataFrame, marks: DataFrame | None = None) -> DataFrame:
     """Events at or below their table's mark as of their batch's start (marks above 0 only)."""
     marks = high_water_marks(events) if marks is None else marks
-    return events.join(marks, ["source_table", "batch_id"]).where("hwm_before > 0 and source_sequence <= hwm_before").drop("batch_max")
+    return (
+        events.join(marks, ["source_table", "batch_id"])
+        .where("hwm_before > 0 and source_sequence <= hwm_before")
+        .drop("batch_max")
+    )
 
 
 def behind_current(store: DataFrame, current: DataFrame, key: str) -> DataFrame:
@@ -77,7 +92,12 @@ def to_store(events: DataFrame, seen_at) -> DataFrame:
     """Rows of the event store from unique events; columns that are there already stay."""
     have = set(events.columns)
     out = events if "arrival_batch_id" in have else events.withColumn("arrival_batch_id", F.col("batch_id"))
-    for name, value in (("canonical_event_hash", canonical_hash()), ("is_late_on_arrival", F.lit(False)), ("first_seen_at", seen_at), ("last_seen_at", seen_at)):
+    for name, value in (
+        ("canonical_event_hash", canonical_hash()),
+        ("is_late_on_arrival", F.lit(False)),
+        ("first_seen_at", seen_at),
+        ("last_seen_at", seen_at)
+    ):
         if name not in have:
             out = out.withColumn(name, value)
     from tidemark.schemas import STORE
@@ -89,7 +109,13 @@ def store_upsert(store: DataFrame, rows: DataFrame) -> DataFrame:
     """The store with rows added; a known event only gets their last_seen_at."""
     new = rows.select("event_id", *(F.col(c).alias(f"_{c}") for c in rows.columns if c != "event_id"))
     both = store.join(new, "event_id", "full_outer")
-    pick = [F.coalesce("_last_seen_at", "last_seen_at").alias(c) if c == "last_seen_at" else F.when(F.col("first_seen_at").isNotNull(), F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in store.columns if c != "event_id"]
+    pick = [
+        F.coalesce("_last_seen_at", "last_seen_at").alias(c)
+        if c == "last_seen_at"
+        else F.when(F.col("first_seen_at").isNotNull(), F.col(c)).otherwise(F.col(f"_{c}")).alias(c)
+        for c in store.columns
+        if c != "event_id"
+    ]
     return both.select("event_id", *pick).select(*store.columns)
 
 
@@ -99,7 +125,10 @@ def store_of(events: DataFrame, seen_at="ingested_timestamp") -> DataFrame:
     first = Window.partitionBy("event_id").orderBy("batch_id", *_delivery_order())
     every = Window.partitionBy("event_id")
     rows = events.withColumn("canonical_event_hash", canonical_hash()).withColumn("_n", F.row_number().over(first))
-    rows = rows.withColumn("first_seen_at", F.min(seen_at).over(every)).withColumn("last_seen_at", F.max(seen_at).over(every))
+    rows = (
+        rows.withColumn("first_seen_at", F.min(seen_at).over(every))
+        .withColumn("last_seen_at", F.max(seen_at).over(every))
+    )
     return to_store(rows.where("_n = 1").drop("_n"), F.col(seen_at))
 
 
@@ -111,32 +140,71 @@ def by_operation(valid: DataFrame) -> DataFrame:
 
 
 def by_source_table(valid: DataFrame) -> DataFrame:
-    return valid.groupBy("source_table", "operation").agg(F.count("*").alias("event_count")).orderBy("source_table", "operation")
+    return (
+        valid.groupBy("source_table", "operation")
+        .agg(F.count("*").alias("event_count"))
+        .orderBy("source_table", "operation")
+    )
 
 
 def sequence_range(valid: DataFrame) -> DataFrame:
-    return valid.groupBy("batch_id").agg(F.min("source_sequence").alias("min_seq"), F.max("source_sequence").alias("max_seq"), F.count("*").alias("event_count")).orderBy("batch_id")
+    return (
+        valid.groupBy("batch_id")
+        .agg(
+            F.min("source_sequence").alias("min_seq"),
+            F.max("source_sequence").alias("max_seq"),
+            F.count("*").alias("event_count")
+        )
+        .orderBy("batch_id")
+    )
 
 
 def update_frequency(valid: DataFrame, k: int = 10) -> DataFrame:
-    return valid.where("operation = 'UPDATE'").groupBy("source_table", "business_key").agg(F.count("*").alias("update_count")).orderBy(F.desc("update_count"), "source_table", "business_key").limit(k)
+    return (
+        valid.where("operation = 'UPDATE'")
+        .groupBy("source_table", "business_key")
+        .agg(F.count("*").alias("update_count"))
+        .orderBy(F.desc("update_count"), "source_table", "business_key")
+        .limit(k)
+    )
 
 
 def late_summary(late: DataFrame) -> DataFrame:
-    return late.groupBy("source_table", "batch_id").agg(F.count("*").alias("late_count"), F.min("source_sequence").alias("min_seq"), F.max("source_sequence").alias("max_seq")).orderBy("source_table", "batch_id")
+    return (
+        late.groupBy("source_table", "batch_id")
+        .agg(
+            F.count("*").alias("late_count"),
+            F.min("source_sequence").alias("min_seq"),
+            F.max("source_sequence").alias("max_seq")
+        )
+        .orderBy("source_table", "batch_id")
+    )
 
 
 def by_reason(quarantine: DataFrame) -> DataFrame:
-    return quarantine.groupBy("rejection_reason").agg(F.count("*").alias("event_count")).orderBy(F.desc("event_count"), "rejection_reason")
+    return (
+        quarantine.groupBy("rejection_reason")
+        .agg(F.count("*").alias("event_count"))
+        .orderBy(F.desc("event_count"), "rejection_reason")
+    )
 
 
 def batch_metrics(raw: DataFrame) -> DataFrame:
     """(batch_id, source_table, raw, invalid, duplicates, valid_unique): raw is the sum of the rest."""
-    rows = ranked_deliveries(checked(raw).withColumn("_bad", F.col("rejection_reason") != ""), ("batch_id", "source_table", "_bad"))
+    rows = ranked_deliveries(
+        checked(raw).withColumn("_bad", F.col("rejection_reason") != ""), ("batch_id", "source_table", "_bad")
+    )
     return rows.groupBy("batch_id", "source_table").agg(
-        F.count("*").alias("raw_events"), F.count_if("_bad").alias("invalid_events"), F.count_if(~F.col("_bad") & (F.col("delivery_rank") > 1)).alias("duplicate_events"), F.count_if(~F.col("_bad") & (F.col("delivery_rank") == 1)).alias("valid_unique_events")
+        F.count("*").alias("raw_events"),
+        F.count_if("_bad").alias("invalid_events"),
+        F.count_if(~F.col("_bad") & (F.col("delivery_rank") > 1)).alias("duplicate_events"),
+        F.count_if(~F.col("_bad") & (F.col("delivery_rank") == 1)).alias("valid_unique_events")
     )
 
 
 def sequence_collisions(events: DataFrame) -> DataFrame:
-    return events.groupBy("source_table", "business_key", "source_sequence").agg(F.count_distinct("event_id").alias("events")).where("events > 1")
+    return (
+        events.groupBy("source_table", "business_key", "source_sequence")
+        .agg(F.count_distinct("event_id").alias("events"))
+        .where("events > 1")
+    )

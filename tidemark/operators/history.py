@@ -12,14 +12,29 @@ from tidemark.schemas import HISTORY, QUEUE, REPLAY_AUDIT, SNAPSHOT_EVENT, SNAPS
 
 KEY = "subscription_id"
 CARRIED = ("account_id", "plan", "status", "renewal_date", "monthly_amount", "billing_cycle", "currency")
-_ATTRIBUTES = "account_id string, plan string, status string, renewal_date string, monthly_amount decimal(12,2), billing_cycle string, currency string"
+_ATTRIBUTES = (
+    "account_id string, plan string, status string, renewal_date string, monthly_amount decimal(12,2), "
+    "billing_cycle string, currency string"
+)
 
 
 def seed_rows(snapshot: DataFrame) -> DataFrame:
     """The snapshot's rows as the first event of each key, with every attribute present."""
     return snapshot.select(
-        F.col(KEY), F.col("source_sequence").cast("long").alias("source_sequence"), F.lit(SNAPSHOT_EVENT).alias("event_id"), F.lit(SNAPSHOT_EVENT).alias("operation"), F.coalesce("created_at", F.lit(SNAPSHOT_TIME)).alias("event_timestamp"),
-        F.lit(0).cast("long").alias("arrival_batch_id"), F.lit(1).alias("schema_version"), F.lit(None).cast("string").alias("payload"), *(F.col(c).cast("decimal(12,2)" if c == "monthly_amount" else "string").alias(f"v_{c}") if c in snapshot.columns else F.lit(None).cast("string").alias(f"v_{c}") for c in CARRIED),
+        F.col(KEY),
+        F.col("source_sequence").cast("long").alias("source_sequence"),
+        F.lit(SNAPSHOT_EVENT).alias("event_id"),
+        F.lit(SNAPSHOT_EVENT).alias("operation"),
+        F.coalesce("created_at", F.lit(SNAPSHOT_TIME)).alias("event_timestamp"),
+        F.lit(0).cast("long").alias("arrival_batch_id"),
+        F.lit(1).alias("schema_version"),
+        F.lit(None).cast("string").alias("payload"),
+        *(
+            F.col(c).cast("decimal(12,2)" if c == "monthly_amount" else "string").alias(f"v_{c}")
+            if c in snapshot.columns
+            else F.lit(None).cast("string").alias(f"v_{c}")
+            for c in CARRIED
+        ),
     )
 
 
@@ -31,9 +46,16 @@ def unfit_keys(snapshot: DataFrame, events: DataFrame) -> DataFrame:
     """(subscription_id, why) of keys whose history can't be built: NO_SNAPSHOT, COLLISION (two events at
     one sequence) or BEHIND_SNAPSHOT (an event at or below the snapshot's sequence)."""
     base = snapshot.select(F.col(KEY), F.col("source_sequence").alias("_base"))
-    by_sequence = events.groupBy(F.col("business_key").alias(KEY), "source_sequence").agg(F.count_distinct("event_id").alias("_n"))
+    by_sequence = (
+        events.groupBy(F.col("business_key").alias(KEY), "source_sequence")
+        .agg(F.count_distinct("event_id").alias("_n"))
+    )
     by_key = by_sequence.groupBy(KEY).agg(F.max("_n").alias("_n"), F.min("source_sequence").alias("_low"))
-    why = F.when(F.col("_base").isNull(), "NO_SNAPSHOT").when(F.col("_n") > 1, "COLLISION").when(F.col("_low") <= F.col("_base"), "BEHIND_SNAPSHOT")
+    why = (
+        F.when(F.col("_base").isNull(), "NO_SNAPSHOT")
+        .when(F.col("_n") > 1, "COLLISION")
+        .when(F.col("_low") <= F.col("_base"), "BEHIND_SNAPSHOT")
+    )
     return by_key.join(base, KEY, "left").select(KEY, why.alias("why")).where("why is not null")
 
 
@@ -49,7 +71,17 @@ def build(snapshot: DataFrame, events: DataFrame | None, now: Column) -> DataFra
     first = F.col("operation") == SNAPSHOT_EVENT
     if events is not None:
         p = F.from_json("payload", _ATTRIBUTES)
-        own = events.select(F.col("business_key").alias(KEY), "source_sequence", "event_id", "operation", "event_timestamp", "arrival_batch_id", "schema_version", "payload", *(p[c].alias(f"v_{c}") for c in CARRIED))
+        own = events.select(
+            F.col("business_key").alias(KEY),
+            "source_sequence",
+            "event_id",
+            "operation",
+            "event_timestamp",
+            "arrival_batch_id",
+            "schema_version",
+            "payload",
+            *(p[c].alias(f"v_{c}") for c in CARRIED)
+        )
         rows = rows.unionByName(own.join(snapshot.select(KEY).distinct(), KEY, "left_semi"))
     names = F.json_object_keys("payload")
     present = {c: first | (~deleted & F.array_contains(names, c)) for c in ("account_id", "plan", "status", "renewal_date")}
@@ -65,30 +97,61 @@ def build(snapshot: DataFrame, events: DataFrame | None, now: Column) -> DataFra
         return F.last(value, ignorenulls=True).over(so_far)["v"].alias(c)  # a struct, so that an explicit null carries too
 
     out = rows.select(
-        KEY, *map(carried, CARRIED), history_version_id(F.col(KEY), F.col("source_sequence"), F.col("event_id")).alias("history_version_id"), F.col("source_sequence").alias("valid_from_sequence"), F.lead("source_sequence").over(order).alias("valid_to_sequence"),
-        F.col("event_timestamp").alias("valid_from_event_timestamp"), F.lead("event_timestamp").over(order).alias("valid_to_event_timestamp"), deleted.alias("is_deleted"), F.col("event_id").alias("source_event_id"), F.col("operation").alias("source_operation"),
+        KEY,
+        *map(carried, CARRIED),
+        history_version_id(F.col(KEY), F.col("source_sequence"), F.col("event_id")).alias("history_version_id"),
+        F.col("source_sequence").alias("valid_from_sequence"),
+        F.lead("source_sequence").over(order).alias("valid_to_sequence"),
+        F.col("event_timestamp").alias("valid_from_event_timestamp"),
+        F.lead("event_timestamp").over(order).alias("valid_to_event_timestamp"),
+        deleted.alias("is_deleted"),
+        F.col("event_id").alias("source_event_id"),
+        F.col("operation").alias("source_operation"),
         "schema_version", "arrival_batch_id", now.alias("history_updated_at"),
     )
-    return out.withColumn("is_current", F.col("valid_to_sequence").isNull()).withColumn("monthly_amount", F.col("monthly_amount").cast("decimal(12,2)")).select(*HISTORY.names)
+    return (
+        out.withColumn("is_current", F.col("valid_to_sequence").isNull())
+        .withColumn("monthly_amount", F.col("monthly_amount").cast("decimal(12,2)"))
+        .select(*HISTORY.names)
+    )
 
 
 def violations(history: DataFrame) -> DataFrame:
     """(subscription_id, rule) of every key that breaks a rule of a history."""
     order = Window.partitionBy(KEY).orderBy("valid_from_sequence", "source_event_id")
-    rows = history.withColumn("_next", F.lead("valid_from_sequence").over(order)).withColumn("_same_id", F.count("*").over(Window.partitionBy("history_version_id")))
+    rows = (
+        history.withColumn("_next", F.lead("valid_from_sequence").over(order))
+        .withColumn("_same_id", F.count("*").over(Window.partitionBy("history_version_id")))
+    )
     by_key = rows.groupBy(KEY).agg(
-        (F.max("_same_id") > 1).alias("DUPLICATE_VERSION_ID"), (F.count_distinct("valid_from_sequence") < F.count("*")).alias("DUPLICATE_FROM_SEQUENCE"),
-        F.max(~F.col("is_current") & (F.col("valid_to_sequence").isNull() | (F.col("valid_to_sequence") <= F.col("valid_from_sequence")))).alias("BAD_CLOSED_INTERVAL"),
-        F.max(F.col("_next").isNotNull() & ~F.col("valid_to_sequence").eqNullSafe(F.col("_next"))).alias("GAP_OR_OVERLAP"), (F.count_if("is_current") != 1).alias("NOT_ONE_CURRENT"),
-        F.max(F.col("is_current") & (F.col("valid_to_sequence").isNotNull() | F.col("_next").isNotNull())).alias("CURRENT_NOT_LAST"),
+        (F.max("_same_id") > 1).alias("DUPLICATE_VERSION_ID"),
+        (F.count_distinct("valid_from_sequence") < F.count("*")).alias("DUPLICATE_FROM_SEQUENCE"),
+        F.max(
+            ~F.col("is_current")
+            & (F.col("valid_to_sequence").isNull() | (F.col("valid_to_sequence") <= F.col("valid_from_sequence")))
+        )
+        .alias("BAD_CLOSED_INTERVAL"),
+        F.max(F.col("_next").isNotNull() & ~F.col("valid_to_sequence").eqNullSafe(F.col("_next")))
+        .alias("GAP_OR_OVERLAP"),
+        (F.count_if("is_current") != 1).alias("NOT_ONE_CURRENT"),
+        F.max(F.col("is_current") & (F.col("valid_to_sequence").isNotNull() | F.col("_next").isNotNull()))
+        .alias("CURRENT_NOT_LAST"),
     )
-    rules = ["DUPLICATE_VERSION_ID", "DUPLICATE_FROM_SEQUENCE", "BAD_CLOSED_INTERVAL", "GAP_OR_OVERLAP", "NOT_ONE_CURRENT", "CURRENT_NOT_LAST"]
+    rules = [
+        "DUPLICATE_VERSION_ID", "DUPLICATE_FROM_SEQUENCE", "BAD_CLOSED_INTERVAL", "GAP_OR_OVERLAP", "NOT_ONE_CURRENT",
+        "CURRENT_NOT_LAST"
+    ]
     return by_key.select(KEY, F.explode(F.array_compact(F.array(*(F.when(F.col(r), r) for r in rules)))).alias("rule"))
 
 
 def drift(history: DataFrame, state: DataFrame) -> DataFrame:
     """(subscription_id, rule) where a key's current version and its current-state row disagree."""
-    now = state.select(F.col(KEY), F.col("_last_source_sequence").alias("_seq"), F.col("_is_deleted").alias("_del"), *(F.col(c).alias(f"_{c}") for c in CARRIED if c in state.columns))
+    now = state.select(
+        F.col(KEY),
+        F.col("_last_source_sequence").alias("_seq"),
+        F.col("_is_deleted").alias("_del"),
+        *(F.col(c).alias(f"_{c}") for c in CARRIED if c in state.columns)
+    )
     rows = history.where("is_current").join(now, KEY)
     business = F.lit(False)
     for c in CARRIED:
@@ -104,16 +167,39 @@ def drift(history: DataFrame, state: DataFrame) -> DataFrame:
 
 def repair(history: DataFrame, state: DataFrame) -> DataFrame:
     """State with every key's current version copied into its row; account, batch and time stay."""
-    now = history.where("is_current").select(F.col(KEY), *(F.col(c).alias(f"_h_{c}") for c in ("plan", "status", "monthly_amount", "renewal_date", "billing_cycle", "currency", "valid_from_sequence", "source_event_id", "valid_from_event_timestamp", "is_deleted", "schema_version")))
-    to = {c: c for c in ("plan", "status", "monthly_amount", "renewal_date", "billing_cycle", "currency")} | {"_last_source_sequence": "valid_from_sequence", "_last_event_id": "source_event_id", "_last_event_timestamp": "valid_from_event_timestamp", "_is_deleted": "is_deleted", "_last_schema_version": "schema_version"}
+    now = history.where("is_current").select(
+        F.col(KEY),
+        *(
+            F.col(c).alias(f"_h_{c}")
+            for c in (
+                "plan", "status", "monthly_amount", "renewal_date", "billing_cycle", "currency",
+                "valid_from_sequence", "source_event_id", "valid_from_event_timestamp", "is_deleted", "schema_version"
+            )
+        )
+    )
+    to = {c: c for c in ("plan", "status", "monthly_amount", "renewal_date", "billing_cycle", "currency")} | {
+        "_last_source_sequence": "valid_from_sequence",
+        "_last_event_id": "source_event_id",
+        "_last_event_timestamp": "valid_from_event_timestamp",
+        "_is_deleted": "is_deleted",
+        "_last_schema_version": "schema_version"
+    }
     both = state.join(now, KEY, "left")
     known = F.col("_h_valid_from_sequence").isNotNull()
-    return both.select(*(F.when(known, F.col(f"_h_{to[c]}")).otherwise(F.col(c)).alias(c) if c in to else F.col(c) for c in state.columns))
+    return both.select(
+        *(
+            F.when(known, F.col(f"_h_{to[c]}")).otherwise(F.col(c)).alias(c) if c in to else F.col(c)
+            for c in state.columns
+        )
+    )
 
 
 def as_of(history: DataFrame, at: DataFrame) -> DataFrame:
     """at (subscription_id, sequence) with the version that holds then, if any."""
-    return at.join(history, KEY, "left").where("valid_from_sequence is null or (valid_from_sequence <= sequence and (valid_to_sequence is null or sequence < valid_to_sequence))")
+    return at.join(history, KEY, "left").where(
+        "valid_from_sequence is null or (valid_from_sequence "
+        "<= sequence and (valid_to_sequence is null or sequence < valid_to_sequence))"
+    )
 
 
 # The replay queue
@@ -126,8 +212,18 @@ def queue_rows(events: DataFrame, now: Column) -> DataFrame:
     reason = F.col("late_reason") if "late_reason" in events.columns else F.lit("SOURCE_SEQUENCE_BEHIND_TARGET")
     rows = events.withColumn("_n", F.row_number().over(rank)).where("_n = 1")
     return rows.select(
-        "event_id", "source_table", "business_key", "source_sequence", batch.cast("long").alias("arrival_batch_id"), "schema_version", now.alias("detected_at"), reason.alias("late_reason"), F.lit("PENDING").alias("replay_status"),
-        F.lit(0).alias("replay_attempt_count"), F.lit(None).cast("string").alias("last_replay_at"), F.lit(None).cast("string").alias("failure_reason"),
+        "event_id",
+        "source_table",
+        "business_key",
+        "source_sequence",
+        batch.cast("long").alias("arrival_batch_id"),
+        "schema_version",
+        now.alias("detected_at"),
+        reason.alias("late_reason"),
+        F.lit("PENDING").alias("replay_status"),
+        F.lit(0).alias("replay_attempt_count"),
+        F.lit(None).cast("string").alias("last_replay_at"),
+        F.lit(None).cast("string").alias("failure_reason"),
     ).select(*QUEUE.names)
 
 
@@ -135,20 +231,28 @@ def pending(queue: DataFrame) -> DataFrame:
     return queue.where("replay_status = 'PENDING'").orderBy("source_sequence", "event_id")
 
 
-def replay(queue: DataFrame, store: DataFrame, snapshot: DataFrame, history: DataFrame, state: DataFrame, now: Column, repair_current: bool = False):
+def replay(
+    queue: DataFrame, store: DataFrame, snapshot: DataFrame, history: DataFrame, state: DataFrame, now: Column,
+    repair_current: bool = False
+):
     """(queue, history, state, audit) after all pending subscription events are replayed: the keys
     they touch are rebuilt together. Other tables' events stay pending. A key whose current row is to be
     repaired and that has none fails (NO_CURRENT_ROW), and its history stays."""
     due = queue.where("replay_status = 'PENDING' and source_table = 'subscriptions'")
     keys = due.select(F.col("business_key").alias(KEY)).distinct()
-    events = store.where("source_table = 'subscriptions'").join(keys.withColumnRenamed(KEY, "business_key"), "business_key", "left_semi")
+    events = (
+        store.where("source_table = 'subscriptions'")
+        .join(keys.withColumnRenamed(KEY, "business_key"), "business_key", "left_semi")
+    )
     base = snapshot.join(keys, KEY, "left_semi")
     unfit = unfit_keys(base, events)
     fit = keys.join(unfit, KEY, "left_anti")
     built = build(base.join(fit, KEY, "left_semi"), events, now)
     broken = violations(built).select(KEY, F.concat(F.lit("INVARIANT: "), "rule").alias("why"))
     if repair_current:  # nothing to repair is an error of that key, not a silent success
-        broken = broken.unionByName(fit.join(state.select(KEY), KEY, "left_anti").select(KEY, F.lit("NO_CURRENT_ROW").alias("why")))
+        broken = broken.unionByName(
+            fit.join(state.select(KEY), KEY, "left_anti").select(KEY, F.lit("NO_CURRENT_ROW").alias("why"))
+        )
     else:
         broken = broken.unionByName(drift(built, state).select(KEY, F.concat(F.lit("DRIFT: "), "rule").alias("why")))
     why = unfit.unionByName(broken).groupBy(KEY).agg(F.min("why").alias("why"))
@@ -156,16 +260,45 @@ def replay(queue: DataFrame, store: DataFrame, snapshot: DataFrame, history: Dat
     done = good.select(KEY).distinct()
     new_history = history.join(done, KEY, "left_anti").unionByName(good)
     new_state = repair(good, state) if repair_current else state
-    sizes = lambda h, name: h.groupBy(KEY).agg(F.count("*").alias(name), F.max("valid_from_sequence").alias(f"{name}_seq"))
-    rows = due.withColumn(KEY, F.col("business_key")).join(why, KEY, "left").join(sizes(history, "_before"), KEY, "left").join(sizes(new_history, "_after"), KEY, "left")
+    sizes = lambda h, name: h.groupBy(KEY).agg(
+        F.count("*").alias(name), F.max("valid_from_sequence").alias(f"{name}_seq")
+    )
+    rows = (
+        due.withColumn(KEY, F.col("business_key"))
+        .join(why, KEY, "left")
+        .join(sizes(history, "_before"), KEY, "left")
+        .join(sizes(new_history, "_after"), KEY, "left")
+    )
     status = F.when(F.col("why").isNull(), "APPLIED").when(F.col("why") == "COLLISION", "CONFLICT").otherwise("FAILED")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     audit = rows.select(
-        replay_id().alias("replay_id"), "event_id", "source_table", "business_key", "source_sequence", status.alias("status"), zero("_before").alias("history_versions_before"), zero("_after").alias("history_versions_after"),
-        zero("_before_seq").alias("current_sequence_before"), zero("_after_seq").alias("current_sequence_after"), (F.lit(repair_current) & F.col("why").isNull()).alias("current_state_changed"), (F.col("replay_attempt_count") + 1).alias("attempt_number"),
+        replay_id().alias("replay_id"),
+        "event_id",
+        "source_table",
+        "business_key",
+        "source_sequence",
+        status.alias("status"),
+        zero("_before").alias("history_versions_before"),
+        zero("_after").alias("history_versions_after"),
+        zero("_before_seq").alias("current_sequence_before"),
+        zero("_after_seq").alias("current_sequence_after"),
+        (F.lit(repair_current) & F.col("why").isNull()).alias("current_state_changed"),
+        (F.col("replay_attempt_count") + 1).alias("attempt_number"),
         now.alias("started_at"), now.alias("completed_at"), F.col("why").alias("failure_reason"),
     ).select(*REPLAY_AUDIT.names)
-    result = audit.select("event_id", F.col("status").alias("_s"), F.col("failure_reason").alias("_w"), F.col("attempt_number").alias("_a"))
+    result = audit.select(
+        "event_id",
+        F.col("status").alias("_s"),
+        F.col("failure_reason").alias("_w"),
+        F.col("attempt_number").alias("_a")
+    )
     tried = F.col("_s").isNotNull()
-    new_queue = queue.join(result, "event_id", "left").withColumns({"replay_status": F.coalesce("_s", "replay_status"), "replay_attempt_count": F.coalesce("_a", "replay_attempt_count"), "last_replay_at": F.when(tried, now).otherwise(F.col("last_replay_at")), "failure_reason": F.when(tried, F.col("_w")).otherwise(F.col("failure_reason"))})
+    new_queue = queue.join(result, "event_id", "left").withColumns(
+        {
+            "replay_status": F.coalesce("_s", "replay_status"),
+            "replay_attempt_count": F.coalesce("_a", "replay_attempt_count"),
+            "last_replay_at": F.when(tried, now).otherwise(F.col("last_replay_at")),
+            "failure_reason": F.when(tried, F.col("_w")).otherwise(F.col("failure_reason"))
+        }
+    )
     return new_queue.select(*QUEUE.names), new_history, new_state, audit

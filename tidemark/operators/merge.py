@@ -40,14 +40,25 @@ def reason(result: Column) -> Column:
 def snapshot_state(snapshot: DataFrame, table: str, now: Column) -> DataFrame:
     """Current state that a snapshot starts."""
     have = set(snapshot.columns)
-    fields = [F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in payload_schema(table).fields]
+    fields = [
+        F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name)
+        for f in payload_schema(table).fields
+    ]
     return snapshot.select(
-        *fields, F.col("source_sequence").cast("long").alias("_last_source_sequence"), F.lit(SNAPSHOT_EVENT).alias("_last_event_id"), F.coalesce(F.col("created_at"), F.lit(SNAPSHOT_TIME)).alias("_last_event_timestamp"),
-        F.lit(0).cast("long").alias("_last_batch_id"), now.alias("_updated_at"), F.lit(False).alias("_is_deleted"), F.lit(1).alias("_last_schema_version"),
+        *fields,
+        F.col("source_sequence").cast("long").alias("_last_source_sequence"),
+        F.lit(SNAPSHOT_EVENT).alias("_last_event_id"),
+        F.coalesce(F.col("created_at"), F.lit(SNAPSHOT_TIME)).alias("_last_event_timestamp"),
+        F.lit(0).cast("long").alias("_last_batch_id"),
+        now.alias("_updated_at"),
+        F.lit(False).alias("_is_deleted"),
+        F.lit(1).alias("_last_schema_version"),
     )
 
 
-def apply_batch(parsed: DataFrame, state: DataFrame, ledger: DataFrame, table: str, now: Column) -> tuple[DataFrame, DataFrame]:
+def apply_batch(
+    parsed: DataFrame, state: DataFrame, ledger: DataFrame, table: str, now: Column
+) -> tuple[DataFrame, DataFrame]:
     """(new state, ledger rows) of one batch: one full outer join of the batch's winners with the
     state. A row of the lower version leaves the fields of a higher one as they are."""
     pk, since = KEYS[table], added_in(table)
@@ -60,23 +71,59 @@ def apply_batch(parsed: DataFrame, state: DataFrame, ledger: DataFrame, table: s
     new = F.col("s_event_id").isNotNull()
     found = F.col("_last_source_sequence").isNotNull()
     same = (F.col("s_event_id") == F.col("_last_event_id")) & (F.col("s_source_sequence") == F.col("_last_source_sequence"))
-    ahead = new & (~found | (F.col("s_source_sequence") > F.col("_last_source_sequence"))) & F.col("s_operation").isin("INSERT", "UPDATE", "DELETE")
+    ahead = (
+        new
+        & (~found | (F.col("s_source_sequence") > F.col("_last_source_sequence")))
+        & F.col("s_operation").isin("INSERT", "UPDATE", "DELETE")
+    )
     image = ahead & (F.col("s_operation") != "DELETE")
-    attributes = [F.when(image & (F.col("s_schema_version") >= since[f]), F.col(f"s_{f}")).otherwise(F.col(f)).alias(f) for f in fields if f != pk]
+    attributes = [
+        F.when(image & (F.col("s_schema_version") >= since[f]), F.col(f"s_{f}")).otherwise(F.col(f)).alias(f)
+        for f in fields
+        if f != pk
+    ]
     lineage = {
-        "_last_source_sequence": F.col("s_source_sequence"), "_last_event_id": F.col("s_event_id"), "_last_event_timestamp": F.col("s_event_timestamp"), "_last_batch_id": F.col("s_batch_id"),
-        "_updated_at": now, "_is_deleted": F.col("s_operation") == "DELETE", "_last_schema_version": F.col("s_schema_version"),
+        "_last_source_sequence": F.col("s_source_sequence"),
+        "_last_event_id": F.col("s_event_id"),
+        "_last_event_timestamp": F.col("s_event_timestamp"),
+        "_last_batch_id": F.col("s_batch_id"),
+        "_updated_at": now,
+        "_is_deleted": F.col("s_operation") == "DELETE",
+        "_last_schema_version": F.col("s_schema_version"),
     }
-    state_out = both.where(found | ahead).select(pk, *attributes, *(F.when(ahead, v).otherwise(F.col(c)).alias(c) for c, v in lineage.items())).select(*state_schema(table).names)
-    target = state.select(pk, F.col("_last_source_sequence").alias("target_sequence_before"), F.col("_last_event_id").alias("_tid"))
+    state_out = (
+        both.where(found | ahead)
+        .select(pk, *attributes, *(F.when(ahead, v).otherwise(F.col(c)).alias(c) for c, v in lineage.items()))
+        .select(*state_schema(table).names)
+    )
+    target = state.select(
+        pk, F.col("_last_source_sequence").alias("target_sequence_before"), F.col("_last_event_id").alias("_tid")
+    )
     audit = win.join(target, pk, "left")
     exists = F.col("target_sequence_before").isNotNull()
     same = (F.col("event_id") == F.col("_tid")) & (F.col("source_sequence") == F.col("target_sequence_before"))
-    audit = audit.withColumn("apply_outcome", outcome(exists, same, F.coalesce("_recorded", F.lit(False)), F.col("source_sequence") <= F.col("target_sequence_before")))
-    audit = audit.withColumn("target_sequence_after", F.when(F.col("apply_outcome").isin(*APPLIED), F.col("source_sequence")).otherwise(F.col("target_sequence_before")))
+    audit = audit.withColumn(
+        "apply_outcome",
+        outcome(
+            exists,
+            same,
+            F.coalesce("_recorded", F.lit(False)),
+            F.col("source_sequence") <= F.col("target_sequence_before")
+        )
+    )
+    audit = audit.withColumn(
+        "target_sequence_after",
+        F.when(F.col("apply_outcome").isin(*APPLIED), F.col("source_sequence"))
+        .otherwise(F.col("target_sequence_before"))
+    )
     none = F.lit(None).cast("long")
-    lost = ranked.where("collapse_rank > 1").withColumns({"apply_outcome": F.lit(SUPERSEDED), "target_sequence_before": none, "target_sequence_after": none})
-    rows = audit.select(*lost.columns[:0], *[c for c in lost.columns if c != "collapse_rank"]).unionByName(lost.drop("collapse_rank"))
+    lost = ranked.where("collapse_rank > 1").withColumns(
+        {"apply_outcome": F.lit(SUPERSEDED), "target_sequence_before": none, "target_sequence_after": none}
+    )
+    rows = (
+        audit.select(*lost.columns[:0], *[c for c in lost.columns if c != "collapse_rank"])
+        .unionByName(lost.drop("collapse_rank"))
+    )
     rows = rows.withColumns({"applied_at": now, "reason": reason(F.col("apply_outcome"))})
     return state_out, rows.select(*LEDGER.names)
 
@@ -89,17 +136,44 @@ def outcomes(unique: DataFrame, snapshot: DataFrame) -> DataFrame:
     snapshot rows (source_table, business_key, source_sequence). A redelivery that is the target's
     own event counts as already applied; recovery needs a lost ledger and can't arise here."""
     ranked = collapse(unique)
-    start = snapshot.select("source_table", "business_key", "source_sequence").withColumns({"batch_id": F.lit(0).cast("long"), "event_id": F.lit(SNAPSHOT_EVENT), "operation": F.lit(SNAPSHOT_EVENT), "collapse_rank": F.lit(1)})
+    start = snapshot.select("source_table", "business_key", "source_sequence").withColumns(
+        {
+            "batch_id": F.lit(0).cast("long"),
+            "event_id": F.lit(SNAPSHOT_EVENT),
+            "operation": F.lit(SNAPSHOT_EVENT),
+            "collapse_rank": F.lit(1)
+        }
+    )
     rows = ranked.where("collapse_rank = 1").unionByName(start, allowMissingColumns=True)
-    before = Window.partitionBy("source_table", "business_key").orderBy("batch_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_t", F.max(F.struct(F.col("source_sequence").alias("s"), (-F.col("batch_id")).alias("b"), F.col("event_id").alias("e"))).over(before))
+    before = (
+        Window.partitionBy("source_table", "business_key")
+        .orderBy("batch_id")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    rows = rows.withColumn(
+        "_t",
+        F.max(
+            F.struct(
+                F.col("source_sequence").alias("s"), (-F.col("batch_id")).alias("b"), F.col("event_id").alias("e")
+            )
+        )
+        .over(before)
+    )
     rows = rows.where("batch_id > 0").withColumn("target_sequence_before", F.col("_t.s"))
     found = F.col("_t").isNotNull()
     same = (F.col("_t.e") == F.col("event_id")) & (F.col("_t.s") == F.col("source_sequence"))
-    rows = rows.withColumn("apply_outcome", outcome(found, same, F.lit(True), F.col("source_sequence") <= F.col("_t.s"))).drop("_t")
-    lost = ranked.where("collapse_rank > 1").withColumns({"apply_outcome": F.lit(SUPERSEDED), "target_sequence_before": F.lit(None).cast("long")})
+    rows = (
+        rows.withColumn("apply_outcome", outcome(found, same, F.lit(True), F.col("source_sequence") <= F.col("_t.s")))
+        .drop("_t")
+    )
+    lost = ranked.where("collapse_rank > 1").withColumns(
+        {"apply_outcome": F.lit(SUPERSEDED), "target_sequence_before": F.lit(None).cast("long")}
+    )
     out = rows.unionByName(lost)
-    after = F.when(F.col("apply_outcome").isin(*APPLIED), F.col("source_sequence")).otherwise(F.col("target_sequence_before"))
+    after = (
+        F.when(F.col("apply_outcome").isin(*APPLIED), F.col("source_sequence"))
+        .otherwise(F.col("target_sequence_before"))
+    )
     return out.withColumns({"target_sequence_after": after, "reason": reason(F.col("apply_outcome"))}).drop("collapse_rank")
 
 
@@ -114,19 +188,33 @@ def state_of(results: DataFrame, snapshot: DataFrame, table: str) -> DataFrame:
     columns, snapshot has the payload columns, source_sequence and created_at."""
     pk, since = KEYS[table], added_in(table)
     fields = [f for f in payload_schema(table).names if f != pk]
-    applied = results.where(F.col("apply_outcome").isin(*APPLIED)).select(F.col("business_key").alias(pk), "source_sequence", "event_id", "event_timestamp", "batch_id", "operation", "schema_version", *fields)
+    applied = results.where(F.col("apply_outcome").isin(*APPLIED)).select(
+        F.col("business_key").alias(pk), "source_sequence", "event_id", "event_timestamp", "batch_id", "operation",
+        "schema_version", *fields
+    )
     have = set(snapshot.columns)
     types = {f.name: f.dataType for f in payload_schema(table).fields}
     start = snapshot.select(
-        F.col(pk), "source_sequence", F.lit(SNAPSHOT_EVENT).alias("event_id"), F.coalesce("created_at", F.lit(SNAPSHOT_TIME)).alias("event_timestamp"), F.lit(0).cast("long").alias("batch_id"), F.lit(SNAPSHOT_EVENT).alias("operation"),
-        F.lit(1).alias("schema_version"), *((F.col(f) if f in have else F.lit(None)).cast(types[f]).alias(f) for f in fields),
+        F.col(pk),
+        "source_sequence",
+        F.lit(SNAPSHOT_EVENT).alias("event_id"),
+        F.coalesce("created_at", F.lit(SNAPSHOT_TIME)).alias("event_timestamp"),
+        F.lit(0).cast("long").alias("batch_id"),
+        F.lit(SNAPSHOT_EVENT).alias("operation"),
+        F.lit(1).alias("schema_version"),
+        *((F.col(f) if f in have else F.lit(None)).cast(types[f]).alias(f) for f in fields),
     )
     rows = applied.unionByName(start)
     image = F.col("operation") != "DELETE"
-    last = lambda c, when=None: F.max_by(c, F.when(when, F.col("source_sequence")) if when is not None else F.col("source_sequence"))
+    last = lambda c, when=None: F.max_by(
+        c, F.when(when, F.col("source_sequence")) if when is not None else F.col("source_sequence")
+    )
     return rows.groupBy(pk).agg(
         *(last(f, image & (F.col("schema_version") >= since[f])).alias(f) for f in fields),
-        F.max("source_sequence").alias("_last_source_sequence"), last("event_id").alias("_last_event_id"), last("event_timestamp").alias("_last_event_timestamp"), last("batch_id").alias("_last_batch_id"),
+        F.max("source_sequence").alias("_last_source_sequence"),
+        last("event_id").alias("_last_event_id"),
+        last("event_timestamp").alias("_last_event_timestamp"),
+        last("batch_id").alias("_last_batch_id"),
         (last("operation") == "DELETE").alias("_is_deleted"), last("schema_version").alias("_last_schema_version"),
     )
 
@@ -138,7 +226,10 @@ def outcome_counts(results: DataFrame) -> DataFrame:
 def reconcile(state: DataFrame, key: str) -> DataFrame:
     """One row of what must hold: unique and non-null keys, positive sequences, active + deleted = all."""
     return state.agg(
-        F.count("*").alias("total_rows"), F.count_distinct(key).alias("distinct_keys"), F.count_if(F.col(key).isNull()).alias("null_keys"), F.count_if(F.col("_last_source_sequence") <= 0).alias("bad_sequences"),
+        F.count("*").alias("total_rows"),
+        F.count_distinct(key).alias("distinct_keys"),
+        F.count_if(F.col(key).isNull()).alias("null_keys"),
+        F.count_if(F.col("_last_source_sequence") <= 0).alias("bad_sequences"),
         F.count_if(~F.col("_is_deleted")).alias("active_rows"), F.count_if("_is_deleted").alias("deleted_rows"),
     )
 
@@ -160,4 +251,9 @@ def reactivated(results: DataFrame) -> DataFrame:
     """Keys with an applied insert or update right after an applied delete, and how often."""
     rows = results.where(F.col("apply_outcome").isin(*APPLIED))
     before = Window.partitionBy("source_table", "business_key").orderBy("source_sequence")
-    return rows.withColumn("_b", F.lag("operation").over(before)).where("_b = 'DELETE' and operation <> 'DELETE'").groupBy("source_table", "business_key").agg(F.count("*").alias("reactivations"))
+    return (
+        rows.withColumn("_b", F.lag("operation").over(before))
+        .where("_b = 'DELETE' and operation <> 'DELETE'")
+        .groupBy("source_table", "business_key")
+        .agg(F.count("*").alias("reactivations"))
+    )

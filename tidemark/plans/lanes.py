@@ -63,7 +63,10 @@ class Engine:
 
     def vacuum(self, keep: int = 10) -> int:
         """Delete all tables' versions but the last ones; returns how many folders went."""
-        names = [*TABLES, "applied_events", "cdc_event_store", "batch_apply_metrics", "subscriptions_history", "late_event_queue", "replay_audit"]
+        names = [
+            *TABLES, "applied_events", "cdc_event_store", "batch_apply_metrics", "subscriptions_history",
+            "late_event_queue", "replay_audit"
+        ]
         return sum(self.table(n).vacuum(keep) for n in names if self.table(n).exists())
 
     # Staging
@@ -75,33 +78,53 @@ class Engine:
         tag, now = f"batch_id={batch.batch_id:06d}", _now()
         hwm = F.create_map(*(F.lit(x) for kv in marks.items() for x in kv))[F.col("source_table")]
         rows = checked(read_events(self.spark, str(batch.path))).withColumn("_bad", F.col("rejection_reason") != "")
-        rows = ops.ranked_deliveries(rows, ("source_table", "_bad")).withColumn("_kept", ~F.col("_bad") & (F.col("delivery_rank") == 1))
+        rows = (
+            ops.ranked_deliveries(rows, ("source_table", "_bad"))
+            .withColumn("_kept", ~F.col("_bad") & (F.col("delivery_rank") == 1))
+        )
         rows = rows.withColumn("_late", F.col("_kept") & (hwm > 0) & (F.col("source_sequence") <= hwm)).persist()
         try:
             valid = rows.where("_kept")
             seq = F.when(F.col("_kept"), F.col("source_sequence"))
             counts = rows.groupBy("source_table").agg(
-                F.count("*").alias("raw_event_count"), F.count_if(~F.col("_bad")).alias("valid_event_count"), F.count_if("_bad").alias("invalid_event_count"), F.count_if(~F.col("_bad") & (F.col("delivery_rank") > 1)).alias("duplicate_event_count"),
-                F.count_if("_kept").alias("valid_unique_count"), F.count_if(F.coalesce("_late", F.lit(False))).alias("late_event_count"), F.coalesce(F.min(seq), F.lit(0)).alias("minimum_sequence"), F.coalesce(F.max(seq), F.lit(0)).alias("maximum_sequence"),
+                F.count("*").alias("raw_event_count"),
+                F.count_if(~F.col("_bad")).alias("valid_event_count"),
+                F.count_if("_bad").alias("invalid_event_count"),
+                F.count_if(~F.col("_bad") & (F.col("delivery_rank") > 1)).alias("duplicate_event_count"),
+                F.count_if("_kept").alias("valid_unique_count"),
+                F.count_if(F.coalesce("_late", F.lit(False))).alias("late_event_count"),
+                F.coalesce(F.min(seq), F.lit(0)).alias("minimum_sequence"),
+                F.coalesce(F.max(seq), F.lit(0)).alias("maximum_sequence"),
             )
             names = counts.columns[1:]
-            found = {r.source_table: r.asDict() for r in counts.collect()}  # a row for each table name; an unknown name only occurs in quarantined events
+            # A row for each table name; an unknown name only occurs in quarantined events.
+            found = {r.source_table: r.asDict() for r in counts.collect()}
             tables = {t: {n: found.get(t, {}).get(n, 0) for n in names} for t in sorted({*TABLES, *(str(x) for x in found)})}
             for t, m in tables.items():
                 if m["raw_event_count"] != m["valid_unique_count"] + m["duplicate_event_count"] + m["invalid_event_count"]:
-                    raise ReconciliationError(f"batch {batch.batch_id}, {t}: raw is not the sum of unique, duplicate and invalid")
+                    raise ReconciliationError(
+                        f"batch {batch.batch_id}, {t}: raw is not the sum of unique, duplicate and invalid"
+                    )
             envelope = valid.drop("_bad", "_kept", "delivery_rank", "canonical_event_hash", "rejection_reason")
             ops.in_order(envelope.drop("_late")).write.mode("overwrite").json(str(self.staged / "valid" / tag))
-            split_valid(rows.where("_bad").drop("rejection_reason"), now)[1].write.mode("overwrite").json(str(self.staged / "quarantine" / tag))
+            split_valid(
+                rows.where("_bad").drop("rejection_reason"), now
+            )[1].write.mode("overwrite").json(str(self.staged / "quarantine" / tag))
             ops.in_order(envelope.where("_late").drop("_late")).write.mode("overwrite").json(str(self.staged / "late" / tag))
         finally:
             rows.unpersist()
         total = lambda n: sum(m[n] for m in tables.values())
         doc = {
             "batch_id": batch.batch_id, "status": "SUCCESS", "processed_at": datetime.now(timezone.utc).isoformat(),
-            "totals": {"raw_events": total("raw_event_count"), "valid_unique": total("valid_unique_count"), "duplicates": total("duplicate_event_count"), "invalid": total("invalid_event_count"), "late_events": total("late_event_count")},
+            "totals": {
+                "raw_events": total("raw_event_count"),
+                "valid_unique": total("valid_unique_count"),
+                "duplicates": total("duplicate_event_count"),
+                "invalid": total("invalid_event_count"),
+                "late_events": total("late_event_count")
+            },
             "tables": tables,
-        }
+        }
         path = self.staged / "metrics" / tag / "metrics.json"
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_text(json.dumps(doc, indent=2))
@@ -115,9 +138,20 @@ class Engine:
 
     def staged_events(self, kind: str) -> DataFrame:
         """valid, quarantine or late events of all staged batches; empty before the first."""
-        schema = T.StructType([*split_valid(read_events(self.spark, []), F.lit(""))[1].schema.fields]) if kind == "quarantine" else read_events(self.spark, []).schema
+        schema = (
+            T.StructType([*split_valid(read_events(self.spark, []), F.lit(""))[1].schema.fields])
+            if kind == "quarantine"
+            else read_events(self.spark, []).schema
+        )
         paths = [str(p) for p in (self.staged / kind).glob("batch_id=*")]
-        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").json(paths) if paths else self.spark.createDataFrame([], schema)
+        return (
+            self.spark.read.schema(schema)
+            .option("recursiveFileLookup", "true")
+            .option("pathGlobFilter", "part-*")
+            .json(paths)
+            if paths
+            else self.spark.createDataFrame([], schema)
+        )
 
     def analyze(self) -> dict[str, DataFrame]:
         """The six diagnostics over what is staged; registers v_cdc_valid, v_cdc_quarantine and v_cdc_late."""
@@ -125,9 +159,13 @@ class Engine:
         for name, df in (("v_cdc_valid", valid), ("v_cdc_quarantine", bad), ("v_cdc_late", late)):
             df.createOrReplaceTempView(name)
         return {
-            "events_by_operation": ops.by_operation(valid), "events_by_source_table": ops.by_source_table(valid), "sequence_range_by_batch": ops.sequence_range(valid),
-            "update_frequency_by_key": ops.update_frequency(valid), "late_events": ops.late_summary(late), "invalid_events_by_reason": ops.by_reason(bad),
-        }
+            "events_by_operation": ops.by_operation(valid),
+            "events_by_source_table": ops.by_source_table(valid),
+            "sequence_range_by_batch": ops.sequence_range(valid),
+            "update_frequency_by_key": ops.update_frequency(valid),
+            "late_events": ops.late_summary(late),
+            "invalid_events_by_reason": ops.by_reason(bad),
+        }
 
     # Current state
 
@@ -138,7 +176,9 @@ class Engine:
             if self.table(t).exists() and not force:
                 continue
             state = merge.snapshot_state(read_snapshot(self.spark, self.raw, t), t, _now())
-            later = set(state.columns) & (set(PAYLOADS[t, max(v for x, v in PAYLOADS if x == t)].names) - set(PAYLOADS[t, 1].names))
+            later = set(state.columns) & (
+                set(PAYLOADS[t, max(v for x, v in PAYLOADS if x == t)].names) - set(PAYLOADS[t, 1].names)
+            )
             self.table(t).commit(state.drop(*later), "snapshot", keys=[KEYS[t]])
             made.append(t)
         return made
@@ -164,7 +204,8 @@ class Engine:
             self._check_identities(unique)
             ledger = self._ledger()
             recorded = ledger.pin(unique).df
-            present = {r.source_table for r in unique.select("source_table").distinct().collect()}  # four at most: the events are valid
+            # Four at most: the events are valid.
+            present = {r.source_table for r in unique.select("source_table").distinct().collect()}
 
             def one(t: str) -> DataFrame:
                 parsed = parse_payload(unique, t)
@@ -191,18 +232,40 @@ class Engine:
     def _count(self, audit: DataFrame, tables: list[str], now: Column) -> list[dict]:
         n = lambda *o: F.count_if(F.col("apply_outcome").isin(*o))
         by = audit.groupBy("batch_id", "source_table").agg(
-            F.count("*").alias("input_valid_unique_events"), n(merge.SUPERSEDED).alias("superseded_events"), F.count_if(F.col("apply_outcome") != merge.SUPERSEDED).alias("candidate_winners"), n("APPLIED_INSERT").alias("applied_inserts"),
-            n("APPLIED_UPDATE").alias("applied_updates"), n("APPLIED_DELETE").alias("applied_deletes"), n("STALE_NOOP").alias("stale_noops"), n("ALREADY_APPLIED").alias("already_applied"), n("RECOVERED_AFTER_PARTIAL_COMMIT").alias("recovered_events"),
+            F.count("*").alias("input_valid_unique_events"),
+            n(merge.SUPERSEDED).alias("superseded_events"),
+            F.count_if(F.col("apply_outcome") != merge.SUPERSEDED).alias("candidate_winners"),
+            n("APPLIED_INSERT").alias("applied_inserts"),
+            n("APPLIED_UPDATE").alias("applied_updates"),
+            n("APPLIED_DELETE").alias("applied_deletes"),
+            n("STALE_NOOP").alias("stale_noops"),
+            n("ALREADY_APPLIED").alias("already_applied"),
+            n("RECOVERED_AFTER_PARTIAL_COMMIT").alias("recovered_events"),
             F.min("source_sequence").alias("min_sequence"), F.max("source_sequence").alias("max_sequence"),
         )
-        sizes = reduce(DataFrame.unionByName, (self.table(t).read().agg(F.count_if(~F.col("_is_deleted")).alias("current_active_rows"), F.count_if("_is_deleted").alias("current_deleted_rows")).withColumn("source_table", F.lit(t)) for t in tables))
-        rows = by.join(F.broadcast(sizes), "source_table").withColumn("processed_at", now).select(*METRICS.names)  # a row for each table
+        sizes = reduce(
+            DataFrame.unionByName,
+            (
+                self.table(t)
+                .read()
+                .agg(
+                    F.count_if(~F.col("_is_deleted")).alias("current_active_rows"),
+                    F.count_if("_is_deleted").alias("current_deleted_rows")
+                )
+                .withColumn("source_table", F.lit(t))
+                for t in tables
+            )
+        )
+        # A row for each table.
+        rows = by.join(F.broadcast(sizes), "source_table").withColumn("processed_at", now).select(*METRICS.names)
         self._made("batch_apply_metrics", METRICS).upsert(rows, ["batch_id", "source_table"])
         return [r.asDict() for r in rows.collect()]  # a row for each batch and table
 
     def apply(self, batch: Batch, fail_at: str | None = None) -> list[dict]:
         valid, bad = split_valid(read_events(self.spark, str(batch.path)), _now())
-        bad.write.mode("overwrite").parquet(str(self.root / "staged" / "apply_quarantine" / f"batch_id={batch.batch_id:06d}"))
+        bad.write.mode("overwrite").parquet(
+            str(self.root / "staged" / "apply_quarantine" / f"batch_id={batch.batch_id:06d}")
+        )
         counts = self.apply_events(ops.deduplicate(valid, ("source_table",))[0].drop("canonical_event_hash"), fail_at)
         self.reconcile()
         if fail_at == "checkpoint":
@@ -225,17 +288,28 @@ class Engine:
     def reconcile(self) -> dict[str, dict]:
         """What must hold of current state and ledger; an error if something doesn't."""
         out = {}
-        facts = reduce(DataFrame.unionByName, (merge.reconcile(self.table(t).read(), KEYS[t]).withColumn("source_table", F.lit(t)) for t in TABLES))
+        facts = reduce(
+            DataFrame.unionByName,
+            (merge.reconcile(self.table(t).read(), KEYS[t]).withColumn("source_table", F.lit(t)) for t in TABLES)
+        )
         for row in facts.collect():  # a row for each table
             r = row.asDict()
             t = r.pop("source_table")
-            if r["null_keys"] or r["bad_sequences"] or r["distinct_keys"] != r["total_rows"] or r["active_rows"] + r["deleted_rows"] != r["total_rows"]:
+            repeated = r["distinct_keys"] != r["total_rows"]
+            unsorted = r["active_rows"] + r["deleted_rows"] != r["total_rows"]
+            if r["null_keys"] or r["bad_sequences"] or repeated or unsorted:
                 raise ReconciliationError(f"{t}: {r}")
             if not merge.money_is_decimal(self.table(t).read(), t):
                 raise ReconciliationError(f"{t}: {merge.MONEY[t]} is no decimal(12,2)")
             out[t] = r
         if self.table("applied_events").exists():
-            r = self.table("applied_events").read().agg(F.count("*").alias("rows"), F.count_distinct("event_id").alias("events")).first().asDict()
+            r = (
+                self.table("applied_events")
+                .read()
+                .agg(F.count("*").alias("rows"), F.count_distinct("event_id").alias("events"))
+                .first()
+                .asDict()
+            )
             if r["rows"] != r["events"]:
                 raise ReconciliationError(f"applied_events: {r}")
             out["applied_events"] = r
@@ -279,7 +353,11 @@ class Engine:
         t = self.table("subscriptions_history")
         if t.exists() and not force:
             return False
-        t.commit(history.seed(read_snapshot(self.spark, self.raw, "subscriptions"), _now()), "snapshot", keys=[KEYS["subscriptions"]])
+        t.commit(
+            history.seed(read_snapshot(self.spark, self.raw, "subscriptions"), _now()),
+            "snapshot",
+            keys=[KEYS["subscriptions"]]
+        )
         return True
 
     def detect_late(self) -> int:
@@ -310,7 +388,12 @@ class Engine:
             by = {r.status: r["count"] for r in audit.groupBy("status").count().collect()}
         finally:
             audit.unpersist()
-        return {"total_pending": pending, "applied": by.get("APPLIED", 0), "conflicts": by.get("CONFLICT", 0), "failed": by.get("FAILED", 0)}
+        return {
+            "total_pending": pending,
+            "applied": by.get("APPLIED", 0),
+            "conflicts": by.get("CONFLICT", 0),
+            "failed": by.get("FAILED", 0)
+        }
 
     def history_of(self, subscription_id: str | None = None) -> DataFrame:
         h = self.table("subscriptions_history").read()

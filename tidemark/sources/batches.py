@@ -58,12 +58,23 @@ def read_events(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     folder's name, and manifests are no events."""
     if not paths:
         return spark.createDataFrame([], ENVELOPE)
-    return spark.read.schema(ENVELOPE).option("pathGlobFilter", "{*.jsonl,part-*}").option("recursiveFileLookup", "true").json(paths)
+    return (
+        spark.read.schema(ENVELOPE)
+        .option("pathGlobFilter", "{*.jsonl,part-*}")
+        .option("recursiveFileLookup", "true")
+        .json(paths)
+    )
 
 
 def read_snapshot(spark: SparkSession, root: str | Path, table: str) -> DataFrame:
     """Typed snapshot rows, from snapshot/<table>.jsonl or <table>.jsonl."""
-    schema = T.StructType([*payload_schema(table).fields, T.StructField("source_sequence", T.LongType()), T.StructField("created_at", T.StringType())])
+    schema = T.StructType(
+        [
+            *payload_schema(table).fields,
+            T.StructField("source_sequence", T.LongType()),
+            T.StructField("created_at", T.StringType())
+        ]
+    )
     for p in (Path(root) / "snapshot" / f"{table}.jsonl", Path(root) / f"{table}.jsonl"):
         if p.exists():
             return spark.read.schema(schema).json(str(p))
@@ -78,7 +89,15 @@ class Checkpoint:
         self.path = Path(folder) / name
 
     def load(self) -> dict:
-        empty = {"version": 1, "tables": {t: {"highest_source_sequence": 0, "last_processed_batch_id": 0, "last_updated_at": None} for t in TABLES}, "completed_batch_ids": [], "last_updated_at": None}
+        empty = {
+            "version": 1,
+            "tables": {
+                t: {"highest_source_sequence": 0, "last_processed_batch_id": 0, "last_updated_at": None}
+                for t in TABLES
+            },
+            "completed_batch_ids": [],
+            "last_updated_at": None
+        }
         if self.path.exists():
             return json.loads(self.path.read_text())
         return self._migrated(empty)
@@ -92,7 +111,11 @@ class Checkpoint:
             except (OSError, ValueError):
                 done.append(set())
                 continue
-            state["tables"][t] |= {k: old[k] for k in ("highest_source_sequence", "last_processed_batch_id", "last_updated_at") if k in old}
+            state["tables"][t] |= {
+                k: old[k]
+                for k in ("highest_source_sequence", "last_processed_batch_id", "last_updated_at")
+                if k in old
+            }
             done.append(set(old.get("processed_batch_ids", ())))
         state["completed_batch_ids"] = sorted(set.intersection(*done))
         return state
@@ -109,7 +132,9 @@ class Checkpoint:
     def load_table(self, table: str) -> dict:
         """One table's mark, with the batches that are complete."""
         state = self.load()
-        own = state["tables"].get(table, {"highest_source_sequence": 0, "last_processed_batch_id": 0, "last_updated_at": None})
+        own = state["tables"].get(
+            table, {"highest_source_sequence": 0, "last_processed_batch_id": 0, "last_updated_at": None}
+        )
         return {"table_name": table, **own, "processed_batch_ids": state["completed_batch_ids"]}
 
     def save_table(self, table: str, state: dict) -> None:
@@ -128,7 +153,9 @@ class Checkpoint:
             if seq < state["tables"].get(t, {}).get("highest_source_sequence", 0):
                 raise CheckpointRegressionError(f"{t}: {seq} is below {state['tables'][t]['highest_source_sequence']}")
         for t, seq in marks.items():
-            state["tables"][t] = {"highest_source_sequence": seq, "last_processed_batch_id": batch_id, "last_updated_at": now}
+            state["tables"][t] = {
+                "highest_source_sequence": seq, "last_processed_batch_id": batch_id, "last_updated_at": now
+            }
         state["completed_batch_ids"] = sorted({*state["completed_batch_ids"], batch_id})
         state["last_updated_at"] = now
         self._replace(self.path, state)

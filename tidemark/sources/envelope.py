@@ -13,19 +13,24 @@ from pyspark.sql import DataFrame, SparkSession
 ENVELOPE_SQL = """
 with a0 as (
   select event_id as n, cast(user_id as bigint) as uid, event_type, cast(value as decimal(12,2)) as amt, ts,
-         case user_id % 4 when 0 then 'accounts' when 1 then 'subscriptions' when 2 then 'invoices' else 'payments' end as source_table,
-         concat(case user_id % 4 when 0 then 'ACC-' when 1 then 'SUB-' when 2 then 'INV-' else 'PAY-' end, lpad(cast(user_id as varchar(20)), 6, '0')) as k,
-         case user_id % 4 when 0 then 'account_id' when 1 then 'subscription_id' when 2 then 'invoice_id' else 'payment_id' end as pk
+         case user_id % 4 when 0 then 'accounts' when 1 then 'subscriptions'
+           when 2 then 'invoices' else 'payments' end as source_table,
+         concat(case user_id % 4 when 0 then 'ACC-' when 1 then 'SUB-' when 2 then 'INV-' else 'PAY-' end,
+           lpad(cast(user_id as varchar(20)), 6, '0')) as k,
+         case user_id % 4 when 0 then 'account_id' when 1 then 'subscription_id'
+           when 2 then 'invoice_id' else 'payment_id' end as pk
   from events),
 a1 as (
   select *,
     case when n % 50 = 43 then -n else 1000000 + n end as source_sequence,
-    case when n % 50 = 7 then 'UPSERT' when event_type = 'signup' then 'INSERT' when event_type = 'error' then 'DELETE' else 'UPDATE' end as operation,
+    case when n % 50 = 7 then 'UPSERT' when event_type = 'signup' then 'INSERT'
+      when event_type = 'error' then 'DELETE' else 'UPDATE' end as operation,
     case when n % 50 = 11 then '' else k end as business_key,
     case when n % 50 = 17 then 99 when source_table = 'subscriptions' and n % 5 = 0 then 2 else 1 end as schema_version,
     case when n % 50 = 31 then 'not-a-time' else ISO(ts) end as event_timestamp,
     case event_type when 'view' then 'BASIC' when 'click' then 'PRO' else 'ENTERPRISE' end as plan,
-    case when n % 6 = 1 then '' when n % 6 = 2 then ', AMT: null' else concat(', AMT: ', cast(amt as varchar(20))) end as amt_json
+    case when n % 6 = 1 then '' when n % 6 = 2 then ', AMT: null' else
+      concat(', AMT: ', cast(amt as varchar(20))) end as amt_json
   from a0),
 a2 as (
   select *,
@@ -36,11 +41,18 @@ a2 as (
       when n % 50 = 23 then concat('{"', pk, '": "', k, '", "other": 1}')
       else concat('{"', pk, '": "', case when n % 50 = 29 then 'ZZZ-000000' else k end, '"',
         case source_table
-          when 'accounts' then concat(', "company_name": "Co ', cast(uid as varchar(20)), '", "industry": "', event_type, '", "country": "US", "plan_tier": "', plan, '"')
-          when 'subscriptions' then concat(', "account_id": "ACC-', lpad(cast(uid - 1 as varchar(20)), 6, '0'), '", "plan": "', plan, '", "status": "', event_type, '"', replace(amt_json, 'AMT', '"monthly_amount"'), ', "renewal_date": "2025-01-01"',
-               case when schema_version = 2 then concat(', "billing_cycle": "', case when n % 2 = 0 then 'MONTHLY' else 'ANNUAL' end, '", "currency": "USD"') else '' end)
-          when 'invoices' then concat(', "account_id": "ACC-', lpad(cast(uid - 2 as varchar(20)), 6, '0'), '", "subscription_id": "SUB-', lpad(cast(uid - 1 as varchar(20)), 6, '0'), '", "amount": ', cast(amt as varchar(20)), ', "status": "', event_type, '"')
-          else concat(', "invoice_id": "INV-', lpad(cast(uid - 1 as varchar(20)), 6, '0'), '", "amount": ', cast(amt as varchar(20)), ', "payment_status": "', event_type, '"')
+          when 'accounts' then concat(', "company_name": "Co ', cast(uid as varchar(20)), '", "industry": "',
+            event_type, '", "country": "US", "plan_tier": "', plan, '"')
+          when 'subscriptions' then concat(', "account_id": "ACC-', lpad(cast(uid - 1 as varchar(20)), 6, '0'),
+            '", "plan": "', plan, '", "status": "', event_type, '"', replace(amt_json, 'AMT', '"monthly_amount"'),
+            ', "renewal_date": "2025-01-01"',
+               case when schema_version = 2 then concat(', "billing_cycle": "', case
+                 when n % 2 = 0 then 'MONTHLY' else 'ANNUAL' end, '", "currency": "USD"') else '' end)
+          when 'invoices' then concat(', "account_id": "ACC-', lpad(cast(uid - 2 as varchar(20)), 6, '0'),
+            '", "subscription_id": "SUB-', lpad(cast(uid - 1 as varchar(20)), 6, '0'), '", "amount": ',
+            cast(amt as varchar(20)), ', "status": "', event_type, '"')
+          else concat(', "invoice_id": "INV-', lpad(cast(uid - 1 as varchar(20)), 6, '0'), '", "amount": ',
+            cast(amt as varchar(20)), ', "payment_status": "', event_type, '"')
         end, '}')
     end as payload,
     SHA(concat(source_table, ':', business_key, ':', cast(source_sequence as varchar(20)), ':', operation)) as good_id,
@@ -51,11 +63,14 @@ env as (
          cast(source_sequence as bigint) as source_sequence, event_timestamp,
          ISO(ts + lag_s * interval '1' second) as ingested_timestamp,
          batch0 + lag_b as batch_id, cast(schema_version as int) as schema_version, payload
-  from (select *, 0 as lag_s, 0 as lag_b from a2 union all select *, 60, 0 from a2 where n % 33 = 0 union all select *, 120, 3 from a2 where n % 47 = 0) d)
+  from (select *, 0 as lag_s, 0 as lag_b from a2 union all select *, 60, 0 from a2 where n % 33 = 0
+    union all select *, 120, 3 from a2 where n % 47 = 0) d)
 """
 SNAPSHOT_SQL = """
-select case c_custkey % 4 when 0 then 'accounts' when 1 then 'subscriptions' when 2 then 'invoices' else 'payments' end as source_table,
-       concat(case c_custkey % 4 when 0 then 'ACC-' when 1 then 'SUB-' when 2 then 'INV-' else 'PAY-' end, lpad(cast(c_custkey as varchar(20)), 6, '0')) as business_key,
+select case c_custkey % 4 when 0 then 'accounts' when 1 then 'subscriptions'
+  when 2 then 'invoices' else 'payments' end as source_table,
+       concat(case c_custkey % 4 when 0 then 'ACC-' when 1 then 'SUB-' when 2 then 'INV-' else 'PAY-' end,
+         lpad(cast(c_custkey as varchar(20)), 6, '0')) as business_key,
        cast(c_custkey + 1 as bigint) as source_sequence,
        concat('ACC-', lpad(cast(greatest(c_custkey - 1, 0) as varchar(20)), 6, '0')) as account_id,
        case c_custkey % 2 when 0 then 'BASIC' else 'PRO' end as plan,
@@ -92,7 +107,11 @@ def _over(sql: str, name: str, rows: DataFrame) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The relation env. Its clock is UTC whatever the session's time zone: ts has none."""
-    return _over(spelled(ENVELOPE_SQL, SPARK) + "select * from env", "events", _spread(spark.read.parquet(f"{sf_dir}/events.parquet")))
+    return _over(
+        spelled(ENVELOPE_SQL, SPARK) + "select * from env",
+        "events",
+        _spread(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    )
 
 
 def snapshot(spark: SparkSession, sf_dir: str, table: str | None = None) -> DataFrame:

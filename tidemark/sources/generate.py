@@ -16,7 +16,9 @@ from tidemark.schemas import ENVELOPE, KEYS, TABLES
 
 PREFIX = {"accounts": "ACC", "subscriptions": "SUB", "invoices": "INV", "payments": "PAY"}
 SHARE = {"accounts": (0.15, 2), "subscriptions": (0.35, 3), "invoices": (0.30, 2), "payments": (0.20, 2)}
-_INDUSTRIES, _COUNTRIES, _PLANS = ("retail", "logistics", "health", "energy", "media"), ("DE", "FR", "JP", "BR", "US"), ("BASIC", "PRO", "ENTERPRISE")
+_INDUSTRIES, _COUNTRIES, _PLANS = (
+    "retail", "logistics", "health", "energy", "media"
+), ("DE", "FR", "JP", "BR", "US"), ("BASIC", "PRO", "ENTERPRISE")
 _PRICES = {"BASIC": 29.0, "PRO": 99.0, "ENTERPRISE": 499.0}
 _START = "2026-01-01T00:00:00+00:00"
 #: Rows a file, and a task, of generated data.
@@ -79,17 +81,46 @@ class _Maker:
     def fields(self, table: str, n: Column, version: Column) -> dict[str, Column]:
         """Payload of an entity's row number; version is salted in, so that updates change it. Parents, and the
         price that a subscription's invoices and payments copy, follow from the number alone."""
-        sub = n if table == "subscriptions" else self.number("inv-sub", self.rows["subscriptions"], n if table == "invoices" else self.number("pay-inv", self.rows["invoices"], n))
+        sub = n if table == "subscriptions" else self.number(
+            "inv-sub",
+            self.rows["subscriptions"],
+            n if table == "invoices" else self.number("pay-inv", self.rows["invoices"], n)
+        )
         account = self.key("accounts", self.number("sub-acc", self.rows["accounts"], sub))
         plan = self.pick("plan", _PLANS, sub, version if table == "subscriptions" else F.lit(0))
         price = F.create_map(*(F.lit(x) for kv in _PRICES.items() for x in kv))[plan]
-        day = F.date_format(F.date_add(F.lit("2026-01-01").cast("date"), self.number("day", 365, n, version).cast("int")), "yyyy-MM-dd")
+        day = F.date_format(
+            F.date_add(F.lit("2026-01-01").cast("date"), self.number("day", 365, n, version).cast("int")),
+            "yyyy-MM-dd"
+        )
         own = {
-            "accounts": {"company_name": F.concat(F.lit("Company "), n.cast("string")), "industry": self.pick("industry", _INDUSTRIES, n), "country": self.pick("country", _COUNTRIES, n), "plan_tier": self.pick("tier", _PLANS, n, version)},
-            "subscriptions": {"account_id": account, "plan": plan, "status": self.pick("status", ("ACTIVE", "ACTIVE", "PAUSED"), n, version), "monthly_amount": price, "renewal_date": day},
-            "invoices": {"account_id": account, "subscription_id": self.key("subscriptions", sub), "amount": price, "status": self.pick("paid", ("OPEN", "PAID"), n, version), "due_date": day},
-            "payments": {"invoice_id": self.key("invoices", self.number("pay-inv", self.rows["invoices"], n)), "amount": price, "payment_status": self.pick("done", ("SUCCESS", "FAILED"), n, version), "processor_ref": F.concat(F.lit("ref-"), F.hex(F.xxhash64(n, version)))},
-        }[table]
+            "accounts": {
+                "company_name": F.concat(F.lit("Company "), n.cast("string")),
+                "industry": self.pick("industry", _INDUSTRIES, n),
+                "country": self.pick("country", _COUNTRIES, n),
+                "plan_tier": self.pick("tier", _PLANS, n, version)
+            },
+            "subscriptions": {
+                "account_id": account,
+                "plan": plan,
+                "status": self.pick("status", ("ACTIVE", "ACTIVE", "PAUSED"), n, version),
+                "monthly_amount": price,
+                "renewal_date": day
+            },
+            "invoices": {
+                "account_id": account,
+                "subscription_id": self.key("subscriptions", sub),
+                "amount": price,
+                "status": self.pick("paid", ("OPEN", "PAID"), n, version),
+                "due_date": day
+            },
+            "payments": {
+                "invoice_id": self.key("invoices", self.number("pay-inv", self.rows["invoices"], n)),
+                "amount": price,
+                "payment_status": self.pick("done", ("SUCCESS", "FAILED"), n, version),
+                "processor_ref": F.concat(F.lit("ref-"), F.hex(F.xxhash64(n, version)))
+            },
+        }[table]
         return {KEYS[table]: self.key(table, n)} | own
 
 
@@ -98,7 +129,12 @@ def snapshot(spark: SparkSession, scale: str | Scale, seed: int = 42) -> dict[st
     made, before, out = _Maker(seed, size.rows), 0, {}
     for t in TABLES:
         n = F.col("id") + 1
-        out[t] = spark.range(0, size.rows[t], 1, _files(size.rows[t])).select(*(v.alias(c) for c, v in made.fields(t, n, F.lit(0)).items()), (n + before).alias("source_sequence"), F.lit(_START).alias("created_at"), F.lit(_START).alias("updated_at"))
+        out[t] = spark.range(0, size.rows[t], 1, _files(size.rows[t])).select(
+            *(v.alias(c) for c, v in made.fields(t, n, F.lit(0)).items()),
+            (n + before).alias("source_sequence"),
+            F.lit(_START).alias("created_at"),
+            F.lit(_START).alias("updated_at")
+        )
         before += size.rows[t]
     return out
 
@@ -107,12 +143,25 @@ def write_snapshot(spark: SparkSession, root: str | Path, scale: str = "tiny", s
     folder, size = Path(root) / "snapshot", SCALES[scale]
     for t, df in snapshot(spark, scale, seed).items():
         df.write.mode("overwrite").json(str(folder / f"{t}.jsonl"))
-    meta = {"scale": scale, "seed": seed, "counts": size.rows, "highest_initial_sequence": sum(size.rows.values()), "created_at": datetime.now(timezone.utc).isoformat()}
+    meta = {
+        "scale": scale,
+        "seed": seed,
+        "counts": size.rows,
+        "highest_initial_sequence": sum(size.rows.values()),
+        "created_at": datetime.now(timezone.utc).isoformat()
+    }
     (folder / "snapshot_metadata.json").write_text(json.dumps(meta, indent=2))
     return meta
 
 
-def changes(spark: SparkSession, batches: int, scale: str | Scale, seed: int = 42, defects: Defects = Defects(), schema_transition_batch: int | None = None) -> DataFrame:
+def changes(
+    spark: SparkSession,
+    batches: int,
+    scale: str | Scale,
+    seed: int = 42,
+    defects: Defects = Defects(),
+    schema_transition_batch: int | None = None
+) -> DataFrame:
     """Events of all batches with a column defect (null: none). A late event arrives one batch after its
     sequence's; an out-of-order one swaps its place in arrival, not its sequence."""
     size = SCALES[scale] if isinstance(scale, str) else scale
@@ -121,17 +170,44 @@ def changes(spark: SparkSession, batches: int, scale: str | Scale, seed: int = 4
     step, parts, before = sum(counts.values()), [], 0
     for t in TABLES:
         n, total = counts[t], counts[t] * batches
-        rows = spark.range(0, total, 1, _files(total)).select((F.floor(F.col("id") / n) + 1).cast("long").alias("b"), F.pmod("id", F.lit(n)).alias("i"))
+        rows = spark.range(0, total, 1, _files(total)).select(
+            (F.floor(F.col("id") / n) + 1).cast("long").alias("b"), F.pmod("id", F.lit(n)).alias("i")
+        )
         rows = rows.withColumn("source_sequence", F.lit(first + 1) + (F.col("b") - 1) * step + before + F.col("i"))
         u = made.draw(f"op-{t}", "source_sequence")
         rows = rows.withColumn("operation", F.when(u < 0.25, "INSERT").when(u < 0.88, "UPDATE").otherwise("DELETE"))
-        rows = rows.withColumn("_n", F.when(F.col("operation") == "INSERT", size.rows[t] + (F.col("b") - 1) * n + F.col("i") + 1).otherwise(made.number(f"key-{t}", size.rows[t], "source_sequence")))
-        version = F.when(F.col("b") >= schema_transition_batch, 2).otherwise(1) if t == "subscriptions" and schema_transition_batch else F.lit(1)
+        rows = rows.withColumn(
+            "_n",
+            F.when(F.col("operation") == "INSERT", size.rows[t] + (F.col("b") - 1) * n + F.col("i") + 1)
+            .otherwise(made.number(f"key-{t}", size.rows[t], "source_sequence"))
+        )
+        version = (
+            F.when(F.col("b") >= schema_transition_batch, 2).otherwise(1)
+            if t == "subscriptions" and schema_transition_batch
+            else F.lit(1)
+        )
         f = made.fields(t, F.col("_n"), F.col("source_sequence"))
         if t == "subscriptions":
-            f |= {c: F.when(version >= 2, v) for c, v in (("billing_cycle", made.pick("cycle", ("MONTHLY", "ANNUAL"), "_n")), ("currency", F.lit("EUR")))}
-        whole, key_only = F.to_json(F.struct(*(v.alias(c) for c, v in f.items()))), F.to_json(F.struct(f[KEYS[t]].alias(KEYS[t])))
-        parts.append(rows.select(F.lit(t).alias("source_table"), "operation", made.key(t, F.col("_n")).alias("business_key"), "source_sequence", "b", version.cast("int").alias("schema_version"), F.when(F.col("operation") == "DELETE", key_only).otherwise(whole).alias("payload")))
+            f |= {
+                c: F.when(version >= 2, v)
+                for c, v in (
+                    ("billing_cycle", made.pick("cycle", ("MONTHLY", "ANNUAL"), "_n")), ("currency", F.lit("EUR"))
+                )
+            }
+        whole, key_only = F.to_json(
+            F.struct(*(v.alias(c) for c, v in f.items()))
+        ), F.to_json(F.struct(f[KEYS[t]].alias(KEYS[t])))
+        parts.append(
+            rows.select(
+                F.lit(t).alias("source_table"),
+                "operation",
+                made.key(t, F.col("_n")).alias("business_key"),
+                "source_sequence",
+                "b",
+                version.cast("int").alias("schema_version"),
+                F.when(F.col("operation") == "DELETE", key_only).otherwise(whole).alias("payload")
+            )
+        )
         before += n
     events = parts[0]
     for p in parts[1:]:
@@ -142,29 +218,61 @@ def changes(spark: SparkSession, batches: int, scale: str | Scale, seed: int = 4
     events = events.withColumn("defect", kind)
     is_ = lambda name: F.col("defect").eqNullSafe(F.lit(name))
     late = is_("late") & (F.col("b") < batches)
-    when = lambda shift: F.date_format(F.timestamp_seconds(F.lit(1767225600) + F.col("source_sequence") + shift), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    when = lambda shift: F.date_format(
+        F.timestamp_seconds(F.lit(1767225600) + F.col("source_sequence") + shift), "yyyy-MM-dd'T'HH:mm:ss'+00:00'"
+    )
     events = events.select(
-        "source_table", F.when(is_("unknown_operation"), "UPSERT").otherwise(F.col("operation")).alias("operation"), F.when(is_("missing_key"), "").otherwise(F.col("business_key")).alias("business_key"),
-        F.when(is_("invalid_sequence"), -F.col("source_sequence")).otherwise(F.col("source_sequence")).alias("source_sequence"), F.when(is_("invalid_timestamp"), "not a time").otherwise(when(0)).alias("event_timestamp"),
-        when(F.when(late, step).when(is_("out_of_order"), 3600).otherwise(60)).alias("ingested_timestamp"), (F.col("b") + late.cast("int")).alias("batch_id"), "schema_version",
-        F.when(is_("malformed_payload"), F.concat(F.lit("{broken "), "payload")).otherwise(F.col("payload")).alias("payload"), "defect",
+        "source_table",
+        F.when(is_("unknown_operation"), "UPSERT").otherwise(F.col("operation")).alias("operation"),
+        F.when(is_("missing_key"), "").otherwise(F.col("business_key")).alias("business_key"),
+        F.when(is_("invalid_sequence"), -F.col("source_sequence"))
+        .otherwise(F.col("source_sequence"))
+        .alias("source_sequence"),
+        F.when(is_("invalid_timestamp"), "not a time").otherwise(when(0)).alias("event_timestamp"),
+        when(F.when(late, step).when(is_("out_of_order"), 3600).otherwise(60)).alias("ingested_timestamp"),
+        (F.col("b") + late.cast("int")).alias("batch_id"),
+        "schema_version",
+        F.when(is_("malformed_payload"), F.concat(F.lit("{broken "), "payload"))
+        .otherwise(F.col("payload"))
+        .alias("payload"),
+        "defect",
     ).withColumn("event_id", event_id())
     copies = F.explode(F.when(is_("duplicate"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
     return events.withColumn("_copy", copies).drop("_copy").select(*ENVELOPE.names, "defect")
 
 
-def write_changes(spark: SparkSession, root: str | Path, batches: int = 3, scale: str = "tiny", seed: int = 42, defects: Defects = Defects(), schema_transition_batch: int | None = None) -> list[dict]:
+def write_changes(
+    spark: SparkSession,
+    root: str | Path,
+    batches: int = 3,
+    scale: str = "tiny",
+    seed: int = 42,
+    defects: Defects = Defects(),
+    schema_transition_batch: int | None = None
+) -> list[dict]:
     """cdc/batch_id=NNNNNN/ with the events, in order of arrival, and a manifest; returns the manifests."""
     events, out = changes(spark, batches, scale, seed, defects, schema_transition_batch), []
     facts = events.groupBy("batch_id", "source_table").agg(
-        F.count("*").alias("n"), F.min("source_sequence").alias("lo"), F.max("source_sequence").alias("hi"), F.array_sort(F.collect_set("schema_version")).alias("versions"), F.array_sort(F.collect_set("defect")).alias("defects")
+        F.count("*").alias("n"),
+        F.min("source_sequence").alias("lo"),
+        F.max("source_sequence").alias("hi"),
+        F.array_sort(F.collect_set("schema_version")).alias("versions"),
+        F.array_sort(F.collect_set("defect")).alias("defects")
     ).collect()  # a row for each batch and table
     for b in range(1, batches + 1):
         folder, mine = Path(root) / "cdc" / f"batch_id={b:06d}", [r for r in facts if r.batch_id == b]
-        events.where(F.col("batch_id") == b).drop("defect").coalesce(_files(sum(r.n for r in mine))).sortWithinPartitions("ingested_timestamp", "event_id").write.mode("overwrite").json(str(folder / "events.jsonl"))
+        events.where(F.col("batch_id") == b).drop("defect").coalesce(_files(sum(r.n for r in mine))).sortWithinPartitions(
+            "ingested_timestamp", "event_id"
+        ).write.mode("overwrite").json(str(folder / "events.jsonl"))
         out.append({
-            "batch_id": b, "created_at": datetime.now(timezone.utc).isoformat(), "minimum_source_sequence": min(r.lo for r in mine), "maximum_source_sequence": max(r.hi for r in mine), "event_count": sum(r.n for r in mine),
-            "table_event_counts": {r.source_table: r.n for r in mine}, "schema_versions": {r.source_table: r.versions for r in mine}, "defects_injected": sorted({d for r in mine for d in r.defects}),
-        })
+            "batch_id": b,
+            "created_at": datetime.now(timezone.utc).isoformat(),
+            "minimum_source_sequence": min(r.lo for r in mine),
+            "maximum_source_sequence": max(r.hi for r in mine),
+            "event_count": sum(r.n for r in mine),
+            "table_event_counts": {r.source_table: r.n for r in mine},
+            "schema_versions": {r.source_table: r.versions for r in mine},
+            "defects_injected": sorted({d for r in mine for d in r.defects}),
+        })
         (folder / "manifest.json").write_text(json.dumps(out[-1], indent=2))
     return out

@@ -31,7 +31,10 @@ def observed(seen: Observation) -> int:
 
 def scratch(spark: SparkSession) -> str:
     """A new path in the folder that all executors share, deleted when the driver ends."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    root = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    )
     path = f"{root.rstrip('/')}/tidemark/{uuid.uuid4().hex}"
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -55,7 +58,11 @@ class Table:
         log = self._path("_log")
         if not self._fs.exists(log):
             return []
-        return sorted(int(s.getPath().getName()[:-5]) for s in self._fs.listStatus(log) if s.getPath().getName().endswith(".json"))
+        return sorted(
+            int(s.getPath().getName()[:-5])
+            for s in self._fs.listStatus(log)
+            if s.getPath().getName().endswith(".json")
+        )
 
     def exists(self) -> bool:
         """False if nothing is there; an error if something is that is no table."""
@@ -101,7 +108,10 @@ class Table:
     def _commit(self, df: DataFrame, operation: str, version: int, keys: Sequence[str], keep: dict[str, list[str]]) -> int:
         """Write df beside the folders to keep, as the given version; the number of rows written."""
         folder = f"v={version:010d}-{uuid.uuid4().hex[:8]}"
-        entry = {"version": version, "operation": operation, "schema": df.schema.jsonValue(), "keys": list(keys), "parts": keep}
+        entry = {
+            "version": version, "operation": operation, "schema": df.schema.jsonValue(), "keys": list(keys),
+            "parts": keep
+        }
         seen = Observation()
         counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
         if keys:
@@ -124,7 +134,10 @@ class Table:
             stream.close()
         return observed(seen)
 
-    def commit(self, df: DataFrame, operation: str = "overwrite", expected: int | None = None, keys: Sequence[str] | None = None) -> int:
+    def commit(
+        self, df: DataFrame, operation: str = "overwrite", expected: int | None = None,
+        keys: Sequence[str] | None = None
+    ) -> int:
         """df is the table's content from now on. expected: the version that df was made from; fails if
         another commit came first. keys: those of the buckets; without them, the table's."""
         have = self.versions()
@@ -156,7 +169,10 @@ class Table:
 
     def _append(self, rows: DataFrame, at: int, entry: dict) -> int:
         have = StructType.fromJson(entry["schema"])
-        mine = [F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in have.fields]
+        mine = [
+            F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name)
+            for f in have.fields
+        ]
         more = [c for c in rows.columns if c not in have.names]
         return self._commit(rows.select(*mine, *more), "append", at + 1, entry["keys"], entry["parts"])
 
@@ -178,7 +194,15 @@ class Table:
 
     def update_where(self, predicate: Column, values: dict[str, Column]) -> int:
         pin, hit = self._where(predicate), F.coalesce(predicate, F.lit(False))
-        return pin.commit(pin.df.select(*(F.when(hit, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in pin.df.columns)), "update")
+        return pin.commit(
+            pin.df.select(
+                *(
+                    F.when(hit, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c)
+                    for c in pin.df.columns
+                )
+            ),
+            "update"
+        )
 
     def delete_where(self, predicate: Column) -> int:
         pin = self._where(predicate)

@@ -17,7 +17,11 @@ from tidemark.sources.batches import discover
 
 def read_stream(spark: SparkSession, root: str | Path, files_per_trigger: int | None = None) -> DataFrame:
     """Events of a batch folder as its files arrive."""
-    reader = spark.readStream.schema(ENVELOPE).option("pathGlobFilter", "{*.jsonl,part-*}").option("recursiveFileLookup", "true")
+    reader = (
+        spark.readStream.schema(ENVELOPE)
+        .option("pathGlobFilter", "{*.jsonl,part-*}")
+        .option("recursiveFileLookup", "true")
+    )
     return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).json(str(root))
 
 
@@ -50,11 +54,20 @@ def apply_stream(engine: Engine, files_per_trigger: int | None = None) -> Stream
             rows.unpersist()
 
     stream = read_stream(engine.spark, engine.cdc, files_per_trigger).withColumn("_folder", F.col("_metadata.file_path"))
-    return stream.writeStream.foreachBatch(one).option("checkpointLocation", str(engine.root / "state" / "stream")).trigger(availableNow=True).start()
+    return (
+        stream.writeStream.foreachBatch(one)
+        .option("checkpointLocation", str(engine.root / "state" / "stream"))
+        .trigger(availableNow=True)
+        .start()
+    )
 
 
 def rates(events: DataFrame, window: str = "1 hour", delay: str = "1 day") -> DataFrame:
     """Events by window of event time, table and operation; events later than the delay don't count. Works
     on a stream and on a table."""
-    timed = events.withColumn("at", F.col("event_timestamp").try_cast("timestamp")).where("at is not null").withWatermark("at", delay)
+    timed = (
+        events.withColumn("at", F.col("event_timestamp").try_cast("timestamp"))
+        .where("at is not null")
+        .withWatermark("at", delay)
+    )
     return timed.groupBy(F.window("at", window), "source_table", "operation").agg(F.count("*").alias("event_count"))
