@@ -10,8 +10,8 @@ Candidates are dealt to regions around pivots, and a region to cells of CANDIDAT
 A query meets one cell of its own region first, which gives it a threshold, its k-th best score
 there. Then it goes to the cells of every region whose statistics (least and largest mean and largest
 spread of each segment) leave room for that score. Within a cell the same is asked of single
-candidates, coarse to fine, and survivors get their exact score. Candidates are shuffled once, and
-queries once for each cell they may find something in; a cell's candidates are held by one task and
+candidates, coarse to fine, and survivors get their exact score. Candidates are shuffled to their cells once
+(one cell a region twice, for the thresholds), and queries once for each cell they may find something in; a cell's candidates are held by one task and
 its queries stream past them. Pivots say where rows lie, never whether they are compared.
 
 Rows equal in id and vector are counted first and go on k times at most, as no more can be among k.
